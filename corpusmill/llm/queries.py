@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import (
+    ann_forest,
     bpe_wordtable,
     decontam_wumanber,
+    html_blstm,
     langid_crossparse,
     license_winnow,
+    paragraph_minhash,
     quality_nnpu,
     simhash_popcount,
     toxicity_ftrl,
@@ -28,6 +31,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_forest.search(_read(spark, sf_dir, "embeddings"))
+
+
 def op2_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _read(spark, sf_dir, "documents")
     return toxicity_ftrl.score(documents, toxicity_ftrl.train(documents, _read(spark, sf_dir, "labels")))
@@ -38,6 +45,11 @@ def op3_langid_crossparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid_crossparse.predict(documents, langid_crossparse.train(documents))
 
 
+def op4_html_blstm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages")
+    return html_blstm.extract(pages, html_blstm.train(pages))
+
+
 def op5_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_popcount.near_duplicates(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -83,6 +95,11 @@ def op9_license_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = paragraph_minhash.dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_cut", "n_spans", (F.col("n_cut") > 0).alias("cut"), "kept_in", F.length("text").cast("long").alias("n_chars_left"), _sha(F.col("text")).alias("text_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

@@ -90,9 +90,9 @@ def colon_space(text: Column, words: list[str]) -> Column:
 
 
 def crop_bytes(text: Column, most: int) -> Column:
-    """The longest prefix of at most `most` UTF-8 bytes: bytes are cut, and a character cut in two is dropped."""
-    raw = F.substring(F.encode(text, "UTF-8"), 1, most)
-    return F.regexp_replace(F.try_validate_utf8(F.decode(raw, "UTF-8")), "�+$", "")
+    """The longest prefix of at most `most` UTF-8 bytes, in whole characters; meant for names, as it tries all prefixes."""
+    fits = F.filter(F.sequence(F.lit(0), F.least(F.length(text), F.lit(most))), lambda k: F.octet_length(F.substring(text, F.lit(1), k)) <= most)
+    return F.substring(text, F.lit(1), F.array_max(fits))
 
 
 def human_size(n: Column) -> Column:

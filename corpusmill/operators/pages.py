@@ -46,7 +46,8 @@ class _Reader(HTMLParser):
     def handle_endtag(self, tag):
         if not any(t == tag for t, _ in self.stack):
             return
-        if tag in BLOCKS or tag in DROPPED:
+        k = max(k for k, (t, _) in enumerate(self.stack) if t == tag)
+        if any(t in BLOCKS or t in DROPPED for t, _ in self.stack[k:]):
             self.flush()
         while self.stack:
             t, drop = self.stack.pop()

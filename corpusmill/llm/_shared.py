@@ -26,10 +26,11 @@ class Written:
     def __init__(self, rows: DataFrame):
         self.spark = rows.sparkSession
         self.path = f"{shared_folder(self.spark)}/corpusmill-{uuid.uuid4().hex}"
+        self.schema = rows.schema
         rows.write.parquet(self.path)
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+        return self.spark.read.schema(self.schema).parquet(self.path)
 
     def drop(self) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)

@@ -10,7 +10,8 @@ Only the patterns travel, at most SHARD_BYTES of item text in one pass over the
 passes, each adding its spans to the rows. Nothing is shuffled and the number of matches is unlimited.
 
 Defined cases: null and empty texts have no words and no hits; items without a word have no pattern; repeated items count once
-by item_id; an empty benchmark hits nothing; repeated documents are marked alike; other columns pass through untouched.
+by item_id; an empty benchmark hits nothing; repeated documents are marked alike; other columns pass through
+untouched, but for an older one of the result's name.
 """
 
 from __future__ import annotations
@@ -152,7 +153,7 @@ def _shards(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
 
 def annotate(documents: DataFrame, items: DataFrame, window: int = WINDOW, column: str = "hit") -> DataFrame:
     """The rows of `documents` and a struct `column`: n_words, n_hit, items (ascending ids) and spans (word ranges [from, to) that are hit)."""
-    out = documents
+    out = documents.drop(column)
     for shard in _shards(items):
         out = _pass(out, compile_items(shard, window), column)
     return out

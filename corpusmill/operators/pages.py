@@ -175,3 +175,27 @@ def header(meta: DataFrame, own: DataFrame, key: str, fields: tuple[str, ...], d
     """Header fields: the sidecar's value, else the document's, else the default."""
     both = own.alias("d").join(meta.alias("m"), key, "left")
     return both.select(key, *(F.coalesce(F.expr(f"nullif(m.{f}, '')"), F.expr(f"nullif(d.{f}, '')"), F.lit(defaults.get(f, ""))).alias(f) for f in fields))
+
+
+def categories(files: DataFrame) -> DataFrame:
+    """genre, files, in_open, in_closed over the files of open and closed corpora together."""
+    return files.groupBy("genre").agg(F.count("*").alias("files"), F.bool_or(~F.col("closed")).alias("in_open"), F.bool_or("closed").alias("in_closed"))
+
+
+# Content types and the suffixes of files saved from them.
+SUFFIXES = {"text/html": ".html", "application/pdf": ".pdf", "application/msword": ".doc", "text/plain": ".txt"}
+
+
+def saved_name(url: Column, content_type: Column) -> Column:
+    """File name for a fetched address: its last part where the path ends in /, else index, with the content type's suffix."""
+    last = F.regexp_extract(F.regexp_replace(url, r"[?#].*$", ""), r"([^/]+)/$", 1)
+    stem = F.when(last != "", last).otherwise("index")
+    suffix = F.lit("")
+    for kind, s in SUFFIXES.items():
+        suffix = F.when(F.startswith(content_type, F.lit(kind)), s).otherwise(suffix)
+    return F.when(F.endswith(stem, suffix), stem).otherwise(F.concat(stem, suffix))
+
+
+def stem(name: Column, suffix: str = r"\.[^./]+") -> Column:
+    """Last part of a path without its suffix."""
+    return F.regexp_replace(F.regexp_replace(name, "^.*/", ""), suffix + "$", "")

@@ -103,3 +103,35 @@ def page_join(previous: Column, current: Column) -> Column:
     """Text over a page break: a line-end hyphen between letters goes if a small letter follows; other hyphens stay; else a space."""
     hyphen = F.regexp_like(previous, F.lit(r"[\p{L}]-$"))
     return F.when(hyphen & F.regexp_like(current, F.lit(r"^\p{Ll}")), F.concat(F.regexp_replace(previous, "-$", ""), current)).when(F.endswith(previous, F.lit("-")), F.concat(previous, current)).otherwise(F.concat(previous, F.lit(" "), current))
+
+
+def without_quotes(text: Column) -> Column:
+    """Text without quoted spans that something follows; a quote at the very end stays."""
+    out = text
+    for q in QUOTES:
+        out = F.regexp_replace(out, quote_pattern(*q) + "(.)", "$1")
+    return out
+
+
+def labelled(docs: DataFrame, model: DataFrame) -> DataFrame:
+    """doc_id, para_no, label: language of each line of its documents where it isn't the document's own; lines without a letter have none."""
+    from corpusmill.operators import ngram
+
+    rows = lines(docs.select("doc_id", "lang", "text"), "doc_id", "lang").where(F.regexp_like("line", F.lit(r"\p{L}")))
+    keyed = rows.select((F.col("doc_id") * 1_000_000 + F.col("line_no")).alias("doc_id"), F.col("doc_id").alias("owner"), F.col("line_no").alias("para_no"), "lang", without_quotes(F.col("line")).alias("text"))
+    found = ngram.classify_char(ngram.distances(keyed.select("doc_id", "text"), model))
+    return keyed.join(found, "doc_id").where("predicted <> lang").select(F.col("owner").alias("doc_id"), "para_no", F.col("predicted").alias("label"))
+
+
+def font_ids(specs: DataFrame) -> DataFrame:
+    """id, first: the first font id with the same size, family and colour."""
+    same = specs.groupBy("size", "family", "color").agg(F.min("id").alias("first"))
+    return specs.join(same, ["size", "family", "color"]).select("id", "first")
+
+
+def merged_by_capital(rows: DataFrame, key: str) -> DataFrame:
+    """key, para_no, text: a paragraph that begins with a small letter continues the one before."""
+    w = Window.partitionBy(key).orderBy("line_no")
+    starts = ~F.regexp_like("line", F.lit(r"^\p{Ll}"))
+    joined = rows.withColumn("para_no", F.sum(starts.cast("int")).over(w)).groupBy(key, "para_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), " ").alias("text"))
+    return joined.select(key, "para_no", "text")

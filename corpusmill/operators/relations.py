@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as X
@@ -91,7 +91,6 @@ def tokens_per_year(spans: DataFrame) -> DataFrame:
 
 def scrambled(sentences: DataFrame, seed: int) -> DataFrame:
     """text_id, sentence_id, new_id: sentences of a text in the order of a keyed digest."""
-    from pyspark.sql import Window
 
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("text_id"), F.col("sentence_id")))
     return sentences.select("text_id", "sentence_id", F.row_number().over(Window.partitionBy("text_id").orderBy(key, "sentence_id")).alias("new_id"))
@@ -105,3 +104,24 @@ def word_index(tokens: DataFrame) -> DataFrame:
 def postings(tokens: DataFrame) -> DataFrame:
     """word, text_id, places: one bounded list per word and text, so frequent words spread over many rows."""
     return tokens.groupBy("word", "text_id").agg(F.array_sort(F.collect_list(F.struct("sentence_id", "position"))).alias("places"))
+
+
+def semantic_rows(tokens: DataFrame) -> DataFrame:
+    """Tokens with an extra row after each noun that has semantic tags, whose lemma joins the tags; places, ids and heads behind it move on by the rows put in before them."""
+    sem = F.filter(F.split("msd", "\\."), lambda t: F.startswith(t, F.lit("Sem_")))
+    rows = tokens.withColumn("sem", F.array_join(sem, "_")).withColumn("extra", ((F.col("pos") == "N") & (F.col("sem") != "")).cast("int"))
+    w = Window.partitionBy("text_id", "sentence_id").orderBy("position")
+    before = F.coalesce(F.sum("extra").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.withColumn("new", F.col("position") + before)
+    both = Window.partitionBy("text_id", "sentence_id")
+    heads = F.map_from_entries(F.collect_list(F.struct("position", "new")).over(both))
+    placed = placed.withColumn("head", F.when(F.col("dephead") == 0, 0).otherwise(F.element_at(heads, F.col("dephead").cast("int"))))
+    twice = F.when(F.col("extra") == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    out = placed.select("*", F.explode(twice).alias("k"))
+    return out.select("text_id", "sentence_id", (F.col("new") + F.col("k")).alias("position"), "word", F.when(F.col("k") == 1, F.col("sem")).otherwise(F.col("lemma")).alias("lemma"), "pos", F.col("head").alias("dephead"), "deprel")
+
+
+def folded_labels(label: Column) -> Column:
+    """Subject and object labels of every direction as one of each."""
+    bare = F.regexp_replace(label, "[←→<>-]", "")
+    return F.when(bare.isin("SUBJ", "OBJ"), bare).otherwise(label)

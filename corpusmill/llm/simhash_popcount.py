@@ -118,10 +118,13 @@ def near_duplicates(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -
 
 
 def survivors(documents: DataFrame) -> DataFrame:
-    """One row of each component: the one with the smallest doc_id, its first copy if that id repeats; null ids stay.
+    """One row of each component: that with the smallest doc_id. Repeated rows of an id and text are one; null ids stay.
 
-    Ids decide, so texts move only in the join that keeps them.
+    Ids decide, so texts move only in the join that keeps them, and again only where ids repeat at all.
     """
     ids = near_duplicates(documents.select("doc_id", "text"))
-    kept = ids.where("doc_id = component_id").select("doc_id").distinct()
-    return documents.join(kept, "doc_id", "left_semi").union(documents.where("doc_id is null"))
+    kept = _shared.written(ids.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")))
+    found = documents.join(kept.select("doc_id"), "doc_id", "left_semi")
+    if kept.where("rows > 1").limit(1).count():
+        found = found.dropDuplicates(["doc_id", "text"])
+    return found.union(documents.where("doc_id is null"))

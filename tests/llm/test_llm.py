@@ -337,6 +337,8 @@ def test_simhash_odd_rows(odd, none):
     assert by[7] == 1 and by[2] == by[3] == by[4] == 2
     assert simhash_popcount.near_duplicates(none).count() == 0
     kept = [r["doc_id"] for r in simhash_popcount.survivors(odd).collect()]
+    again = [r["doc_id"] for r in simhash_popcount.survivors(odd.union(odd.where("doc_id = 1"))).collect()]
+    assert sorted(map(str, again)) == sorted(map(str, kept))
     assert None in kept and 7 not in kept and 3 not in kept and {1, 2, 5, 6}.issubset(set(kept))
 
 

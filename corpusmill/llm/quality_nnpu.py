@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm import _labelled, _words
 
 #: Bounds of the positives, of the unlabelled sample, and of the bytes of a text that takes part in fitting.
-POSITIVE_ROWS, UNLABELLED_ROWS, SAMPLE_TEXT_BYTES = 4000, 4000, 60_000
+POSITIVE_ROWS, UNLABELLED_ROWS, SAMPLE_TEXT_BYTES = 3000, 3000, 60_000
 THRESHOLD = 0.3
 
 _GROUPS = (range(0x41, 0x5B), range(0x61, 0x7B), range(0x30, 0x3A), (0x20,), (0x0A,), b".", b",", b"!?", b"#$%&*+@^~", b"|<>{}[]\\/_=", b"-'\"():;", range(0x80, 0x100))
@@ -69,6 +69,17 @@ def features(texts: list[bytes]) -> np.ndarray:
     return np.column_stack([shares, *more])
 
 
+def stacked(texts: list[bytes]) -> np.ndarray:
+    """Statistics of many texts, worked out in pieces of bounded size."""
+    parts, at, held = [features([])], 0, 0
+    for k, t in enumerate(texts):
+        held += len(t)
+        if held > _words.CHUNK_BYTES or k + 1 == len(texts):
+            parts.append(features(texts[at : k + 1]))
+            at, held = k + 1, 0
+    return np.concatenate(parts)
+
+
 @dataclass
 class Model:
     """A network with one tanh layer over standardised statistics."""
@@ -144,7 +155,7 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
 
 
 def fit(positive: list[bytes], unlabelled: list[bytes], prior: float | None = None, hidden: int = 16, epochs: int = 30) -> Model:
-    xp, xu = features(positive), features(unlabelled)
+    xp, xu = stacked(positive), stacked(unlabelled)
     if not len(xp) or not len(xu):
         d = xp.shape[1]
         return Model(np.zeros(d), np.ones(d), [np.zeros((d, hidden)), np.zeros(hidden), np.zeros(hidden), np.zeros(1)], 0.5)

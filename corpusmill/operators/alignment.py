@@ -86,8 +86,9 @@ def aligned_sentences(left: DataFrame, right: DataFrame, key: str, anchors: dict
     """key, bead, src_text, tgt_text for each pair of documents. Inputs: key, sentence_no, sentence."""
 
     def one(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        x, y = (d.sort_values("sentence_no")["sentence"].tolist() if len(d) else [] for d in (a, b))
-        k = (a if len(a) else b)[key].iloc[0]
+        there = lambda d: "sentence_no" in d.columns and len(d) > 0  # noqa: E731  a side without rows may come without columns
+        x, y = (d.sort_values("sentence_no")["sentence"].tolist() if there(d) else [] for d in (a, b))
+        k = (a if there(a) else b)[key].iloc[0]
         rows = [(k, n, " ".join(x[i] for i in p), " ".join(y[j] for j in q)) for n, (p, q) in enumerate(align_lists(x, y, anchors), 1)]
         return pd.DataFrame(rows, columns=[key, "bead", "src_text", "tgt_text"])
 

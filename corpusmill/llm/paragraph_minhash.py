@@ -13,9 +13,11 @@ its own signature (one band of all rows). Neighbouring segments that all occur i
 of RUN_WORDS words or more is cut. The context decides up to about a dozen words at either end of a passage, so a passage of
 over 50 words always leaves a run of that length; those end words stay.
 
-A bucket is verified against one member of each cluster found in it, so copies and near copies cost a comparison each. A bucket
-of more than BUCKET paragraphs is first compared with its smallest one through a join (no task holds it), in up to LEADERS rounds; what
-is left is dealt into parts. Counts, minima and clusters are all computed in Spark; no hash of a document reaches the driver.
+All pairs of a bucket count, but for those that are connected already, so copies and near copies cost a comparison each, and those that
+share none of their rarest shingles, which can't have the similarity. A bucket of more than BUCKET paragraphs is first compared
+with its smallest one through a join (no task holds it), in up to LEADERS rounds; then it is dealt into blocks, and every pair
+of blocks meets in a task of its own, save those inside its largest cluster: a bucket of unlike paragraphs costs its square.
+Counts, minima and clusters are all computed in Spark; no hash of a document reaches the driver.
 
 Defined cases: null and empty texts keep their value and cut nothing; rows with a null id are left as they are; rows that
 repeat an id are one document, and a document never loses a passage to itself; ties go to the smaller doc_id, then to the
@@ -151,24 +153,41 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def _prefixes(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """The rarest members of each set, so many that two sets of the similarity always share one of them."""
+    _, rank, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(np.argsort(count, kind="stable"), kind="stable")[rank]
+    at = np.cumsum([0, *map(len, sets)])
+    return [np.sort(order[a:b])[: b - a - int(np.ceil(SIMILARITY * (b - a) - 1e-9)) + 1] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
 def _verify(part: pd.DataFrame) -> pd.DataFrame:
-    """Accepted pairs that connect a bucket. A member is compared with the members of each cluster so far until one is similar, so none of the clusters it touches is missed."""
+    """Accepted pairs that connect a bucket: a member is compared with all before it that share a rare shingle and are not yet in its cluster."""
     part = part.sort_values("pid", kind="stable")
     sets = [np.frombuffer(s, np.uint64) for s in part["sets"]]
     pid = part["pid"].tolist()
-    clusters: list[list[int]] = []
     pairs = []
-    for k, own in enumerate(sets):
-        joined = [k]
-        rest = []
-        for c in clusters:
-            other = next((m for m in c if min(len(sets[m]), len(own)) >= SIMILARITY * max(len(sets[m]), len(own)) and jaccard(sets[m], own) >= SIMILARITY), None)
-            if other is None:
-                rest.append(c)
-            else:
-                pairs.append((pid[other], pid[k]))
-                joined = c + joined
-        clusters = [*rest, joined]
+    root = np.unique(part["cluster" if "cluster" in part else "pid"].to_numpy(), return_inverse=True)[1] if len(sets) else np.empty(0, np.int64)
+    size = np.array([len(s) for s in sets])
+    prefixes = _prefixes(sets) if sets else []
+    # members in order of (shingle, member): those before a member of the same shingle stand just before it
+    flat, who = np.concatenate([*prefixes, np.empty(0, np.int64)]).astype(np.int64), np.repeat(np.arange(len(sets)), [len(x) for x in prefixes])
+    order = np.argsort(flat, kind="stable")
+    by, place = who[order], np.argsort(order)
+    first = np.searchsorted(flat[order], flat)
+    at = np.cumsum([0, *map(len, prefixes)])
+    for k in range(len(sets)):
+        mark = np.zeros(k, bool)
+        for a, b in zip(first[at[k] : at[k + 1]].tolist(), place[at[k] : at[k + 1]].tolist(), strict=True):
+            mark[by[a:b]] = True
+        near = np.flatnonzero(mark)
+        near = near[(root[near] != root[k]) & (np.minimum(size[near], size[k]) >= SIMILARITY * np.maximum(size[near], size[k]))]
+        while len(near):
+            m, near = near[0], near[1:]
+            if jaccard(sets[m], sets[k]) >= SIMILARITY:
+                pairs.append((pid[m], pid[k]))
+                root[root == root[m]] = root[k]
+                near = near[root[near] != root[k]]
     return pd.DataFrame(pairs, columns=["u", "v"], dtype="int64")
 
 
@@ -182,6 +201,24 @@ def _similar(left: str, right: str):
     return test(F.col(left), F.col(right))
 
 
+def _blocks(big: DataFrame, found: DataFrame) -> DataFrame:
+    """(set, pid, cluster): the blocks in which all pairs of a large bucket meet, but for those that `found` connects already.
+
+    big: (bucket, pid). The largest cluster of a bucket needs no pairs of its own: its blocks meet those of the rest only.
+    """
+    cluster = _shared.components(found)
+    placed = big.join(cluster, big["pid"] == cluster["node"], "left").select("bucket", "pid", F.coalesce("component", "pid").alias("cluster"))
+    sizes = placed.groupBy("bucket", "cluster").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "cluster")).alias("m"), F.sum("n").alias("n"))
+    parts = lambda n: F.ceil(n / max(1, BUCKET // 2)).cast("int")
+    main = main.where("n > m.n").select("bucket", F.col("m.cluster").alias("main"), parts(F.col("n") - F.col("m.n")).alias("rest"), parts(F.col("m.n")).alias("more"))
+    dealt = placed.join(main, "bucket").withColumn("hash", F.xxhash64("bucket", "pid"))
+    own = F.when(F.col("cluster") == F.col("main"), F.col("rest") + F.pmod("hash", "more")).otherwise(F.pmod("hash", "rest")).cast("int")
+    last = F.when(F.col("own") < F.col("rest"), F.col("rest") + F.col("more")).otherwise(F.col("rest")) - 1
+    met = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last.cast("int")))).where("own <> other")
+    return met.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("set"), "pid", "cluster")
+
+
 def similar_paragraphs(documents: DataFrame) -> DataFrame:
     """(u, v): accepted pairs of paragraphs (pid) that connect all those found similar."""
     bands = _line_rows(documents, sets=False).groupBy("pid").agg(F.first("bands").alias("bands"))
@@ -190,29 +227,28 @@ def similar_paragraphs(documents: DataFrame) -> DataFrame:
     met = _shared.written(keyed.join(shared, "bucket"))
     sets = _line_rows(documents, sets=True).join(met.select("pid").distinct(), "pid", "left_semi").groupBy("pid").agg(F.first("sets").alias("sets"))
     members = _shared.written(sets)
-    found = None
-    big = met.where(F.col("size") > BUCKET)
-    small = met.where(F.col("size") <= BUCKET).select("bucket", F.lit(0).alias("part"), "pid")
+    # near copies meet in most bands: each set of members, of at most BUCKET, is verified once
+    small = met.where(F.col("size") <= BUCKET)
+    once = small.groupBy("bucket").agg(F.array_sort(F.collect_list("pid")).alias("ids")).select("ids").distinct()
+    grouped = once.select(F.xxhash64("ids").alias("set"), F.explode("ids").alias("pid"))
+    pairs = grouped.join(members, "pid").groupBy("set").applyInPandas(_verify, "u bigint, v bigint")
+    large = met.where(F.col("size") > BUCKET).select("bucket", "pid")
+    if not large.limit(1).count():
+        return pairs.distinct()
+    big, found = large, None
     for _ in range(LEADERS):
-        if not big.limit(1).count():
-            break
         lead = big.groupBy("bucket").agg(F.min("pid").alias("leader"))
         named = lead.join(members.select(F.col("pid").alias("leader"), F.col("sets").alias("lead_sets")), "leader")
         tried = big.join(named, "bucket").join(members, "pid").where("pid <> leader").select("bucket", "leader", "pid", _similar("lead_sets", "sets").alias("same"))
         tried = _shared.written(tried)
-        pairs = tried.where("same").select(F.col("leader").alias("u"), F.col("pid").alias("v"))
-        found = pairs if found is None else found.union(pairs)
-        left = tried.where("not same").select("bucket", "pid")
-        sizes = left.groupBy("bucket").agg(F.count("*").alias("size"))
-        left = _shared.written(left.join(sizes, "bucket"))
-        small = small.union(left.where(F.col("size") <= BUCKET).select("bucket", F.lit(0).alias("part"), "pid"))
-        big = left.where(F.col("size") > BUCKET)
-    small = small.union(big.select("bucket", F.pmod(F.xxhash64("bucket", "pid"), F.ceil(F.col("size") / BUCKET)).cast("int").alias("part"), "pid"))
-    # near copies meet in most bands: each set of members, of at most BUCKET or so, is verified once
-    once = small.groupBy("bucket", "part").agg(F.array_sort(F.collect_list("pid")).alias("ids")).where("size(ids) > 1").select("ids").distinct()
-    grouped = once.select(F.xxhash64("ids").alias("set"), F.explode("ids").alias("pid"))
-    pairs = grouped.join(members, "pid").groupBy("set").applyInPandas(_verify, "u bigint, v bigint")
-    return (pairs if found is None else found.union(pairs)).distinct()
+        same = tried.where("same").select(F.col("leader").alias("u"), F.col("pid").alias("v"))
+        found = same if found is None else found.union(same)
+        big = tried.where("not same").select("bucket", "pid")
+        if not big.limit(1).count():
+            break
+    blocks = _shared.written(_blocks(large, found))
+    rest = blocks.join(members, "pid").groupBy("set").applyInPandas(_verify, "u bigint, v bigint")
+    return pairs.union(found).union(rest).distinct()
 
 
 def line_spans(documents: DataFrame) -> DataFrame:

@@ -460,6 +460,24 @@ def test_bucket_verification_connects_like_all_pairs():
     assert groups(got.itertuples(index=False)) == groups((a, b) for a in range(40) for b in range(a) if paragraph_minhash.jaccard(sets[a], sets[b]) >= 0.8)
 
 
+def test_large_buckets_equal_all_pairs(spark, monkeypatch):
+    r = random.Random(4)
+    sets = [set(range(8 * k, 8 * k + 100)) for k in range(30)]  # a chain: each like the next only
+    sets += [set(r.sample(range(10_000, 99_000), 60)) for _ in range(60)]  # unlike ones
+    sets += [set(list(s)[:55]) for s in sets[30:50]] + [set(range(60)) | {100_000 + k} for k in range(40)]
+    r.shuffle(sets)
+    rows = [(k, np.array(sorted(s), np.uint64).tobytes(), [0]) for k, s in enumerate(sets)]
+    at = spark.createDataFrame(rows, "pid bigint, sets binary, bands array<bigint>")
+    monkeypatch.setattr(paragraph_minhash, "_line_rows", lambda documents, sets: at)
+    like = {(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    want = {x["node"]: x["component"] for x in _shared.components(spark.createDataFrame(sorted(like), "u bigint, v bigint")).collect()}
+    for bucket in (4096, 16, 1):
+        monkeypatch.setattr(paragraph_minhash, "BUCKET", bucket)
+        pairs = paragraph_minhash.similar_paragraphs(None)
+        assert {(max(x), min(x)) for x in map(tuple, pairs.collect())} <= like
+        assert {x["node"]: x["component"] for x in _shared.components(pairs).collect()} == want
+
+
 def test_segments_are_the_whole_text_and_cut_alike():
     passage = prose(60, 7)
     texts = [(prose(30, 1) + " " + passage + " " + prose(30, 2)).encode(), (prose(45, 3) + " " + passage + " " + prose(10, 4)).encode(), b"", b"one"]

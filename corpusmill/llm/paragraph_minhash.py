@@ -43,9 +43,16 @@ BANDS, ROWS = 10, 3
 PARAGRAPH_WORDS, RUN_WORDS, RADIUS = 50, 24, 4
 BUCKET, LEADERS = 4096, 3
 
-_rng = np.random.default_rng(99)
-_MULT = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+#: Bands for whole texts: similarity 0.8 meets in one of them with probability 1 - (1 - 0.8**3)**20 = 0.9999994.
+TEXT_BANDS = 20
+
+
+def _maps(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(seed)
+    return rng.integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, n, dtype=np.uint64)
+
+
+_MULT, _ADD = map(np.concatenate, zip(_maps(99, BANDS * ROWS), _maps(100, (TEXT_BANDS - BANDS) * ROWS), strict=True))
 
 
 def _span_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -73,14 +80,14 @@ def shingle_sets(w: _words.Words, start: np.ndarray, end: np.ndarray) -> list[np
     return [np.unique(h[a : b - SHINGLE + 1]) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """BANDS keys of each set; a key hashes ROWS minima."""
+def signatures(sets: list[np.ndarray], bands: int = BANDS) -> np.ndarray:
+    """`bands` keys of each set; a key hashes ROWS minima."""
     if not sets:
-        return np.empty((0, BANDS), np.uint64)
+        return np.empty((0, bands), np.uint64)
     flat = np.concatenate(sets)
     at = np.cumsum([0, *map(len, sets)])[:-1]
-    out = np.zeros((len(sets), BANDS), np.uint64)
-    for b in range(BANDS):
+    out = np.zeros((len(sets), bands), np.uint64)
+    for b in range(bands):
         for r in range(b * ROWS, (b + 1) * ROWS):
             low = np.minimum.reduceat((flat * _MULT[r] + _ADD[r]) >> np.uint64(11), at)
             out[:, b] = _words.mix(out[:, b] * np.uint64(0xD6E8FEB86659FD93) + low + np.uint64(b))
@@ -220,12 +227,17 @@ def _blocks(big: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def similar_paragraphs(documents: DataFrame) -> DataFrame:
-    """(u, v): accepted pairs of paragraphs (pid) that connect all those found similar."""
-    bands = _line_rows(documents, sets=False).groupBy("pid").agg(F.first("bands").alias("bands"))
+    """(u, v): accepted pairs of lines (pid) that connect all those found similar."""
+    return similar(_line_rows(documents, sets=False), _line_rows(documents, sets=True))
+
+
+def similar(banded: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v): accepted pairs of pid that connect all those found similar. banded: (pid, bands); sets: (pid, sets)."""
+    bands = banded.groupBy("pid").agg(F.first("bands").alias("bands"))
     keyed = bands.select("pid", F.posexplode("bands").alias("band", "key")).select("pid", F.xxhash64("band", "key").alias("bucket"))
     shared = keyed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     met = _shared.written(keyed.join(shared, "bucket"))
-    sets = _line_rows(documents, sets=True).join(met.select("pid").distinct(), "pid", "left_semi").groupBy("pid").agg(F.first("sets").alias("sets"))
+    sets = sets.join(met.select("pid").distinct(), "pid", "left_semi").groupBy("pid").agg(F.first("sets").alias("sets"))
     members = _shared.written(sets)
     # near copies meet in most bands: each set of members, of at most BUCKET, is verified once
     small = met.where(F.col("size") <= BUCKET)
@@ -251,6 +263,34 @@ def similar_paragraphs(documents: DataFrame) -> DataFrame:
     return pairs.union(found).union(rest).distinct()
 
 
+def _text_rows(documents: DataFrame, sets: bool) -> DataFrame:
+    """Whole texts: pid stands for a set of five-word shingles (words between white space); a text of five words or fewer is one shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in _words.chunks(batches):
+            w = _words.split_words(texts, _words.NONBLANK)
+            grams, at = _words.windows(w, SHINGLE)
+            edge = np.searchsorted(at, w.first)
+            span = _span_hash(w.hash, w.first[:-1], w.first[1:])
+            own = [np.unique(grams[a:b]) if b > a else span[k : k + 1] for k, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True))]
+            pid = np.array([_words.mix(_words.mix(s).sum(keepdims=True) + np.uint64(len(s)))[0] for s in own], np.uint64)
+            more = pa.array([s.tobytes() for s in own], pa.binary()) if sets else pa.array(list(signatures(own, TEXT_BANDS).view(np.int64)), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(pid.view(np.int64)), more], names=["doc_id", "pid", "sets" if sets else "bands"])
+
+    rows = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(run, "doc_id bigint, pid bigint, " + ("sets binary" if sets else "bands array<bigint>"))
+
+
+def near_copies(documents: DataFrame) -> DataFrame:
+    """doc_id, component_id (the smallest doc_id reachable over texts of the similarity) of every row with an id."""
+    rows = _shared.written(_text_rows(documents, sets=False))
+    cluster = _shared.components(similar(rows, _text_rows(documents, sets=True)))
+    first = rows.groupBy("pid").agg(F.min("doc_id").alias("least"))
+    named = first.join(cluster, first["pid"] == cluster["node"], "left").select("pid", "least", F.coalesce("component", "pid").alias("component"))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    return rows.select("doc_id", "pid").join(named.join(least, "component").select("pid", "component_id"), "pid").select("doc_id", "component_id")
+
+
 def line_spans(documents: DataFrame) -> DataFrame:
     """(doc_id, ws, we, rep): lines whose cluster has an earlier document, rep being its first."""
     cluster = _shared.components(similar_paragraphs(documents))

@@ -117,12 +117,12 @@ def near_duplicates(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -
     return rows.join(component, "fp", "left").select(*keep, "fp", "component_id")
 
 
-def survivors(documents: DataFrame) -> DataFrame:
-    """One row of each component: that with the smallest doc_id. Repeated rows of an id and text are one; null ids stay.
+def survivors(documents: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """One row of each component: that with the smallest doc_id. ids: (doc_id, component_id), those of near_duplicates() unless given. Repeated rows of an id and text are one; null ids stay.
 
     Ids decide, so texts move only in the join that keeps them, and again only where ids repeat at all.
     """
-    ids = near_duplicates(documents.select("doc_id", "text"))
+    ids = ids if ids is not None else near_duplicates(documents.select("doc_id", "text"))
     kept = _shared.written(ids.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")))
     found = documents.join(kept.select("doc_id"), "doc_id", "left_semi")
     if kept.where("rows > 1").limit(1).count():

@@ -550,6 +550,33 @@ def test_bpe_query_equals_the_library(spark, sf_dir):
     assert {tuple(r) for r in queries.op8_bpe_wordtable(spark, sf_dir).collect()} == want
 
 
+def test_near_copies_equal_brute_force(spark, sf_dir):
+    import corpus_pipeline
+
+    r = random.Random(12)
+    texts = [None, "", "one two", "One  two", "a b c d e", "a b c d f", prose(7, 1), prose(7, 1).upper()]
+    for k, n in enumerate((60, 150, 400)):
+        base = prose(n, 300 + k).split()
+        texts.append(" ".join(base))
+        for _ in range(8):
+            words = list(base)
+            for at in r.sample(range(n), max(1, r.randint(1, n // 40))):
+                words[at] = f"new{r.random()}"
+            texts.append(" ".join(words))
+    texts += [prose(80, 400 + k) for k in range(5)]
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    like = [(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    low = list(range(len(texts)))
+    for _ in texts:
+        for a, b in like:
+            low[a] = low[b] = min(low[a], low[b])
+    kept = corpus_pipeline.near_duplicates(spark, docs_of(spark, list(enumerate(texts))), sf_dir)
+    assert sorted(x["doc_id"] for x in kept.collect()) == sorted(set(low))
+
+
 def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline
 

@@ -82,17 +82,18 @@ def align_lists(a: list[str], b: list[str], anchors: dict[str, set[str]] | None
     return out[::-1]
 
 
-def aligned_sentences(left: DataFrame, right: DataFrame, key: str, anchors: dict[str, set[str]] | None = None) -> DataFrame:
-    """key, bead, src_text, tgt_text for each pair of documents. Inputs: key, sentence_no, sentence."""
+def aligned_sentences(left: DataFrame, right: DataFrame, key: str | list[str], anchors: dict[str, set[str]] | None = None) -> DataFrame:
+    """key (columns), bead, src_text, tgt_text for each pair of documents. Inputs: key, sentence_no, sentence."""
+    keys = [key] if isinstance(key, str) else key
 
     def one(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         there = lambda d: "sentence_no" in d.columns and len(d) > 0  # noqa: E731  a side without rows may come without columns
         x, y = (d.sort_values("sentence_no")["sentence"].tolist() if there(d) else [] for d in (a, b))
-        k = (a if there(a) else b)[key].iloc[0]
-        rows = [(k, n, " ".join(x[i] for i in p), " ".join(y[j] for j in q)) for n, (p, q) in enumerate(align_lists(x, y, anchors), 1)]
-        return pd.DataFrame(rows, columns=[key, "bead", "src_text", "tgt_text"])
+        k = (a if there(a) else b)[keys].iloc[0].tolist()
+        rows = [(*k, n, " ".join(x[i] for i in p), " ".join(y[j] for j in q)) for n, (p, q) in enumerate(align_lists(x, y, anchors), 1)]
+        return pd.DataFrame(rows, columns=[*keys, "bead", "src_text", "tgt_text"])
 
-    return left.groupBy(key).cogroup(right.groupBy(key)).applyInPandas(one, f"{key} bigint, bead int, src_text string, tgt_text string")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(one, ", ".join(f"{k} bigint" for k in keys) + ", bead int, src_text string, tgt_text string")
 
 
 def diff_lines(pairs: DataFrame, key: str) -> DataFrame:

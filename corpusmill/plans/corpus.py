@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as X
@@ -129,10 +130,16 @@ def parallel_symmetric(spark, d):
     return A.symmetric(_claims(spark, d).union(back))
 
 
+def _exchanges(c):
+    """Rows of user and assistant with tu_no: the user turn they are or follow, from 0 on (-1 before the first). A system turn shifts turns, not exchanges."""
+    users = F.sum((F.col("role") == "user").cast("long")).over(Window.partitionBy("conv_id").orderBy("turn"))
+    return c.where("role in ('user', 'assistant')").withColumn("tu_no", users - 1)
+
+
 def sentence_align(spark, d):
-    c = load(spark, d, "conversations").where("turn < 2")
-    s = P.sentences(P.tokens(c.select(F.struct("conv_id", "role").alias("key"), "text"), "key"), "key").select("key.*", "sentence_no", "sentence")
-    return A.aligned_sentences(s.where("role = 'user'"), s.where("role = 'assistant'"), "conv_id")
+    c = _exchanges(load(spark, d, "conversations"))
+    s = P.sentences(P.tokens(c.select(F.struct("conv_id", "tu_no", "role").alias("key"), "text"), "key"), "key").select("key.*", "sentence_no", "sentence")
+    return A.aligned_sentences(s.where("role = 'user'"), s.where("role = 'assistant'"), ["conv_id", "tu_no"])
 
 
 def tmx_diff(spark, d):

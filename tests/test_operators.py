@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import dates
 from corpusmill.functions import text as X
 from corpusmill.operators import alignment, annotations, duplicates, ngram, pages, relations
+from corpusmill.plans import corpus
 from corpusmill.sources import tables
 
 
@@ -74,6 +75,17 @@ def test_alignment_finds_merges():
     assert alignment.align_lists([], ["x"]) == [([], [0])] and alignment.align_lists([], []) == []
 
 
+def test_every_exchange_is_aligned(spark, tmp_path):
+    rows = [(1, 0, "user", "One two. Three."), (1, 1, "assistant", "Four. Five six."), (1, 2, "user", "Later one."), (1, 3, "assistant", "Later answer."), (1, 4, "user", "Left alone.")]
+    rows += [(2, 0, "system", "Be brief."), (2, 1, "user", "Why?"), (2, 2, "assistant", "So."), (2, 3, "user", "And then? Well."), (2, 4, "assistant", "Then this. Good.")]
+    spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    want = []
+    for conv, no, a, b in [(1, 0, ["One two.", "Three."], ["Four.", "Five six."]), (1, 1, ["Later one."], ["Later answer."]), (1, 2, ["Left alone."], []), (2, 0, ["Why?"], ["So."]), (2, 1, ["And then?", "Well."], ["Then this.", "Good."])]:
+        beads = alignment.align_lists(a, b)
+        want += [(conv, no, n, " ".join(a[i] for i in p), " ".join(b[j] for j in q)) for n, (p, q) in enumerate(beads, 1)]
+    assert sorted(map(tuple, corpus.sentence_align(spark, str(tmp_path)).collect())) == want
+
+
 def test_near_duplicates_equal_all_pairs(spark):
     texts = ["one two three four five six", "one two three four five sixth", "something else is written here now", "one two three four five six", "", "one two three four five seven"]
     docs = spark.createDataFrame(list(enumerate(texts)) + [(9, None)], "doc_id bigint, text string")

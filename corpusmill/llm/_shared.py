@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from collections.abc import Iterable
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,11 +15,13 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where a session has none (tests on one machine), a temporary folder of its own."""
+    """spark.checkpoint.dir. A session on one machine (tests) that has none gets a temporary folder; a cluster's must be set."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
-        folder = _own.setdefault(app, _own.get(app) or "file://" + tempfile.mkdtemp(prefix="corpusmill-"))
+        folder = _own.get(app) or _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="corpusmill-"))
     return folder.rstrip("/")
 
 
@@ -37,12 +42,50 @@ class Written:
         path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+#: Tables that results still read; they go when the program ends.
+_kept: list[Written] = []
+
+
+@atexit.register
+def _drop_kept() -> None:
+    while _kept:
+        table = _kept.pop()
+        if SparkContext._active_spark_context is table.spark.sparkContext:
+            table.drop()
+
+
 def written(rows: DataFrame) -> DataFrame:
-    return Written(rows).read()
+    """A table that a result reads; it stays as long as the program."""
+    _kept.append(Written(rows))
+    return _kept[-1].read()
+
+
+class Scratch:
+    """Tables of one operator call, dropped at its end: `with Scratch() as tmp: rows = tmp(rows)`."""
+
+    def __enter__(self) -> Scratch:
+        self.tables: list[Written] = []
+        return self
+
+    def __call__(self, rows: DataFrame) -> DataFrame:
+        self.tables.append(Written(rows))
+        return self.tables[-1].read()
+
+    def __exit__(self, *error) -> None:
+        for table in self.tables:
+            table.drop()
+
+
+def free_name(columns: Iterable[str], name: str) -> str:
+    """`name`, with underscores in front until no column has it (Spark's names ignore case)."""
+    have = {c.lower() for c in columns}
+    while name.lower() in have:
+        name = "_" + name
+    return name
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of every node of the undirected edges (u, v); component: its smallest node.
+def components(edges: DataFrame, tmp: Scratch | None = None) -> DataFrame:
+    """(node, component) of every node of the undirected edges (u, v); component: its smallest node. The result is a table of `tmp`, if given.
 
     Alternating large and small stars (Kiveris et al. 2014): every round points nodes at their smallest neighbour, so paths
     shrink to stars in about log(length) rounds. Minima are combined before each shuffle, so a node with very many
@@ -58,6 +101,7 @@ def components(edges: DataFrame) -> DataFrame:
         if seen == tuple(state):
             break
         seen = tuple(state)
+    (_kept if tmp is None else tmp.tables).append(now)
     stars = now.read()
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(stars.select("v", "v")).distinct()
 

@@ -73,15 +73,15 @@ class Words:
     prefix: np.ndarray
 
     def __len__(self) -> int:
-        return len(self.hash)
+        return len(self.start)
 
     def range_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The hash that a word from start to end would have."""
         return mix((self.prefix[end] - self.prefix[start]) * _pow(len(self.data) + 1)[1][start] + (end - start).astype(np.uint64))
 
 
-def split_words(texts: list[bytes], word_class: np.ndarray = ALNUM, fold: np.ndarray = LOWER_AZ) -> Words:
-    """All words of the texts in order. `fold` maps bytes first."""
+def split_words(texts: list[bytes], word_class: np.ndarray = ALNUM, fold: np.ndarray = LOWER_AZ, hashed: bool = True) -> Words:
+    """All words of the texts in order. `fold` maps bytes first; without `hashed` there are places only."""
     sizes = np.fromiter((len(t) for t in texts), np.int64, len(texts))
     doc_start = np.zeros(len(texts) + 1, np.int64)
     np.cumsum(sizes + 1, out=doc_start[1:])
@@ -91,10 +91,12 @@ def split_words(texts: list[bytes], word_class: np.ndarray = ALNUM, fold: np.nda
         inside[doc_start[1:] - 1] = False
     edge = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0, append=0))
     start, end = edge[0::2], edge[1::2]
-    power, inverse = _pow(len(data) + 1)
-    prefix = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * power[: len(data)], out=prefix[1:])
-    h = mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64))
+    prefix = h = np.empty(0, np.uint64)
+    if hashed:
+        power, inverse = _pow(len(data) + 1)
+        prefix = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTE[data] * power[: len(data)], out=prefix[1:])
+        h = mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64))
     first = np.searchsorted(start, doc_start)
     doc = np.repeat(np.arange(len(texts)), np.diff(first))
     return Words(data, doc_start, h, start, end, doc, first, prefix)

@@ -1,69 +1,72 @@
 """Substring dedup: passages that repeat across documents are cut from all but the first that holds them.
 
-Two kinds of paragraph are compared, both of whole texts.
-
-Lines of PARAGRAPH_WORDS or more words go through MinHash banding over sets of five-word shingles: BANDS bands of ROWS values
-bring two paragraphs of Jaccard similarity 0.8 together with probability 1 - (1 - 0.8**3)**10 = 0.9992, those that share a
-band are joined, the exact Jaccard similarity of their shingles decides, and connected components of accepted pairs are the
-clusters. Equal lines are one paragraph before any pairing.
-
-Passages inside other text have no line of their own, so every text is also cut into segments where its words say so (at local
-minima of a hash of five words, about RADIUS * 2 + 1 words apart): a passage is cut alike wherever it stands. A segment is
-its own signature (one band of all rows). Neighbouring segments that all occur in an earlier document make a run, and a run
-of RUN_WORDS words or more is cut. The context decides up to about a dozen words at either end of a passage, so a passage of
-over 50 words always leaves a run of that length; those end words stay.
-
-All pairs of a bucket count, but for those that are connected already, so copies and near copies cost a comparison each, and those that
-share none of their rarest shingles, which can't have the similarity. A bucket of more than BUCKET paragraphs is first compared
-with its smallest one through a join (no task holds it), in up to LEADERS rounds; then it is dealt into blocks, and every pair
-of blocks meets in a task of its own, save those inside its largest cluster: a bucket of unlike paragraphs costs its square.
-Counts, minima and clusters are all computed in Spark; no hash of a document reaches the driver.
+Paragraphs of whole texts are banded by MinHash, those that share a band are joined, their words decide, and connected components of
+accepted pairs are the clusters; a cluster keeps its paragraph in its first document. There are two kinds, from one pass over the texts:
+
+* Lines of PASSAGE_WORDS or more words: BANDS bands of ROWS minima over five-word shingles bring two lines of Jaccard similarity
+  0.8 together with probability 1 - (1 - 0.8**2)**8 = 0.9997; their exact similarity decides.
+* Segments: every text is also divided where its words say so (at local minima of a hash of five words, about RADIUS * 2 + 1
+  words apart), so a passage inside other text is divided alike wherever it stands. So short a paragraph reaches the similarity
+  only if it is equal but for an end, so it has one band of all its rows: the BLAKE2b-128 digest of its words, which also verifies them.
+
+Lines and segments that an earlier document holds are put together, and a stretch of PASSAGE_WORDS or more is cut; shorter
+repetition is ordinary language and stays. The context decides where the first and last segment of a passage end, so up to about
+a dozen words at either end may stay; a passage of 51 words that stands inside other text leaves a stretch of PASSAGE_WORDS in
+97 % of cases, one of 60 in 99.97 %.
+
+Equal paragraphs are one before any pairing. Those that share a band form candidate components. One of at most BUCKET paragraphs
+is verified in one task (all its pairs but those that are connected already or share none of their rarest shingles, which can't
+have the similarity). A larger one is taken band by band: a band's bucket of more than BUCKET is first compared with its smallest
+member through a join (no task holds it), in up to LEADERS rounds; then it is dealt into blocks, and every pair of blocks meets in a
+task of its own, save those inside its largest cluster: a bucket of unlike paragraphs costs its square. No pair is left out.
+A paragraph that very many documents hold is joined back in SALTS parts. No hash of a document reaches the driver.
 
 Defined cases: null and empty texts keep their value and cut nothing; rows with a null id are left as they are; rows that
-repeat an id are one document, and a document never loses a passage to itself; ties go to the smaller doc_id, then to the
-earlier place; an empty table gives an empty result; other columns pass through, but for
-older ones of the result's names.
+repeat an id are one document (each row's own text is cut), and a document never loses a passage to itself; ties go to the smaller
+doc_id; a very long text is one task's work, never cut short; an empty table gives an empty result; all columns pass through,
+and what the operator finds is one struct column whose name the caller chooses.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusmill.llm import _shared, _words
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 10, 3
-PARAGRAPH_WORDS, RUN_WORDS, RADIUS = 50, 24, 4
-BUCKET, LEADERS = 4096, 3
+BANDS, ROWS = 8, 2
+PASSAGE_WORDS, RADIUS = 24, 4
+BUCKET, LEADERS, SALTS = 512, 3, 32
 
-#: Bands for whole texts: similarity 0.8 meets in one of them with probability 1 - (1 - 0.8**3)**20 = 0.9999994.
-TEXT_BANDS = 20
+#: Bands for whole texts: similarity 0.8 meets in one of them with probability 1 - (1 - 0.8**2)**16 = 0.9999999.
+TEXT_BANDS = 16
 
+_rng = np.random.default_rng(99)
+_MULT = _rng.integers(1, 1 << 63, TEXT_BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _rng.integers(0, 1 << 63, TEXT_BANDS * ROWS, dtype=np.uint64)
 
-def _maps(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(seed)
-    return rng.integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, n, dtype=np.uint64)
 
+# ---- paragraphs of texts
 
-_MULT, _ADD = map(np.concatenate, zip(_maps(99, BANDS * ROWS), _maps(100, (TEXT_BANDS - BANDS) * ROWS), strict=True))
 
-
-def _span_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of the words from start to end, from one prefix sum over all words."""
-    power, inverse = _words._pow(len(h) + 1)
-    prefix = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * power[: len(h)], out=prefix[1:])
-    return _words.mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64))
+def shingles(w: _words.Words) -> np.ndarray:
+    """Hash of the five words that begin at each word; the largest number where a text ends before."""
+    h = np.full(len(w), np.iinfo(np.uint64).max, np.uint64)
+    grams, at = _words.windows(w, SHINGLE)
+    h[at] = grams
+    return h
 
 
-def lines(w: _words.Words, least: int = PARAGRAPH_WORDS) -> tuple[np.ndarray, np.ndarray]:
+def lines(w: _words.Words, least: int = PASSAGE_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """First and past-last word of every line of `least` words or more."""
     breaks = np.searchsorted(w.start, np.flatnonzero(w.data == 10))
     edge = np.unique(np.concatenate([w.first, breaks]))
@@ -72,83 +75,98 @@ def lines(w: _words.Words, least: int = PARAGRAPH_WORDS) -> tuple[np.ndarray, np
     return start[keep], end[keep]
 
 
-def shingle_sets(w: _words.Words, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
-    """Distinct five-word shingles of each paragraph, ascending. Paragraphs have more than five words."""
-    h = np.zeros(len(w), np.uint64)
-    grams, at = _words.windows(w, SHINGLE)
-    h[at] = grams
-    return [np.unique(h[a : b - SHINGLE + 1]) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-
-
-def signatures(sets: list[np.ndarray], bands: int = BANDS) -> np.ndarray:
-    """`bands` keys of each set; a key hashes ROWS minima."""
-    if not sets:
-        return np.empty((0, bands), np.uint64)
-    flat = np.concatenate(sets)
-    at = np.cumsum([0, *map(len, sets)])[:-1]
-    out = np.zeros((len(sets), bands), np.uint64)
-    for b in range(bands):
-        for r in range(b * ROWS, (b + 1) * ROWS):
-            low = np.minimum.reduceat((flat * _MULT[r] + _ADD[r]) >> np.uint64(11), at)
-            out[:, b] = _words.mix(out[:, b] * np.uint64(0xD6E8FEB86659FD93) + low + np.uint64(b))
-    return out
-
-
-def segments(w: _words.Words, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+def segments(w: _words.Words, h: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """First and past-last word of every segment; together they are the whole texts."""
-    n = len(w)
-    grams, at = _words.windows(w, SHINGLE)
-    h = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-    h[at] = grams
-    cut = np.zeros(n, bool)
-    cut[at] = True
+    cut = h < np.iinfo(np.uint64).max
     for k in range(1, radius + 1):
         same = w.doc[k:] == w.doc[:-k]
         cut[k:] &= ~same | (h[k:] < h[:-k])
         cut[:-k] &= ~same | (h[:-k] <= h[k:])
     edge = np.unique(np.concatenate([w.first, np.flatnonzero(cut)]))
-    edge = edge[edge <= n]
-    start, end = edge[:-1], edge[1:]
-    return start, end
+    return edge[:-1], edge[1:]
+
+
+def digests(w: _words.Words, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """BLAKE2b-128 of the words of each range, with a space after each, as two longs."""
+    data = w.data.copy()
+    data[w.end] = 32
+    edge = np.zeros(len(data) + 2, np.int8)
+    edge[w.start] += 1
+    edge[w.end + 1] -= 1
+    held = data[np.cumsum(edge[:-2], dtype=np.int8) > 0].tobytes()
+    at = np.concatenate([[0], np.cumsum(w.end - w.start + 1)])
+    blake = hashlib.blake2b
+    both = b"".join([blake(held[a:b], digest_size=16).digest() for a, b in zip(at[start].tolist(), at[end].tolist(), strict=True)])
+    return np.frombuffer(both, np.int64).reshape(-1, 2)
+
+
+def signatures(h: np.ndarray, start: np.ndarray, end: np.ndarray, bands: int = BANDS) -> np.ndarray:
+    """`bands` keys of each range of shingle hashes, none empty; a key hashes ROWS minima. Repeats change no minimum."""
+    out = np.zeros((len(start), bands), np.uint64)
+    if len(start):
+        flat, at = np.append(h, np.uint64(0)), np.column_stack([start, end]).ravel()
+        for b in range(bands):
+            for r in range(b * ROWS, (b + 1) * ROWS):
+                low = np.minimum.reduceat(flat * _MULT[r] + _ADD[r], at)[::2]
+                out[:, b] = _words.mix(out[:, b] * np.uint64(0xD6E8FEB86659FD93) + low + np.uint64(b))
+    return out
+
+
+def _places(texts: list[bytes], w: _words.Words, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, place) of each range: 31 bits of the text's checksum, then the first word's number, so that rows of one id keep apart."""
+    doc = w.doc[start] if len(start) else start
+    mark = np.array([zlib.crc32(t) >> 1 for t in texts], np.int64)
+    return doc, (mark[doc] << 32) + start - w.first[doc]
+
 
+_BAND_NAMES = [f"b{k}" for k in range(BANDS)]
+_ROWS_SCHEMA = "doc_id bigint, place bigint, n int, h1 bigint, h2 bigint, " + ", ".join(f"{b} bigint" for b in _BAND_NAMES)
+_ARROW_ROWS = pa.schema([("doc_id", pa.int64()), ("place", pa.int64()), ("n", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), *((b, pa.int64()) for b in _BAND_NAMES)])
 
-def _rows(documents: DataFrame, schema: str, make) -> DataFrame:
-    """make(words) gives (first word, columns); adds doc_id, and counts words within each document."""
-    names = T._parse_datatype_string(schema).names
+
+def _known(documents: DataFrame) -> DataFrame:
+    return documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
+def paragraph_rows(documents: DataFrame) -> DataFrame:
+    """One row for every segment (no band) and every line: document, place, number of words, digest, band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _words.chunks(batches):
             w = _words.split_words(texts)
-            start, end, more = make(w)
-            doc = w.doc[start] if len(start) else start
-            base = w.first[doc]
-            columns = [part.column("doc_id").take(pa.array(doc)), pa.array((start - base).astype(np.int32)), pa.array((end - base).astype(np.int32)), *more]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            h = shingles(w)
+            for (start, end), banded in ((segments(w, h), False), (lines(w), True)):
+                doc, place = _places(texts, w, start)
+                digest = digests(w, start, end)
+                keys = signatures(h, start, end - SHINGLE + 1).view(np.int64) if banded else None
+                bands = [pa.array(keys[:, b]) if banded else pa.nulls(len(start), pa.int64()) for b in range(BANDS)]
+                columns = [part.column("doc_id").take(pa.array(doc)), pa.array(place), pa.array((end - start).astype(np.int32)), pa.array(digest[:, 0]), pa.array(digest[:, 1]), *bands]
+                yield pa.RecordBatch.from_arrays(columns, schema=_ARROW_ROWS)
 
-    return documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return _known(documents).mapInArrow(run, _ROWS_SCHEMA)
 
 
-def _segment_rows(documents: DataFrame) -> DataFrame:
-    def make(w):
-        start, end = segments(w)
-        return start, end, [pa.array(_span_hash(w.hash, start, end).view(np.int64))]
+def line_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(pid, sets): the distinct shingles, ascending, of wanted lines; wanted: (doc_id, pids), each a line that the document holds.
 
-    return _rows(documents, "doc_id bigint, ws int, we int, uh bigint", make)
+    `wanted` is a written table, so Spark knows its size and broadcasts it if it is small; else texts and ids are shuffled.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in _words.chunks(batches):
+            w = _words.split_words(texts)
+            h = shingles(w)
+            start, end = lines(w)
+            pid = digests(w, start, end)[:, 0]
+            asked = [set(x) for x in part.column("pids").to_pylist()]
+            pick = [k for k, (d, p) in enumerate(zip(w.doc[start].tolist() if len(start) else [], pid.tolist(), strict=True)) if p in asked[d]]
+            sets = [np.unique(h[a : b - SHINGLE + 1]).tobytes() for a, b in zip(start[pick].tolist(), end[pick].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(pid[pick]), pa.array(sets, pa.binary())], names=["pid", "sets"])
 
-def _line_rows(documents: DataFrame, sets: bool) -> DataFrame:
-    """Paragraph rows with either their band keys or their shingle sets."""
+    return _known(documents).join(wanted, "doc_id").select("text", "pids").mapInArrow(run, "pid bigint, sets binary")
 
-    def make(w):
-        start, end = lines(w)
-        own = shingle_sets(w, start, end)
-        pid = pa.array(_span_hash(w.hash, start, end).view(np.int64))
-        if sets:
-            return start, end, [pid, pa.array([s.tobytes() for s in own], pa.binary())]
-        keys = signatures(own).view(np.int64)
-        return start, end, [pid, pa.array(list(keys), pa.list_(pa.int64()))]
 
-    return _rows(documents, "doc_id bigint, ws int, we int, pid bigint, " + ("sets binary" if sets else "bands array<bigint>"), make)
+# ---- similar pairs
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -168,37 +186,75 @@ def _prefixes(sets: list[np.ndarray]) -> list[np.ndarray]:
     return [np.sort(order[a:b])[: b - a - int(np.ceil(SIMILARITY * (b - a) - 1e-9)) + 1] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-def _verify(part: pd.DataFrame) -> pd.DataFrame:
-    """Accepted pairs that connect a bucket: a member is compared with all before it that share a rare shingle and are not yet in its cluster."""
-    part = part.sort_values("pid", kind="stable")
-    sets = [np.frombuffer(s, np.uint64) for s in part["sets"]]
-    pid = part["pid"].tolist()
+def _alike(size: np.ndarray, other: int) -> np.ndarray:
+    """Whether sizes of sets allow the similarity."""
+    return np.minimum(size, other) >= SIMILARITY * np.maximum(size, other)
+
+
+def verify(pid: list[int], sets: list[np.ndarray], cluster: list[int] | None = None) -> list[tuple[int, int]]:
+    """Accepted pairs that connect a group: a member is compared with all before it that share a rare shingle and are not yet in its cluster."""
+    if len(pid) == 2:
+        return [(pid[0], pid[1])] if _alike(np.array(len(sets[0])), len(sets[1])) and jaccard(*sets) >= SIMILARITY else []
     pairs = []
-    root = np.unique(part["cluster" if "cluster" in part else "pid"].to_numpy(), return_inverse=True)[1] if len(sets) else np.empty(0, np.int64)
+    root = np.unique(np.array(cluster if cluster is not None else pid), return_inverse=True)[1]
     size = np.array([len(s) for s in sets])
-    prefixes = _prefixes(sets) if sets else []
+    prefixes = _prefixes(sets)
     # members in order of (shingle, member): those before a member of the same shingle stand just before it
-    flat, who = np.concatenate([*prefixes, np.empty(0, np.int64)]).astype(np.int64), np.repeat(np.arange(len(sets)), [len(x) for x in prefixes])
+    flat, who = np.concatenate(prefixes), np.repeat(np.arange(len(sets)), [len(x) for x in prefixes])
     order = np.argsort(flat, kind="stable")
-    by, place = who[order], np.argsort(order)
+    by, place = who[order], np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
     first = np.searchsorted(flat[order], flat)
     at = np.cumsum([0, *map(len, prefixes)])
-    for k in range(len(sets)):
+    for k in range(1, len(sets)):
         mark = np.zeros(k, bool)
         for a, b in zip(first[at[k] : at[k + 1]].tolist(), place[at[k] : at[k + 1]].tolist(), strict=True):
             mark[by[a:b]] = True
         near = np.flatnonzero(mark)
-        near = near[(root[near] != root[k]) & (np.minimum(size[near], size[k]) >= SIMILARITY * np.maximum(size[near], size[k]))]
+        near = near[(root[near] != root[k]) & _alike(size[near], size[k])]
         while len(near):
             m, near = near[0], near[1:]
             if jaccard(sets[m], sets[k]) >= SIMILARITY:
                 pairs.append((pid[m], pid[k]))
                 root[root == root[m]] = root[k]
                 near = near[root[near] != root[k]]
-    return pd.DataFrame(pairs, columns=["u", "v"], dtype="int64")
+    return pairs
 
 
-def _similar(left: str, right: str):
+def verified(rows: DataFrame) -> DataFrame:
+    """(u, v): accepted pairs within each group. rows: (grp, pid, sets) and perhaps cluster; a group has a bounded number of rows.
+
+    Groups are dealt by key and sorted; a task goes through many of them and holds one at a time.
+    """
+    named = "cluster" in rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> list[tuple[int, int]]:
+            once = {p: (s, c) for p, s, c in held}
+            if len(once) < 2:
+                return []
+            ids = sorted(once)
+            return verify(ids, [np.frombuffer(once[p][0], np.uint64) for p in ids], [once[p][1] for p in ids] if named else None)
+
+        held: list[tuple] = []
+        group = None
+        for batch in batches:
+            found = []
+            none = [None] * batch.num_rows
+            columns = [batch.column(c).to_pylist() if c != "cluster" or named else none for c in ("grp", "pid", "sets", "cluster")]
+            for g, p, s, c in zip(*columns, strict=True):
+                if g != group:
+                    found += flush()
+                    held, group = [], g
+                held.append((p, s, c))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
+        found = flush()
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    return rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "u bigint, v bigint")
+
+
+def _similar(left: str, right: str) -> Column:
     """A predicate column: whether two set columns have the similarity."""
 
     @F.pandas_udf("boolean")
@@ -208,12 +264,12 @@ def _similar(left: str, right: str):
     return test(F.col(left), F.col(right))
 
 
-def _blocks(big: DataFrame, found: DataFrame) -> DataFrame:
-    """(set, pid, cluster): the blocks in which all pairs of a large bucket meet, but for those that `found` connects already.
+def _blocks(big: DataFrame, found: DataFrame, tmp: _shared.Scratch) -> DataFrame:
+    """(grp, pid, cluster): the blocks in which all pairs of a large bucket meet, but for those that `found` connects already.
 
     big: (bucket, pid). The largest cluster of a bucket needs no pairs of its own: its blocks meet those of the rest only.
     """
-    cluster = _shared.components(found)
+    cluster = _shared.components(found, tmp)
     placed = big.join(cluster, big["pid"] == cluster["node"], "left").select("bucket", "pid", F.coalesce("component", "pid").alias("cluster"))
     sizes = placed.groupBy("bucket", "cluster").agg(F.count("*").alias("n"))
     main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "cluster")).alias("m"), F.sum("n").alias("n"))
@@ -223,103 +279,178 @@ def _blocks(big: DataFrame, found: DataFrame) -> DataFrame:
     own = F.when(F.col("cluster") == F.col("main"), F.col("rest") + F.pmod("hash", "more")).otherwise(F.pmod("hash", "rest")).cast("int")
     last = F.when(F.col("own") < F.col("rest"), F.col("rest") + F.col("more")).otherwise(F.col("rest")) - 1
     met = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last.cast("int")))).where("own <> other")
-    return met.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("set"), "pid", "cluster")
+    return met.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("grp"), "pid", "cluster")
 
 
-def similar_paragraphs(documents: DataFrame) -> DataFrame:
-    """(u, v): accepted pairs of lines (pid) that connect all those found similar."""
-    return similar(_line_rows(documents, sets=False), _line_rows(documents, sets=True))
-
-
-def similar(banded: DataFrame, sets: DataFrame) -> DataFrame:
-    """(u, v): accepted pairs of pid that connect all those found similar. banded: (pid, bands); sets: (pid, sets)."""
-    bands = banded.groupBy("pid").agg(F.first("bands").alias("bands"))
-    keyed = bands.select("pid", F.posexplode("bands").alias("band", "key")).select("pid", F.xxhash64("band", "key").alias("bucket"))
-    shared = keyed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    met = _shared.written(keyed.join(shared, "bucket"))
-    sets = sets.join(met.select("pid").distinct(), "pid", "left_semi").groupBy("pid").agg(F.first("sets").alias("sets"))
-    members = _shared.written(sets)
+def _similar_in_buckets(met: DataFrame, members: DataFrame, tmp: _shared.Scratch) -> DataFrame:
+    """Accepted pairs of candidate components too large for one task. met: (bucket, pid)."""
+    size = met.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    met = tmp(met.join(size, "bucket"))
     # near copies meet in most bands: each set of members, of at most BUCKET, is verified once
     small = met.where(F.col("size") <= BUCKET)
     once = small.groupBy("bucket").agg(F.array_sort(F.collect_list("pid")).alias("ids")).select("ids").distinct()
-    grouped = once.select(F.xxhash64("ids").alias("set"), F.explode("ids").alias("pid"))
-    pairs = grouped.join(members, "pid").groupBy("set").applyInPandas(_verify, "u bigint, v bigint")
+    pairs = verified(once.select(F.xxhash64("ids").alias("grp"), F.explode("ids").alias("pid")).join(members, "pid"))
     large = met.where(F.col("size") > BUCKET).select("bucket", "pid")
     if not large.limit(1).count():
-        return pairs.distinct()
+        return pairs
     big, found = large, None
     for _ in range(LEADERS):
         lead = big.groupBy("bucket").agg(F.min("pid").alias("leader"))
         named = lead.join(members.select(F.col("pid").alias("leader"), F.col("sets").alias("lead_sets")), "leader")
-        tried = big.join(named, "bucket").join(members, "pid").where("pid <> leader").select("bucket", "leader", "pid", _similar("lead_sets", "sets").alias("same"))
-        tried = _shared.written(tried)
+        tried = tmp(big.join(named, "bucket").join(members, "pid").where("pid <> leader").select("bucket", "leader", "pid", _similar("lead_sets", "sets").alias("same")))
         same = tried.where("same").select(F.col("leader").alias("u"), F.col("pid").alias("v"))
         found = same if found is None else found.union(same)
         big = tried.where("not same").select("bucket", "pid")
         if not big.limit(1).count():
             break
-    blocks = _shared.written(_blocks(large, found))
-    rest = blocks.join(members, "pid").groupBy("set").applyInPandas(_verify, "u bigint, v bigint")
-    return pairs.union(found).union(rest).distinct()
+    return pairs.union(found).union(verified(tmp(_blocks(large, found, tmp)).join(members, "pid")))
 
 
-def _text_rows(documents: DataFrame, sets: bool) -> DataFrame:
-    """Whole texts: pid stands for a set of five-word shingles (words between white space); a text of five words or fewer is one shingle."""
+def similar(banded: DataFrame, sets: Callable[[DataFrame], DataFrame], tmp: _shared.Scratch) -> DataFrame:
+    """(node, component): clusters of paragraphs that accepted pairs connect, those of one paragraph left out.
+
+    banded: (pid, bands), one row a paragraph, from a written table; sets(pids): (pid, sets) of the paragraphs in a table of pids.
+    """
+    keyed = banded.select("pid", F.posexplode("bands").alias("band", "key")).select("pid", F.xxhash64("band", "key").alias("bucket"))
+    shared = keyed.groupBy("bucket").agg(F.min("pid").alias("lead"), F.max("pid").alias("last")).where("lead < last").select("bucket", "lead")
+    stars = tmp(keyed.join(shared, "bucket").where("pid <> lead").select(F.col("lead").alias("u"), F.col("pid").alias("v")).distinct())
+    cand = tmp(_shared.components(stars, tmp).select(F.col("node").alias("pid"), F.col("component").alias("grp")))
+    members = tmp(sets(cand.select("pid")))
+    size = cand.groupBy("grp").agg(F.count("*").alias("size"))
+    sized = tmp(cand.join(size, "grp"))
+    pairs = verified(sized.where(F.col("size") <= BUCKET).select("grp", "pid").join(members, "pid"))
+    large = sized.where(F.col("size") > BUCKET).select("pid")
+    if large.limit(1).count():
+        pairs = pairs.union(_similar_in_buckets(keyed.join(large, "pid", "left_semi").select("bucket", "pid"), members, tmp))
+    return _shared.components(pairs.distinct(), tmp)
+
+
+# ---- whole texts
+
+
+def _text_words(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct five-word shingles of each text (words between white space; a text of five words or fewer is one), and a hash of each set."""
+    w = _words.split_words(texts, _words.NONBLANK)
+    grams, at = _words.windows(w, SHINGLE)
+    edge = np.searchsorted(at, w.first)
+    own = []
+    for k, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
+        few = w.hash[w.first[k] : w.first[k + 1]]
+        own.append(np.unique(grams[a:b]) if b > a else _words.mix(np.array([zlib.crc32(few.tobytes()) + (int(few.sum()) & (1 << 63) - 1)], np.uint64)))
+    pid = np.array([_words.mix(_words.mix(s).sum(keepdims=True) + np.uint64(len(s)))[0] for s in own], np.uint64)
+    return own, pid.view(np.int64)
+
+
+def _text_rows(documents: DataFrame) -> DataFrame:
+    """doc_id, pid (stands for a set of shingles) and band keys of every row with an id; a null text is an empty one."""
+    names = [f"b{k}" for k in range(TEXT_BANDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _words.chunks(batches):
-            w = _words.split_words(texts, _words.NONBLANK)
-            grams, at = _words.windows(w, SHINGLE)
-            edge = np.searchsorted(at, w.first)
-            span = _span_hash(w.hash, w.first[:-1], w.first[1:])
-            own = [np.unique(grams[a:b]) if b > a else span[k : k + 1] for k, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True))]
-            pid = np.array([_words.mix(_words.mix(s).sum(keepdims=True) + np.uint64(len(s)))[0] for s in own], np.uint64)
-            more = pa.array([s.tobytes() for s in own], pa.binary()) if sets else pa.array(list(signatures(own, TEXT_BANDS).view(np.int64)), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(pid.view(np.int64)), more], names=["doc_id", "pid", "sets" if sets else "bands"])
+            own, pid = _text_words(texts)
+            edge = np.cumsum([0, *map(len, own)])
+            keys = signatures(np.concatenate(own), edge[:-1], edge[1:], TEXT_BANDS).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(pid), *(pa.array(keys[:, k]) for k in range(TEXT_BANDS))], names=["doc_id", "pid", *names])
 
     rows = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id bigint, pid bigint, " + ("sets binary" if sets else "bands array<bigint>"))
+    return rows.mapInArrow(run, "doc_id bigint, pid bigint, " + ", ".join(f"{n} bigint" for n in names))
+
+
+def text_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(pid, sets) of wanted texts; wanted: (doc_id, pids) as in line_sets()."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in _words.chunks(batches):
+            own, pid = _text_words(texts)
+            pick = [k for k, (p, asked) in enumerate(zip(pid.tolist(), part.column("pids").to_pylist(), strict=True)) if p in asked]
+            yield pa.RecordBatch.from_arrays([pa.array(pid[pick]), pa.array([own[k].tobytes() for k in pick], pa.binary())], names=["pid", "sets"])
+
+    rows = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.join(wanted, "doc_id").select("text", "pids").mapInArrow(run, "pid bigint, sets binary")
+
+
+def _sets_of(own: DataFrame, documents: DataFrame, read: Callable[[DataFrame, DataFrame], DataFrame], tmp: _shared.Scratch) -> Callable[[DataFrame], DataFrame]:
+    """How similar() gets at the sets: each paragraph is read again from its first document. own: (pid, rep, ...)."""
+
+    def sets(pids: DataFrame) -> DataFrame:
+        asked = own.join(pids, "pid", "left_semi").groupBy(F.col("rep").alias("doc_id")).agg(F.collect_set("pid").alias("pids"))
+        return read(documents, tmp(asked))
+
+    return sets
 
 
 def near_copies(documents: DataFrame) -> DataFrame:
     """doc_id, component_id (the smallest doc_id reachable over texts of the similarity) of every row with an id."""
-    rows = _shared.written(_text_rows(documents, sets=False))
-    cluster = _shared.components(similar(rows, _text_rows(documents, sets=True)))
-    first = rows.groupBy("pid").agg(F.min("doc_id").alias("least"))
-    named = first.join(cluster, first["pid"] == cluster["node"], "left").select("pid", "least", F.coalesce("component", "pid").alias("component"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return rows.select("doc_id", "pid").join(named.join(least, "component").select("pid", "component_id"), "pid").select("doc_id", "component_id")
-
-
-def line_spans(documents: DataFrame) -> DataFrame:
-    """(doc_id, ws, we, rep): lines whose cluster has an earlier document, rep being its first."""
-    cluster = _shared.components(similar_paragraphs(documents))
-    at = _line_rows(documents, sets=False).select("doc_id", "ws", "we", "pid")
-    placed = at.join(cluster, at["pid"] == cluster["node"]).select("doc_id", "ws", "we", "component")
-    first = placed.groupBy("component").agg(F.min("doc_id").alias("rep"))
-    return placed.join(first, "component").where("doc_id > rep").select("doc_id", "ws", "we", "rep")
-
-
-def segment_spans(documents: DataFrame, least: int = RUN_WORDS) -> DataFrame:
-    """(doc_id, ws, we, rep): runs of segments that each occur in an earlier document; rep: the first document of one of them."""
-    rows = _segment_rows(documents)
-    first = rows.groupBy("uh").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last").select("uh", "rep")
-    seen = rows.join(first, "uh").where("doc_id > rep").select("doc_id", "ws", "we", "rep").dropDuplicates(["doc_id", "ws", "we"])
-    w = Window.partitionBy("doc_id").orderBy("ws", "we")
-    run = seen.withColumn("new", (F.col("ws") != F.lag("we", 1, -1).over(w)).cast("int")).withColumn("run", F.sum("new").over(w))
-    runs = run.groupBy("doc_id", "run").agg(F.min("ws").alias("ws"), F.max("we").alias("we"), F.min("rep").alias("rep"))
-    return runs.where(F.col("we") - F.col("ws") >= least).select("doc_id", "ws", "we", "rep")
+    rows = _shared.written(_text_rows(documents))
+    names = [f"b{k}" for k in range(TEXT_BANDS)]
+    with _shared.Scratch() as tmp:
+        own = tmp(rows.groupBy("pid").agg(F.min("doc_id").alias("rep"), *(F.min(n).alias(n) for n in names)))
+        cluster = similar(own.select("pid", F.array(*names).alias("bands")), _sets_of(own, documents, text_sets, tmp), tmp)
+        named = own.join(cluster, own["pid"] == cluster["node"], "left").select("pid", "rep", F.coalesce("component", "pid").alias("component"))
+        least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+        of = _shared.written(named.join(least, "component").select("pid", "component_id"))
+    return rows.select("doc_id", "pid").join(of, "pid").select("doc_id", "component_id")
+
+
+# ---- what to cut
+
+
+_SALT = f"cast(pmod(xxhash64(doc_id), {SALTS}) as int)"
+
+
+def _salt() -> Column:
+    return F.expr(_SALT).alias("salt")
+
+
+def _salts() -> Column:
+    """The salts that occur, as bits."""
+    return F.expr(f"bit_or(shiftleft(1L, {_SALT}))").alias("salts")
+
+
+def _each_salt() -> Column:
+    return F.expr(f"explode(filter(sequence(0, {SALTS - 1}), s -> shiftright(salts, s) & 1L = 1))").alias("salt")
+
+
+def line_spans(rows: DataFrame, documents: DataFrame, tmp: _shared.Scratch) -> DataFrame:
+    """(doc_id, place, n, rep): lines whose cluster has an earlier document, rep being its first. rows: those of lines."""
+    own = rows.groupBy(F.col("h1").alias("pid")).agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), _salts(), *(F.min(b).alias(b) for b in _BAND_NAMES))
+    own = tmp(own)
+    cluster = similar(own.select("pid", F.array(*_BAND_NAMES).alias("bands")), _sets_of(own, documents, line_sets, tmp), tmp)
+    placed = own.join(cluster, own["pid"] == cluster["node"], "left").where("component is not null or rep < last").select("pid", "rep", "salts", F.coalesce("component", "pid").alias("component"))
+    placed = tmp(placed)
+    first = placed.groupBy("component").agg(F.min("rep").alias("rep"))
+    dealt = placed.drop("rep").join(first, "component").select("pid", "rep", _each_salt())
+    return rows.select("doc_id", "place", "n", F.col("h1").alias("pid"), _salt()).join(dealt, ["pid", "salt"]).where("doc_id > rep").select("doc_id", "place", "n", "rep")
+
+
+def segment_spans(rows: DataFrame) -> DataFrame:
+    """(doc_id, place, n, rep): segments that an earlier document holds. rows: those of segments."""
+    first = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), _salts()).where("rep < last")
+    dealt = first.select("h1", "h2", "rep", _each_salt())
+    return rows.select("doc_id", "place", "n", "h1", "h2", _salt()).join(dealt, ["h1", "h2", "salt"]).where("doc_id > rep").select("doc_id", "place", "n", "rep")
+
+
+def stretches(spans: DataFrame, least: int = PASSAGE_WORDS) -> DataFrame:
+    """(doc_id, cuts, kept_in): stretches of `least` words or more that spans cover without a gap, as (place, n), and the documents that keep them."""
+    w = Window.partitionBy("doc_id").orderBy("place", "n")
+    end = F.col("place") + F.col("n")
+    run = spans.withColumn("new", (F.col("place") > F.coalesce(F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).cast("int"))
+    run = run.withColumn("run", F.sum("new").over(w))
+    runs = run.groupBy("doc_id", "run").agg(F.min("place").alias("place"), (F.max(end) - F.min("place")).alias("n"), F.min("rep").alias("rep")).where(F.col("n") >= least)
+    return runs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.array("place", "n"))).alias("cuts"), F.array_sort(F.collect_set("rep")).alias("kept_in"))
 
 
 def spans(documents: DataFrame) -> DataFrame:
-    """(doc_id, cuts, kept_in): word ranges to cut from each document that has any, and the documents that keep the passages."""
-    both = segment_spans(documents).union(line_spans(documents))
-    return both.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.array("ws", "we"))).alias("cuts"), F.array_sort(F.collect_set("rep")).alias("kept_in"))
+    """(doc_id, cuts, kept_in) of each document that loses words; a written table."""
+    with _shared.Scratch() as tmp:
+        rows = tmp(paragraph_rows(documents))
+        found = tmp(segment_spans(rows.where("b0 is null")).union(line_spans(rows.where("b0 is not null"), documents, tmp)))
+        return _shared.written(stretches(found))
 
 
-def cut(text: bytes, cuts: list[list[int]]) -> tuple[bytes, int, int]:
+def cut(text: bytes, cuts: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     """(text without the word ranges, words, words cut). A line that loses its last word goes; other line breaks stay."""
-    w = _words.split_words([text])
+    w = _words.split_words([text], hashed=False)
     drop = np.zeros(len(w), bool)
     for a, b in cuts:
         drop[a:b] = True
@@ -336,25 +467,33 @@ def cut(text: bytes, cuts: list[list[int]]) -> tuple[bytes, int, int]:
     return b"".join(out), len(w), int(drop.sum())
 
 
-def dedup(documents: DataFrame) -> DataFrame:
-    """The rows with text cut, and n_words, n_cut, n_spans and kept_in (ids of documents that keep what was cut here)."""
-    documents = documents.drop("cuts", "kept_in", "n_words", "n_cut", "n_spans")
-    found = documents.join(spans(documents), "doc_id", "left")
-    fields = [f for f in documents.schema.fields]
-    schema = T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("n_cut", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_in", T.ArrayType(T.LongType()))])
-    names = [f.name for f in fields]
+CUT_TYPE = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_cut", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_in", T.ArrayType(T.LongType()))])
+_ARROW_CUT = pa.struct([("n_words", pa.int64()), ("n_cut", pa.int64()), ("n_spans", pa.int64()), ("kept_in", pa.list_(pa.int64()))])
+
+
+def dedup(documents: DataFrame, column: str = "cut") -> DataFrame:
+    """The rows with text cut, and a struct `column`: n_words (before), n_cut, n_spans and kept_in (documents that keep what was cut here).
+
+    A column of that name is replaced.
+    """
+    base = documents.drop(column)
+    found = _shared.free_name(base.columns, "_found")
+    marks = spans(documents).select("doc_id", F.struct("cuts", "kept_in").alias(found))
+    key = _shared.free_name([*base.columns, found], "_doc")
+    marked = base.join(marks.withColumnRenamed("doc_id", key), F.col("doc_id") == F.col(key), "left").drop(key)
+    schema = T.StructType([*base.schema.fields, T.StructField(column, CUT_TYPE)])
+    names = base.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _words.chunks(batches):
-            new, counts = [], []
-            count = np.diff(_words.split_words(texts).first)
-            for k, (text, cuts) in enumerate(zip(texts, part.column("cuts").to_pylist(), strict=True)):
+            new, rows = [], []
+            count = np.diff(_words.split_words(texts, hashed=False).first)
+            for k, (text, mark) in enumerate(zip(texts, part.column(found).to_pylist(), strict=True)):
+                own = zlib.crc32(text) >> 1 if mark else 0
+                cuts = [(place & 0xFFFFFFFF, (place & 0xFFFFFFFF) + n) for place, n in mark["cuts"] if place >> 32 == own] if mark else []
                 done, words, gone = cut(text, cuts) if cuts else (text, int(count[k]), 0)
                 new.append(done.decode("utf-8", "replace") if part.column("text")[k].is_valid else None)
-                counts.append((words, gone, len(cuts or [])))
-            columns = [pa.array(new, pa.string()) if c == "text" else part.column(c) for c in names]
-            numbers = [pa.array([c[i] for c in counts], pa.int64()) for i in range(3)]
-            kept = [x or [] for x in part.column("kept_in").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*columns, *numbers, pa.array(kept, pa.list_(pa.int64()))], names=schema.names)
+                rows.append({"n_words": words, "n_cut": gone, "n_spans": len(cuts), "kept_in": mark["kept_in"] if cuts else []})
+            yield pa.RecordBatch.from_arrays([*(pa.array(new, pa.string()) if c == "text" else part.column(c) for c in names), pa.array(rows, _ARROW_CUT)], names=[*names, column])
 
-    return found.select(*names, "cuts", "kept_in").mapInArrow(run, schema)
+    return marked.mapInArrow(run, schema)

@@ -97,7 +97,8 @@ def op9_license_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = paragraph_minhash.dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "n_words", "n_cut", "n_spans", (F.col("n_cut") > 0).alias("cut"), "kept_in", F.length("text").cast("long").alias("n_chars_left"), _sha(F.col("text")).alias("text_sha256"))
+    more = ((F.col("cut.n_cut") > 0).alias("cut"), "cut.kept_in", F.length("text").cast("long").alias("n_chars_left"), _sha(F.col("text")).alias("text_sha256"))
+    return found.select("doc_id", "cut.n_words", "cut.n_cut", "cut.n_spans", *more)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -110,10 +110,11 @@ def dense_links(points: DataFrame) -> DataFrame:
 def near_duplicates(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep`, fp and component_id (the smallest doc_id reachable over links) of every row."""
     rows = _shared.written(fingerprints(documents, keep))
-    points = rows.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"))
-    found = _shared.components(links(_shared.written(points)))
-    # one row for each fingerprint: many copies share a key here, and adaptive execution splits them
-    component = points.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    with _shared.Scratch() as tmp:
+        points = tmp(rows.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")))
+        found = _shared.components(links(points), tmp)
+        # one row for each fingerprint: many copies share a key here, and adaptive execution splits them
+        component = _shared.written(points.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")))
     return rows.join(component, "fp", "left").select(*keep, "fp", "component_id")
 
 

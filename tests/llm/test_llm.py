@@ -425,14 +425,26 @@ def test_signature_recall():
     for _ in range(300):
         a = r.integers(0, 1 << 62, 90, dtype=np.uint64)
         b = np.concatenate([a[:80], r.integers(0, 1 << 62, 10, dtype=np.uint64)])  # similarity 0.8
-        s = paragraph_minhash.signatures([np.unique(a), np.unique(b)])
+        s = paragraph_minhash.signatures(np.concatenate([a, b]), np.array([0, 90]), np.array([90, 180]))
         met += bool((s[0] == s[1]).any())
-    assert met >= 296
+    assert met >= 297
 
 
-def test_bucket_verification_connects_like_all_pairs():
-    import pandas as pd
+def groups(n, pairs):
+    low = list(range(n))
 
+    def find(x):
+        while low[x] != x:
+            x = low[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        low[max(a, b)] = min(a, b)
+    return [find(x) for x in range(n)]
+
+
+def test_group_verification_connects_like_all_pairs():
     r = random.Random(2)
     base = [sorted(r.sample(range(10_000), 60)) for _ in range(4)]
     sets = []
@@ -441,75 +453,131 @@ def test_bucket_verification_connects_like_all_pairs():
         for x in r.sample(sorted(s), r.randint(0, 9)):
             s.discard(x)
         sets.append(np.array(sorted(s), np.uint64))
-    got = paragraph_minhash._verify(pd.DataFrame({"pid": range(40), "sets": [s.tobytes() for s in sets]}))
-    assert all(paragraph_minhash.jaccard(sets[u], sets[v]) >= 0.8 for u, v in got.itertuples(index=False))
-
-    def groups(pairs):
-        parent = list(range(40))
-
-        def find(x):
-            while parent[x] != x:
-                x = parent[x]
-            return x
-
-        for a, b in pairs:
-            a, b = find(a), find(b)
-            parent[max(a, b)] = min(a, b)
-        return [find(x) for x in range(40)]
-
-    assert groups(got.itertuples(index=False)) == groups((a, b) for a in range(40) for b in range(a) if paragraph_minhash.jaccard(sets[a], sets[b]) >= 0.8)
+    got = paragraph_minhash.verify(list(range(40)), sets)
+    assert all(paragraph_minhash.jaccard(sets[u], sets[v]) >= 0.8 for u, v in got)
+    assert groups(40, got) == groups(40, ((a, b) for a in range(40) for b in range(a) if paragraph_minhash.jaccard(sets[a], sets[b]) >= 0.8))
 
 
-def test_large_buckets_equal_all_pairs(spark, monkeypatch):
+@pytest.mark.parametrize("bucket", [512, 16, 1])
+def test_large_groups_equal_all_pairs(spark, monkeypatch, bucket):
     r = random.Random(4)
     sets = [set(range(8 * k, 8 * k + 100)) for k in range(30)]  # a chain: each like the next only
     sets += [set(r.sample(range(10_000, 99_000), 60)) for _ in range(60)]  # unlike ones
     sets += [set(list(s)[:55]) for s in sets[30:50]] + [set(range(60)) | {100_000 + k} for k in range(40)]
     r.shuffle(sets)
-    rows = [(k, np.array(sorted(s), np.uint64).tobytes(), [0]) for k, s in enumerate(sets)]
-    at = spark.createDataFrame(rows, "pid bigint, sets binary, bands array<bigint>")
-    monkeypatch.setattr(paragraph_minhash, "_line_rows", lambda documents, sets: at)
+    at = spark.createDataFrame([(k, np.array(sorted(s), np.uint64).tobytes(), [0]) for k, s in enumerate(sets)], "pid bigint, sets binary, bands array<bigint>")
     like = {(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
-    want = {x["node"]: x["component"] for x in _shared.components(spark.createDataFrame(sorted(like), "u bigint, v bigint")).collect()}
-    for bucket in (4096, 16, 1):
-        monkeypatch.setattr(paragraph_minhash, "BUCKET", bucket)
-        pairs = paragraph_minhash.similar_paragraphs(None)
-        assert {(max(x), min(x)) for x in map(tuple, pairs.collect())} <= like
-        assert {x["node"]: x["component"] for x in _shared.components(pairs).collect()} == want
+    monkeypatch.setattr(paragraph_minhash, "BUCKET", bucket)
+    with _shared.Scratch() as tmp:
+        found = paragraph_minhash.similar(at.select("pid", "bands"), lambda pids: at.join(pids, "pid", "left_semi").select("pid", "sets"), tmp)
+        got = {x["node"]: x["component"] for x in found.collect()}
+    want = groups(len(sets), like)
+    assert [got.get(k, k) for k in range(len(sets))] == want
 
 
 def test_segments_are_the_whole_text_and_cut_alike():
     passage = prose(60, 7)
-    texts = [(prose(30, 1) + " " + passage + " " + prose(30, 2)).encode(), (prose(45, 3) + " " + passage + " " + prose(10, 4)).encode(), b"", b"one"]
+    texts = [(prose(30, 1) + " " + passage + " " + prose(30, 2)).encode(), (prose(45, 3) + ", " + passage + " " + prose(10, 4)).encode(), b"", b"one"]
     w = _words.split_words(texts)
-    start, end = paragraph_minhash.segments(w)
+    start, end = paragraph_minhash.segments(w, paragraph_minhash.shingles(w))
     assert start[0] == 0 and end[-1] == len(w) and (start[1:] == end[:-1]).all() and set(w.first[1:-1]) - {len(w)} <= set(start)
-    h = paragraph_minhash._span_hash(w.hash, start, end)
+    h = paragraph_minhash.digests(w, start, end)
+    data = w.data.tobytes()
+    for k in (0, 1, len(start) - 1):
+        words = b"".join(data[a:b] + b" " for a, b in zip(w.start[start[k] : end[k]], w.end[start[k] : end[k]], strict=True))
+        assert h[k].tobytes() == hashlib.blake2b(words, digest_size=16).digest()
     doc = w.doc[start]
-    common = np.isin(h[doc == 1], h[doc == 0])
-    size = (end - start)[doc == 1]
-    assert size[common].sum() >= paragraph_minhash.RUN_WORDS
+    common = np.isin(h[doc == 1, 0], h[doc == 0, 0])
+    assert (end - start)[doc == 1][common].sum() >= paragraph_minhash.PASSAGE_WORDS
+
+
+def plain_cuts(docs):
+    """{doc: set of words to cut}, by comparing all paragraphs of all texts with each other."""
+    items = []  # (doc, first, past-last, words, is line)
+    for k, t in docs:
+        w = _words.split_words([_words.encode(t)])
+        data = w.data.tobytes()
+        words = [data[a:b] for a, b in zip(w.start, w.end, strict=True)]
+        for (start, end), line in ((paragraph_minhash.segments(w, paragraph_minhash.shingles(w)), False), (paragraph_minhash.lines(w), True)):
+            items += [(k, a, b, tuple(words[a:b]), line) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+    grams = [{x[3][i : i + 5] for i in range(len(x[3]) - 4)} if x[4] else x[3] for x in items]
+    like = [(a, b) for a in range(len(items)) for b in range(a) if items[a][4] == items[b][4] and (len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]) if items[a][4] else grams[a] == grams[b])]
+    root = groups(len(items), like)
+    first = {}
+    for x, r in zip(items, root, strict=True):
+        first[r] = min(first.get(r, x[0]), x[0])
+    seen = {}
+    for x, r in zip(items, root, strict=True):
+        if x[0] > first[r]:
+            seen.setdefault(x[0], set()).update(range(x[1], x[2]))
+    out = {}
+    for k, at in seen.items():
+        for a in at:
+            if a - 1 not in at:
+                b = a
+                while b in at:
+                    b += 1
+                if b - a >= paragraph_minhash.PASSAGE_WORDS:
+                    out.setdefault(k, set()).update(range(a, b))
+    return out
+
+
+def test_dedup_equals_brute_force(spark, monkeypatch):
+    r = random.Random(21)
+    passages = [prose(n, 900 + n) for n in (51, 60, 90, 140)]
+    lines = [prose(n, 950 + n) for n in (24, 30, 70)]
+    docs = []
+    for k in range(60):
+        parts = []
+        for _ in range(r.randint(1, 4)):
+            kind = r.random()
+            if kind < 0.3:
+                parts.append(prose(r.randint(3, 30), 2000 + 10 * k + len(parts)) + " " + r.choice(passages) + ". " + prose(12, 3000 + 10 * k + len(parts)))
+            elif kind < 0.6:
+                words = r.choice(lines).split()
+                for at in r.sample(range(len(words)), r.choice([0, 0, 1])):
+                    words[at] = f"q{k}"
+                parts.append(" ".join(words))
+            else:
+                parts.append(prose(r.randint(1, 60), 4000 + 10 * k + len(parts)))
+        docs.append((k, "\n".join(parts)))
+    want = plain_cuts(docs)
+    for bucket in (512, 2):
+        monkeypatch.setattr(paragraph_minhash, "BUCKET", bucket)
+        got = {x["doc_id"]: x for x in paragraph_minhash.dedup(docs_of(spark, docs)).collect()}
+        assert {k: x["cut"]["n_cut"] for k, x in got.items() if x["cut"]["n_cut"]} == {k: len(v) for k, v in want.items()}
+        for k, t in docs:
+            words = [w for i, w in enumerate(re.findall("[a-z0-9]+", t)) if i not in want.get(k, ())]
+            assert re.findall("[a-z0-9]+", got[k]["text"]) == words
+    assert len(want) > 20
 
 
-def test_dedup_cuts_repeats_and_leaves_the_rest(spark, odd, none, monkeypatch):
+def test_dedup_cuts_repeats_and_leaves_the_rest(spark, odd, none):
     passage = prose(90, 70)
     line = prose(70, 71)
     words = line.split()
     words[30] = "zzz"
     near = " ".join(words)
     texts = [(1, prose(40, 1) + " " + passage + " " + prose(40, 2)), (2, prose(30, 3) + "\n" + line + "\n" + prose(30, 4)), (3, prose(20, 5) + " " + passage + " " + prose(25, 6)), (4, prose(20, 7) + "\n" + near + "\n" + prose(9, 8)), (5, prose(100, 9)), (6, prose(12, 10) + "\n" + prose(13, 11)), (7, prose(13, 11))]
-    for bucket in (4096, 1):
-        monkeypatch.setattr(paragraph_minhash, "BUCKET", bucket)
-        got = {r["doc_id"]: r for r in paragraph_minhash.dedup(docs_of(spark, texts)).collect()}
-        assert {k for k, r in got.items() if r["n_cut"]} == {3, 4}
-        assert all(got[k]["text"] == t for k, t in texts if k not in (3, 4))
-        assert got[3]["kept_in"] == [1] and got[3]["n_cut"] >= 60 and got[3]["text"].startswith(prose(20, 5)[:60]) and got[3]["text"].endswith(prose(25, 6)[-60:])
-        assert got[4]["text"] == prose(20, 7) + "\n" + prose(9, 8) and got[4]["kept_in"] == [2]
-    more = {r["doc_id"]: r for r in paragraph_minhash.dedup(odd).collect() if r["doc_id"] is not None}
-    assert more[7]["n_cut"] == 80 and more[1]["n_cut"] == 0 and more[2]["text"] is None and more[3]["text"] == ""
+    got = {r["doc_id"]: r for r in paragraph_minhash.dedup(docs_of(spark, texts)).collect()}
+    assert {k for k, r in got.items() if r["cut"]["n_cut"]} == {3, 4}
+    assert all(got[k]["text"] == t for k, t in texts if k not in (3, 4))
+    assert got[3]["cut"]["kept_in"] == [1] and got[3]["cut"]["n_cut"] >= 60 and got[3]["text"].startswith(prose(20, 5)[:60]) and got[3]["text"].endswith(prose(25, 6)[-60:])
+    assert got[4]["text"] == prose(20, 7) + "\n" + prose(9, 8) and got[4]["cut"]["kept_in"] == [2]
+    result = paragraph_minhash.dedup(odd, column="more")
+    assert result.columns == [*odd.columns, "more"]  # n_words and n_cut of the table stay its own
+    more = {r["doc_id"]: r for r in result.collect() if r["doc_id"] is not None}
+    assert more[7]["more"]["n_cut"] == 80 and more[1]["more"]["n_cut"] == 0 and more[2]["text"] is None and more[3]["text"] == "" and {r["n_words"] for r in more.values()} == {1}
     assert paragraph_minhash.dedup(none).count() == 0
 
 
+def test_dedup_of_rows_that_share_an_id(spark):
+    passage, other = prose(60, 80), prose(60, 81)
+    rows = [(1, passage), (2, prose(40, 82) + "\n" + passage), (2, other), (2, passage), (3, other + "\n" + prose(30, 83))]
+    got = sorted((r["doc_id"], r["text"]) for r in paragraph_minhash.dedup(docs_of(spark, rows)).collect())
+    assert got == sorted([(1, passage), (2, prose(40, 82) + "\n"), (2, other), (2, ""), (3, prose(30, 83))])
+
+
 # ---- queries
 
 

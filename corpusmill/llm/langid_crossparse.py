@@ -8,26 +8,31 @@ Texts are folded to letters and single spaces first. Parsing runs in numpy on ma
 segments of SEGMENT symbols (a phrase ends where its segment ends, for every language alike) and every step moves all lanes
 of all languages one symbol. No shuffle is needed; the automata travel as edge lists of bounded size.
 
-Defined cases: null texts and texts without a letter are `und` with score 0; repeated rows score alike; an empty training
-set makes every text `und`; null languages are not learned. Columns besides doc_id and text pass through only if in `keep`.
+A language's sample is an excerpt of EXCERPT characters from each of SAMPLE_ROWS texts, at a place that a hash of the id names (the
+whole text, if shorter), so texts of every length take part. With very many languages excerpts get shorter, so that all automata
+together index ALL_BYTES at most; every language that occurs is learned.
+
+Defined cases: null texts and texts without a letter are `und` with score 0; a very long text is parsed whole, in lanes; repeated
+rows score alike; rows that repeat an id with several languages teach the largest; an empty table gives an empty result and, in training,
+makes every text `und`; null languages are not learned. Columns besides doc_id and text pass through only if in `keep`,
+whatever their names: the result is one struct.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusmill.llm import _labelled, _words
 
-#: Bounds of the training sample: rows of a language, bytes of one text, folded bytes of a language, bytes of all languages.
-SAMPLE_ROWS, SAMPLE_TEXT_BYTES, SAMPLE_BYTES, ALL_BYTES = 120, 20_000, 40_000, 1_200_000
-LANGUAGES = 1000
+#: Bounds of the training sample: texts of a language, characters of an excerpt, characters of all languages.
+SAMPLE_ROWS, EXCERPT, ALL_BYTES = 120, 400, 1_200_000
 SEGMENT = 512
 CHUNK_BYTES = 2 << 20
 UNDETERMINED = "und"
@@ -105,17 +110,10 @@ class Model:
 
 def fit(texts: dict[str, list[bytes]]) -> Model:
     langs = sorted(texts)
-    most = min(SAMPLE_BYTES, ALL_BYTES // max(1, len(langs)))
     folded = {}
     for lang in langs:
-        parts, size = [], 0
-        for t in texts[lang]:
-            if size >= most:
-                break
-            f = fold(np.frombuffer(t + b" ", np.uint8))
-            parts.append(f[squeeze(f)])
-            size += len(parts[-1])
-        folded[lang] = np.concatenate(parts) if parts else np.empty(0, np.uint8)
+        f = fold(np.frombuffer(b"".join(t + b" " for t in texts[lang]), np.uint8))
+        folded[lang] = f[squeeze(f)]
     seen = np.unique(np.concatenate([*folded.values(), np.array([0x20], np.uint8)]))
     symbol = np.zeros(256, np.int64)
     symbol[seen] = np.arange(1, len(seen) + 1)
@@ -209,24 +207,28 @@ def _has_letter(text: bytes) -> bool:
 
 
 def train(documents: DataFrame, lang: str = "lang") -> Model:
-    ids = _labelled.sample_ids(documents, lang, LANGUAGES, per=SAMPLE_ROWS)
-    found = _labelled.labelled_texts(documents, ids, SAMPLE_TEXT_BYTES)
+    """A model from excerpts of a bounded number of training texts of each language."""
+    ids = _labelled.sample_ids(documents, lang, per=SAMPLE_ROWS).toArrow()
+    if not len(ids):
+        return fit({})
+    many = len(set(ids["label"].to_pylist()))
+    size = max(20, min(EXCERPT, ALL_BYTES // (SAMPLE_ROWS * many)))
+    sampled = documents.sparkSession.createDataFrame(ids)
+    at = F.pmod(F.xxhash64(F.lit("place"), "doc_id"), F.greatest(F.length("text") - size + 1, F.lit(1))) + 1
+    found = _labelled.labelled(documents, sampled).select("doc_id", "label", F.substring("text", at, F.lit(size)).alias("text")).toArrow()
+    found = found.sort_by([("label", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
     texts: dict[str, list[bytes]] = {}
     for t, label in zip(found["text"].to_pylist(), found["label"].to_pylist(), strict=True):
         texts.setdefault(label, []).append(_words.encode(t))
     return fit(texts)
 
 
-def predict(documents: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep` and held_out, lang_pred, score for every row."""
-    kept = documents.select(*keep, _labelled.held_out().alias("held_out"), "text")
-    schema = kept.drop("text").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+def predict(documents: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), column: str = "found") -> DataFrame:
+    """`keep` and a struct `column` of every row: held_out, lang_pred and score."""
     key = model.key()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in _words.chunks(batches, size=CHUNK_BYTES):
-            langs, score = classify(texts, model, key)
-            columns = [part.column(f.name) for f in schema.fields[:-2]]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(score)], names=schema.names)
+    def judge(texts: list[bytes]) -> list[pa.Array]:
+        langs, score = classify(texts, model, key)
+        return [pa.array(langs, pa.string()), pa.array(score)]
 
-    return kept.mapInArrow(run, schema)
+    return _labelled.judged(documents, [T.StructField("lang_pred", T.StringType(), False), T.StructField("score", T.DoubleType(), False)], judge, keep, column, CHUNK_BYTES)

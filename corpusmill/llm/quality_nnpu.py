@@ -5,8 +5,11 @@ label. The class prior comes from the data too: the smallest ratio of the two sc
 positive-against-unlabelled classifier gives on texts that it wasn't fitted on (a best-bin estimate). A one-layer network
 over 24 shape statistics of a whole text is then trained by minimising the non-negative unbiased risk.
 
-Defined cases: null and empty texts have all statistics at zero and are scored like any other; repeated rows score alike;
-columns besides doc_id and text pass through only if named in `keep`; with no positives every score is 0.5.
+Statistics of the sampled rows are worked out where the rows are, so a text of any length takes part in fitting.
+
+Defined cases: null and empty texts have all statistics at zero and are scored like any other; a very long text is scored whole, in
+one task; repeated rows score alike; an empty table gives an empty result; with no positives every score is 0.5; columns besides
+doc_id and text pass through only if named in `keep`, whatever their names: the result is one struct.
 """
 
 from __future__ import annotations
@@ -18,11 +21,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusmill.llm import _labelled, _words
 
-#: Bounds of the positives, of the unlabelled sample, and of the bytes of a text that takes part in fitting.
-POSITIVE_ROWS, UNLABELLED_ROWS, SAMPLE_TEXT_BYTES = 3000, 3000, 60_000
+#: Bounds of the positives and of the unlabelled sample, in rows.
+POSITIVE_ROWS, UNLABELLED_ROWS = 3000, 3000
 THRESHOLD = 0.3
 
 _GROUPS = (range(0x41, 0x5B), range(0x61, 0x7B), range(0x30, 0x3A), (0x20,), (0x0A,), b".", b",", b"!?", b"#$%&*+@^~", b"|<>{}[]\\/_=", b"-'\"():;", range(0x80, 0x100))
@@ -69,17 +73,6 @@ def features(texts: list[bytes]) -> np.ndarray:
     return np.column_stack([shares, *more])
 
 
-def stacked(texts: list[bytes]) -> np.ndarray:
-    """Statistics of many texts, worked out in pieces of bounded size."""
-    parts, at, held = [features([])], 0, 0
-    for k, t in enumerate(texts):
-        held += len(t)
-        if held > _words.CHUNK_BYTES or k + 1 == len(texts):
-            parts.append(features(texts[at : k + 1]))
-            at, held = k + 1, 0
-    return np.concatenate(parts)
-
-
 @dataclass
 class Model:
     """A network with one tanh layer over standardised statistics."""
@@ -111,32 +104,44 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def _as_positive(k: float):
+    return lambda z: (k * np.logaddexp(0, -z), k * (_sigmoid(z) - 1))
+
+
+def _as_negative(k: float):
+    return lambda z: (k * np.logaddexp(0, z), k * _sigmoid(z))
+
+
+def risk(p: np.ndarray, u: np.ndarray, layers: list[np.ndarray], prior: float | None) -> tuple[float, list[np.ndarray]]:
+    """The non-negative risk with logistic loss, and the direction to step against. prior None: plain risk of positives against unlabelled.
+
+    Where the estimated risk on negatives falls below zero it counts as zero, and the step goes back on it alone.
+    """
+    ru, gu = _grad(u, layers, _as_negative(1 / len(u)))
+    if prior is None:
+        rp, gp = _grad(p, layers, _as_positive(1 / len(p)))
+        return rp + ru, [a + b for a, b in zip(gp, gu, strict=True)]
+    rp, gp = _grad(p, layers, _as_positive(prior / len(p)))
+    rn, gn = _grad(p, layers, _as_negative(prior / len(p)))
+    if ru < rn:
+        return rp, [c - b for b, c in zip(gu, gn, strict=True)]
+    return rp + ru - rn, [a + b - c for a, b, c in zip(gp, gu, gn, strict=True)]
+
+
 def _optimise(xp: np.ndarray, xu: np.ndarray, prior: float | None, hidden: int, epochs: int, seed: int) -> list[np.ndarray]:
-    """Adam. prior None: plain logistic risk of positives against unlabelled; else the non-negative risk with logistic loss."""
+    """Adam on the risk of batches."""
     rng = np.random.default_rng(seed)
     d = xp.shape[1]
     layers = [rng.normal(0, 1 / np.sqrt(d), (d, hidden)), np.zeros(hidden), rng.normal(0, 1 / np.sqrt(hidden), hidden), np.zeros(1)]
     m, v, t = [np.zeros_like(p) for p in layers], [np.zeros_like(p) for p in layers], 0
-    as_pos = lambda k: lambda z: (k * np.logaddexp(0, -z), k * (_sigmoid(z) - 1))
-    as_neg = lambda k: lambda z: (k * np.logaddexp(0, z), k * _sigmoid(z))
     batch = 256
     for _ in range(epochs):
         up, uu = rng.permutation(len(xp)), rng.permutation(len(xu))
         for k in range(0, max(len(xp), len(xu)), batch):
             p = xp[up[np.arange(k, k + batch) % len(xp)]]
             u = xu[uu[np.arange(k, k + batch) % len(xu)]]
-            if prior is None:
-                g = [a + b for a, b in zip(_grad(p, layers, as_pos(1 / batch))[1], _grad(u, layers, as_neg(1 / batch))[1], strict=True)]
-            else:
-                ru, gu = _grad(u, layers, as_neg(1 / batch))
-                rn, gn = _grad(p, layers, as_neg(prior / batch))
-                if ru - rn >= 0:
-                    gp = _grad(p, layers, as_pos(prior / batch))[1]
-                    g = [a + b - c for a, b, c in zip(gp, gu, gn, strict=True)]
-                else:  # the negative part of the risk must not go below zero: step back on it alone
-                    g = [c - b for b, c in zip(gu, gn, strict=True)]
             t += 1
-            for q, (par, grad) in enumerate(zip(layers, g, strict=True)):
+            for q, (par, grad) in enumerate(zip(layers, risk(p, u, layers, prior)[1], strict=True)):
                 grad = grad + 1e-4 * par
                 m[q] = 0.9 * m[q] + 0.1 * grad
                 v[q] = 0.999 * v[q] + 0.001 * grad**2
@@ -154,8 +159,8 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(np.clip(qu[k] / qp[k], 0.05, 0.98))
 
 
-def fit(positive: list[bytes], unlabelled: list[bytes], prior: float | None = None, hidden: int = 16, epochs: int = 30) -> Model:
-    xp, xu = stacked(positive), stacked(unlabelled)
+def fit(xp: np.ndarray, xu: np.ndarray, prior: float | None = None, hidden: int = 16, epochs: int = 30) -> Model:
+    """A model from the statistics of positive and of unlabelled texts."""
     if not len(xp) or not len(xu):
         d = xp.shape[1]
         return Model(np.zeros(d), np.ones(d), [np.zeros((d, hidden)), np.zeros(hidden), np.zeros(hidden), np.zeros(1)], 0.5)
@@ -170,24 +175,30 @@ def fit(positive: list[bytes], unlabelled: list[bytes], prior: float | None = No
     return Model(centre, scale, _optimise(xp, xu, prior, hidden, epochs, 2), prior, {"positive": len(xp), "unlabelled": len(xu)})
 
 
+def sampled_features(documents: DataFrame, ids: DataFrame) -> np.ndarray:
+    """Statistics of the sampled rows, in the order of their ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in _words.chunks(batches):
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(list(features(texts)), pa.list_(pa.float64()))], names=["doc_id", "x"])
+
+    rows = _labelled.labelled(documents, ids).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = sorted((r["doc_id"], r["x"]) for r in rows.mapInArrow(run, "doc_id bigint, x array<double>").collect())
+    return np.array([x for _, x in found]).reshape(len(found), -1) if found else features([])
+
+
 def train(documents: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     """Positives from labelled rows of the training folds; unlabelled rows from all documents of those folds, labels unread."""
     good = _labelled.sample_ids(labels.where(F.col(label) == 1), label, POSITIVE_ROWS)
     web = _labelled.sample_ids(documents.select("doc_id", F.lit(0).alias("label")), "label", UNLABELLED_ROWS)
-    p, u = (_labelled.labelled_texts(documents, ids, SAMPLE_TEXT_BYTES)["text"].to_pylist() for ids in (good, web))
-    return fit([_words.encode(t) for t in p], [_words.encode(t) for t in u])
+    return fit(sampled_features(documents, good), sampled_features(documents, web))
 
 
-def score(documents: DataFrame, model: Model, threshold: float = THRESHOLD, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep` and held_out, score, predicted for every row."""
-    kept = documents.select(*keep, _labelled.held_out().alias("held_out"), *([] if "text" in keep else ["text"]))
-    base = kept.select(*keep, "held_out")
-    schema = base.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
+def score(documents: DataFrame, model: Model, threshold: float = THRESHOLD, keep: tuple[str, ...] = ("doc_id",), column: str = "found") -> DataFrame:
+    """`keep` and a struct `column` of every row: held_out, score and predicted."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in _words.chunks(batches):
-            p = model.score(texts)
-            columns = [part.column(f.name) for f in schema.fields[:-2]]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=schema.names)
+    def judge(texts: list[bytes]) -> list[pa.Array]:
+        p = model.score(texts)
+        return [pa.array(p), pa.array((p >= threshold).astype(np.int32))]
 
-    return kept.mapInArrow(run, schema)
+    return _labelled.judged(documents, [T.StructField("score", T.DoubleType(), False), T.StructField("predicted", T.IntegerType(), False)], judge, keep, column)

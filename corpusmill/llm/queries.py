@@ -37,12 +37,12 @@ def op1_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _read(spark, sf_dir, "documents")
-    return toxicity_ftrl.score(documents, toxicity_ftrl.train(documents, _read(spark, sf_dir, "labels")))
+    return toxicity_ftrl.score(documents, toxicity_ftrl.train(documents, _read(spark, sf_dir, "labels"))).select("doc_id", "found.*")
 
 
 def op3_langid_crossparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _read(spark, sf_dir, "documents")
-    return langid_crossparse.predict(documents, langid_crossparse.train(documents))
+    return langid_crossparse.predict(documents, langid_crossparse.train(documents)).select("doc_id", "found.*")
 
 
 def op4_html_blstm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def op5_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _read(spark, sf_dir, "documents")
-    return quality_nnpu.score(documents, quality_nnpu.train(documents, _read(spark, sf_dir, "labels")))
+    return quality_nnpu.score(documents, quality_nnpu.train(documents, _read(spark, sf_dir, "labels"))).select("doc_id", "found.*")
 
 
 def _sha(text: Column) -> Column:

@@ -5,8 +5,11 @@ learning rates and the L1 term leave few non-zero weights, so a model is two sho
 function. Scoring needs no shuffle: a numpy pass over each Arrow batch hashes the words, keeps the hashes that carry weight
 and sums each document's distinct ones.
 
-Defined cases: null and empty texts get the bias alone; repeated rows score alike; columns besides doc_id and text pass
-through `score` only if named in `keep`; an empty training set gives the score 0.5 for every text.
+Features of the sampled rows are worked out where the rows are, so a text of any length takes part in fitting.
+
+Defined cases: null and empty texts get the bias alone; a very long text is scored whole, in one task; repeated rows score alike;
+rows that repeat an id with several labels count as toxic; an empty table gives an empty result and, in training, the score 0.5 for
+every text; columns besides doc_id and text pass through only if named in `keep`, whatever their names: the result is one struct.
 """
 
 from __future__ import annotations
@@ -18,11 +21,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusmill.llm import _labelled, _words
 
-#: Bounds of the labelled sample that a model is fitted on: rows of each label, bytes of a text.
-SAMPLE_ROWS, SAMPLE_TEXT_BYTES = 2000, 60_000
+#: Bound of the labelled sample that a model is fitted on: rows of each label.
+SAMPLE_ROWS = 2000
 FEATURE_BITS = 22
 #: Offsets of the words of each kind of gram; stems are leading bytes of single words, for inflected forms.
 GRAMS: tuple[tuple[int, ...], ...] = ((0,), (0, 1), (0, 2), (0, 3))
@@ -71,19 +75,20 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(texts: list[bytes], labels: np.ndarray, alpha: float = 0.5, beta: float = 1.0, l1: float = 4.0, l2: float = 0.1, epochs: int = 3, bits: int = FEATURE_BITS) -> Model:
+def distinct_features(texts: list[bytes], bits: int = FEATURE_BITS) -> list[np.ndarray]:
+    """The features of each text, ascending, without repeats."""
+    doc, ids = features(texts, bits)
+    pair = np.unique(doc << bits | ids)
+    return np.split(pair & (1 << bits) - 1, np.searchsorted(pair >> bits, np.arange(1, len(texts)))) if texts else []
+
+
+def fit(per_doc: list[np.ndarray], labels: np.ndarray, alpha: float = 0.5, beta: float = 1.0, l1: float = 4.0, l2: float = 0.1, epochs: int = 3, bits: int = FEATURE_BITS) -> Model:
     """One FTRL-proximal step for each document and epoch (McMahan et al. 2013, algorithm 1), in a fixed random order."""
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     zb = nb = 0.0
-    per_doc = []
-    for at in range(0, len(texts), 64):
-        part = texts[at : at + 64]
-        doc, ids = features(part, bits)
-        pair = np.unique(doc << bits | ids)
-        per_doc += np.split(pair & (1 << bits) - 1, np.searchsorted(pair >> bits, np.arange(1, len(part))))
     rng = np.random.default_rng(7)
     for _ in range(epochs):
-        for d in rng.permutation(len(texts)):
+        for d in rng.permutation(len(per_doc)):
             f = per_doc[d]
             zf, nf = z[f], n[f]
             w = np.where(np.abs(zf) <= l1, 0.0, (np.sign(zf) * l1 - zf) / ((beta + np.sqrt(nf)) / alpha + l2))
@@ -94,24 +99,30 @@ def fit(texts: list[bytes], labels: np.ndarray, alpha: float = 0.5, beta: float
             zb, nb = zb + g - (np.sqrt(nb + g * g) - np.sqrt(nb)) / alpha * b, nb + g * g
     w = np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((beta + np.sqrt(n)) / alpha + l2))
     ids = np.flatnonzero(w)
-    return Model(ids, w[ids], -zb / ((beta + np.sqrt(nb)) / alpha), bits, {"documents": len(texts), "weights": len(ids)})
+    return Model(ids, w[ids], -zb / ((beta + np.sqrt(nb)) / alpha), bits, {"documents": len(per_doc), "weights": len(ids)})
 
 
 def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS) -> Model:
     """A model from a bounded sample of the labelled rows of the training folds."""
-    sample = _labelled.labelled_texts(documents, _labelled.sample_ids(labels.where(labels[label].isin(0, 1)), label, 2, per=rows), SAMPLE_TEXT_BYTES)
-    return fit([_words.encode(t) for t in sample["text"].to_pylist()], sample["label"].to_numpy().astype(float))
-
-
-def score(documents: DataFrame, model: Model, threshold: float = 0.5, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep` and held_out, score, predicted for every row."""
-    kept = documents.select(*keep, _labelled.held_out().alias("held_out"), "text")
-    schema = kept.drop("text").withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _words.chunks(batches):
-            p = model.score(texts)
-            columns = [part.column(f.name) for f in schema.fields[:-2]]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=schema.names)
+            found = pa.array([x.astype(np.int32) for x in distinct_features(texts)], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label").cast(pa.int32()), found], names=["doc_id", "label", "features"])
+
+    ids = _labelled.sample_ids(labels.where(labels[label].isin(0, 1)), label, per=rows)
+    sample = _labelled.labelled(documents, ids).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label")
+    found = sample.mapInArrow(run, "doc_id bigint, label int, features array<int>").toArrow()
+    order = sorted(range(len(found)), key=lambda k: (found["doc_id"][k].as_py(), len(found["features"][k]), found["features"][k].values.to_numpy().tobytes()))
+    column = found["features"].combine_chunks()
+    return fit([column[k].values.to_numpy().astype(np.int64) for k in order], found["label"].to_numpy()[order].astype(float))
+
+
+def score(documents: DataFrame, model: Model, threshold: float = 0.5, keep: tuple[str, ...] = ("doc_id",), column: str = "found") -> DataFrame:
+    """`keep` and a struct `column` of every row: held_out, score and predicted."""
+
+    def judge(texts: list[bytes]) -> list[pa.Array]:
+        p = model.score(texts)
+        return [pa.array(p), pa.array((p >= threshold).astype(np.int32))]
 
-    return kept.mapInArrow(run, schema)
+    return _labelled.judged(documents, [T.StructField("score", T.DoubleType(), False), T.StructField("predicted", T.IntegerType(), False)], judge, keep, column)

@@ -128,21 +128,69 @@ def held(frame):
     return frame.where(F.col("held_out"))
 
 
+def flat(frame):
+    return frame.select("doc_id", "found.*")
+
+
+def clashing(odd):
+    """The odd rows with columns of the results' own names, and those columns' values."""
+    more = {"found": "f", "held_out": "h", "score": "s", "predicted": "p", "lang_pred": "l", "_text": "t", "_fold": "o"}
+    return odd.withColumns({k: F.lit(v) for k, v in more.items()}), more
+
+
+def check_clashing(odd, judge):
+    frame, more = clashing(odd)
+    got = judge(frame, tuple(frame.columns), "_mine")
+    assert got.columns == [*frame.columns, "_mine"] and got.count() == len(ODD)
+    assert got.select(*more).distinct().collect()[0].asDict() == more and got.select(*more).distinct().count() == 1
+    assert all(0 <= r["_mine"]["score"] <= 1 for r in got.collect())
+
+
 def test_toxicity_on_held_out_rows(spark, odd, none):
-    texts = [(k, prose(60, k) + (" nastyword" if k % 4 == 0 else "")) for k in range(400)]
-    docs, labels = docs_of(spark, texts), spark.createDataFrame([(k, 1, int(k % 4 == 0)) for k, _ in texts], "doc_id bigint, quality int, toxic int")
+    texts = [(k, prose(60, k) + (" nastyword" if k % 4 == 0 else "")) for k in range(400)] + [(1000, prose(20_000, 77))]
+    docs, labels = docs_of(spark, texts), spark.createDataFrame([(k, 1, int(k % 4 == 0)) for k, _ in texts[:400]] + [(1000, 1, 0)], "doc_id bigint, quality int, toxic int")
     model = toxicity_ftrl.train(docs, labels)
-    got = toxicity_ftrl.score(docs, model).toPandas()
+    got = flat(toxicity_ftrl.score(docs, model)).toPandas()
     assert (got["held_out"] == got["doc_id"].map(folds)).all()
     test = got[got["held_out"]]
     assert ((test["predicted"] == 1) == (test["doc_id"] % 4 == 0)).mean() > 0.97
     assert len(model.ids) < 5000
-    more = toxicity_ftrl.score(odd, model).toPandas()
+    more = flat(toxicity_ftrl.score(odd, model)).toPandas()
     assert len(more) == len(ODD) and more["score"].between(0, 1).all()
     assert more[more["doc_id"] == 2]["score"].item() == more[more["doc_id"] == 3]["score"].item()
     assert toxicity_ftrl.score(none, model).count() == 0
     empty = toxicity_ftrl.train(none, labels.where("false"))
-    assert set(toxicity_ftrl.score(odd, empty).toPandas()["score"]) == {0.5}
+    assert set(flat(toxicity_ftrl.score(odd, empty)).toPandas()["score"]) == {0.5}
+    check_clashing(odd, lambda f, keep, column: toxicity_ftrl.score(f, model, keep=keep, column=column))
+
+
+def test_ftrl_equals_one_coordinate_at_a_time():
+    r = random.Random(6)
+    docs = [sorted(r.sample(range(40), r.randint(1, 8))) for _ in range(60)]
+    labels = [int(3 in d or r.random() < 0.1) for d in docs]
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.3, 0.1
+    got = toxicity_ftrl.fit([np.array(d) for d in docs], np.array(labels, float), alpha, beta, l1, l2, epochs=2, bits=6)
+    z, n = {}, {}
+
+    def weight(i):
+        if i != "bias" and abs(z.get(i, 0)) <= l1:
+            return 0.0
+        k1, k2 = (0, 0) if i == "bias" else (l1, l2)
+        return -(z.get(i, 0) - (k1 if z.get(i, 0) > 0 else -k1)) / ((beta + n.get(i, 0) ** 0.5) / alpha + k2)
+
+    order = np.random.default_rng(7)
+    for _ in range(2):
+        for d in order.permutation(len(docs)):
+            active = [*docs[d], "bias"]
+            w = {i: weight(i) for i in active}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - labels[d]
+            for i in active:
+                sigma = ((n.get(i, 0) + g * g) ** 0.5 - n.get(i, 0) ** 0.5) / alpha
+                z[i] = z.get(i, 0) + g - sigma * w[i]
+                n[i] = n.get(i, 0) + g * g
+    want = {i: weight(i) for i in range(40)}
+    assert got.bias == pytest.approx(weight("bias"))
+    assert dict(zip(got.ids.tolist(), got.weights.tolist(), strict=True)) == pytest.approx({i: x for i, x in want.items() if x})
 
 
 def test_toxicity_ignores_labels_of_the_test_fold(spark):
@@ -161,12 +209,44 @@ def test_quality_on_held_out_rows(spark, odd, none):
     docs, labels = docs_of(spark, texts), spark.createDataFrame([(k, int(k % 6 > 0)) for k, _ in texts if k % 2 or k % 6 == 0], "doc_id bigint, quality int")
     model = quality_nnpu.train(docs, labels)
     assert 0.5 < model.prior < 0.98
-    test = held(quality_nnpu.score(docs, model)).toPandas()
+    test = held(flat(quality_nnpu.score(docs, model))).toPandas()
     assert ((test["predicted"] == 1) == (test["doc_id"] % 6 > 0)).mean() > 0.95
-    more = quality_nnpu.score(odd, model, keep=tuple(odd.columns[:4])).toPandas()
+    more = flat(quality_nnpu.score(odd, model)).toPandas()
     assert len(more) == len(ODD) and more["score"].between(0, 1).all()
     assert quality_nnpu.score(none, model).count() == 0
-    assert set(quality_nnpu.score(odd, quality_nnpu.train(none, labels.where("false"))).toPandas()["score"]) == {0.5}
+    assert set(flat(quality_nnpu.score(odd, quality_nnpu.train(none, labels.where("false")))).toPandas()["score"]) == {0.5}
+    check_clashing(odd, lambda f, keep, column: quality_nnpu.score(f, model, keep=keep, column=column))
+
+
+@pytest.mark.parametrize("shift", [0.0, 9.0])
+def test_non_negative_risk_follows_its_formula(shift):
+    r = np.random.default_rng(3)
+    p, u, prior = r.normal(size=(7, 4)), r.normal(size=(9, 4)), 0.6
+    layers = [r.normal(size=(4, 3)), r.normal(size=3), r.normal(size=3), np.array([0.1])]
+    if shift:  # the risk on negatives falls below zero: positives look negative, the unlabelled don't
+        p, u = p * 0 + 5, u * 0 - 5
+        layers = [np.eye(4)[:, :3], np.zeros(3), np.full(3, shift), np.zeros(1)]
+        prior = 0.9
+
+    def plain(parts):
+        w1, b1, w2, b2 = parts
+        f = lambda x: float(np.tanh(x @ w1 + b1) @ w2 + b2[0])
+        pos = prior * sum(np.log(1 + np.exp(-f(x))) for x in p) / len(p)
+        neg = sum(np.log(1 + np.exp(f(x))) for x in u) / len(u) - prior * sum(np.log(1 + np.exp(f(x))) for x in p) / len(p)
+        return pos, neg
+
+    value, step = quality_nnpu.risk(p, u, layers, prior)
+    pos, neg = plain(layers)
+    assert (neg < 0) == bool(shift)
+    assert value == pytest.approx(pos + max(0.0, neg))
+    for k, part in enumerate(layers):
+        for at in np.ndindex(part.shape):
+            moved = [[x.copy() for x in layers] for _ in range(2)]
+            moved[0][k][at] += 1e-6
+            moved[1][k][at] -= 1e-6
+            (p1, n1), (p2, n2) = map(plain, moved)
+            slope = (n2 - n1 if neg < 0 else p1 + n1 - p2 - n2) / 2e-6
+            assert step[k][at] == pytest.approx(slope, abs=1e-5)
 
 
 def test_prior_estimate():
@@ -223,13 +303,14 @@ def test_language_on_held_out_rows(spark, odd, none):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     model = langid_crossparse.train(docs)
     assert model.langs == sorted(words)
-    test = held(langid_crossparse.predict(docs, model)).toPandas()
+    test = held(flat(langid_crossparse.predict(docs, model))).toPandas()
     assert (test["lang_pred"] == test["doc_id"].map(lambda k: sorted(words)[k % 3])).mean() > 0.95
-    more = langid_crossparse.predict(odd, model).toPandas()
+    more = flat(langid_crossparse.predict(odd, model)).toPandas()
     und = {k for k in (2, 3, 4, 8)}
     assert all((r.lang_pred == "und") == (r.doc_id in und) for r in more.itertuples()) and more["score"].between(0, 1).all()
     assert langid_crossparse.predict(none, model).count() == 0
-    assert set(langid_crossparse.predict(odd, langid_crossparse.train(none)).toPandas()["lang_pred"]) == {"und"}
+    assert set(flat(langid_crossparse.predict(odd, langid_crossparse.train(none))).toPandas()["lang_pred"]) == {"und"}
+    check_clashing(odd, lambda f, keep, column: langid_crossparse.predict(f, model, keep=keep, column=column))
 
 
 # ---- 4

@@ -16,9 +16,11 @@ a dozen words at either end may stay; a passage of 51 words that stands inside o
 
 Equal paragraphs are one before any pairing. Those that share a band form candidate components. One of at most BUCKET paragraphs
 is verified in one task (all its pairs but those that are connected already or share none of their rarest shingles, which can't
-have the similarity). A larger one is taken band by band: a band's bucket of more than BUCKET is first compared with its smallest
-member through a join (no task holds it), in up to LEADERS rounds; then it is dealt into blocks, and every pair of blocks meets in a
-task of its own, save those inside its largest cluster: a bucket of unlike paragraphs costs its square. No pair is left out.
+have the similarity). A larger one (texts with a common line, families of near copies) is first divided by the same rule: each member
+names its rarest shingles, by counts in CELLS cells, and those that share one form components anew, so what is merely common
+connects nothing. A component that is still larger is compared with its best-connected members through joins (no task holds it), in up to
+LEADERS rounds; then it is dealt into blocks, and every pair of blocks meets in a task of its own, save those inside its
+largest cluster: only what is like its neighbours but not like the leaders costs more than its share. No pair is left out.
 A paragraph that very many documents hold is joined back in SALTS parts. No hash of a document reaches the driver.
 
 Defined cases: null and empty texts keep their value and cut nothing; rows with a null id are left as they are; rows that
@@ -45,14 +47,14 @@ from corpusmill.llm import _shared, _words
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 8, 2
 PASSAGE_WORDS, RADIUS = 24, 4
-BUCKET, LEADERS, SALTS = 512, 3, 32
+BUCKET, LEADERS, SALTS, CELLS = 512, 3, 32, 1 << 20
 
-#: Bands for whole texts: similarity 0.8 meets in one of them with probability 1 - (1 - 0.8**2)**16 = 0.9999999.
-TEXT_BANDS = 16
+#: Bands for whole texts: similarity 0.8 meets in one of them with probability 1 - (1 - 0.8**3)**16 = 0.99999.
+TEXT_BANDS, TEXT_ROWS = 16, 3
 
 _rng = np.random.default_rng(99)
-_MULT = _rng.integers(1, 1 << 63, TEXT_BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _rng.integers(0, 1 << 63, TEXT_BANDS * ROWS, dtype=np.uint64)
+_MULT = _rng.integers(1, 1 << 63, TEXT_BANDS * TEXT_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _rng.integers(0, 1 << 63, TEXT_BANDS * TEXT_ROWS, dtype=np.uint64)
 
 
 # ---- paragraphs of texts
@@ -100,13 +102,13 @@ def digests(w: _words.Words, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.frombuffer(both, np.int64).reshape(-1, 2)
 
 
-def signatures(h: np.ndarray, start: np.ndarray, end: np.ndarray, bands: int = BANDS) -> np.ndarray:
-    """`bands` keys of each range of shingle hashes, none empty; a key hashes ROWS minima. Repeats change no minimum."""
+def signatures(h: np.ndarray, start: np.ndarray, end: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """`bands` keys of each range of shingle hashes, none empty; a key hashes `rows` minima. Repeats change no minimum."""
     out = np.zeros((len(start), bands), np.uint64)
     if len(start):
         flat, at = np.append(h, np.uint64(0)), np.column_stack([start, end]).ravel()
         for b in range(bands):
-            for r in range(b * ROWS, (b + 1) * ROWS):
+            for r in range(b * rows, (b + 1) * rows):
                 low = np.minimum.reduceat(flat * _MULT[r] + _ADD[r], at)[::2]
                 out[:, b] = _words.mix(out[:, b] * np.uint64(0xD6E8FEB86659FD93) + low + np.uint64(b))
     return out
@@ -149,7 +151,7 @@ def paragraph_rows(documents: DataFrame) -> DataFrame:
 def line_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     """(pid, sets): the distinct shingles, ascending, of wanted lines; wanted: (doc_id, pids), each a line that the document holds.
 
-    `wanted` is a written table, so Spark knows its size and broadcasts it if it is small; else texts and ids are shuffled.
+    What is wanted grows with the texts, so it isn't broadcast: the join is a shuffle at every size.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +165,7 @@ def line_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
             sets = [np.unique(h[a : b - SHINGLE + 1]).tobytes() for a, b in zip(start[pick].tolist(), end[pick].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(pid[pick]), pa.array(sets, pa.binary())], names=["pid", "sets"])
 
-    return _known(documents).join(wanted, "doc_id").select("text", "pids").mapInArrow(run, "pid bigint, sets binary")
+    return _known(documents).join(wanted.hint("merge"), "doc_id").select("text", "pids").mapInArrow(run, "pid bigint, sets binary")
 
 
 # ---- similar pairs
@@ -178,12 +180,17 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def _enough(n: int) -> int:
+    """So many members of a set of n, the first in an order that all sets share, that two sets of the similarity always share one of them."""
+    return n - int(np.ceil(SIMILARITY * n - 1e-9)) + 1
+
+
 def _prefixes(sets: list[np.ndarray]) -> list[np.ndarray]:
-    """The rarest members of each set, so many that two sets of the similarity always share one of them."""
+    """The rarest members of each set, as numbers."""
     _, rank, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     order = np.argsort(np.argsort(count, kind="stable"), kind="stable")[rank]
     at = np.cumsum([0, *map(len, sets)])
-    return [np.sort(order[a:b])[: b - a - int(np.ceil(SIMILARITY * (b - a) - 1e-9)) + 1] for a, b in zip(at[:-1], at[1:], strict=True)]
+    return [np.sort(order[a:b])[: _enough(b - a)] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def _alike(size: np.ndarray, other: int) -> np.ndarray:
@@ -264,46 +271,88 @@ def _similar(left: str, right: str) -> Column:
     return test(F.col(left), F.col(right))
 
 
+def _cells(shingle: np.ndarray) -> np.ndarray:
+    return (_words.mix(shingle) % np.uint64(CELLS)).astype(np.int64)
+
+
+def _rare_keys(members: DataFrame) -> DataFrame:
+    """(pid, bucket): the rarest shingles of each member within its group. members: (grp, pid, sets).
+
+    Rarity is by counts of cells, of which there are CELLS at most, whatever the data; any common order keeps every pair.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for s in batch.column("sets").to_pylist():
+                np.add.at(held, _cells(np.frombuffer(s, np.uint64)), 1)
+        cell = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(held[cell])], names=["cell", "n"])
+
+    counts = np.zeros(CELLS, np.int64)
+    found = members.select("sets").mapInArrow(count, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts[found["cell"].to_numpy()] = found["n"].to_numpy()
+    shared = members.sparkSession.sparkContext.broadcast(np.minimum(counts, np.iinfo(np.int32).max).astype(np.int32))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pids, keys = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+            for g, p, s in zip(*(batch.column(c).to_pylist() for c in ("grp", "pid", "sets")), strict=True):
+                own = np.frombuffer(s, np.uint64)
+                few = own[np.lexsort((own, shared.value[_cells(own)]))[: _enough(len(own))]]
+                keys.append(_words.mix(few ^ np.uint64(g & (1 << 64) - 1)))
+                pids.append(np.full(len(few), p, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(pids)), pa.array(np.concatenate(keys).view(np.int64))], names=["pid", "bucket"])
+
+    return members.mapInArrow(run, "pid bigint, bucket bigint")
+
+
+def _candidates(keyed: DataFrame, tmp: _shared.Scratch) -> DataFrame:
+    """(grp, pid, size, weight): components of paragraphs that share a bucket. keyed: (pid, bucket); weight: members of all its buckets."""
+    shared = keyed.groupBy("bucket").agg(F.min("pid").alias("lead"), F.max("pid").alias("last"), F.count("*").alias("n")).where("lead < last").select("bucket", "lead", "n")
+    stars = tmp(keyed.join(shared, "bucket").groupBy(F.col("lead").alias("u"), F.col("pid").alias("v")).agg(F.sum("n").alias("n")))
+    found = _shared.components(stars.select("u", "v"), tmp)
+    weight = stars.groupBy(F.col("v").alias("node")).agg(F.sum("n").alias("weight"))
+    of = tmp(found.join(weight, "node").select(F.col("component").alias("grp"), F.col("node").alias("pid"), "weight"))
+    return tmp(of.join(of.groupBy("grp").agg(F.count("*").alias("size")), "grp"))
+
+
 def _blocks(big: DataFrame, found: DataFrame, tmp: _shared.Scratch) -> DataFrame:
-    """(grp, pid, cluster): the blocks in which all pairs of a large bucket meet, but for those that `found` connects already.
+    """(grp, pid, cluster): the blocks in which all pairs of a large group meet, but for those that `found` connects already.
 
-    big: (bucket, pid). The largest cluster of a bucket needs no pairs of its own: its blocks meet those of the rest only.
+    big: (grp, pid). The largest cluster of a group needs no pairs of its own: its blocks meet those of the rest only.
     """
     cluster = _shared.components(found, tmp)
-    placed = big.join(cluster, big["pid"] == cluster["node"], "left").select("bucket", "pid", F.coalesce("component", "pid").alias("cluster"))
-    sizes = placed.groupBy("bucket", "cluster").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "cluster")).alias("m"), F.sum("n").alias("n"))
+    placed = big.join(cluster, big["pid"] == cluster["node"], "left").select("grp", "pid", F.coalesce("component", "pid").alias("cluster"))
+    sizes = placed.groupBy("grp", "cluster").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("grp").agg(F.max(F.struct("n", "cluster")).alias("m"), F.sum("n").alias("n"))
     parts = lambda n: F.ceil(n / max(1, BUCKET // 2)).cast("int")
-    main = main.where("n > m.n").select("bucket", F.col("m.cluster").alias("main"), parts(F.col("n") - F.col("m.n")).alias("rest"), parts(F.col("m.n")).alias("more"))
-    dealt = placed.join(main, "bucket").withColumn("hash", F.xxhash64("bucket", "pid"))
+    main = main.where("n > m.n").select("grp", F.col("m.cluster").alias("main"), parts(F.col("n") - F.col("m.n")).alias("rest"), parts(F.col("m.n")).alias("more"))
+    dealt = placed.join(main, "grp").withColumn("hash", F.xxhash64("grp", "pid"))
     own = F.when(F.col("cluster") == F.col("main"), F.col("rest") + F.pmod("hash", "more")).otherwise(F.pmod("hash", "rest")).cast("int")
     last = F.when(F.col("own") < F.col("rest"), F.col("rest") + F.col("more")).otherwise(F.col("rest")) - 1
     met = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last.cast("int")))).where("own <> other")
-    return met.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("grp"), "pid", "cluster")
-
-
-def _similar_in_buckets(met: DataFrame, members: DataFrame, tmp: _shared.Scratch) -> DataFrame:
-    """Accepted pairs of candidate components too large for one task. met: (bucket, pid)."""
-    size = met.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    met = tmp(met.join(size, "bucket"))
-    # near copies meet in most bands: each set of members, of at most BUCKET, is verified once
-    small = met.where(F.col("size") <= BUCKET)
-    once = small.groupBy("bucket").agg(F.array_sort(F.collect_list("pid")).alias("ids")).select("ids").distinct()
-    pairs = verified(once.select(F.xxhash64("ids").alias("grp"), F.explode("ids").alias("pid")).join(members, "pid"))
-    large = met.where(F.col("size") > BUCKET).select("bucket", "pid")
-    if not large.limit(1).count():
-        return pairs
-    big, found = large, None
+    return met.select(F.xxhash64("grp", F.least("own", "other"), F.greatest("own", "other")).alias("grp"), "pid", "cluster")
+
+
+def _similar_in_large(big: DataFrame, members: DataFrame, tmp: _shared.Scratch) -> DataFrame:
+    """Accepted pairs of groups too large for one task. big: (grp, pid, size, weight)."""
+    part = F.pmod(F.xxhash64("pid"), F.ceil(F.col("size") / BUCKET)).cast("int").alias("part")
+    held = tmp(big.select("grp", "pid", part).join(members, "pid"))
+    rest, found = big, None
     for _ in range(LEADERS):
-        lead = big.groupBy("bucket").agg(F.min("pid").alias("leader"))
+        lead = rest.groupBy("grp").agg(F.max(F.struct("weight", "pid")).alias("m"), F.max("size").alias("size"))
+        each = F.explode(F.sequence(F.lit(0), (F.ceil(F.col("size") / BUCKET) - 1).cast("int"))).alias("part")
+        lead = lead.select("grp", F.col("m.pid").alias("leader"), each)
         named = lead.join(members.select(F.col("pid").alias("leader"), F.col("sets").alias("lead_sets")), "leader")
-        tried = tmp(big.join(named, "bucket").join(members, "pid").where("pid <> leader").select("bucket", "leader", "pid", _similar("lead_sets", "sets").alias("same")))
-        same = tried.where("same").select(F.col("leader").alias("u"), F.col("pid").alias("v"))
+        tried = held.join(named, ["grp", "part"]).where("pid <> leader").select("leader", "pid", _similar("lead_sets", "sets").alias("same"))
+        same = tmp(tried.where("same").select(F.col("leader").alias("u"), F.col("pid").alias("v")))
         found = same if found is None else found.union(same)
-        big = tried.where("not same").select("bucket", "pid")
-        if not big.limit(1).count():
+        done = same.select(F.col("v").alias("pid")).union(lead.select(F.col("leader").alias("pid"))).distinct()
+        rest = tmp(rest.join(done, "pid", "left_anti").select(*big.columns))
+        if not rest.limit(1).count():
             break
-    return pairs.union(found).union(verified(tmp(_blocks(large, found, tmp)).join(members, "pid")))
+    return found.union(verified(tmp(_blocks(big.select("grp", "pid"), found, tmp)).join(members, "pid")))
 
 
 def similar(banded: DataFrame, sets: Callable[[DataFrame], DataFrame], tmp: _shared.Scratch) -> DataFrame:
@@ -312,16 +361,15 @@ def similar(banded: DataFrame, sets: Callable[[DataFrame], DataFrame], tmp: _sha
     banded: (pid, bands), one row a paragraph, from a written table; sets(pids): (pid, sets) of the paragraphs in a table of pids.
     """
     keyed = banded.select("pid", F.posexplode("bands").alias("band", "key")).select("pid", F.xxhash64("band", "key").alias("bucket"))
-    shared = keyed.groupBy("bucket").agg(F.min("pid").alias("lead"), F.max("pid").alias("last")).where("lead < last").select("bucket", "lead")
-    stars = tmp(keyed.join(shared, "bucket").where("pid <> lead").select(F.col("lead").alias("u"), F.col("pid").alias("v")).distinct())
-    cand = tmp(_shared.components(stars, tmp).select(F.col("node").alias("pid"), F.col("component").alias("grp")))
+    cand = _candidates(keyed, tmp)
     members = tmp(sets(cand.select("pid")))
-    size = cand.groupBy("grp").agg(F.count("*").alias("size"))
-    sized = tmp(cand.join(size, "grp"))
-    pairs = verified(sized.where(F.col("size") <= BUCKET).select("grp", "pid").join(members, "pid"))
-    large = sized.where(F.col("size") > BUCKET).select("pid")
+    in_one_task = lambda c: verified(c.where(F.col("size") <= BUCKET).select("grp", "pid").join(members, "pid"))
+    pairs, large = in_one_task(cand), cand.where(F.col("size") > BUCKET)
     if large.limit(1).count():
-        pairs = pairs.union(_similar_in_buckets(keyed.join(large, "pid", "left_semi").select("bucket", "pid"), members, tmp))
+        again = _candidates(_rare_keys(large.select("grp", "pid").join(members, "pid")), tmp)
+        pairs, large = pairs.union(in_one_task(again)), again.where(F.col("size") > BUCKET)
+        if large.limit(1).count():
+            pairs = pairs.union(_similar_in_large(large, members, tmp))
     return _shared.components(pairs.distinct(), tmp)
 
 
@@ -349,7 +397,7 @@ def _text_rows(documents: DataFrame) -> DataFrame:
         for part, texts in _words.chunks(batches):
             own, pid = _text_words(texts)
             edge = np.cumsum([0, *map(len, own)])
-            keys = signatures(np.concatenate(own), edge[:-1], edge[1:], TEXT_BANDS).view(np.int64)
+            keys = signatures(np.concatenate(own), edge[:-1], edge[1:], TEXT_BANDS, TEXT_ROWS).view(np.int64)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(pid), *(pa.array(keys[:, k]) for k in range(TEXT_BANDS))], names=["doc_id", "pid", *names])
 
     rows = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -366,7 +414,7 @@ def text_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(pid[pick]), pa.array([own[k].tobytes() for k in pick], pa.binary())], names=["pid", "sets"])
 
     rows = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.join(wanted, "doc_id").select("text", "pids").mapInArrow(run, "pid bigint, sets binary")
+    return rows.join(wanted.hint("merge"), "doc_id").select("text", "pids").mapInArrow(run, "pid bigint, sets binary")
 
 
 def _sets_of(own: DataFrame, documents: DataFrame, read: Callable[[DataFrame, DataFrame], DataFrame], tmp: _shared.Scratch) -> Callable[[DataFrame], DataFrame]:
@@ -480,7 +528,7 @@ def dedup(documents: DataFrame, column: str = "cut") -> DataFrame:
     found = _shared.free_name(base.columns, "_found")
     marks = spans(documents).select("doc_id", F.struct("cuts", "kept_in").alias(found))
     key = _shared.free_name([*base.columns, found], "_doc")
-    marked = base.join(marks.withColumnRenamed("doc_id", key), F.col("doc_id") == F.col(key), "left").drop(key)
+    marked = base.join(marks.withColumnRenamed("doc_id", key).hint("merge"), F.col("doc_id") == F.col(key), "left").drop(key)
     schema = T.StructType([*base.schema.fields, T.StructField(column, CUT_TYPE)])
     names = base.columns
 

@@ -125,7 +125,7 @@ def survivors(documents: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """
     ids = ids if ids is not None else near_duplicates(documents.select("doc_id", "text"))
     kept = _shared.written(ids.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")))
-    found = documents.join(kept.select("doc_id"), "doc_id", "left_semi")
+    found = documents.join(kept.select("doc_id").hint("merge"), "doc_id", "left_semi")
     if kept.where("rows > 1").limit(1).count():
         found = found.dropDuplicates(["doc_id", "text"])
     return found.union(documents.where("doc_id is null"))

@@ -110,6 +110,39 @@ def test_ann_recall_and_scores(spark):
     assert met / (20 * len(asked)) >= 0.9
 
 
+def test_ann_levels_equal_plain_counts():
+    import pandas as pd
+
+    r = np.random.default_rng(8)
+    h, q = r.integers(0, 1 << 32, 400), r.integers(0, 1 << 32, 5)
+    h[:60] = q[0] ^ r.integers(0, 1 << 12, 60)
+    part = pd.DataFrame({"h": np.concatenate([h, q]), "cid": np.arange(405), "ask": np.arange(405) >= 400})
+    got = {(a, b): n for a, b, n in ann_forest._shared_lengths(part, 2).itertuples(index=False)}
+    bits = lambda x: format(int(x), "032b")
+    want = {(400 + i, level): n for i, x in enumerate(q) for level in range(2, 33) if (n := sum(bits(x)[:level] == bits(y)[:level] for y in h))}
+    assert got == want
+
+
+@pytest.mark.parametrize("clustered", [False, True])
+def test_ann_query_recall_against_brute_force(spark, sf_dir, tmp_path, clustered):
+    x = np.array([r[0] for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").orderBy("vec_id").select("embedding").collect()], np.float64)
+    if clustered:  # half in tight clusters, half sparse
+        r = np.random.default_rng(2)
+        x = np.concatenate([np.repeat(r.normal(size=(30, 32)), 40, axis=0) + r.normal(0, 0.05, (1200, 32)), r.normal(size=(1200, 32))])
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    frame.write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = queries.op1_ann_forest(spark, str(tmp_path)).toPandas()
+    asked = range(0, len(x), 20)
+    recall = []
+    for q in asked:
+        s = x @ x[q]
+        s[q] = -np.inf
+        mine = got[got["query_id"] == q]
+        assert np.allclose(mine.sort_values("rank")["score"], x[mine.sort_values("rank")["vec_id"]] @ x[q])
+        recall.append(len(set(mine["vec_id"]) & set(np.argsort(-s, kind="stable")[:20])) / min(20, len(x) - 1))
+    assert np.mean(recall) >= 0.9
+
+
 def test_ann_few_and_none(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (20, [0.5, 0.5]), (3, [0.0, 1.0])], "vec_id bigint, embedding array<float>")
     got = {(r["query_id"], r["rank"]): r["vec_id"] for r in ann_forest.search(few).collect()}

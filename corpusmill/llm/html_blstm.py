@@ -7,11 +7,13 @@ context of the whole page, and the blocks labelled main text are joined.
 
 No page comes with labels. The network learns from a bounded sample of pages whose own mark-up says what is what (text in
 article or main, outside of navigation, asides, footers, forms and the like), and from the same texts re-dressed in other
-templates, in which sections carry class names in place of tags and sidebars, notices, forms and reader comments are added.
+templates: sections carry class names in place of tags, or names that say nothing; sidebars, notices, forms and reader comments
+stand around the main text and inside its element, and the main text has headings, lists, tables and quotations.
 
 Defined cases: null, empty and text-less pages give an empty text; broken mark-up is read leniently (implied end tags, stray end
-tags and unclosed elements); repeated rows give equal texts; an empty table gives an empty result; other columns pass through
-only if in `keep`.
+tags and unclosed elements; a tag without an end stops at the next `<`), in time linear in the page; a very long page is labelled whole
+by one task; ties (a block as likely main text as not) count as main text; repeated rows give equal texts; an empty table gives an empty
+result; other columns pass through only if in `keep`.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,9 +33,11 @@ from pyspark.sql import types as T
 
 from corpusmill.llm import _words
 
-#: Bounds of the training sample: pages, bytes of a page, blocks of a page that training reads.
-SAMPLE_PAGES, SAMPLE_BYTES, SAMPLE_BLOCKS = 240, 60_000, 80
-PATH_DIMS, WORD_DIMS, SHAPES, HIDDEN = 48, 24, 9, 12
+#: Bounds of the training sample: pages, bytes of a page, and blocks of a window within a page.
+SAMPLE_PAGES, SAMPLE_BYTES, SAMPLE_BLOCKS = 240, 500_000, 80
+PATH_DIMS, WORD_DIMS, SHAPES, HIDDEN = 96, 24, 11, 12
+#: Open inline elements beyond so many leave no trace in paths; their text stays.
+INLINE_DEPTH = 200
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,7 +47,14 @@ HEAD = frozenset("base link meta noscript script style template title".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img input".split())
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# Words of element names, classes and ids that mark what isn't main text, and those of main text.
+ASIDE = frozenset(
+    "nav aside footer header form menu sidebar ad ads advert advertisement banner comment comments discussion replies reply respond cookie consent notice popup promo related share social newsletter subscribe login breadcrumb breadcrumbs pagination widget disclaimer navbar".split()
+)
+MAIN = frozenset("article main".split())
+
+_NAME = re.compile(r"[a-zA-Z][^\s/<>]*")
+_PLAIN = re.compile(r"[^<>\"']*")
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _PART = re.compile(r"[a-z]+")
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
@@ -51,115 +63,152 @@ _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]
+    path: int  # bits of the hashed parts of all open elements
     link: int  # characters of link text
+    main: bool  # inside an element that the mark-up calls main text
+    aside: bool  # inside one that it calls something else
+
+
+@dataclass
+class Tag:
+    name: str
+    path: int
+    main: bool
+    aside: bool
+
+
+def _tag_end(page: str, at: int, no_more: set[str]) -> int:
+    """Past-last place of the tag whose attributes begin at `at`: its `>`, else the next `<` or the page's end. no_more: quotes known to have no partner."""
+    while True:
+        at = _PLAIN.match(page, at).end()
+        c = page[at : at + 1]
+        if c == ">":
+            return at + 1
+        if c in ("", "<"):
+            return at
+        end = -1 if c in no_more else page.find(c, at + 1)
+        if end < 0:
+            no_more.add(c)
+        at = at + 1 if end < 0 else end + 1
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name, rest): texts ("text"), start tags with their attributes ("start") and end tags ("end"), each part of the page read once."""
+    at, no_more, n = 0, set(), len(page)
+    while at < n:
+        lt = page.find("<", at)
+        if lt != at:
+            yield "text", "", page[at : lt if lt >= 0 else n]
+            if lt < 0:
+                return
+        mark = page[lt + 1 : lt + 2]
+        if mark in ("!", "?"):
+            opening, closing = ("<!--", "-->") if page.startswith("<!--", lt) else ("<![CDATA[", "]]>") if page.startswith("<![CDATA[", lt) else ("<!", ">")
+            end = page.find(closing, lt + len(opening))
+            inner, at = page[lt + len(opening) : end if end >= 0 else n], end + len(closing) if end >= 0 else n
+            if opening == "<![CDATA[":
+                yield "cdata", "", inner
+            continue
+        name = _NAME.match(page, lt + 1 + (mark == "/"))
+        if not name:
+            yield "text", "", "<"
+            at = lt + 1
+            continue
+        at = _tag_end(page, name.end(), no_more)
+        rest = page[name.end() : at].removesuffix(">")
+        low = name[0].lower()
+        yield ("end" if mark == "/" else "start"), low, rest
+        if mark != "/" and low in RAW and not rest.endswith("/"):
+            end = _RAW_END[low].search(page, at)
+            yield "end", low, ""
+            at = end.end() if end else n
 
 
 def blocks(page: str | None) -> list[Block]:
     """Leaf blocks of a page in order; white space inside a block is one space, character references are decoded."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Tag] = []
+    open_tags: Counter[str] = Counter()
     text: list[str] = []
-    link = skip = 0
-    anchors = 0
+    link = skip = inline = 0
 
     def flush() -> None:
         nonlocal link
         joined = " ".join("".join(text).split())
         if joined:
-            out.append(Block(joined, tuple(p for _, parts in stack for p in parts), min(link, len(joined))))
+            top = stack[-1] if stack else Tag("", 0, False, False)
+            out.append(Block(joined, top.path, min(link, len(joined)), top.main, top.aside))
         text.clear()
         link = 0
 
-    def pop(k: int) -> None:
-        nonlocal skip, anchors
-        if any(t not in INLINE for t, _ in stack[k:]):
+    def pop(name: str) -> None:
+        """Closes the last open element of the name and all inside it."""
+        nonlocal skip, inline
+        k = len(stack) - 1
+        while stack[k].name != name:
+            k -= 1
+        if any(t.name not in INLINE for t in stack[k:]):
             flush()
-        for t, _ in stack[k:]:
-            skip -= t in SKIPPED
-            anchors -= t == "a"
+        for t in stack[k:]:
+            skip -= t.name in SKIPPED
+            inline -= t.name in INLINE
+            open_tags[t.name] -= 1
         del stack[k:]
 
-    at, page = 0, page or ""
-    while at < len(page):
-        m = _TOKEN.search(page, at)
-        chunk = page[at : m.start() if m else len(page)]
-        if chunk and not skip:
-            decoded = html.unescape(chunk) if "&" in chunk else chunk
-            text.append(decoded)
-            link += len(decoded.strip()) if anchors else 0
-        if not m:
-            break
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
-            if m[0].startswith("<![CDATA[") and not skip:
-                text.append(m[0][9:].removesuffix("]]>"))
+    for kind, tag, rest in tokens(page or ""):
+        if kind in ("text", "cdata"):
+            if not skip:
+                decoded = html.unescape(rest) if kind == "text" and "&" in rest else rest
+                text.append(decoded)
+                link += len(decoded.strip()) if open_tags["a"] else 0
             continue
-        if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    pop(k)
-                    break
-            else:
-                if tag not in INLINE:
-                    flush()
+        if kind == "end":
+            if open_tags[tag]:
+                pop(tag)
+            elif tag not in INLINE:
+                flush()
             continue
-        if tag in VOID or m[3].endswith("/"):
+        if tag in VOID or rest.endswith("/"):
             if tag == "br" or tag not in INLINE:
                 text.append(" ")
             if tag == "hr":
                 flush()
             continue
-        if tag not in HEAD and stack and stack[-1][0] == "head":  # an implied end of head
-            pop(len(stack) - 1)
+        if tag not in HEAD and stack and stack[-1].name == "head":  # an implied end of head
+            pop("head")
         if tag not in INLINE:
             flush()
             close = CLOSES.get(tag, ("p",))
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in close:
-                    pop(k)
-                    break
-                if stack[k][0] not in INLINE and not (tag in ("tr", "td", "th") and stack[k][0] in ("td", "th")):
-                    break
-        names = [f"{n}" for v in _NAMES.findall(m[3]) for n in _PART.findall(v.lower())] if m[3] else []
-        stack.append((tag, (f"<{tag}", *names)))
+            if any(open_tags[t] for t in close):
+                for t in reversed(stack):
+                    if t.name in close:
+                        pop(t.name)
+                        break
+                    if t.name not in INLINE and not (tag in ("tr", "td", "th") and t.name in ("td", "th")):
+                        break
+        elif inline >= INLINE_DEPTH:
+            continue
+        words = {n for v in _NAMES.findall(rest) for n in _PART.findall(v.lower())} if rest else set()
+        above = stack[-1] if stack else Tag("", 0, False, False)
+        path = above.path
+        for p in (f"<{tag}", *words):
+            path |= 1 << zlib.crc32(p.encode()) % PATH_DIMS
+        words.add(tag)
+        stack.append(Tag(tag, path, above.main or bool(words & MAIN), above.aside or bool(words & ASIDE)))
+        open_tags[tag] += 1
         skip += tag in SKIPPED
-        anchors += tag == "a"
-        if tag in RAW:
-            end = _RAW_END[tag].search(page, at)
-            pop(len(stack) - 1)
-            at = end.end() if end else len(page)
+        inline += tag in INLINE
     flush()
     return out
 
 
-def _bucket(part: str, dims: int) -> int:
-    return zlib.crc32(part.encode()) % dims
-
-
-_path_cache: dict[tuple[str, ...], np.ndarray] = {}
-
-
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    v = _path_cache.get(path)
-    if v is None:
-        v = np.zeros(PATH_DIMS)
-        for p in path:
-            v[_bucket(p, PATH_DIMS)] = 1
-        if len(_path_cache) > 20_000:
-            _path_cache.clear()
-        _path_cache[path] = v
-    return v
-
-
 def vectors(seq: list[Block]) -> np.ndarray:
     n = len(seq)
     x = np.zeros((n, PATH_DIMS + WORD_DIMS + SHAPES))
     if not n:
         return x
-    for k, b in enumerate(seq):
-        x[k, :PATH_DIMS] = _path_vector(b.path)
+    bits = np.frombuffer(b"".join(b.path.to_bytes(PATH_DIMS // 8, "little") for b in seq), np.uint8).reshape(n, -1)
+    x[:, :PATH_DIMS] = np.unpackbits(bits, axis=1, bitorder="little")
     raw = [b.text.encode("utf-8", "replace") for b in seq]
     w = _words.split_words(raw)
     count = np.diff(w.first)
@@ -169,7 +218,8 @@ def vectors(seq: list[Block]) -> np.ndarray:
     marks = np.array([r.count(b".") + r.count(b",") for r in raw], float)
     place = np.arange(n) / max(1, n - 1)
     link = np.array([b.link for b in seq]) / size
-    x[:, -SHAPES:] = np.column_stack([np.log1p(size) / 8, np.log1p(count) / 6, link, marks / np.maximum(count, 1), place, 1 - place, np.arange(n) == 0, np.arange(n) == n - 1, np.ones(n)])
+    called = [np.array([b.main for b in seq], float), np.array([b.aside for b in seq], float)]
+    x[:, -SHAPES:] = np.column_stack([*called, np.log1p(size) / 8, np.log1p(count) / 6, link, marks / np.maximum(count, 1), place, 1 - place, np.arange(n) == 0, np.arange(n) == n - 1, np.ones(n)])
     return x
 
 
@@ -237,67 +287,93 @@ class Model:
         return float(loss), grads
 
 
-# Words of element names, classes and ids that mark what isn't main text.
-ASIDE = frozenset(
-    "nav aside footer header form menu sidebar ad ads advert advertisement banner comment comments cookie consent notice popup promo related share social newsletter subscribe login breadcrumb breadcrumbs pagination widget disclaimer navbar".split()
-)
-MAIN = frozenset("article main".split())
-
-
 def weak_labels(seq: list[Block]) -> np.ndarray:
-    y = np.zeros(len(seq))
-    marked = any("<" + m in b.path for b in seq for m in MAIN)
-    for k, b in enumerate(seq):
-        parts = {p.lstrip("<") for p in b.path}
-        inside = bool(parts & MAIN) if marked else b.path and len(b.text.split()) >= 10 and b.link < 0.3 * len(b.text)
-        y[k] = bool(inside) and not parts & ASIDE
-    return y
+    """What the mark-up itself says; where it names no main text, long blocks with little link text count."""
+    marked = any(b.main for b in seq)
+    return np.array([(b.main if marked else b.path > 0 and len(b.text.split()) >= 10 and b.link < 0.3 * len(b.text)) and not b.aside for b in seq], float)
 
 
-def dress(rng: np.random.Generator, main: list[str], other: list[str]) -> str:
-    """A page around known main blocks, with templates that name its sections by tag or by class."""
+def dress(rng: np.random.Generator, main: list[str], other: list[str], neutral: bool = False) -> tuple[str, list[str]]:
+    """(page, its main blocks): known texts in a template that names its sections by tag or by class, or (neutral) by names that say nothing."""
     pick = lambda *x: x[rng.integers(len(x))]
     e = html.escape
     take = lambda n: [e(other[rng.integers(len(other))]) for _ in range(n)]
     short = lambda: e(" ".join(other[rng.integers(len(other))].split()[: int(rng.integers(1, 5))]))
+    chance = lambda p: rng.random() < p
 
-    def wrap(kind: tuple[str, ...], inner: str) -> str:
-        tag, _, cls = pick(*kind).partition(".")
+    def wrap(kinds: tuple[str, ...], inner: str) -> str:
+        tag, _, cls = pick(*kinds).partition(".")
+        if neutral:
+            tag, cls = pick("div", "div", "section", "td"), pick("c", "box", "row", "col", "x", "blk", "a", "inner") + str(rng.integers(1, 9))
         return f"<{tag}{f' {pick("class", "id")}="{cls}"' if cls else ''}>{inner}</{tag}>"
 
     links = lambda n: "<ul>" + "".join(f'<li><a href="/x">{short()}</a></li>' for _ in range(n)) + "</ul>"
     paras = lambda texts: "".join(f"<p>{t}</p>" for t in texts)
-    body = f"<h1>{e(main[0])}</h1>" + paras(map(e, main[1:])) if rng.random() < 0.8 else paras(map(e, main))
+    comments = lambda: wrap(("section.comments", "div.comments", "div.comment", "ol.comments", "div.replies", "section.discussion"), ("<h3>" + short() + "</h3>") * chance(0.4) + paras(take(int(rng.integers(1, 5)))))
+    form = lambda: wrap(("form", "form.login", "form.comment", "div.newsletter"), f"<label>{short()}</label><input name=q><p>{pick(short(), take(1)[0])}</p><button>{short()}</button>")
+    side = lambda: wrap(("aside", "div.sidebar", "div.related", "div.promo", "div.share"), paras(take(int(rng.integers(1, 3)))) + links(int(rng.integers(0, 4))))
+    advert = lambda: wrap(("div.ad", "div.advert", "aside", "div.banner"), pick(paras(take(1)), take(1)[0]))
+
+    body, told = [], []
+    for k, t in enumerate(main):
+        kind = "h1" if k == 0 and chance(0.7) else pick("p", "p", "p", "p", "p", "h2", "li", "blockquote", "td")
+        told.append(t)
+        one = e(t)
+        body.append({"li": f"<ul><li>{one}</li></ul>", "td": f"<table><tr><td>{one}</td></tr></table>", "blockquote": f"<blockquote><p>{one}</p></blockquote>"}.get(kind, f"<{kind}>{one}</{kind}>"))
+    inside = "".join(body)
+    if not neutral:  # what isn't main text may stand inside the main element, between its blocks or at its end
+        if chance(0.3):
+            at = int(rng.integers(0, len(body) + 1))
+            inside = "".join(body[:at]) + pick(side, advert, form)() + "".join(body[at:])
+        inside = ("<header>" + short() + "</header>") * chance(0.15) + inside + comments() * chance(0.4) + form() * chance(0.3) + ("<footer>" + short() + "</footer>") * chance(0.15)
     parts = [
         wrap(("header", "div.header", "div.top"), short() + links(int(rng.integers(1, 6)))),
         wrap(("nav", "div.menu", "div.nav", "ul.navbar"), links(int(rng.integers(2, 9)))),
-        wrap(("div.ad", "div.advert", "aside", "div.banner"), paras(take(1))),
+        advert(),
         wrap(("div.cookie", "div.notice", "div.consent"), paras(take(1))),
-        wrap(("article", "main", "div.content", "div.post", "div.entry", "section.story"), body),
-        wrap(("aside", "div.sidebar", "div.related"), paras(take(1)) + links(3)),
-        wrap(("form", "form.login", "div.newsletter"), f"<label>{short()}</label><input name=q><p>{short()}</p>"),
-        wrap(("section.comments", "div.comments", "div.comment"), paras(take(int(rng.integers(1, 5))))),
-        wrap(("footer", "div.footer"), f"&copy; {short()} &middot; " + take(1)[0]),
+        wrap(("article", "main", "div.content", "div.post", "div.entry", "section.story", "div.article", "div"), inside),
+        side(),
+        form(),
+        comments(),
+        wrap(("footer", "div.footer"), f"&copy; {short()} &middot; " + pick(short(), take(1)[0])),
     ]
-    keep = [p for k, p in enumerate(parts) if k == 4 or rng.random() < 0.6]
-    return "<html><head><title>x</title></head><body>" + "".join(keep) + "</body></html>"
+    if neutral:  # names say nothing: link lists and short lines around the text
+        parts = [parts[0], parts[1], "", wrap(("div",), short()), parts[4], wrap(("div",), links(int(rng.integers(1, 6)))), "", "", wrap(("div",), f"&copy; {short()}")]
+    keep = [p for k, p in enumerate(parts) if k == 4 or chance(0.6)]
+    return "<html><head><title>x</title></head><body>" + "".join(keep) + "</body></html>", told
+
+
+def _labelled_dress(rng: np.random.Generator, main: list[str], other: list[str], neutral: bool) -> tuple[list[Block], np.ndarray]:
+    page, told = dress(rng, main, other, neutral)
+    seq, left = blocks(page), list(told)
+    y = np.zeros(len(seq))
+    for k, b in enumerate(seq):  # main blocks stand in their order, outside of what is named otherwise
+        if left and b.text == left[0] and not b.aside:
+            y[k] = 1
+            left.pop(0)
+    return seq, y
 
 
 def fit(pages: list[str], epochs: int = 30, seed: int = 3) -> Model:
     rng = np.random.default_rng(seed)
     data: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(seq: list[Block], y: np.ndarray) -> None:
+        """A window of the page, wherever it lies; its vectors are those of the whole page."""
+        at = int(rng.integers(0, max(1, len(seq) - SAMPLE_BLOCKS + 1)))
+        data.append((vectors(seq)[at : at + SAMPLE_BLOCKS], y[at : at + SAMPLE_BLOCKS]))
+
     known = [(s, weak_labels(s)) for s in map(blocks, pages)]
     known = [(s, y) for s, y in known if s]
-    data += [(vectors(s[:SAMPLE_BLOCKS]), y[:SAMPLE_BLOCKS]) for s, y in known]
+    for s, y in known:
+        add(s, y)
     prose = [b.text for s, y in known for b, v in zip(s, y, strict=True) if v] or ["text"]
     for s, y in known:
-        main = [b.text for b, v in zip(s, y, strict=True) if v][:30]
+        main = [b.text for b, v in zip(s, y, strict=True) if v]
+        at = int(rng.integers(0, max(1, len(main) - 29)))
         if main:
-            seq = blocks(dress(rng, main, prose))
-            truth = set(main)
-            aside = lambda b: bool({p.lstrip("<") for p in b.path} & ASIDE)
-            y2 = np.array([" ".join(b.text.split()) in truth and not aside(b) for b in seq], float)
-            data.append((vectors(seq[:SAMPLE_BLOCKS]), y2[:SAMPLE_BLOCKS]))
+            for neutral in (False, False, True):
+                add(*_labelled_dress(rng, main[at : at + 30], prose, neutral))
     d = PATH_DIMS + WORD_DIMS + SHAPES
     small = lambda *s: rng.normal(0, 0.1, s)
     model = Model([small(d, 4 * HIDDEN), small(d, 4 * HIDDEN)], [small(HIDDEN, 4 * HIDDEN), small(HIDDEN, 4 * HIDDEN)], small(2 * HIDDEN + d))

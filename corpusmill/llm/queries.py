@@ -83,7 +83,7 @@ def op8_bpe_wordtable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = license_winnow.matches(_read(spark, sf_dir, "documents"))
+    found = license_winnow.matches(_read(spark, sf_dir, "documents")).select("doc_id", "found.*")
     places = F.transform("matches", lambda m: F.format_string("%s[%d,%d)", m["license"], m["start"], m["end"]))
     return found.select(
         "doc_id",

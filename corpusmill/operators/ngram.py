@@ -1,17 +1,25 @@
 """Character and word n-gram models: counts, ranks, distances and classification of documents.
 
-Words are counted per document (or language) before grams are made from the distinct ones, so the explode is over distinct
-words only. Order of first occurrence breaks ties of frequency.
+For models, words are counted per language before grams are made from the distinct ones, so the explode is over distinct words only.
+A document is one row: its grams are counted, ranked and compared with the models inside it, and only languages and distances
+leave the row. Order of first occurrence breaks ties of frequency.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as X
 
 CHAR_GRAMS, WORD_GRAMS, MISSING, DROP_RATIO = 400, 30_000, 400, 1.10
+#: Models of at most so many rows travel to the tasks (400 rows a language); larger ones are joined.
+MODEL_ROWS = 400_000
 
 
 def tokens(docs: DataFrame, *keys: str) -> DataFrame:
@@ -43,7 +51,8 @@ def char_freq(docs: DataFrame, key: str) -> DataFrame:
 def ranked(freq: DataFrame, key: str, gram: str, n: str, most: int) -> DataFrame:
     """The `most` frequent grams of each key with rank from 0. The empty gram takes a rank and goes."""
     w = Window.partitionBy(key).orderBy(F.desc(n), F.asc("first"))
-    return freq.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < most).where(F.col(gram) != "").select(key, F.col(gram).alias("gram"), F.col(n).alias("freq"), F.col("rank").cast("long").alias("rank"))
+    top = freq.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= most)  # in this form the limit reaches the sort
+    return top.where(F.col(gram) != "").select(key, F.col(gram).alias("gram"), F.col(n).alias("freq"), (F.col("nth") - 1).cast("long").alias("rank"))
 
 
 def char_model(docs: DataFrame, key: str = "lang", most: int = CHAR_GRAMS) -> DataFrame:
@@ -57,16 +66,54 @@ def word_model(docs: DataFrame, key: str = "lang", most: int = WORD_GRAMS) -> Da
     return top.withColumn("invrank", (size - F.col("rank")) / (size / F.lit(float(most))))
 
 
-def distances(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """doc_id, lang, distance: rank differences over the document's grams, MISSING for each that the model lacks.
+def top_grams(tokens: list[str], most: int = CHAR_GRAMS) -> list[str]:
+    """The most frequent grams of one document in order; a dictionary keeps them in the order of their first occurrence."""
+    count: dict[str, int] = {}
+    for token, n in Counter(tokens).items():
+        w = f"_{token}_"
+        for s in range(len(w)):
+            for k in range(s + 1, min(s + 4, len(w)) + 1):
+                gram = w[s:k]
+                count[gram] = count.get(gram, 0) + n
+    return sorted(count, key=count.__getitem__, reverse=True)[:most]
 
-    Only grams that meet the model are joined; the others are counted.
-    """
+
+def distances(docs: DataFrame, model: DataFrame) -> DataFrame:
+    """doc_id, lang, distance: rank differences over the document's grams, MISSING for each that the model lacks."""
+    rows = model.select("lang", "gram", "rank").limit(MODEL_ROWS + 1).toArrow()
+    if len(rows) > MODEL_ROWS:
+        return joined_distances(docs, model)
+    langs = sorted(set(rows["lang"].to_pylist()))
+    ranks: dict[str, list[tuple[int, int]]] = {}
+    for lang, gram, rank in zip(*(rows[c].to_pylist() for c in ("lang", "gram", "rank")), strict=True):
+        ranks.setdefault(gram, []).append((langs.index(lang), rank))
+    space, cut = (re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\u{m[1]:0>4}", p)) for p in (X.WS + "+", X.split_class()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, names, far = [], [], []
+            for k, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                tokens = [t for piece in space.split(text or "") if piece for t in cut.split(piece)]
+                grams = top_grams(tokens)
+                distance = [MISSING * len(grams)] * len(langs)
+                for rank, gram in enumerate(grams):
+                    for at, other in ranks.get(gram, ()):
+                        distance[at] += abs(rank - other) - MISSING
+                ids += [k] * len(langs)
+                names += langs
+                far += distance
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.string()), pa.array(far, pa.int64())], names=["doc_id", "lang", "distance"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, lang string, distance bigint")
+
+
+def joined_distances(docs: DataFrame, model: DataFrame) -> DataFrame:
+    """The same by joins, for models of any size. Only grams that meet the model are joined; the others are counted."""
     own = ranked(char_freq(docs, "doc_id"), "doc_id", "gram", "freq", CHAR_GRAMS)
     met = own.join(model.select("lang", "gram", F.col("rank").alias("m")), "gram").groupBy("doc_id", "lang").agg(F.sum(F.abs(F.col("rank") - F.col("m")) - MISSING).alias("gain"))
     size = own.groupBy("doc_id").agg(F.count("*").alias("grams"))
-    langs = model.select("lang").distinct()
-    every = docs.select("doc_id").join(size, "doc_id", "left").join(langs)  # documents by languages: the result has that size
+    langs = model.select("lang").distinct().agg(F.collect_set("lang").alias("langs")).first()["langs"]
+    every = docs.select("doc_id").join(size, "doc_id", "left").withColumn("lang", F.explode(F.lit(sorted(langs)).cast("array<string>")))
     return every.join(met, ["doc_id", "lang"], "left").select("doc_id", "lang", (F.coalesce("grams", F.lit(0)) * MISSING + F.coalesce("gain", F.lit(0))).cast("long").alias("distance"))
 
 

@@ -18,6 +18,10 @@ _COHORTS = [
     (2, "smj", '"<guolle>"\n\t"guolle" N Sem/Ani Sg Nom <W:0.0> @SUBJ> #1->2\n"<xyz>"\n\t"xyz" ? @X #2->0\n"<.>"\n\t"." CLB #3->2\n'),
     (3, "sme", ""),
 ]
+_SPACED = [
+    (4, "sme", '"<Girji>"\n\t"girji" N Sg Nom #1->0\n"<:>"\n\t":" CLB #2->1\n: \n"<Stuoris>"\n\t"stuoris" A Attr #3->1\n: \n"<¶>"\n\t"¶" CLB #4->1\n:\\n\n"<lea>"\n\t"leat" V Prs Sg3 #5->0\n: \n"<buorre>"\n\t"buorre" A Sg Nom #6->5\n"<!>"\n\t"!" CLB #7->5\n'),
+    (5, "sme", '"<12>"\n\t"12" Num #1->0\n"<.>"\n\t"." CLB #2->1\n: \n"<Dát>"\n\t"dát" Pron #1->0\n:odd text\n"<.>"\n\t"." CLB #2->1\n'),
+]
 _PATHS = [(1, "/c/corpus-sme/converted/admin/a/b.html.xml"), (2, "/c/corpus-sme-orig-x-closed/admin/f.pdf.xsl"), (3, "/c/corpus-nob-orig/ficti/g.txt"), (4, "/c/corpus-sme/tmx/nob/admin/h.html.tmx"), (5, "/tmp/x.txt"), (6, "/c/corpus-smj-x-y/korp_mono/k.txt.xml")]
 _NAMES = [(1, "Ođđa Fiila (1).txt"), (2, "__x+y.txt"), (3, "%C3%A1rran.PDF"), (4, "a b.txt"), (5, "a_b.txt"), (6, "A b.txt"), (7, "-_-z?.doc")]
 
@@ -40,7 +44,7 @@ def parse_analysis(spark, d):
 
 
 def known_sentences(spark, d):
-    return N.known_sentences(frame(spark, "id int, lang string, dependency string", _COHORTS), "id")
+    return N.known_sentences(frame(spark, "id int, lang string, dependency string", _COHORTS + _SPACED), "id")
 
 
 def _paras(spark, d):
@@ -169,6 +173,7 @@ _STREAM = "select event_type, count(*) as n, min(event_id) as first, max(event_i
 _RX = "^(.*)/corpus-([^/]+)/(.*)$"
 _MOD = "^(converted|analysed|korp_mono|tmx/[^/]+|korp_tmx/[^/]+|goldstandard/converted|prestable/converted|stable/converted)/"
 ORACLE = {
+    "known_sentences": f"select * from {values('id, sentence_no, sentence', [(1, 1, 'Mun boađán.'), (4, 1, 'Girji: Stuoris'), (4, 2, 'lea buorre!')])}",
     "ccat_project": _project("coalesce(type, 'text') = 'text'"),
     "ccat_titles": _project("type in ('title', 'tablecell')"),
     "ccat_lang_invert": _project("coalesce(lang, doc_lang) <> 'fr'"),

@@ -20,7 +20,14 @@ _FIXES = [
 ]
 _PLAIN = [(1, "aÊÊb\r\nc\rd<*B>e\x07"), (2, "<0x010C>akki <0x2003>x\n\n\n# note\ny"), (3, "=" * 80 + "end\x0b"), (4, "")]
 _QUOTED = [(1, 'he said "yes it is" and left'), (2, "«a» b «c d» e"), (3, "“one” and “two”"), (4, "”left it be” x"), (5, 'no "a, b," here')]
-_NEWS = [(1, "@tittel: Head"), (2, "@ingress: In short"), (3, "byline: Some One"), (4, "plain line"), (5, "@m.titt: Between"), (6, "@bold: dark"), (7, "  @foto: By me"), (8, "Undertittel: Below")]
+_NEWS = [
+    (1, "@tittel: Head"), (2, "@ingress: In short"), (3, "byline: Some One"), (4, "plain line"), (5, "@m.titt: Between"), (6, "@bold: dark"), (7, "  @foto: By me"), (8, "Undertittel: Below"), (9, "tittel: bilde 3: x"),
+    (10, "@kursiv: skew"), (11, "@BOLD: no"), (12, "@Hovedtittel: Main"), (13, "LEDtekst: caption"), (14, "mellomtittel: x"), (15, "\u00a0@bildetekst: y"), (16, "stikk: s"), (17, "tit: t"),
+]
+_NEWS_SEEN = [
+    (1, "headertitle", "Head"), (2, "text", "In short"), (3, "byline", "Some One"), (4, None, "plain line"), (5, "title", "Between"), (6, "bold", "dark"), (7, None, "@foto: By me"), (8, "title", "Below"), (9, "text", "x"),
+    (10, "italic", "skew"), (11, None, "@BOLD: no"), (12, "headertitle", "Main"), (13, "text", "caption"), (14, "title", "x"), (15, "text", "y"), (16, "title", "s"), (17, "title", "t"),
+]
 _YEARS = [(1, None), (2, "unknown"), (3, "2018"), (4, "2011-2012"), (5, "5.10.2004"), (6, "18"), (7, "05.10.2004")]
 _RANGES = [(1, "1"), (2, "1,4-6"), (3, "3, 9-11, 4"), (4, "")]
 _MSD = [(1, "N", "Sg Nom"), (2, "V", "TV Ind Prs Sg3"), (3, "Pron", "Relc Sg Nom"), (4, "N", "___"), (5, "A", "Dyn/x Known y"), (6, "V", " IV Inf ")]
@@ -171,13 +178,6 @@ def _quotes(source: str, key: str) -> str:
     return f"select {key}, unnest({alls}) as quote from {source}"
 
 
-def _news() -> tuple[str, str]:
-    kind = "case " + " ".join(f"when regexp_matches(line, {_q(f'(?i)^(?:{p})')}) then '{k}'" for k, p in P.NEWS_TAGS.items()) + " end"
-    rest = "trim(case " + " ".join(f"when regexp_matches(line, {_q(f'(?i)^(?:{p})')}) then regexp_replace(line, {_q(f'(?i)^(?:{p})')}, '')" for p in P.NEWS_TAGS.values()) + " else line end)"
-    return kind, rest
-
-
-_KIND, _REST = _news()
 ORACLE = {
     "paragraphs": _islands("documents", "doc_id"),
     "plaintext_paragraphs": _islands(f"(select id, regexp_replace({_chain(_chain('text', [(chr(13) + chr(10), chr(10))]), P.PLAIN_TEXT_MARKS)}, '[\\x00-\\x08\\x0B-\\x0C\\x0E-\\x1F\\x7F]', '', 'g') as text from {values('id, text', _PLAIN)})", "id"),
@@ -191,7 +191,7 @@ ORACLE = {
     "ligature_fix_docs": f"select doc_id, md5({_chain(_chain('text', _LIG), X.BAD_UNICODE)}) as digest from documents",
     "quote_spans": f"select id, quote, count(*) as n from ({_quotes(values('id, text', _QUOTED), 'id')}) group by all",
     "quote_spans_docs": f"select doc_id, count(*) as quotes, sum(length(quote))::bigint as chars from ({_quotes('documents', 'doc_id')}) group by doc_id",
-    "newstag_lines": f"select id, {_KIND} as kind, {_REST} as rest from {values('id, line', _NEWS)}",
+    "newstag_lines": f"select * from {values('id, kind, rest', _NEWS_SEEN)}",
     "year_normalise": r"""select id, case k when 1 then year || '-01-01' when 2 then p[1] || '-01-01' when 3 then d[3] || '-' || d[2] || '-' || d[1] else '0000-00-00' end as date,
   case k when 1 then year || '0101' when 2 then p[1] || '0101' when 3 then d[3] || d[2] || d[1] else '00000000' end as datefrom,
   case k when 1 then year || '0101' when 2 then p[2] || '0101' when 3 then d[3] || d[2] || d[1] else '00000000' end as dateto

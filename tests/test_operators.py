@@ -131,3 +131,19 @@ def test_readers(spark):
     assert [tuple(r) for r in tables.anchor_pairs(lines("# x/y", "a / b ", "c/", "d/e/f"), 2, 0, 1).collect()] == [("a", "b")]
     typos = spark.createDataFrame([("a\tb", 1), ("a\tc", 2), ("d\td", 3), ("e", 4)], "value string, k int")
     assert [tuple(r) for r in tables.typo_pairs(typos, "k").collect()] == [("a", "c")]
+
+
+def test_distances_inside_rows_equal_joins(spark, sf_dir):
+    from corpusmill.operators import ngram
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text").where("doc_id % 5 = 0")
+    docs = docs.union(spark.createDataFrame([(10_001, "x", None), (10_002, "x", ""), (10_003, "x", "a\u00a0b-c 1\u2003d")], docs.schema))
+    model = ngram.char_model(docs)
+    assert sorted(ngram.distances(docs, model).collect()) == sorted(ngram.joined_distances(docs, model).collect())
+
+
+def test_rank_limit_reaches_the_sort(spark, sf_dir):
+    from corpusmill.operators import ngram
+
+    plan = ngram.char_model(spark.read.parquet(f"{sf_dir}/documents.parquet"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "WindowGroupLimit" in plan

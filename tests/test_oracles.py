@@ -34,7 +34,7 @@ def test_matches_sql(spark, sf_dir, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_runs_without_sql(spark, sf_dir, name):
-    assert QUERIES[name](spark, sf_dir).count() > 0
+    assert len(QUERIES[name](spark, sf_dir).collect()) > 0
 
 
 def test_every_oracle_has_a_query():

@@ -354,7 +354,7 @@ def _labelled_dress(rng: np.random.Generator, main: list[str], other: list[str],
     return seq, y
 
 
-def fit(pages: list[str], epochs: int = 30, seed: int = 3) -> Model:
+def fit(pages: list[str], epochs: int = 14, seed: int = 3) -> Model:
     rng = np.random.default_rng(seed)
     data: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -372,7 +372,7 @@ def fit(pages: list[str], epochs: int = 30, seed: int = 3) -> Model:
         main = [b.text for b, v in zip(s, y, strict=True) if v]
         at = int(rng.integers(0, max(1, len(main) - 29)))
         if main:
-            for neutral in (False, False, True):
+            for neutral in (False, True):
                 add(*_labelled_dress(rng, main[at : at + 30], prose, neutral))
     d = PATH_DIMS + WORD_DIMS + SHAPES
     small = lambda *s: rng.normal(0, 0.1, s)

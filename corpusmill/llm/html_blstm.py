@@ -354,7 +354,8 @@ def _labelled_dress(rng: np.random.Generator, main: list[str], other: list[str],
     return seq, y
 
 
-def fit(pages: list[str], epochs: int = 14, seed: int = 3) -> Model:
+def fit(pages: list[str], steps: int = 240, seed: int = 3) -> Model:
+    """A network after about `steps` steps of Adam, each over a group of pages of like length."""
     rng = np.random.default_rng(seed)
     data: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -372,7 +373,7 @@ def fit(pages: list[str], epochs: int = 14, seed: int = 3) -> Model:
         main = [b.text for b, v in zip(s, y, strict=True) if v]
         at = int(rng.integers(0, max(1, len(main) - 29)))
         if main:
-            for neutral in (False, True):
+            for neutral in (False, False, True):
                 add(*_labelled_dress(rng, main[at : at + 30], prose, neutral))
     d = PATH_DIMS + WORD_DIMS + SHAPES
     small = lambda *s: rng.normal(0, 0.1, s)
@@ -381,7 +382,8 @@ def fit(pages: list[str], epochs: int = 14, seed: int = 3) -> Model:
     m, v, t = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights], 0
     data.sort(key=lambda s: len(s[1]))
     groups = [pad(data[k : k + 48]) for k in range(0, len(data), 48)]
-    for epoch in range(epochs if data else 0):
+    epochs = -(-steps // len(groups)) if data else 0
+    for epoch in range(epochs):
         for k in rng.permutation(len(groups)):
             x, size, y = groups[k]
             noisy = x.copy()

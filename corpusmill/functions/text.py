@@ -84,6 +84,20 @@ def soft_hyphens(text: Column, mark: str = "") -> Column:
     return F.replace(text, F.lit("­"), F.lit("<hyph/>" if mark == "xml" else mark))
 
 
+# Letters that old prints write with a macron, and the ones meant.
+CARONS = {"c": "č", "C": "Č", "s": "š", "S": "Š", "ʒ": "ǯ", "Ʒ": "Ǯ"}
+
+
+def strip(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(text, f"^{WS}+|{WS}+$", "")
+
+
+def carons(text: Column) -> Column:
+    """Runs of white space as one blank, none at the ends; letters with a combining macron as those with a caron."""
+    return replace_all(F.array_join(pieces(text), " "), [(k + "\u0304", v) for k, v in CARONS.items()])
+
+
 def colon_space(text: Column, words: list[str]) -> Column:
     """A space after `word:` where text follows at once, for the given words in any case."""
     return F.regexp_replace(text, "(?i)((?:" + "|".join(words) + r"):)(\S)", "$1 $2")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,6 +76,43 @@ def quotes(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return docs.select(key, F.explode(found).alias("quote"))
 
 
+def marked_quotes(text: Column) -> Column:
+    """Text with an element around every quoted span. Spans of different kinds may overlap; each is written whole, in the order of their starts."""
+    patterns = [re.compile(quote_pattern(*q)) for q in QUOTES]
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        def one(t: str) -> str:
+            spans = sorted(m.span() for p in patterns for m in p.finditer(t))
+            ends = [*(a for a, _ in spans), len(t)]
+            return t[: ends[0]] + "".join(f'<span type="quote">{t[a:b]}</span>{t[b:n]}' for (a, b), n in zip(spans, ends[1:], strict=True))
+
+        return s.map(one, na_action="ignore")
+
+    return run(text)
+
+
+def compact_emphasis(runs: Column) -> Column:
+    """Runs (tag, text, tail) of a paragraph with neighbouring emphases as one, if no word stands between; a paragraph with a single emphasis stays as it is."""
+    t = "struct<tag:string,text:string,tail:string>"
+    words = lambda r: F.coalesce(F.regexp_like(r["tail"], F.lit(r"(?U)\w")), F.lit(False))
+    later = F.zip_with(runs, F.array_append(F.slice(runs, 2, F.greatest(F.size(runs) - 1, F.lit(0))), F.lit(None).cast(t)), lambda a, b: F.struct(a.alias("r"), ((a["tag"] == "em") & F.coalesce(b["tag"] == "em", F.lit(False)) & ~words(a)).alias("joins")))
+    start = F.struct(F.array().cast(f"array<{t}>").alias("done"), F.array().cast("array<string>").alias("open"))
+
+    def step(s: Column, x: Column) -> Column:
+        r = x["r"]
+        held = F.when(r["text"].isNull(), s["open"]).otherwise(F.array_append(s["open"], X.strip(r["text"])))
+        whole = F.struct(r["tag"].alias("tag"), F.array_join(held, " ").alias("text"), F.concat(F.lit(" "), r["tail"]).alias("tail"))
+        none = F.array().cast("array<string>")
+        return (
+            F.when(r["tag"] != "em", F.struct(F.array_append(s["done"], r.cast(t)).alias("done"), s["open"].alias("open")))
+            .when(x["joins"], F.struct(s["done"].alias("done"), held.alias("open")))
+            .otherwise(F.struct(F.array_append(s["done"], whole.cast(t)).alias("done"), none.alias("open")))
+        )
+
+    return F.when(F.size(F.filter(runs, lambda r: r["tag"] == "em")) > 1, F.aggregate(later, start, step, lambda s: s["done"])).otherwise(runs)
+
+
 # Tags at the head of lines in old newspaper files, in the order in which they are tried, and their flags.
 NEWS_TAGS = (
     (

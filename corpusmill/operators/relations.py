@@ -39,8 +39,8 @@ def _cased(heads: DataFrame) -> DataFrame:
     return heads.withColumn("hbase", F.lower("hword") == F.lower("hlemma")).withColumn("dbase", F.lower("word") == F.lower("lemma"))
 
 
-def relation_freq(heads: DataFrame) -> DataFrame:
-    """head, head_lemma, dep, dep_lemma, rel, wfhead, freq and the flags of the first insertion."""
+def _insertions(heads: DataFrame) -> DataFrame:
+    """Relations as they are counted, one row for each form in which a head or dependent is found: head, dep, flags `r`, and `order` of insertion."""
     h = _cased(heads).where("not (hword = word and hlemma = lemma) and rel <> 'X'")
 
     def row(case: int, head: str, dep: str, flags: str):
@@ -54,9 +54,25 @@ def relation_freq(heads: DataFrame) -> DataFrame:
         .otherwise(F.array(row(0, "hlemma", "lemma", "TTTT")))
     )
     flat = h.select("text_id", "sentence_id", "position", "rel", F.col("hlemma").alias("head_lemma"), F.col("lemma").alias("dep_lemma"), F.explode(rows).alias("r"))
-    order = F.struct("text_id", "sentence_id", "position", "r.case")
-    out = flat.groupBy(F.col("r.head").alias("head"), "head_lemma", F.col("r.wfhead").alias("wfhead"), F.col("r.dep").alias("dep"), "dep_lemma", "rel")
-    return out.agg(F.count("*").alias("freq"), F.min_by(F.struct("r.bfhead", "r.bfdep", "r.wfdep"), order).alias("f")).select("head", "head_lemma", "wfhead", "dep", "dep_lemma", "rel", "freq", "f.bfhead", "f.bfdep", "f.wfdep")
+    return flat.withColumn("order", F.struct("text_id", "sentence_id", "position", "r.case"))
+
+
+def relation_freq(heads: DataFrame) -> DataFrame:
+    """head, head_lemma, dep, dep_lemma, rel, wfhead, freq and the flags of the first insertion."""
+    out = _insertions(heads).groupBy(F.col("r.head").alias("head"), "head_lemma", F.col("r.wfhead").alias("wfhead"), F.col("r.dep").alias("dep"), "dep_lemma", "rel")
+    return out.agg(F.count("*").alias("freq"), F.min_by(F.struct("r.bfhead", "r.bfdep", "r.wfdep"), "order").alias("f")).select("head", "head_lemma", "wfhead", "dep", "dep_lemma", "rel", "freq", "f.bfhead", "f.bfdep", "f.wfdep")
+
+
+def relation_sentences(heads: DataFrame) -> DataFrame:
+    """Where relations occur: sentence, place of head (start) and dependent (end). An insertion is listed under each form of its relation (wfhead) that had been inserted by then.
+
+    A relation has at most two forms, so their first insertions are one row, and the join meets each insertion with one row only.
+    """
+    key = ["head", "head_lemma", "dep", "dep_lemma", "rel"]
+    rows = _insertions(heads).select(F.col("r.head").alias("head"), "head_lemma", F.col("r.dep").alias("dep"), "dep_lemma", "rel", F.col("r.wfhead").alias("wfhead"), "order", "text_id", "sentence_id", F.col("position").alias("end"))
+    first = rows.groupBy(*key).agg(F.min(F.when(F.col("wfhead"), F.col("order"))).alias("form"), F.min(F.when(~F.col("wfhead"), F.col("order"))).alias("base"))
+    known = F.filter(F.array(F.when(F.col("form") <= F.col("order"), True), F.when(F.col("base") <= F.col("order"), False)), lambda x: x.isNotNull())
+    return rows.drop("wfhead").join(first, key).select(*key, F.explode(known).alias("wfhead"), "text_id", "sentence_id", (F.col("end") - 1).alias("start"), "end")
 
 
 def _side(heads: DataFrame, word: str, lemma: str, base: str, name: str) -> DataFrame:

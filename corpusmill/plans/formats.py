@@ -5,15 +5,25 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmill.functions import encodings
+from corpusmill.functions import text as X
 from corpusmill.operators import relations as R
 from corpusmill.sources import formats as S
-from corpusmill.sources.literals import frame
+from corpusmill.sources.literals import frame, values
 from corpusmill.sources.tables import load
 
 _SFM = [
     (1, 1, "\\id MAT x"), (1, 2, "\\mt1 The Book"), (1, 3, "\\c 1"), (1, 4, "\\p"), (1, 5, "\\v 1 In the beginning\\f + \\ft note\\f* it was"), (1, 6, "and went on"), (1, 7, "\\v 2 Then"), (1, 8, "\\s1 A Title"), (1, 9, "\\p \\v"), (1, 10, "\\m More text"),
 ]
 
+_LETTERS = "á š č đ ž ŋ Á Č ŧ Š Đ Ŋ Ž Ŧ ø Ø å Å æ Æ"
+_WRONG = [
+    ("mac-sami_to_cp1252", "‡ » ¸ ¹ ½ º ç ¢ ¼ ´ ° ± · µ ¿ ¯ Œ \x81 ¾ ®"), ("mac-sami_to_latin1", "\x87 » ¸ ¹ ½ º ç ¢ ¼ ´ ° ± · µ ¿ ¯ \x8c \x81 ¾ ®"), ("mac-sami_to_mac", "á ª ∏ π Ω ∫ Á ¢ º ¥ ∞ ± ∑ µ ø Ø å Å æ Æ"),
+    ("winsami2_to_cp1252", "á š „ ˜ ¿ ¹ Á ‚ ¼ Š ‰ ¸ ¾ º ø Ø å Å æ Æ"), ("mix-mac-sami-and-some-unknown-encoding", "\x87 _ ã ÷ À ŋ ç â ¼ Š Đ Ŋ Ž Ŧ ¿ Ø å Å æ Æ"), ("latin4_to_cp1252", "á ¹ è ð ¾ ¿ Á È ¼ © Ð ½ ® ¬ ø Ø å Å æ Æ"),
+    ("winsam_to_cp1252", "á ó ç ð þ ñ Á Ç ý Ó Ð Ñ Þ Ý ø Ø å Å æ Æ"), ("iso-ir-197_to_cp1252", "á ³ ¢ ¤ º ± Á ¡ ¸ ² £ ¯ ¹ µ ø Ø å Å æ Æ"), ("mix-of-latin4-and-iso-ir-197_to_cp1252", "á ó ç ¤ º ŋ Á Ç ŧ Ó £ Ŋ Ž Ŧ ø Ø å Å æ Æ"),
+    ("double-utf8", "Ã¡ Å¡ Ä? Ä‘ Âº Å‹ Ã? ÄŒ Å§ Å\u00a0 Đ ÅŠ Å½ Ŧ Ã¸ Ã˜ Ã¥ Ã… Ã¦ Æ"), ("finnish-lawtexts-in-pdf", "á š þ đ ž ŋ Á Č ŧ Š Đ Ŋ Ž Ŧ ø Ø å Å æ Æ"),
+]
+_PAGE_LETTERS = "áÁšŠŧŦŋŊđĐžŽčČøØöÖåÅäÄ"
+
 
 def _tokens(spark, d):
     t = R.derived_tokens(load(spark, d, "documents"))
@@ -48,7 +58,31 @@ def recode(spark, d):
     return garbled.select("doc_id", F.md5(encodings.recoded(F.col("garbled"), "latin-1", "utf-8")).alias("digest"))
 
 
-QUERIES = {f.__name__: f for f in (vrt_write, vrt_round_trip, sfm_paragraphs, tmx_round_trip, recode)}
+def repair_by_guess(spark, d):
+    rows = frame(spark, "name string, text string", _WRONG)
+    guess = X.guess_encoding(F.col("text"), F.lit("sme"))
+    return rows.select("name", guess.alias("guess"), encodings.repaired(F.col("text"), guess).alias("text"))
+
+
+def repair_documents(spark, d):
+    """Documents as they look when read in the wrong code page, put right."""
+    docs = load(spark, d, "documents").select("doc_id", F.regexp_replace("text", "[^\\x20-\\x7E]", "").alias("t"))
+    wrong = docs.select("doc_id", F.concat("t", F.lit(_WRONG[3][1])).alias("text"))
+    return wrong.select("doc_id", F.md5(encodings.repaired(F.col("text"), F.lit(_WRONG[3][0]))).alias("digest"))
+
+
+def code_pages(spark, d):
+    """Letters that every Sámi page holds, written in each and read in code page 1252 or Latin 1, and put right."""
+    rows = frame(spark, "text string", [(_PAGE_LETTERS,)])
+    out = None
+    for page in ("mac-sami", "winsami2", "iso-ir-197", "iso-ir-209"):
+        wrong = encodings.recoded(F.col("text"), page, "latin-1")
+        one = rows.select(F.lit(page).alias("page"), wrong.alias("wrong")).select("page", F.length("wrong").alias("chars"), (F.col("wrong") != _PAGE_LETTERS).alias("changed"), encodings.recoded(F.col("wrong"), "latin-1", page).alias("text"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+QUERIES = {f.__name__: f for f in (vrt_write, vrt_round_trip, sfm_paragraphs, tmx_round_trip, recode, repair_by_guess, repair_documents, code_pages)}
 
 from corpusmill.plans.corpus import _TOK  # noqa: E402
 
@@ -60,5 +94,8 @@ t as (select text_id, string_agg(e, chr(10) order by sentence_id) as body, count
 v as (select text_id, '<text id="' || text_id || '" lang="' || lang || '" sentence_count="' || k || '" token_count="' || n || '">' || chr(10) || body || chr(10) || '</text>' as vrt from t join documents on text_id = doc_id)
 select text_id, length(vrt) as chars, md5(vrt) as digest from v""",
     "vrt_round_trip": _TOK + "select text_id, count(*) as tokens, max(sentence_id) as sentences from tok group by text_id",
+    "repair_by_guess": f"select name, name as guess, {values('x', [(_LETTERS,)]).removeprefix('(values (').removesuffix(')) as t(x)')} as text from {values('name', [(n,) for n, _ in _WRONG])}",
+    "repair_documents": f"select doc_id, md5(regexp_replace(text, '[^\\x20-\\x7E]', '', 'g') || '{_LETTERS}') as digest from documents",
+    "code_pages": f"select page, {len(_PAGE_LETTERS)} as chars, true as changed, '{_PAGE_LETTERS}' as text from (values ('mac-sami'), ('winsami2'), ('iso-ir-197'), ('iso-ir-209')) as t(page)",
     "recode": "select doc_id, md5(text) as digest from documents",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from html.parser import HTMLParser
 from urllib.parse import unquote
@@ -130,15 +131,18 @@ def corpus_name(name: Column, module: Column, closed: Column) -> Column:
     return F.concat(name, F.lit("_"), module, F.when(closed, "_closed").otherwise(""))
 
 
-_LETTERS = {"đ": "d", "Đ": "D", "ŧ": "t", "Ŧ": "T", "ŋ": "n", "Ŋ": "N", "ø": "o", "Ø": "O", "æ": "ae", "Æ": "AE", "ß": "ss", "þ": "th", "Þ": "Th", "ł": "l", "Ł": "L"}
+# Letters and signs that decomposition doesn't bring to ASCII. Cyrillic ones stand in small letters; capitals follow from them.
+_LETTERS = {"đ": "d", "Đ": "D", "ŧ": "t", "Ŧ": "T", "ŋ": "ng", "Ŋ": "NG", "ø": "o", "Ø": "O", "æ": "ae", "Æ": "AE", "ß": "ss", "þ": "th", "Þ": "Th", "ð": "d", "Ð": "D", "ł": "l", "Ł": "L", "ʒ": "z", "Ʒ": "Z", "–": "-", "—": "--", "’": "'", "‘": "'", "“": '"', "”": '"', "„": '"', "…": "...", "«": "<<", "»": ">>", "ʼ": "'", "\u00a0": " "}
+_CYRILLIC = dict(zip("абвгдежзийклмнопрстуфхцчшщъыьэюяёӱӧӓӹӈ", "a b v g d e zh z i i k l m n o p r s t u f kh ts ch sh shch \" y ' e iu ia io u o a y n".split(" "), strict=True))
+_LETTERS |= _CYRILLIC | {k.upper(): v.capitalize() for k, v in _CYRILLIC.items()}
 
 
 def ascii_name(name: str) -> str:
-    """A file name in small ASCII letters: escapes decoded, accents dropped, leading - and _ dropped, unwanted runs as _."""
-    import re
-
-    plain = "".join(_LETTERS.get(c, c) for c in unquote(name))
-    plain = "".join(c for c in unicodedata.normalize("NFD", plain) if ord(c) < 128)
+    """A file name in small ASCII letters: escapes decoded, letters transliterated, leading - and _ dropped, unwanted runs as _. A name with a path separator is an error."""
+    if "/" in name:
+        raise ValueError(f"not a file name: {name}")
+    plain = "".join(_LETTERS.get(c, c) for c in unicodedata.normalize("NFC", unquote(name)))
+    plain = "".join(c for c in unicodedata.normalize("NFKD", plain) if ord(c) < 128)
     return re.sub(r"[+ ()'?,!<>\"&;#\\|$]+", "_", plain.lstrip("-_")).lower()
 
 
@@ -182,18 +186,18 @@ def categories(files: DataFrame) -> DataFrame:
     return files.groupBy("genre").agg(F.count("*").alias("files"), F.bool_or(~F.col("closed")).alias("in_open"), F.bool_or("closed").alias("in_closed"))
 
 
-# Content types and the suffixes of files saved from them.
-SUFFIXES = {"text/html": ".html", "application/pdf": ".pdf", "application/msword": ".doc", "text/plain": ".txt"}
+# Content types and the suffixes of files saved from them, in the order of the tests.
+SUFFIXES = {"text/html": ".html", "application/msword": ".doc", "application/pdf": ".pdf", "text/plain": ".txt"}
 
 
-def saved_name(url: Column, content_type: Column) -> Column:
-    """File name for a fetched address: its last part where the path ends in /, else index, with the content type's suffix."""
-    last = F.regexp_extract(F.regexp_replace(url, r"[?#].*$", ""), r"([^/]+)/$", 1)
-    stem = F.when(last != "", last).otherwise("index")
+def saved_name(url: Column, content_type: Column, given: Column | None = None) -> Column:
+    """File name for a fetched address: the name that the server gives, else the last folder of an address that ends in /, else index, with the content type's suffix unless the address ends in it."""
+    stem = F.when(F.endswith(url, F.lit("/")), F.regexp_extract(url, r"([^/]*)/$", 1)).otherwise("index")
     suffix = F.lit("")
-    for kind, s in SUFFIXES.items():
-        suffix = F.when(F.startswith(content_type, F.lit(kind)), s).otherwise(suffix)
-    return F.when(F.endswith(stem, suffix), stem).otherwise(F.concat(stem, suffix))
+    for kind, s in reversed(SUFFIXES.items()):
+        suffix = F.when(F.contains(content_type, F.lit(kind)) & ~F.endswith(url, F.lit(s)), s).otherwise(suffix)
+    made = F.concat(stem, suffix)
+    return made if given is None else F.coalesce(given, made)
 
 
 def stem(name: Column, suffix: str = r"\.[^./]+") -> Column:

@@ -13,21 +13,33 @@ from corpusmill.streaming import ingest
 _MARKUP = [
     (1, "no error here"), (2, "one {wrong}${right} word"), (3, "{a}¢{noun|b///c} and {d}€{e} end"), (4, "x {y {z}${zz} w}£{whole} t"), (5, "bad {a}#{b}"), (6, "open {a"), (7, "{two words}‰{two  words}"),
 ]
+_MARKUP_SEEN = [
+    (2, "1", 1, "errorort", "wrong", "", "right", " word", None), (3, "1", 1, "errorortreal", "a", "noun", "b|c", " and ", None), (3, "2", 1, "errorlex", "d", "", "e", " end", None), (4, "1", 1, "errormorphsyn", "y z w", "", "whole", " t", None),
+    (4, "1.1", 2, "errorort", "z", "", "zz", " w", None), (5, None, 0, None, None, None, None, None, "unknown error symbol «#»"), (6, None, 0, None, None, None, None, None, "an error is open at the end of the line"),
+    (7, "1", 1, "errorformat", "two words", "", "two  words", "", None),
+]
+_MARKUP_TEXTS = [(1, "no error here", "no error here"), (2, "one wrong word", "one right word"), (3, "a and d end", "b and e end"), (4, "x y z w t", "x whole t"), (5, None, None), (6, None, None), (7, "two words", "two  words")]
 _COHORTS = [
     (1, "sme", '"<Mun>"\n\t"mun" Pron Sem/Hum Pers Sg1 Nom @SUBJ> #1->2\n: \n"<boađán>"\n\t"boahtit" <mv> V IV Ind Prs Sg1 @FMV #2->0\n\t"boahtit" Err/Orth V TV Inf @FMV #2->0\n"<.>"\n\t"." CLB #3->2\n\n"<¶>"\n\t"¶" CLB\n'),
     (2, "smj", '"<guolle>"\n\t"guolle" N Sem/Ani Sg Nom <W:0.0> @SUBJ> #1->2\n"<xyz>"\n\t"xyz" ? @X #2->0\n"<.>"\n\t"." CLB #3->2\n'),
     (3, "sme", ""),
 ]
+_COHORTS_SEEN = [
+    (1, 1, 1, "Mun", "mun", "Pron", "Pron.Sem_Hum.Pers.Sg1.Nom", "1", "SUBJ>", "2"), (1, 1, 2, "boađán", "boahtit", "V", "V.Ind.Prs.Sg1", "2", "FMV", "0"), (1, 1, 3, ".", ".", "CLB", "CLB", "3", "X", "2"),
+    (2, 1, 1, "guolle", "guolle", "N", "N.Sg.Nom", "1", "SUBJ>", "2"), (2, 1, 2, "xyz", "xyz", "___", "___", "2", "X", "0"), (2, 1, 3, ".", ".", "CLB", "CLB", "3", "X", "2"),
+]
+_SENTENCES_SEEN = [(1, 1, "Mun boađán."), (4, 1, "Girji: Stuoris"), (4, 2, "lea buorre!")]
 _SPACED = [
     (4, "sme", '"<Girji>"\n\t"girji" N Sg Nom #1->0\n"<:>"\n\t":" CLB #2->1\n: \n"<Stuoris>"\n\t"stuoris" A Attr #3->1\n: \n"<¶>"\n\t"¶" CLB #4->1\n:\\n\n"<lea>"\n\t"leat" V Prs Sg3 #5->0\n: \n"<buorre>"\n\t"buorre" A Sg Nom #6->5\n"<!>"\n\t"!" CLB #7->5\n'),
     (5, "sme", '"<12>"\n\t"12" Num #1->0\n"<.>"\n\t"." CLB #2->1\n: \n"<Dát>"\n\t"dát" Pron #1->0\n:odd text\n"<.>"\n\t"." CLB #2->1\n'),
 ]
 _PATHS = [(1, "/c/corpus-sme/converted/admin/a/b.html.xml"), (2, "/c/corpus-sme-orig-x-closed/admin/f.pdf.xsl"), (3, "/c/corpus-nob-orig/ficti/g.txt"), (4, "/c/corpus-sme/tmx/nob/admin/h.html.tmx"), (5, "/tmp/x.txt"), (6, "/c/corpus-smj-x-y/korp_mono/k.txt.xml")]
-_NAMES = [(1, "Ođđa Fiila (1).txt"), (2, "__x+y.txt"), (3, "%C3%A1rran.PDF"), (4, "a b.txt"), (5, "a_b.txt"), (6, "A b.txt"), (7, "-_-z?.doc")]
+_NAMES = [(1, "Ođđa Fiila (1).txt"), (2, "__x+y.txt"), (3, "%C3%A1rran.PDF"), (4, "a b.txt"), (5, "a_b.txt"), (6, "A b.txt"), (7, "-_-z?.doc"), (8, "Кириллица.txt"), (9, "a–b “c”.txt"), (10, "Ŋuova Щи.txt")]
+_NAMES_SEEN = [(1, "odda_fiila_1_.txt"), (2, "x_y.txt"), (3, "arran.pdf"), (4, "a_b.txt"), (5, "a_b.txt"), (6, "a_b.txt"), (7, "z_.doc"), (8, "kirillitsa.txt"), (9, "a-b_c_.txt"), (10, "nguova_shchi.txt")]
 
 
 def error_markup_parse(spark, d):
-    return N.markup_errors(frame(spark, "id int, line string", _MARKUP), "id", "line").select("id", "path", "depth", "kind", "error_text", "info", F.array_join("suggestions", "|").alias("suggestions"), "tail", "problem")
+    return N.markup_errors(frame(spark, "id int, line string", _MARKUP), "id", "line").select("id", "path", F.coalesce("depth", F.lit(0)).alias("depth"), "kind", "error_text", "info", F.array_join("suggestions", "|").alias("suggestions"), "tail", "problem")
 
 
 def error_markup_texts(spark, d):
@@ -173,6 +185,12 @@ _STREAM = "select event_type, count(*) as n, min(event_id) as first, max(event_i
 _RX = "^(.*)/corpus-([^/]+)/(.*)$"
 _MOD = "^(converted|analysed|korp_mono|tmx/[^/]+|korp_tmx/[^/]+|goldstandard/converted|prestable/converted|stable/converted)/"
 ORACLE = {
+    "error_markup_parse": f"select * from {values('id, path, depth, kind, error_text, info, suggestions, tail, problem', _MARKUP_SEEN)}",
+    "error_markup_texts": f"select * from {values('id, uncorrected, corrected', _MARKUP_TEXTS)}",
+    "error_counts": f"select kind, count(*) as n from {values('id, path, depth, kind, error_text, info, suggestions, tail, problem', _MARKUP_SEEN)} where problem is null group by kind",
+    "parse_analysis": f"select * from {values('id, sentence_no, position, word, lemma, pos, msd, ref, deprel, dephead', _COHORTS_SEEN)}",
+    "known_sentences": f"select * from {values('id, sentence_no, sentence', _SENTENCES_SEEN)}",
+    "filename_normalise": f"select * from {values('id, name', _NAMES_SEEN)}",
     "known_sentences": f"select * from {values('id, sentence_no, sentence', [(1, 1, 'Mun boađán.'), (4, 1, 'Girji: Stuoris'), (4, 2, 'lea buorre!')])}",
     "ccat_project": _project("coalesce(type, 'text') = 'text'"),
     "ccat_titles": _project("type in ('title', 'tablecell')"),

@@ -17,8 +17,14 @@ from corpusmill.sources.literals import frame, values
 from corpusmill.sources.tables import load
 
 _SEM = [(1, 1, 1, "guolli", "guolli", "N", "N.Sem_Ani.Sem_Food.Sg", 2, "SUBJ→"), (1, 1, 2, "boahtá", "boahtit", "V", "V.Sg3", 0, "X"), (1, 1, 3, "gili", "gilli", "N", "N.Sem_Plc.Gen", 2, "←OBJ"), (1, 1, 4, ".", ".", "CLB", "CLB", 2, "X")]
+_SEM_SEEN = [
+    (1, 1, 1, "guolli", "guolli", "N", 3, "SUBJ"), (1, 1, 2, "guolli", "Sem_Ani_Sem_Food", "N", 3, "SUBJ"), (1, 1, 3, "boahtá", "boahtit", "V", 0, "X"), (1, 1, 4, "gili", "gilli", "N", 3, "OBJ"), (1, 1, 5, "gili", "Sem_Plc", "N", 3, "OBJ"),
+    (1, 1, 6, ".", ".", "CLB", 3, "X"),
+]
 _FONTS = [(3, 12, "Times", "#000"), (1, 12, "Times", "#000"), (2, 14, "Times", "#000"), (4, 14, "Times", "#000")]
-_FETCHED = [(1, "http://a.no/b/c/", "text/html; charset=utf-8"), (2, "http://a.no/b/c", "application/pdf"), (3, "http://a.no/x.pdf/", "application/pdf"), (4, "http://a.no/d/?q=1", "image/png")]
+_FETCHED = [(1, "http://a.no/b/c/", "text/html; charset=utf-8"), (2, "http://a.no/b/c", "application/pdf"), (3, "http://a.no/x.pdf/", "application/pdf"), (4, "http://a.no/d/?q=1", "image/png"), (5, "http://a.no/e.pdf", "application/pdf")]
+_SAVED = [(1, "c.html"), (2, "index.pdf"), (3, "x.pdf.pdf"), (4, "index"), (5, "index")]
+_COLONS = [(1, "govva:Someone", "govva: Someone"), (2, "Govven: ok", "Govven: ok"), (3, "none:x", "none:x")]
 _ANCHORS = [("# c / d",), ("dog / beana",), ("cat/",), ("a/b/c",), ("& x / y",), ("word / sátni ",)]
 _MODEL = [("ab\t12",), ("",), ("c\t3",)]
 _TYPOS = [(1, "tset\ttest"), (2, "tset\ttext"), (3, "same\tsame"), (4, "none"), (5, "x\ty")]
@@ -76,7 +82,7 @@ def page_margins(spark, d):
 
 
 def colon_spaces(spark, d):
-    return frame(spark, "id int, text string", [(1, "govva:Someone"), (2, "Govven: ok"), (3, "none:x")]).select("id", X.colon_space(F.col("text"), ["govva", "govven", "govvejeaddji"]).alias("text"))
+    return frame(spark, "id int, text string", [(k, t) for k, t, _ in _COLONS]).select("id", X.colon_space(F.col("text"), ["govva", "govven", "govvejeaddji"]).alias("text"))
 
 
 def package_ids(spark, d):
@@ -98,6 +104,9 @@ from corpusmill.plans.corpus import _TOK  # noqa: E402
 
 _LINES = "(select doc_id, generate_subscripts(l, 1) as line_no, unnest(l) as line from (select doc_id, string_split(text, chr(10)) as l from documents))"
 ORACLE = {
+    "saved_names": f"select * from {values('id, name', _SAVED)}",
+    "colon_spaces": f"select * from {values('id, text', [(k, e) for k, _, e in _COLONS])}",
+    "semantic_rows": f"select * from {values('text_id, sentence_id, position, word, lemma, pos, dephead, deprel', _SEM_SEEN)}",
     "merged_lines": f"select doc_id, para_no, md5(string_agg(line, ' ' order by line_no)) as digest from (select *, sum((not regexp_matches(line, '^\\p{{Ll}}'))::int) over (partition by doc_id order by line_no)::bigint as para_no from {_LINES}) group by doc_id, para_no",
     "font_ids": f"select id, min(id) over (partition by size, family, color) as first from {values('id, size, family, color', _FONTS)}",
     "model_files": _MODELS + " z as (select 1) select lang, rank, gram || chr(9) || freq as value from lg_r",

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusmill.functions import text as X
+
 TOKEN_COLUMNS = ("word", "lemma", "pos", "msd", "ref", "deprel", "dephead")
 
 
@@ -69,23 +71,27 @@ def tmx_units(files: DataFrame, key: str, column: str) -> DataFrame:
     return files.select(key, column).mapInPandas(run, f"{key} {kind}, tu_no int, src_lang string, src_text string, tgt_lang string, tgt_text string")
 
 
-# Markers of verse files that begin a title, a paragraph or a section, and those left out.
-SFM_TITLES, SFM_TEXT, SFM_IGNORED = ("mt1", "mt2", "s1"), ("p", "m", "v", "q1", "q2"), ("id", "h", "toc1", "toc2", "toc3", "ide", "rem")
+# Markers of verse files that stand for a title, for running text, and those left out; s2 is a chapter's summary.
+SFM_TITLES, SFM_TEXT, SFM_IGNORED = ("mt1", "mt2", "s1"), ("p", "m", "v", ""), ("id", "ide", "h", "toc1", "toc2", "toc3", "cp")
 
 
 def sfm_paragraphs(lines: DataFrame, key: str) -> DataFrame:
-    """key, section, para_no, type, text of marked-up verse lines (line_no, line). A line without a marker continues; notes and verse numbers go; an unknown marker is an error."""
-    clean = F.regexp_replace(F.regexp_replace("line", r"\\(f|x|vp) .*?\\\1\*", ""), r"\\[a-z0-9]+\*", "")
-    marker = F.regexp_extract(clean, r"^\\([a-z0-9]+)", 1)
-    body = F.trim(F.regexp_replace(F.regexp_replace(clean, r"^\\[a-z0-9]+ ?", ""), r"^[0-9]+[-0-9]* ", ""))
-    kind = F.when(marker.isin(*SFM_TITLES), "title").when(marker == "s2", "summary").when(marker.isin(*SFM_TEXT), "text").when(marker == "c", "section").when(marker.isin(*SFM_IGNORED), "none").when(marker == "", "more").otherwise(F.raise_error(F.concat(F.lit("unknown marker "), marker)))
+    """key, section, para_no, type, text of marked-up verse lines (line_no, line).
+
+    A chapter begins a section; a title or summary is a paragraph and ends the one before. All other lines up to the next such line are one
+    paragraph, a line each. Notes and verse numbers go, empty paragraphs too; an unknown marker is an error.
+    """
+    bare = F.regexp_replace("line", r"\\(f|x|vp)\b[\s\S]*?\\\1\*", "")
+    marker = F.regexp_extract(bare, r"^\\(\w+)", 1)
+    body = X.carons(F.regexp_replace(bare, r"^\\\w+\s*", ""))
+    body = F.when(marker == "v", F.regexp_replace(body, r"^[0-9]+[-0-9]*\s*", "")).when(marker != "c", body)
+    kind = F.when(marker.isin(*SFM_TITLES), "title").when(marker == "s2", "summary").when(marker.isin(*SFM_TEXT), "text").when(marker == "c", "section").when(marker.isin(*SFM_IGNORED), "none").otherwise(F.raise_error(F.concat(F.lit("unknown marker "), marker)))
     w = Window.partitionBy(key).orderBy("line_no")
-    rows = lines.select(key, "line_no", kind.alias("kind"), marker.alias("marker"), F.when(marker == "c", "").otherwise(body).alias("body"))
-    rows = rows.withColumn("section", F.sum((F.col("kind") == "section").cast("int")).over(w)).where("kind not in ('none', 'section')")
-    starts = (F.col("kind") != "more") & (F.col("marker") != "v")
-    rows = rows.withColumn("para_no", F.sum(starts.cast("int")).over(w)).where("body <> ''")
-    joined = rows.groupBy(key, "section", "para_no").agg(F.min_by("kind", "line_no").alias("type"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "body"))), lambda x: x["body"]), " ").alias("text"))
-    return joined.select(key, "section", "para_no", F.when(F.col("type") == "more", "text").otherwise(F.col("type")).alias("type"), "text")
+    rows = lines.select(key, "line_no", kind.alias("kind"), body.alias("body")).where("kind <> 'none'")
+    rows = rows.withColumn("section", F.sum((F.col("kind") == "section").cast("int")).over(w)).withColumn("ends", F.sum((F.col("kind") != "text").cast("int")).over(w)).where("body <> ''")
+    one = rows.groupBy(key, "section", "ends", (F.col("kind") == "text").alias("running")).agg(F.first("kind").alias("kind"), F.array_sort(F.collect_list(F.struct("line_no", "body"))).alias("ls"))
+    number = F.row_number().over(Window.partitionBy(key).orderBy("ends", "running"))
+    return one.select(key, "section", number.alias("para_no"), F.when(F.col("kind") == "title", "title").otherwise("text").alias("type"), F.array_join(F.transform("ls", lambda x: x["body"]), "\n").alias("text"))
 
 
 def verse_rows(spark: SparkSession, path: str, row_tag: str = "verse") -> DataFrame:
@@ -98,15 +104,77 @@ def verse_number(identifier: Column) -> Column:
     return F.element_at(F.split(identifier, r"\."), -1)
 
 
-# Paragraph styles of scripture XML by what they become.
-USX_STYLES = {"title": ("mt", "mt1", "mt2", "mt3", "ms", "s", "s1", "s2", "imt", "is"), "text": ("p", "m", "nb", "pi", "mi", "b"), "listitem": ("li", "li1", "li2"), "more": ("q", "q1", "q2", "q3", "qs"), "none": ("ide", "rem", "h", "toc1", "toc2", "toc3", "r", "cl")}
-
-
-def usx_kind(style: Column) -> Column:
-    out = None
-    for kind, styles in USX_STYLES.items():
-        out = F.when(style.isin(*styles), kind) if out is None else out.when(style.isin(*styles), kind)
-    return out
+# Paragraph styles of scripture XML: those that begin a paragraph, titles among them, those that go on with one, and list items. Others are left out.
+USX_BEGIN, USX_TITLE, USX_GO_ON, USX_LIST = ("s", "p", "nb", "mt", "mt1", "ms", "sp", "ip"), ("s", "mt", "ms", "mt1"), ("m", "q", "q1", "q2", "pi"), ("li", "li1", "li2")
+
+
+def _running(para: ElementTree.Element) -> str:
+    """Text of a paragraph without notes, with single blanks."""
+    parts = [para.text or ""]
+    for child in para:
+        parts += ["" if child.tag == "note" else _running(child), child.tail or ""]
+    return " ".join("".join(parts).split())
+
+
+def _usx(root: ElementTree.Element) -> Iterator[tuple[int, str, str]]:
+    section, paras = 0, []
+    for node in root:
+        style = node.get("style")
+        section += node.tag == "chapter"
+        if node.tag != "para":
+            continue
+        text = _running(node)
+        if style in USX_GO_ON and paras and paras[-1][0] == section and paras[-1][1] != "title":
+            paras[-1][2] = f"{paras[-1][2]} {text}".strip()
+        elif style in USX_BEGIN + USX_GO_ON:
+            paras.append([section, "title" if style in USX_TITLE else "text", text])
+        elif style in USX_LIST:
+            paras.append([section, "listitem", text])
+    yield from map(tuple, paras)
+
+
+def _bible(root: ElementTree.Element) -> Iterator[tuple[int, str, str]]:
+    def verses(nodes) -> str:
+        return "\n".join(v.text for v in nodes if v.text)
+
+    def section(node):
+        yield "title", node.get("title") or ""
+        loose = []
+        for child in node:
+            if child.tag == "p":
+                if loose:
+                    yield "text", verses(loose)
+                    loose = []
+                yield "text", verses(child)
+            else:
+                loose.append(child)
+        yield "text", verses(loose)
+
+    number = 0
+    for book in root.iter("book"):
+        yield number, "title", book.get("title") or ""
+        for chapter in book.iter("chapter"):
+            number += 1
+            yield number, "title", " ".join(x for x in (chapter.get("number"), chapter.get("title")) if x is not None)
+            for child in chapter:
+                yield from ((number, *p) for p in (section(child) if child.tag == "section" else [("text", child.text or "")]))
+
+
+def scripture_paragraphs(docs: DataFrame, key: str, xml: str, usx: bool) -> DataFrame:
+    """key, section (chapters from 1, 0 before them), para_no, type, text of scripture XML: paragraphs by style (usx), or books, chapters, sections and verses. Empty paragraphs and files that aren't XML give no rows."""
+    read = _usx if usx else _bible
+
+    @F.pandas_udf("array<struct<section:int,type:string,text:string>>")
+    def paras(column: pd.Series) -> pd.Series:
+        def one(x):
+            try:
+                return [p for p in read(ElementTree.fromstring(x)) if p[2]]
+            except (ElementTree.ParseError, TypeError):
+                return None
+
+        return column.map(one)
+
+    return docs.select(key, F.posexplode(paras(xml)).alias("k", "p")).select(key, "p.section", (F.col("k") + 1).alias("para_no"), "p.type", "p.text")
 
 
 def first_stories(stories: DataFrame, key: str, order: str) -> DataFrame:

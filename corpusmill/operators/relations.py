@@ -100,8 +100,8 @@ def text_counts(tokens: DataFrame) -> DataFrame:
 def tokens_per_year(spans: DataFrame) -> DataFrame:
     """year, tokens for each distinct dateto: tokens of the rows whose datefrom begins with it. Dates are summed first, then each stands once for each of its beginnings, so the prefix test is an equi-join."""
     ends = spans.select("dateto").distinct()
-    days = spans.groupBy("datefrom").agg(F.sum("tokens").alias("tokens")).where("length(datefrom) > 0")
-    starts = days.select(F.explode(F.sequence(F.lit(1), F.length("datefrom"))).alias("n"), "datefrom", "tokens").select(F.expr("left(datefrom, n)").alias("dateto"), "tokens")
+    days = spans.groupBy("datefrom").agg(F.sum("tokens").alias("tokens"))
+    starts = days.select(F.explode(F.sequence(F.lit(0), F.length("datefrom"))).alias("n"), "datefrom", "tokens").select(F.expr("left(datefrom, n)").alias("dateto"), "tokens")
     return ends.join(starts, "dateto", "left").groupBy("dateto").agg(F.sum("tokens").alias("tokens")).select(F.substring("dateto", 1, 4).alias("year"), "dateto", "tokens")
 
 

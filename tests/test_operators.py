@@ -5,11 +5,12 @@ import difflib
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.functions import dates
+from corpusmill.functions import dates, encodings
 from corpusmill.functions import text as X
-from corpusmill.operators import alignment, annotations, duplicates, ngram, pages, relations
+from corpusmill.operators import alignment, annotations, catalogue, duplicates, ngram, pages, readings, relations
 from corpusmill.plans import corpus
-from corpusmill.sources import tables
+from corpusmill.sources import formats, tables
+from corpusmill.streaming import ingest
 
 
 def test_tokens_keep_empty_ones(spark):
@@ -147,3 +148,52 @@ def test_rank_limit_reaches_the_sort(spark, sf_dir):
 
     plan = ngram.char_model(spark.read.parquet(f"{sf_dir}/documents.parquet"))._jdf.queryExecution().optimizedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_a_file_without_status_is_an_error(spark):
+    files = spark.createDataFrame([("a", "standard"), ("b", None)], "path string, status string")
+    with pytest.raises(Exception, match="no conversion status: b"):
+        catalogue.convertable(files, False).collect()
+
+
+def test_unknown_labels_and_markers_are_errors(spark):
+    with pytest.raises(Exception, match="unknown label: ODD"):
+        spark.createDataFrame([("ODD",)], "x string").select(readings.label_shown(F.col("x"))).collect()
+    with pytest.raises(Exception, match="unknown marker q9"):
+        formats.sfm_paragraphs(spark.createDataFrame([(1, 1, "\\q9 x")], "id int, line_no int, line string"), "id").collect()
+
+
+def test_names_with_a_separator_are_errors():
+    with pytest.raises(ValueError):
+        pages.ascii_name("a/b.txt")
+    assert pages.ascii_name("Ёж и йод.DOC") == "iozh_i_iod.doc"
+
+
+def test_ingest_takes_rows_once(spark, tmp_path):
+    schema = "id int, ts timestamp"
+    at = [f"file://{tmp_path}/{n}" for n in ("in", "table", "log")]
+    rows = lambda lo, hi: spark.range(lo, hi).selectExpr("cast(id as int) as id", "timestamp '2020-01-01' + make_interval(id * 9) as ts")
+    rows(0, 10).union(rows(0, 5)).write.parquet(at[0])
+    assert ingest.ingest(spark, at[0], at[1], at[2], schema, ("id",)).count() == 10
+    assert ingest.ingest(spark, at[0], at[1], at[2], schema, ("id",)).count() == 10
+    rows(5, 20).write.mode("append").parquet(at[0])
+    again = ingest.ingest(spark, at[0], at[1], at[2], schema, ("id",))
+    assert sorted(r.id for r in again.collect()) == list(range(20))
+
+
+def test_repairs_take_nulls_and_unknown_names(spark):
+    rows = spark.createDataFrame([(None, "double-utf8"), ("x", None), ("þ", "finnish-lawtexts-in-pdf"), ("y", "none such")], "t string, g string")
+    assert [r[0] for r in rows.select(encodings.repaired(F.col("t"), F.col("g"))).collect()] == [None, "x", "č", "y"]
+
+
+def test_catalogue_of_nothing(spark):
+    none = spark.createDataFrame([], "id int, path string, status string, text string")
+    assert catalogue.repeated_members(none, "id", "text").count() == 0
+    assert none.select(catalogue.reader_of(F.col("path"), F.col("status"))).count() == 0
+    assert catalogue.wanted_languages(spark.createDataFrame([("en",)], "lang string"), []).collect()[0].known
+
+
+def test_a_date_shorter_than_the_prefix(spark):
+    spans = spark.createDataFrame([("2001", "2001", 3), ("20010101", "20010101", 4), ("", "", 5)], "datefrom string, dateto string, tokens int")
+    got = {r.dateto: r.tokens for r in relations.tokens_per_year(spans).collect()}
+    assert (got["2001"], got["20010101"], got[""]) == (7, 4, 12)

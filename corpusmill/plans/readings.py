@@ -43,6 +43,13 @@ _XML = [
 _XML_SEEN = [
     (1, "sme", 0, "title", None, "text:Head"), (1, "sme", 1, None, "nob", "text:a |errorort:bad>good|text: t|hyph:­|text:e |text:x"), (2, "smj", 0, None, None, "text:a|errorlex:b c e>f"), (2, "smj", 1, None, None, ""),
 ]
+_ERRORS = [
+    (1, "/c/a.xml", '<document><body><p>x <errorort>bad<correct pos="n" errtype="mix">good</correct></errorort> y <em><errorlex>w<correct>v</correct></errorlex></em></p></body></document>'),
+    (2, "/c/b.xml", '<document><body><p><errormorphsyn cat="x">a <errorort>b<correct>c</correct></errorort> d<correct cat="y">whole</correct><correct>other</correct></errormorphsyn></p></body></document>'),
+    (3, "c.xml", '<document><body><p>none</p></body></document>'),
+]
+_ERRORS_SEEN = [(1, 1, "bad\tgood\t#errtype=mix,pos=n"), (1, 2, "w\tv"), (2, 1, "a c d\twhole\t#cat=y\tother"), (2, 2, "b\tc")]
+_ERRORS_NAMED = [(1, 1, "bad\tgood\t#errtype=mix,pos=n, file: a.xml")]
 _GENRE = [(1, "admin", "administration"), (2, "laws", "law"), (3, "", ""), (4, None, ""), (5, "blogs", "blog"), (6, "own", "own")]
 
 
@@ -108,6 +115,14 @@ def element_pick(spark, d):
     return docs.select("doc_id", F.md5(G.element_text(F.col("xml"), "dependency")).alias("digest"))
 
 
+def error_lines(spark, d):
+    return G.error_lines(frame(spark, "id int, path string, xml string", _ERRORS), "id", "xml")
+
+
+def error_lines_named(spark, d):
+    return G.error_lines(frame(spark, "id int, path string, xml string", _ERRORS), "id", "xml", ("errorort",), "path")
+
+
 def relation_sentences(spark, d):
     return R.relation_sentences(R.with_heads(R.derived_tokens(load(spark, d, "documents"))))
 
@@ -120,7 +135,7 @@ def semantic_counts(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (reading_lines, semantic_classes, derivation_swap, token_lines, function_labels, genre_names, analysed_units, quote_marking, emphasis_compaction, caron_letters, xml_paragraphs, xml_projection, element_pick, relation_sentences, semantic_counts)
+    for f in (reading_lines, semantic_classes, derivation_swap, token_lines, function_labels, genre_names, analysed_units, quote_marking, emphasis_compaction, caron_letters, xml_paragraphs, xml_projection, element_pick, error_lines, error_lines_named, relation_sentences, semantic_counts)
 }
 
 
@@ -143,6 +158,8 @@ ORACLE = {
     "xml_projection": """select doc_id, md5(string_agg(regexp_replace(l, '[ ]+$', '') || ' ¶' || chr(10), '' order by n)) as digest from (
   select doc_id, generate_subscripts(ls, 1) as n, unnest(ls) as l from (select doc_id, string_split(regexp_replace(text, '[&<>]|[^\\x09\\x0A\\x20-\\x{D7FF}]', '', 'g') || ' good', chr(10)) as ls from documents)) where trim(l) <> '' group by doc_id""",
     "element_pick": "select doc_id, case when doc_id % 3 > 0 then md5(regexp_replace(text, '[^A-Za-z0-9 ]', '', 'g')) end as digest from documents",
+    "error_lines": _seen("id, line_no, line", _ERRORS_SEEN),
+    "error_lines_named": _seen("id, line_no, line", _ERRORS_NAMED),
     "relation_sentences": _TOK
     + ", ok as (select * from hd where not (hword = word and hlemma = lemma) and rel <> 'X'), "
     + _CASES

@@ -11,11 +11,6 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def literal(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
-    """A small table written out in code."""
-    return spark.createDataFrame(rows, schema)
-
-
 def files(spark: SparkSession, root: str, suffix: str) -> DataFrame:
     """path, modified and length of every file below `root` with the suffix; contents aren't read unless asked for."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").load(root)

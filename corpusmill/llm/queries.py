@@ -14,6 +14,7 @@ from corpusmill.llm import (
     html_blstm,
     langid_crossparse,
     license_winnow,
+    merkle_manifest,
     paragraph_minhash,
     quality_nnpu,
     simhash_popcount,
@@ -101,6 +102,13 @@ def op10_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "cut.n_words", "cut.n_cut", "cut.n_spans", *more)
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 7 == 0
+    found = merkle_manifest.manifest(_read(spark, sf_dir, "documents"), changed={"n_chars": F.col("n_chars") + 1}, where=tampered)
+    hexed = {"leaf": "leaf", "subroot": "subroot", "root": "root", "proof": "proof_sha256", "folded": "folded_root"}
+    return found.select("doc_id", *(F.lower(F.hex(c)).alias(name) for c, name in hexed.items()), "verified")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -125,5 +133,44 @@ from d left join hit using (r) left join its using (r)
 """
 
 
+def _h(*columns: str) -> str:
+    """SQL of the digest of some fields: a dash for null, else the count of bytes, a colon and the value."""
+    return "sha256(" + " || ".join(f"coalesce(strlen(cast({c} as varchar)) || ':' || cast({c} as varchar), '-')" for c in columns) + ")"
+
+
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(cast(doc_id as varchar), ''), lambda x: ascii(x)::bigint)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda a, k: if(a & 1 = 1, xor(a >> 1, 3988292384::bigint), a >> 1))))"""
+
+_OP12 = f"""
+with recursive
+leaf as (select row_number() over () as r, doc_id, lang, {_h("doc_id", "source", "lang", "n_chars", "text")} as leaf,
+         case when {_CRC32} % 7 = 0 then {_h("doc_id", "source", "lang", "n_chars + 1", "text")} end as altered from documents),
+own as (select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by lang) as n from leaf),
+low as (select 0 as lvl, lang, i, n, leaf as h from own
+        union all
+        select lvl + 1, lang, i // 2, max((n + 1) // 2), sha256(string_agg(h, '' order by i)) from low where n > 1 group by lvl, lang, i // 2),
+sub as (select lang, lvl as levels, h as subroot, row_number() over (order by lang nulls first) - 1 as j, count(*) over () as m from low where n = 1),
+high as (select 0 as lvl, j, m, subroot as h from sub
+         union all
+         select lvl + 1, j // 2, max((m + 1) // 2), sha256(string_agg(h, '' order by j)) from high where m > 1 group by lvl, j // 2),
+top as (select lvl as above, h as root from high where m = 1),
+step as (select own.r, l.lvl, (own.i >> l.lvl) & 1 = 1 as on_left, s.h as sibling
+         from own join sub on own.lang is not distinct from sub.lang join (select distinct lvl from low) l on l.lvl < sub.levels
+         left join low s on s.lang is not distinct from own.lang and s.lvl = l.lvl and s.i = xor(own.i >> l.lvl, 1)
+         union all
+         select own.r, sub.levels + l.lvl, (sub.j >> l.lvl) & 1 = 1, s.h
+         from own join sub on own.lang is not distinct from sub.lang join (select distinct lvl from high) l on l.lvl < (select above from top)
+         left join high s on s.lvl = l.lvl and s.j = xor(sub.j >> l.lvl, 1)),
+fold as (select r, 0 as lvl, coalesce(altered, leaf) as h from own
+         union all
+         select fold.r, fold.lvl + 1, sha256(case when on_left then coalesce(sibling, '') || h else h || coalesce(sibling, '') end)
+         from fold join step on step.r = fold.r and step.lvl = fold.lvl),
+last as (select r, arg_max(h, lvl) as folded_root from fold group by r),
+prf as (select r, string_agg(sibling, '' order by lvl) as p from step group by r)
+select doc_id, leaf, subroot, root, sha256(coalesce(p, '')) as proof_sha256, folded_root, folded_root = root as verified
+from own join sub on own.lang is not distinct from sub.lang cross join top join last using (r) left join prf using (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontam_wumanber": _OP7}
+    return {"op7_decontam_wumanber": _OP7, "op12_merkle_manifest": _OP12}

@@ -18,6 +18,7 @@ from corpusmill.llm import (
     paragraph_minhash,
     quality_nnpu,
     simhash_popcount,
+    source_divergence,
     toxicity_ftrl,
 )
 
@@ -109,6 +110,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(F.lower(F.hex(c)).alias(name) for c, name in hexed.items()), "verified")
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -172,5 +177,30 @@ from own join sub on own.lang is not distinct from sub.lang cross join top join
 """
 
 
+_P = "1 + 1000000000 * ({n}::hugeint + 1) // ({total} + v)"
+_F = "({p} - {q}) * ({p} - {q}) // {q}"
+
+_OP13 = f"""
+with docs as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+              translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+words as (select r, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from docs),
+kept as (select lang, term, count(*) as n from words group by lang, term having count(distinct r) >= 3),
+langs as (select lang, sum(n) as total, count(*) as v from kept group by lang),
+grp as (select distinct lang, source from docs),
+cnt as (select lang, source, term, count(*) as n from words join kept using (lang, term) group by all),
+sums as (select lang, source, sum(n) as total from cnt group by all),
+own as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n, {_P.format(n="coalesce(c.n, 0)", total="coalesce(s.total, 0)")} as p,
+        {_P.format(n="k.n", total="l.total")} as q
+        from grp g join kept k using (lang) join langs l using (lang) left join sums s using (lang, source) left join cnt c using (lang, source, term)),
+met as (select a.lang, a.source, b.source as item, sum({_F.format(p="a.p", q="b.p")}) as value
+        from own a join own b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pair as (select a.lang, a.source, 'pair' as part, b.source as item, cast(coalesce(m.value, 0) as bigint) as value
+         from grp a join grp b on a.lang = b.lang and a.source <> b.source left join met m on m.lang = a.lang and m.source = a.source and m.item = b.source),
+term as (select lang, source, 'term' as part, term as item, cast({_F.format(p="p", q="q")} as bigint) as value from own where n > 0 and p > q)
+select *, cast(row_number() over (partition by lang, source, part order by value desc, item) as int) as rank from (from pair union all from term)
+qualify part = 'pair' or rank <= 200
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontam_wumanber": _OP7, "op12_merkle_manifest": _OP12}
+    return {"op7_decontam_wumanber": _OP7, "op12_merkle_manifest": _OP12, "op13_source_divergence": _OP13}

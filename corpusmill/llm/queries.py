@@ -12,6 +12,7 @@ from corpusmill.llm import (
     bpe_wordtable,
     decontam_wumanber,
     html_blstm,
+    jaccard_trie,
     langid_crossparse,
     license_winnow,
     merkle_manifest,
@@ -103,6 +104,10 @@ def op10_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "cut.n_words", "cut.n_cut", "cut.n_spans", *more)
 
 
+def op11_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_trie.similar(_read(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 7 == 0
     found = merkle_manifest.manifest(_read(spark, sf_dir, "documents"), changed={"n_chars": F.col("n_chars") + 1}, where=tampered)

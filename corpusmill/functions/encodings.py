@@ -25,19 +25,21 @@ MAC_SAMI = {
 WINSAMI2 = {
     0x82: "Č", 0x84: "č", 0x85: "Ʒ", 0x86: "ʒ", 0x87: "Ǯ", 0x88: "ǯ", 0x89: "Đ", 0x98: "đ", 0x99: "Ǧ", 0xA1: "ǧ", 0xA2: "Ǥ", 0xA5: "ǥ", 0xAA: "Ȟ", 0xAF: "ȟ", 0xB2: "Ǩ", 0xB3: "ǩ", 0xB8: "Ŋ", 0xB9: "ŋ", 0xBA: "Ŧ", 0xBC: "ŧ", 0xBE: "Ž", 0xBF: "ž",
 }
-ISO_IR_197 = {0xA1: "Č", 0xA2: "č", 0xA3: "Đ", 0xA4: "đ", 0xA6: "Ǥ", 0xA8: "ǥ", 0xA9: "Ǧ", 0xAB: "ǧ", 0xAE: "Ǩ", 0xAF: "Ŋ", 0xB1: "ŋ", 0xB2: "Š", 0xB3: "š", 0xB5: "Ŧ", 0xB6: "ŧ", 0xB8: "Ž", 0xB9: "ž"}
 ISO_IR_209 = {
     0x86: "¬", 0x87: "≠", 0x88: "£", 0x8A: "¿", 0x8B: "≤", 0x98: "®", 0x9A: "¡", 0x9B: "≥", 0xA1: "Č", 0xA2: "č", 0xA3: "Đ", 0xA4: "đ", 0xA5: "Ǥ", 0xA6: "ǥ", 0xA8: "Ǧ", 0xAA: "ǧ", 0xAB: "Ȟ", 0xAC: "Ǩ", 0xAE: "ǩ", 0xAF: "Ŋ", 0xB1: "ŋ",
     0xB2: "Š", 0xB3: "š", 0xB5: "Ŧ", 0xB8: "ŧ", 0xB9: "Ž", 0xBA: "ž", 0xBB: "ȟ", 0xBC: "Ʒ", 0xBD: "ʒ", 0xBE: "Ǯ", 0xBF: "ǯ",
 }
+ISO_IR_197 = ISO_IR_209 | {0xAB: "«", 0xBB: "»"}
+# Bytes that these pages leave as control characters.
+UNUSED = {b: chr(b) for b in (0x8D, 0x8E, 0x8F, 0x9D, 0x9E)}
 MEADOW_MARI = {0x88: "Ҥ", 0x89: "ҥ", 0x99: "Ӱ", 0xA2: "ӱ", 0xAA: "Ӧ", 0xBA: "ӧ"}
 
 
 def register() -> None:
     charmap("mac-sami", "mac_roman", MAC_SAMI)
-    charmap("winsami2", "cp1252", WINSAMI2)
-    charmap("iso-ir-197", "latin-1", ISO_IR_197)
-    charmap("iso-ir-209", "cp1252", ISO_IR_209)
+    charmap("winsami2", "cp1252", UNUSED | WINSAMI2)
+    charmap("iso-ir-197", "cp1252", UNUSED | ISO_IR_197)
+    charmap("iso-ir-209", "cp1252", UNUSED | ISO_IR_209)
     charmap("meadow-mari", "cp1251", MEADOW_MARI)
 
 
@@ -51,26 +53,38 @@ _PAGES = {
 }
 
 
-def _pairs(wrong: str, right: str) -> list[tuple[str, str]]:
-    return list(zip(wrong.split(), right.split(), strict=True))
-
-
-def _read_as_1252(letters: str) -> list[tuple[str, str]]:
-    """UTF-8 letters as they look in code page 1252, where a byte without a letter shows as ?."""
-    return [(x.encode().decode("cp1252", "replace").replace("\ufffd", "?"), x) for x in letters.split()]
-
-
 # Names of guesses that replacements repair, in this order.
 _REPLACED = {
-    "mix-mac-sami-and-some-unknown-encoding": [("\x87", "á"), *_pairs("_ ã ÷ À ç â ¼ ¿", "š č đ ž Á Č ŧ ø")],
-    "latin4_to_cp1252": _pairs("¹ è ð ¾ ¿ È ¼ © Ð ½ ® ¬", "š č đ ž ŋ Č ŧ Š Đ Ŋ Ž Ŧ"),
-    "winsam_to_cp1252": _pairs("ó ç ð þ ñ Ç ý Ó Ð Ñ Þ Ý", "š č đ ž ŋ Č ŧ Š Đ Ŋ Ž Ŧ"),
-    "iso-ir-197_to_cp1252": _pairs("³ ¢ ¤ º ± ¡ ¸ ² £ ¯ ¹ µ", "š č đ ž ŋ Č ŧ Š Đ Ŋ Ž Ŧ"),
-    "mix-of-latin4-and-iso-ir-197_to_cp1252": _pairs("ó ç ¤ º Ç Ó £", "š č đ ž Č Š Đ"),
-    "double-utf8": _read_as_1252("á Á š") + [("Â¹", "š")] + _read_as_1252("Š ŧ ŋ Ŋ đ") + [("Ã°", "đ")] + _read_as_1252("ž") + [("Âº", "ž")] + _read_as_1252("Ž č") + [("Ã¨", "č")]
-    + _read_as_1252("Č æ ø Ø å Å ä Ä ö “ ” – «") + [("â‰¤", "«")] + _read_as_1252("»") + [("â‰¥", "»")] + _read_as_1252("´ •"),
-    "finnish-lawtexts-in-pdf": [("þ", "č")],
-    "cyrillic_in_pdf": _pairs("¡ ¢ ª ¯ ² ³ · ¸ ¹ º ¿ À Á", "ӱ ӱ Ӧ Ӹ Ӓ ӓ Ё ё № ӧ ӹ A б") + [(chr(b), bytes([b]).decode("cp1251")) for b in range(0xC2, 0x100)],
+    "mix-mac-sami-and-some-unknown-encoding": [
+        ("\x87", "á"), ("_", "š"), ("ã", "č"), ("÷", "đ"), ("À", "ž"), ("ç", "Á"), ("â", "Č"), ("¼", "ŧ"), ("¿", "ø"),
+    ],
+    "latin4_to_cp1252": [
+        ("á", "á"), ("¹", "š"), ("è", "č"), ("ð", "đ"), ("¾", "ž"), ("¿", "ŋ"), ("Á", "Á"), ("È", "Č"), ("¼", "ŧ"), ("©", "Š"), ("Ð", "Đ"),
+        ("½", "Ŋ"), ("®", "Ž"), ("¬", "Ŧ"),
+    ],
+    "winsam_to_cp1252": [
+        ("á", "á"), ("ó", "š"), ("ç", "č"), ("ð", "đ"), ("þ", "ž"), ("ñ", "ŋ"), ("Á", "Á"), ("Ç", "Č"), ("ý", "ŧ"), ("Ó", "Š"), ("Ð", "Đ"),
+        ("Ñ", "Ŋ"), ("Þ", "Ž"), ("Ý", "Ŧ"),
+    ],
+    "iso-ir-197_to_cp1252": [
+        ("á", "á"), ("³", "š"), ("¢", "č"), ("¤", "đ"), ("º", "ž"), ("±", "ŋ"), ("Á", "Á"), ("¡", "Č"), ("¸", "ŧ"), ("²", "Š"), ("£", "Đ"),
+        ("¯", "Ŋ"), ("¹", "Ž"), ("µ", "Ŧ"),
+    ],
+    "mix-of-latin4-and-iso-ir-197_to_cp1252": [
+        ("á", "á"), ("ó", "š"), ("ç", "č"), ("¤", "đ"), ("º", "ž"), ("Á", "Á"), ("Ç", "Č"), ("Ó", "Š"), ("£", "Đ"),
+    ],
+    "double-utf8": [
+        ("Ã¡", "á"), ("Ã?", "Á"), ("Å¡", "š"), ("Â¹", "š"), ("Å\u00a0", "Š"), ("Å§", "ŧ"), ("Å‹", "ŋ"), ("ÅŠ", "Ŋ"), ("Ä‘", "đ"), ("Ã°", "đ"),
+        ("Å¾", "ž"), ("Âº", "ž"), ("Å½", "Ž"), ("Ä?", "č"), ("Ã¨", "č"), ("ÄŒ", "Č"), ("Ã¦", "æ"), ("Ã¸", "ø"), ("Ã˜", "Ø"), ("Ã¥", "å"),
+        ("Ã…", "Å"), ("Ã¤", "ä"), ("Ã„", "Ä"), ("Ã¶", "ö"), ("â€œ", "“"), ("â€?", "”"), ("â€“", "–"), ("Â«", "«"), ("â‰¤", "«"), ("Â»", "»"),
+        ("â‰¥", "»"), ("Â´", "´"), ("â€¢", "•"),
+    ],
+    "finnish-lawtexts-in-pdf": [("þ", "č"), ("á", "á")],
+    # the rest of the Cyrillic letters stand where code page 1251 has them
+    "cyrillic_in_pdf": [
+        ("¡", "ӱ"), ("¢", "ӱ"), ("ª", "Ӧ"), ("¯", "Ӹ"), ("²", "Ӓ"), ("³", "ӓ"), ("·", "Ё"), ("¸", "ё"), ("¹", "№"), ("º", "ӧ"), ("¿", "ӹ"),
+        ("À", "A"), ("Á", "б"), *((chr(b), bytes([b]).decode("cp1251")) for b in range(0xC2, 0x100)),
+    ],
 }
 
 
@@ -103,19 +117,3 @@ def recoded(text: Column, wrong: str, right: str) -> Column:
         return s.map(lambda t: t.encode(wrong, "xmlcharrefreplace").decode(right, "replace"), na_action="ignore")
 
     return run(text)
-
-
-def twice_decoded(text: Column) -> Column:
-    """UTF-8 that was read as code page 1252 and written again; text that isn't such stays as it is."""
-
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        def one(t: str) -> str:
-            try:
-                return t.encode("cp1252").decode("utf-8")
-            except UnicodeError:
-                return t
-
-        return s.map(one, na_action="ignore")
-
-    return run(text)

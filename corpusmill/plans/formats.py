@@ -28,14 +28,16 @@ _BIBLE = [(1, '<bible><book title="Ruth"><chapter number="1" title="First"><sect
 _BIBLE_SEEN = [(1, 0, 1, "title", "Ruth"), (1, 1, 2, "title", "1 First"), (1, 1, 3, "title", "S"), (1, 1, 4, "text", "a\nb"), (1, 1, 5, "text", "c"), (1, 1, 6, "text", "d"), (1, 1, 7, "text", "alone"), (1, 2, 8, "title", "2"), (1, 2, 9, "title", "Z")]
 _VRT_LINES = [(1, '<text id="1">\na\tb\tc\td\te\tf\tg\nshort\tline\n</text>'), (2, "x\ty"), (3, "")]
 
-_LETTERS = "á š č đ ž ŋ Á Č ŧ Š Đ Ŋ Ž Ŧ ø Ø å Å æ Æ"
-_WRONG = [
-    ("mac-sami_to_cp1252", "‡ » ¸ ¹ ½ º ç ¢ ¼ ´ ° ± · µ ¿ ¯ Œ \x81 ¾ ®"), ("mac-sami_to_latin1", "\x87 » ¸ ¹ ½ º ç ¢ ¼ ´ ° ± · µ ¿ ¯ \x8c \x81 ¾ ®"), ("mac-sami_to_mac", "á ª ∏ π Ω ∫ Á ¢ º ¥ ∞ ± ∑ µ ø Ø å Å æ Æ"),
-    ("winsami2_to_cp1252", "á š „ ˜ ¿ ¹ Á ‚ ¼ Š ‰ ¸ ¾ º ø Ø å Å æ Æ"), ("mix-mac-sami-and-some-unknown-encoding", "\x87 _ ã ÷ À ŋ ç â ¼ Š Đ Ŋ Ž Ŧ ¿ Ø å Å æ Æ"), ("latin4_to_cp1252", "á ¹ è ð ¾ ¿ Á È ¼ © Ð ½ ® ¬ ø Ø å Å æ Æ"),
-    ("winsam_to_cp1252", "á ó ç ð þ ñ Á Ç ý Ó Ð Ñ Þ Ý ø Ø å Å æ Æ"), ("iso-ir-197_to_cp1252", "á ³ ¢ ¤ º ± Á ¡ ¸ ² £ ¯ ¹ µ ø Ø å Å æ Æ"), ("mix-of-latin4-and-iso-ir-197_to_cp1252", "á ó ç ¤ º ŋ Á Ç ŧ Ó £ Ŋ Ž Ŧ ø Ø å Å æ Æ"),
-    ("double-utf8", "Ã¡ Å¡ Ä? Ä‘ Âº Å‹ Ã? ÄŒ Å§ Å\u00a0 Đ ÅŠ Å½ Ŧ Ã¸ Ã˜ Ã¥ Ã… Ã¦ Æ"), ("finnish-lawtexts-in-pdf", "á š þ đ ž ŋ Á Č ŧ Š Đ Ŋ Ž Ŧ ø Ø å Å æ Æ"),
+#: ASCII letters of a document as letters that Sámi code pages hold: a stand-in for Sámi text.
+_ASCII, _SAMI = "ascdznt", "ášČđžŋŧ".lower()
+_LATIN, _MARI = "abegiklmnoprstuvy", "абегиклмноӧрсҥувы"
+_PLAIN = "[^\\n\\x20-\\x7E]|[_<>&]"
+#: (guess, page in which a text was written, page in which it was read)
+_MISREAD = [
+    ("mac-sami_to_cp1252", "mac-sami", "cp1252"), ("mac-sami_to_latin1", "mac-sami", "latin-1"), ("mac-sami_to_mac", "mac-sami", "mac_roman"),
+    ("winsami2_to_cp1252", "winsami2", "cp1252"), ("latin4_to_cp1252", "iso8859_4", "cp1252"), ("iso-ir-197_to_cp1252", "iso-ir-197", "cp1252"),
+    ("double-utf8", "utf-8", "cp1252"),
 ]
-_PAGE_LETTERS = "áÁšŠŧŦŋŊđĐžŽčČøØöÖåÅäÄ"
 
 
 def _tokens(spark, d):
@@ -106,34 +108,55 @@ def recode(spark, d):
     return garbled.select("doc_id", F.md5(encodings.recoded(F.col("garbled"), "latin-1", "utf-8")).alias("digest"))
 
 
+def _sami(spark, d):
+    """doc_id, text of documents in Sámi letters; one line more has each of them."""
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), _PLAIN, "")
+    return load(spark, d, "documents").select("doc_id", F.concat(F.translate(plain, _ASCII, _SAMI), F.lit("\n" + _SAMI)).alias("text"))
+
+
 def repair_by_guess(spark, d):
-    rows = frame(spark, "name string, text string", _WRONG)
+    """Every document in each code page that it may have been read in wrongly: what the guess names, and the text put right by it."""
+    docs, out = _sami(spark, d), None
+    for name, right, wrong in _MISREAD:
+        read = docs.select("doc_id", F.lit(name).alias("name"), F.replace(encodings.recoded(F.col("text"), right, wrong), F.lit("\ufffd"), F.lit("?")).alias("text"))
+        out = read if out is None else out.union(read)
     guess = X.guess_encoding(F.col("text"), F.lit("sme"))
-    return rows.select("name", guess.alias("guess"), encodings.repaired(F.col("text"), guess).alias("text"))
+    found = out.select("doc_id", "name", guess.alias("guess"), "text")
+    return found.select("doc_id", "name", "guess", F.md5(encodings.repaired(F.col("text"), F.col("guess"))).alias("digest"))
 
 
 def repair_documents(spark, d):
-    """Documents as they look when read in the wrong code page, put right."""
-    docs = load(spark, d, "documents").select("doc_id", F.regexp_replace("text", "[^\\x20-\\x7E]", "").alias("t"))
-    wrong = docs.select("doc_id", F.concat("t", F.lit(_WRONG[3][1])).alias("text"))
-    return wrong.select("doc_id", F.md5(encodings.repaired(F.col("text"), F.lit(_WRONG[3][0]))).alias("digest"))
+    """Documents as they look when read in the wrong code page, put right by the name of that page."""
+    wrong = _sami(spark, d).select("doc_id", encodings.recoded(F.col("text"), "winsami2", "cp1252").alias("text"))
+    return wrong.select("doc_id", F.md5(encodings.repaired(F.col("text"), F.lit("winsami2_to_cp1252"))).alias("digest"))
 
 
 def code_pages(spark, d):
-    """Letters that every Sámi page holds, written in each and read in code page 1252 or Latin 1, and put right."""
-    rows = frame(spark, "text string", [(_PAGE_LETTERS,)])
-    out = None
+    """Documents written in each Sámi page: how many characters another page shows otherwise, and the text read in its own page again."""
+    docs, out = _sami(spark, d), None
     for page in ("mac-sami", "winsami2", "iso-ir-197", "iso-ir-209"):
-        wrong = encodings.recoded(F.col("text"), page, "latin-1")
-        one = rows.select(F.lit(page).alias("page"), wrong.alias("wrong")).select("page", F.length("wrong").alias("chars"), (F.col("wrong") != _PAGE_LETTERS).alias("changed"), encodings.recoded(F.col("wrong"), "latin-1", page).alias("text"))
+        wrong = docs.select("doc_id", "text", encodings.recoded(F.col("text"), page, "latin-1").alias("wrong"))
+        same = F.length(F.regexp_replace("wrong", "[^\\n\\x20-\\x7Eá]", ""))
+        one = wrong.select("doc_id", F.lit(page).alias("page"), (F.length("wrong") - same).alias("changed"), F.md5(encodings.recoded(F.col("wrong"), "latin-1", page)).alias("digest"))
         out = one if out is None else out.union(one)
     return out
 
 
-QUERIES = {f.__name__: f for f in (vrt_write, vrt_round_trip, sfm_paragraphs, tmx_round_trip, recode, repair_by_guess, repair_documents, code_pages, usx_paragraphs, bible_paragraphs, verse_numbers, first_stories, vrt_bad_lines, registry_heads, unit_links, word_postings)}
+def mari_pages(spark, d):
+    """Documents in Mari letters, written in the Mari page and read in code page 1252, put right by the guess."""
+    text = F.concat(F.translate(F.regexp_replace(F.coalesce("text", F.lit("")), _PLAIN, ""), _LATIN, _MARI), F.lit("\n" + _MARI))
+    wrong = load(spark, d, "documents").select("doc_id", encodings.recoded(text, "meadow-mari", "cp1252").alias("text"))
+    guess = X.guess_encoding(F.col("text"), F.lit("mhr"))
+    return wrong.select("doc_id", guess.alias("guess"), F.md5(encodings.repaired(F.col("text"), guess)).alias("digest"))
+
+
+QUERIES = {f.__name__: f for f in (vrt_write, vrt_round_trip, sfm_paragraphs, tmx_round_trip, recode, repair_by_guess, repair_documents, code_pages, mari_pages, usx_paragraphs, bible_paragraphs, verse_numbers, first_stories, vrt_bad_lines, registry_heads, unit_links, word_postings)}
 
 from corpusmill.plans.corpus import _TOK  # noqa: E402
 
+_SAMI_SQL = f"""with sami as (select doc_id, translate(regexp_replace(coalesce(text, ''), '{_PLAIN}', '', 'g'), '{_ASCII}', '{_SAMI}') || chr(10) || '{_SAMI}' as text from documents)
+"""
+
 ORACLE = {
     "vrt_write": _TOK
     + """, g as (select text_id, sentence_id, string_agg(concat_ws(chr(9), word, lemma, pos, pos, position, rel, dephead), chr(10) order by position) as body, count(*) as n from tok group by text_id, sentence_id),
@@ -152,8 +175,12 @@ select text_id, length(vrt) as chars, md5(vrt) as digest from v""",
     "registry_heads": "select md5('NAME \"' || n || '\"' || chr(10) || 'ID ' || lower(n) || chr(10) || 'HOME ' || lower(n) || chr(10) || 'INFO /i' || chr(10) || array_to_string(['ATTRIBUTE ' || a || chr(10) for a in ['word', 'lemma', 'pos', 'msd', 'ref', 'deprel', 'dephead']], '')) as digest from (select distinct 'CORPUS_' || upper(source) as n from documents)",
     "unit_links": "select conv_id as file, 'l' || turn as link_id, 'l' || turn || 's' || turn as sentence_id, md5(text) as src_text, role as tgt_text from conversations",
     "word_postings": _TOK + "select word, text_id, string_agg(sentence_id || ':' || position, ' ' order by sentence_id, position) as places from tok group by word, text_id",
-    "repair_by_guess": f"select name, name as guess, {values('x', [(_LETTERS,)]).removeprefix('(values (').removesuffix(')) as t(x)')} as text from {values('name', [(n,) for n, _ in _WRONG])}",
-    "repair_documents": f"select doc_id, md5(regexp_replace(text, '[^\\x20-\\x7E]', '', 'g') || '{_LETTERS}') as digest from documents",
-    "code_pages": f"select page, {len(_PAGE_LETTERS)} as chars, true as changed, '{_PAGE_LETTERS}' as text from (values ('mac-sami'), ('winsami2'), ('iso-ir-197'), ('iso-ir-209')) as t(page)",
+    "repair_by_guess": _SAMI_SQL + f"select doc_id, name, name as guess, md5(text) as digest from sami, {values('name', [(n,) for n, _, _ in _MISREAD])}",
+    "repair_documents": _SAMI_SQL + "select doc_id, md5(text) as digest from sami",
+    "code_pages": _SAMI_SQL
+    + """select doc_id, page, cast(length(regexp_replace(text, case when page = 'mac-sami' then '[^ášČđžŋŧč]' else '[^šČđžŋŧč]' end, '', 'g')) as int) as changed, md5(text) as digest
+from sami, (values ('mac-sami'), ('winsami2'), ('iso-ir-197'), ('iso-ir-209')) as t(page)""",
+    "mari_pages": f"""select doc_id, 'cp1251_cp1252' as guess,
+md5(translate(regexp_replace(coalesce(text, ''), '{_PLAIN}', '', 'g'), '{_LATIN}', '{_MARI}') || chr(10) || '{_MARI}') as digest from documents""",
     "recode": "select doc_id, md5(text) as digest from documents",
 }

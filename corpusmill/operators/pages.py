@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from html.parser import HTMLParser
 from urllib.parse import unquote
 
 import pandas as pd
@@ -12,77 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Elements without text of the page's own, and those whose text is a block.
-DROPPED = frozenset("script style nav aside footer figure time noscript iframe form button select textarea svg template".split())
-BLOCKS = {**dict.fromkeys(("h1", "h2", "h3", "h4", "h5", "h6"), "title"), "p": "text", "label": "text", "blockquote": "text", "dd": "text", "center": "text", "caption": "text", "th": "text", "td": "text", "div": "text", "li": "listitem", "dt": "listitem", "pre": "text", "article": "text", "section": "text", "body": "text"}
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-DROPPED_NAMES = frozenset("ad ads breadcrumb breadcrumbs footer header menu navigation share sidebar sitelogo social".split())
-
-
-class _Reader(HTMLParser):
-    def __init__(self, names: frozenset[str]):
-        super().__init__(convert_charrefs=True)
-        self.names, self.stack, self.out, self.text, self.dropped, self.title = names, [], [], [], 0, ""
-
-    def flush(self) -> None:
-        joined = " ".join("".join(self.text).split())
-        kind = next((BLOCKS[t] for t, _ in reversed(self.stack) if t in BLOCKS), "text")
-        if len(joined) > 1:
-            self.out.append((kind, joined))
-        self.text = []
-
-    def handle_starttag(self, tag, attrs):
-        if tag in VOID:
-            self.text.append(" " * (tag == "br"))
-            return
-        if tag in BLOCKS or tag in DROPPED:
-            self.flush()
-            if tag in ("p", "li") and any(t == tag for t, _ in self.stack):
-                self.handle_endtag(tag)
-        names = {v for k, v in attrs if k in ("class", "id") and v}
-        drop = tag in DROPPED or tag in ("head",) or bool(names & self.names)
-        self.dropped += drop
-        self.stack.append((tag, drop))
-
-    def handle_endtag(self, tag):
-        if not any(t == tag for t, _ in self.stack):
-            return
-        k = max(k for k, (t, _) in enumerate(self.stack) if t == tag)
-        if any(t in BLOCKS or t in DROPPED for t, _ in self.stack[k:]):
-            self.flush()
-        while self.stack:
-            t, drop = self.stack.pop()
-            self.dropped -= drop
-            if t == tag:
-                break
-
-    def handle_data(self, data):
-        if self.stack and self.stack[-1][0] == "title":
-            self.title += data
-        if not self.dropped:
-            self.text.append(data)
-
-
-def page_paragraphs(html: str | None, names: frozenset[str] = DROPPED_NAMES) -> tuple[str, list[tuple[str, str]]]:
-    """(title, [(type, text)]) of a page without navigation, embedded content and elements of the given class or id."""
-    r = _Reader(names)
-    r.feed(html or "")
-    r.close()
-    r.flush()
-    return " ".join(r.title.split()), r.out
-
-
-def extract(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """key, title, paragraphs (type, text) of each page."""
-
-    @F.pandas_udf("title string, paragraphs array<struct<type:string,text:string>>")
-    def run(html: pd.Series) -> pd.DataFrame:
-        rows = [page_paragraphs(h) for h in html]
-        return pd.DataFrame({"title": [t for t, _ in rows], "paragraphs": [[{"type": a, "text": b} for a, b in ps] for _, ps in rows]})
-
-    return pages.select(key, run("html").alias("x")).select(key, "x.*")
-
-
 def links(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """key, href of every anchor."""
     return pages.select(key, F.explode(F.regexp_extract_all("html", F.lit('<a [^>]*href="([^"]*)"'), F.lit(1))).alias("href"))

@@ -97,10 +97,6 @@ def orthography_filter(spark, d):
     return N.orthography(docs, None).select("doc_id", F.lit("none").alias("wanted")).union(N.orthography(docs, "old").select("doc_id", F.lit("old")))
 
 
-def html_extract(spark, d):
-    return G.extract(load(spark, d, "pages")).select("page_id", "title", F.size("paragraphs").alias("n"), F.array_join(F.transform("paragraphs", lambda p: p["text"]), "\n").alias("text"))
-
-
 def page_links(spark, d):
     return G.links(load(spark, d, "pages")).groupBy("page_id", "href").agg(F.count("*").alias("n"))
 
@@ -165,7 +161,7 @@ def window_counts(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (error_markup_parse, error_markup_texts, error_counts, parse_analysis, known_sentences, ccat_project, ccat_titles, ccat_lang_invert, ccat_corrections, ccat_words, orthography_filter, html_extract, page_links, url_filter, frontier, page_digest_dupes, path_parse, filename_normalise, unique_names, stage_completeness, gold_sample, header_merge, nfc_digest, incremental_ingest, window_counts)
+    for f in (error_markup_parse, error_markup_texts, error_counts, parse_analysis, known_sentences, ccat_project, ccat_titles, ccat_lang_invert, ccat_corrections, ccat_words, orthography_filter, page_links, url_filter, frontier, page_digest_dupes, path_parse, filename_normalise, unique_names, stage_completeness, gold_sample, header_merge, nfc_digest, incremental_ingest, window_counts)
 }
 
 

@@ -114,12 +114,6 @@ def test_relations_of_inflected_words(spark):
     assert got == {("dog", "ran", False, 1), ("Dogs", "run", True, 1)}
 
 
-def test_pages_drop_navigation():
-    title, ps = pages.page_paragraphs("<html><head><title>T &amp; U</title></head><body><nav><p>menu</p></nav><div class=ad><p>buy this</p></div><h1>Head</h1><p>one<br>two<p>three<ul><li>item one</ul>")
-    assert title == "T & U" and ps == [("title", "Head"), ("text", "one two"), ("text", "three"), ("listitem", "item one")]
-    assert pages.page_paragraphs(None) == ("", [])
-
-
 def test_names():
     assert pages.ascii_name("_-Čáhppes (guolli)+x.TXT") == "cahppes_guolli_x.txt"
 

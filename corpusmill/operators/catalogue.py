@@ -5,27 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Suffixes, and the reader of the files that have them.
-READERS = {
-    ".doc": "html", ".docx": "html", ".epub": "html", ".html": "html", ".odt": "html", ".pdf": "html", ".rtf": "html", ".sfm": "sfm",
-    ".svg": "svg", ".txt": "plain", ".tex": "html", ".writenow": "html", ".usx": "usx",
-}
-
-
-def reader_of(path: Column, status: Column) -> Column:
-    """Name of the reader for a file; null where there is none. Names and status come before the suffix."""
-    suffix = F.regexp_extract(path, r"[^/](\.[^./]*)$", 1)
-    table = F.create_map(*(F.lit(x) for pair in READERS.items() for x in pair))
-    return (
-        F.when(F.contains(path, F.lit("avvir_xml")), "newspaper")
-        .when(F.endswith(path, F.lit("bible.xml")), "bible")
-        .when(F.contains(path, F.lit("udhr_")) & (suffix == ".xml"), "html")
-        .when((status == "ocr") & (suffix == ".pdf"), "ocr")
-        .when(F.endswith(path, F.lit(".correct.txt")), "marked errors")
-        .otherwise(F.try_element_at(table, suffix))
-    )
-
-
 def convertable(files: DataFrame, gold: bool) -> DataFrame:
     """Files that a run takes: those of status correct* for gold documents, else standard and ocr ones. A file without a status is an error."""
     status = F.coalesce("status", F.raise_error(F.concat(F.lit("no conversion status: "), F.col("path"))).cast("string"))

@@ -233,7 +233,7 @@ _INLINE = _set("p b i u a li span")
 
 # How elements are mapped; the first row whose conditions hold. A condition names tags: `parent`, `under` (any element above),
 # `away` (no element above), `child`, `grandchild`; `words`: it has text of its own. An action opens a paragraph of a type (`+` and a span's
-# type), or a span; `through` maps what is inside, `elements` all of it but bare text, `flat` takes the text as it is, `own` its first piece.
+# type), or a span; `through` maps what is inside, `elements` all of it but bare text, `flat` takes the text as it is, `own` its own first piece, `words` all its own pieces.
 RULES = [
     (HEADINGS, {"under": _LI}, "through"),
     (HEADINGS, {}, "title flat"),
@@ -270,8 +270,8 @@ RULES = [
     (_set("a span"), {"parent": _CELL}, "text"),
     (_set("abbr"), {"parent": _set("div")}, "text flat"),
     (_set("blockquote"), {}, "text +quote flat"),
-    (_set("sub sup"), {"words": True, "under": _INLINE}, "own"),
-    (_set("sub sup"), {"words": True}, "text own"),
+    (_set("sub sup"), {"words": True, "under": _INLINE}, "words"),
+    (_set("sub sup"), {"words": True}, "text words"),
     (_set("br wbr"), {}, "nothing"),
 ]
 
@@ -340,6 +340,8 @@ def _map(node: Node, above: list[str], w: _Writer) -> None:
         w.say(node.string())
     elif "own" in action:
         w.say(next((k.text for k in node.kids if not k.tag), ""))
+    elif "words" in action:
+        w.say("".join(" ".join(k.text.split()) + " " for k in node.kids if not k.tag))
     else:
         for kid in node.kids:
             if kid.tag or "elements" not in action:
@@ -362,16 +364,25 @@ def _paragraphs(w: _Writer, kind: str, texts: Iterable[str]) -> None:
         w.open.pop()
 
 
-def page_paragraphs(html: str | None, removed: dict[tuple[str, str], frozenset[str]] | None = None) -> tuple[str, list[tuple[str, str, list[tuple[str, str]]]]]:
-    """(title, [(type, text, [(span type, text)])]) of a page."""
-    title, body = read(html)
+def body_paragraphs(body: Node, removed: dict[tuple[str, str], frozenset[str]] | None = None) -> list[tuple[str, str, list[tuple[str, str]]]]:
+    """[(type, text, [(span type, text)])] of a page's body."""
     clean(body, removed if removed is not None else removals())
     into_blocks(body)
     w = _Writer()
     for kid in body.kids:
         _map(kid, ["html", "body"], w)
     w.end()
-    return title, w.out
+    return w.out
+
+
+def page_paragraphs(html: str | None, removed: dict[tuple[str, str], frozenset[str]] | None = None) -> tuple[str, list[tuple[str, str, list[tuple[str, str]]]]]:
+    """(title, paragraphs) of a page."""
+    title, body = read(html)
+    return title, body_paragraphs(body, removed)
+
+
+def escaped(text: str | None) -> str:
+    return (text or "").replace("&", "&amp;").replace("<", "&lt;")
 
 
 def removals(more: Iterable[tuple[str, str, str]] = ()) -> dict[tuple[str, str], frozenset[str]]:

@@ -6,22 +6,8 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as X
 from corpusmill.operators import catalogue as C
-from corpusmill.sources.literals import frame, values
 from corpusmill.sources.tables import load
 
-_FILES = [
-    (1, "/c/corpus-sme/orig/a.html", "standard", "html"), (2, "/c/corpus-sme/orig/b.pdf", "ocr", "ocr"), (3, "/c/corpus-sme/orig/b.pdf", "standard", "html"), (4, "/c/orig/avvir_xml/x.xml", "standard", "newspaper"),
-    (5, "/c/orig/bible/nt-bible.xml", "standard", "bible"), (6, "/c/orig/udhr_sme.xml", "standard", "html"), (7, "/c/orig/k.correct.txt", "correct-no-gs", "marked errors"), (8, "/c/orig/k.txt", "correct", "plain"),
-    (9, "/c/orig/m.sfm", "standard", "sfm"), (10, "/c/orig/p.svg", "standard", "svg"), (11, "/c/orig/q.usx", "standard", "usx"), (12, "/c/orig/r.xyz", "standard", None), (13, "/c/orig/no_suffix", "ocr", None),
-    (14, "/c/orig/t.docx", None, "html"), (15, "/c/v1.txt/noname", "standard", None), (16, "/c/orig/ocr.PDF", "ocr", None), (17, "/c/orig/other.xml", "standard", None),
-]
-
-
-def reader_dispatch(spark, d):
-    rows = frame(spark, "id int, path string, status string, expected string", _FILES)
-    return rows.select("id", C.reader_of(F.col("path"), F.col("status")).alias("reader"))
-
-
 def _statuses(spark, d):
     """Documents as files; status, times and stages by a rule on the id."""
     k = F.col("doc_id")
@@ -109,7 +95,7 @@ def metadata_update(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (reader_dispatch, convertable_files, written_documents, analysable_documents, saveable_pages, stage_gaps, parallel_totals, dupe_members, parallel_sides, language_versions, active_languages, run_statistics, reading_order, run_stamps, metadata_update)
+    for f in (convertable_files, written_documents, analysable_documents, saveable_pages, stage_gaps, parallel_totals, dupe_members, parallel_sides, language_versions, active_languages, run_statistics, reading_order, run_stamps, metadata_update)
 }
 
 _STATUS = """with f as (select doc_id, lang, text, case when doc_id % 11 = 0 then 'ocr' when doc_id % 7 = 0 then 'correct' when doc_id % 5 = 0 then 'correct-no-gs' when doc_id % 13 = 0 then 'new' else 'standard' end as status,
@@ -117,7 +103,6 @@ _STATUS = """with f as (select doc_id, lang, text, case when doc_id % 11 = 0 the
 _OPEN = "status <> 'new' and length(text) > 0"
 _WORDS = f"len(list_filter(regexp_split_to_array(text, '{X.WS}+'), lambda x: x <> ''))"
 ORACLE = {
-    "reader_dispatch": f"select id, expected as reader from {values('id, path, status, expected', _FILES)}",
     "convertable_files": _STATUS + "select doc_id, false as gold from f where status in ('standard', 'ocr') union all select doc_id, true from f where status like 'correct%'",
     "written_documents": _STATUS + f"select doc_id, false as lazy from f where {_OPEN} union all select doc_id, true from f where {_OPEN} and (converted is null or newest > converted)",
     "analysable_documents": _STATUS + "select lang, status, count(*) as n from f where status <> 'ocr' group by all",

@@ -63,23 +63,27 @@ def html_dressed(spark, d):
 QUERIES = {f.__name__: f for f in (html_extract, html_dressed)}
 
 
-def _q(text: str) -> str:
+def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-_SAID = ", ".join(f"({k}, {j}, {_q(kind)}, {_q(text)}, {_q(span)})" for k, (_, said) in enumerate(_DRESS) for j, (kind, text, span) in enumerate(said))
+_SAID = ", ".join(f"({k}, {j}, {quoted(kind)}, {quoted(text)}, {quoted(span)})" for k, (_, said) in enumerate(_DRESS) for j, (kind, text, span) in enumerate(said))
 
-ORACLE = {
-    "html_extract": f"""
-with art as (select page_id, regexp_extract(html, '<title>(.*?)</title>', 1) as title, regexp_extract(html, '(?s)<article>(.*)</article>', 1) as body from pages),
+#: SQL of the blocks of an article (all_blocks), and of those with text (plain_blocks).
+PAGE_BLOCKS = f"""art as (select page_id, regexp_extract(html, '<title>(.*?)</title>', 1) as title, regexp_extract(html, '(?s)<article>(.*)</article>', 1) as body from pages),
 blocks as (select page_id, title, unnest(string_split_regex(body, '<h1>|<p>')) as b, generate_subscripts(string_split_regex(body, '<h1>|<p>'), 1) as k,
            unnest(list_concat([''], regexp_extract_all(body, '<h1>|<p>'))) as tag from art),
 said as (select *, trim(regexp_replace(regexp_replace(b, '</?[a-z0-9]+>|<br>', '', 'g'), '{X.WS}+', ' ', 'g')) as raw from blocks),
-plain as (select page_id, replace(replace(replace(replace(title, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') as title, k, tag, b,
-          replace(replace(replace(replace(raw, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') as text from said)
+all_blocks as (select page_id, replace(replace(replace(replace(title, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') as title, k, tag, b,
+          replace(replace(replace(replace(raw, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') as text, case when tag = '<h1>' then 'title' else 'text' end as type from said),
+plain_blocks as (select * from all_blocks where length(text) > 1)"""
+
+ORACLE = {
+    "html_extract": f"""
+with {PAGE_BLOCKS}
 select page_id, trim(regexp_replace(title, '{X.WS}+', ' ', 'g')) as title, cast(row_number() over (partition by page_id order by k) as int) as para_no,
-       case when tag = '<h1>' then 'title' else 'text' end as type, text, case when b like '<b>%' then 'bold:' || text else '' end as spans
-from plain where length(text) > 1""",
+       type, text, case when b like '<b>%' then 'bold:' || text else '' end as spans
+from plain_blocks""",
     "html_dressed": f"""
 with lines as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as l, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 as k from documents),
 own as (select doc_id, k, trim(regexp_replace(l, '{_GAPS}', ' ', 'g')) as l from lines),

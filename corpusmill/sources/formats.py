@@ -75,17 +75,17 @@ def tmx_units(files: DataFrame, key: str, column: str) -> DataFrame:
 SFM_TITLES, SFM_TEXT, SFM_IGNORED = ("mt1", "mt2", "s1"), ("p", "m", "v", ""), ("id", "ide", "h", "toc1", "toc2", "toc3", "cp")
 
 
-def sfm_paragraphs(lines: DataFrame, key: str) -> DataFrame:
+def sfm_paragraphs(lines: DataFrame, key: str, strict: bool = True) -> DataFrame:
     """key, section, para_no, type, text of marked-up verse lines (line_no, line).
 
     A chapter begins a section; a title or summary is a paragraph and ends the one before. All other lines up to the next such line are one
-    paragraph, a line each. Notes and verse numbers go, empty paragraphs too; an unknown marker is an error.
+    paragraph, a line each. Notes and verse numbers go, empty paragraphs too; an unknown marker is an error, or, unless strict, its line goes.
     """
     bare = F.regexp_replace("line", r"\\(f|x|vp)\b[\s\S]*?\\\1\*", "")
     marker = F.regexp_extract(bare, r"^\\(\w+)", 1)
     body = X.carons(F.regexp_replace(bare, r"^\\\w+\s*", ""))
     body = F.when(marker == "v", F.regexp_replace(body, r"^[0-9]+[-0-9]*\s*", "")).when(marker != "c", body)
-    kind = F.when(marker.isin(*SFM_TITLES), "title").when(marker == "s2", "summary").when(marker.isin(*SFM_TEXT), "text").when(marker == "c", "section").when(marker.isin(*SFM_IGNORED), "none").otherwise(F.raise_error(F.concat(F.lit("unknown marker "), marker)))
+    kind = F.when(marker.isin(*SFM_TITLES), "title").when(marker == "s2", "summary").when(marker.isin(*SFM_TEXT), "text").when(marker == "c", "section").when(marker.isin(*SFM_IGNORED), "none").otherwise(F.raise_error(F.concat(F.lit("unknown marker "), marker)).cast("string") if strict else F.lit("none"))
     w = Window.partitionBy(key).orderBy("line_no")
     rows = lines.select(key, "line_no", kind.alias("kind"), body.alias("body")).where("kind <> 'none'")
     rows = rows.withColumn("section", F.sum((F.col("kind") == "section").cast("int")).over(w)).withColumn("ends", F.sum((F.col("kind") != "text").cast("int")).over(w)).where("body <> ''")

@@ -9,7 +9,7 @@ from corpusmill.functions import dates, encodings
 from corpusmill.functions import text as X
 from corpusmill.operators import alignment, annotations, catalogue, duplicates, ngram, pages, readings, relations
 from corpusmill.plans import corpus
-from corpusmill.sources import formats, tables
+from corpusmill.sources import formats, reader, tables
 from corpusmill.streaming import ingest
 
 
@@ -183,7 +183,7 @@ def test_repairs_take_nulls_and_unknown_names(spark):
 def test_catalogue_of_nothing(spark):
     none = spark.createDataFrame([], "id int, path string, status string, text string")
     assert catalogue.repeated_members(none, "id", "text").count() == 0
-    assert none.select(catalogue.reader_of(F.col("path"), F.col("status"))).count() == 0
+    assert none.select(reader.reader_of(F.col("path"), F.col("status"))).count() == 0
     assert catalogue.wanted_languages(spark.createDataFrame([("en",)], "lang string"), []).collect()[0].known
 
 

@@ -7,10 +7,12 @@ import unicodedata
 from urllib.parse import unquote
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusmill.operators.numbering import numbered
+
 def links(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """key, href of every anchor."""
     return pages.select(key, F.explode(F.regexp_extract_all("html", F.lit('<a [^>]*href="([^"]*)"'), F.lit(1))).alias("href"))
@@ -49,16 +51,6 @@ def corpus_path(path: Column) -> Column:
     return F.when(F.regexp_like(path, F.lit(rx)), out)
 
 
-def stage_path(root: Column, lang: Column, stage: str, filepath: Column, suffix: str = ".xml") -> Column:
-    """Path of a document's file in a later stage."""
-    return F.concat(root, F.lit("/corpus-"), lang, F.lit(f"/{stage}/"), filepath, F.lit(suffix))
-
-
-def corpus_name(name: Column, module: Column, closed: Column) -> Column:
-    """Name of a corpus file's category: kind of corpus and access, as one word."""
-    return F.concat(name, F.lit("_"), module, F.when(closed, "_closed").otherwise(""))
-
-
 # Letters and signs that decomposition doesn't bring to ASCII. Cyrillic ones stand in small letters; capitals follow from them.
 _LETTERS = {"đ": "d", "Đ": "D", "ŧ": "t", "Ŧ": "T", "ŋ": "ng", "Ŋ": "NG", "ø": "o", "Ø": "O", "æ": "ae", "Æ": "AE", "ß": "ss", "þ": "th", "Þ": "Th", "ð": "d", "Ð": "D", "ł": "l", "Ł": "L", "ʒ": "z", "Ʒ": "Z", "–": "-", "—": "--", "’": "'", "‘": "'", "“": '"', "”": '"', "„": '"', "…": "...", "«": "<<", "»": ">>", "ʼ": "'", "\u00a0": " "}
 _CYRILLIC = dict(zip("абвгдежзийклмнопрстуфхцчшщъыьэюяёӱӧӓӹӈ", "a b v g d e zh z i i k l m n o p r s t u f kh ts ch sh shch \" y ' e iu ia io u o a y n".split(" "), strict=True))
@@ -85,16 +77,17 @@ def nfc(text: pd.Series) -> pd.Series:
 
 
 def unique_names(files: DataFrame, name: str, order: str) -> DataFrame:
-    """Adds `unique`: the name, with _1, _2, … before its suffix from the second holder on."""
-    k = F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1
+    """Adds `unique`: the name, with _1, _2, … before its suffix from the second holder on. A name that very many files have is numbered in many tasks."""
+    k = F.col("__k")
     stem, suffix = F.regexp_replace(name, r"\.[^.]*$", ""), F.regexp_extract(name, r"(\.[^.]*)$", 1)
-    return files.withColumn("unique", F.when(k == 0, F.col(name)).otherwise(F.concat(stem, F.lit("_"), k.cast("string"), suffix)))
+    unique = F.when(k == 0, F.col(name)).otherwise(F.concat(stem, F.lit("_"), k.cast("string"), suffix))
+    return numbered(files, [name, order], [name], "__k", 0).withColumn("unique", unique).drop("__k", "__k_of")
 
 
 def gold_sample(files: DataFrame, group: str, size: str, key: str) -> DataFrame:
     """Of each group's files by falling size, the fifth and every fourth after it."""
-    n = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(size), key))
-    return files.withColumn("n", n).where("n >= 5 and (n - 5) % 4 = 0").drop("n")
+    placed = numbered(files.withColumn("__falling", -F.col(size)), [group, "__falling", key], [group], "__k")
+    return placed.where("__k >= 5 and (__k - 5) % 4 = 0").drop("__k", "__k_of", "__falling")
 
 
 def stage_counts(docs: DataFrame) -> DataFrame:

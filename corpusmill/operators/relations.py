@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as X
+from corpusmill.operators.numbering import numbered, offsets
 
 RELATIONS = ("X", "SUBJ→", "←OBJ", "→N")
 
@@ -29,10 +30,22 @@ def with_heads(tokens: DataFrame) -> DataFrame:
 
 
 def strings(tokens: DataFrame) -> DataFrame:
-    """string, lemma, pos: distinct forms and base forms; pos of the first occurrence."""
+    """string, lemma, pos, first (text_id, sentence_id, position, kind): distinct forms and base forms; pos of the first occurrence."""
     order = F.struct("text_id", "sentence_id", "position", "kind")
     both = tokens.select("text_id", "sentence_id", "position", "pos", "lemma", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("word").alias("string")), F.struct(F.lit(1).alias("kind"), F.col("lemma").alias("string")))).alias("s"))
-    return both.select("*", "s.*").groupBy("string", "lemma").agg(F.min_by("pos", order).alias("pos"))
+    return both.select("*", "s.*").groupBy("string", "lemma").agg(F.min_by("pos", order).alias("pos"), F.min(order).alias("first"))
+
+
+def string_ids(tokens: DataFrame) -> DataFrame:
+    """id, string, lemma, pos: the dictionary of strings, numbered from 0 in the order in which they first occur."""
+    return numbered(strings(tokens), ["first"], column="id", first=0).select("id", "string", "lemma", "pos")
+
+
+def sentence_places(tokens: DataFrame) -> DataFrame:
+    """text_id, sentence_id, number, begin, end: sentences numbered through the whole corpus from 1, and the running numbers of their first and last token from 0."""
+    sents = tokens.groupBy("text_id", "sentence_id").agg(F.count("*").alias("n"))
+    placed = offsets(numbered(sents, ["text_id", "sentence_id"]), ["number"], "n", "begin")
+    return placed.select("text_id", "sentence_id", "number", "begin", (F.col("begin") + F.col("n") - 1).alias("end"))
 
 
 def _cased(heads: DataFrame) -> DataFrame:

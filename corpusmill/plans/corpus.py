@@ -30,7 +30,15 @@ def genre_stats(spark, d):
 
 
 def wp_strings(spark, d):
-    return R.strings(_tokens(spark, d))
+    return R.strings(_tokens(spark, d)).drop("first")
+
+
+def string_ids(spark, d):
+    return R.string_ids(_tokens(spark, d))
+
+
+def sentence_places(spark, d):
+    return R.sentence_places(_tokens(spark, d))
 
 
 def wp_relations(spark, d):
@@ -149,7 +157,7 @@ def tmx_diff(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (derived_token_counts, genre_stats, wp_strings, wp_relations, wp_head_rel, wp_dep_rel, wp_rel, word_index, tokens_per_year, scramble_sentences, corpus_info, exact_dupes, dupe_keep_one, dupe_word_ratio, near_dupes, verse_align, tmx_pairs, tmx_switch, tmx_concat, parallel_missing, parallel_closure, parallel_symmetric, sentence_align, tmx_diff)
+    for f in (derived_token_counts, genre_stats, wp_strings, string_ids, sentence_places, wp_relations, wp_head_rel, wp_dep_rel, wp_rel, word_index, tokens_per_year, scramble_sentences, corpus_info, exact_dupes, dupe_keep_one, dupe_word_ratio, near_dupes, verse_align, tmx_pairs, tmx_switch, tmx_concat, parallel_missing, parallel_closure, parallel_symmetric, sentence_align, tmx_diff)
 }
 
 _TOK = f"""with sents as (select doc_id as text_id, source, generate_subscripts(ss, 1) as sentence_id, unnest(ss) as p from
@@ -176,6 +184,13 @@ ORACLE = {
     "derived_token_counts": _TOK + "select text_id, count(distinct sentence_id) as sentences, count(*) as tokens from tok group by text_id",
     "genre_stats": _TOK + "select source as genre, count(distinct text_id) as texts, count(distinct text_id * 1000000 + sentence_id) as sentences, count(*) as tokens from tok group by source",
     "wp_strings": _TOK + ", s as (select text_id, sentence_id, position, 0 as k, word as string, lemma, pos from tok union all select text_id, sentence_id, position, 1, lemma, lemma, pos from tok) select string, lemma, arg_min(pos, [text_id, sentence_id, position, k]) as pos from s group by all",
+    "string_ids": _TOK
+    + """, s as (select text_id, sentence_id, position, 0 as k, word as string, lemma, pos from tok union all select text_id, sentence_id, position, 1, lemma, lemma, pos from tok),
+one as (select string, lemma, arg_min(pos, [text_id, sentence_id, position, k]) as pos, min([text_id, sentence_id, position, k]) as place from s group by all)
+select row_number() over (order by place) - 1 as id, string, lemma, pos from one""",
+    "sentence_places": _TOK
+    + """, s as (select text_id, sentence_id, count(*) as n from tok group by all)
+select text_id, sentence_id, row_number() over w as number, cast(sum(n) over w - n as bigint) as begin, cast(sum(n) over w - 1 as bigint) as "end" from s window w as (order by text_id, sentence_id)""",
     "wp_relations": _TOK
     + ", ok as (select * from hd where not (hword = word and hlemma = lemma) and rel <> 'X'), "
     + _CASES

@@ -86,7 +86,7 @@ def colon_spaces(spark, d):
 
 
 def package_ids(spark, d):
-    return S.package_ids(load(spark, d, "pages").select("page_id", G.url_host(F.col("url")).alias("host")), "page_id", F.col("host")).select("page_id", "package_id")
+    return S.package_ids(load(spark, d, "pages").select("page_id"), "page_id")
 
 
 def corpus_facts(spark, d):
@@ -116,6 +116,6 @@ ORACLE = {
     "categories": "select source as genre, count(*) as files, bool_or(length(text) % 2 = 1) as in_open, bool_or(length(text) % 2 = 0) as in_closed from documents group by source",
     "page_stems": r"select page_id, regexp_replace(regexp_replace(regexp_replace(url, '\?.*$', ''), '^.*/', ''), '\.[^./]+$', '') as stem from pages",
     "page_margins": "select case when page_id = 3 then 9 when page_id % 2 = 0 then 4 else 7 end as margin, count(*) as pages from pages group by 1",
-    "package_ids": "select page_id, lpad((row_number() over (partition by regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) order by page_id))::varchar, 6, '0') as package_id from pages",
+    "package_ids": "select page_id, lpad((row_number() over (order by page_id))::varchar, 6, '0') as package_id from pages",
     "corpus_facts": _TOK + "select source as genre, count(distinct text_id * 1000000 + sentence_id)::bigint as sentences, min(case when text_id % 4 <> 0 then make_date(1990 + text_id % 30, 1, 1) end)::varchar as first, max(case when text_id % 4 <> 0 then make_date(1990 + text_id % 30, 1, 1) end)::varchar as last from tok group by source",
 }

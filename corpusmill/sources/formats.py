@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape, quoteattr
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as X
+from corpusmill.operators.numbering import numbered
 
 TOKEN_COLUMNS = ("word", "lemma", "pos", "msd", "ref", "deprel", "dephead")
 
@@ -94,11 +94,6 @@ def sfm_paragraphs(lines: DataFrame, key: str, strict: bool = True) -> DataFrame
     return one.select(key, "section", number.alias("para_no"), F.when(F.col("kind") == "title", "title").otherwise("text").alias("type"), F.array_join(F.transform("ls", lambda x: x["body"]), "\n").alias("text"))
 
 
-def verse_rows(spark: SparkSession, path: str, row_tag: str = "verse") -> DataFrame:
-    """Verses of element-only XML with number attributes, as the XML source reads them."""
-    return spark.read.format("xml").option("rowTag", row_tag).load(path)
-
-
 def verse_number(identifier: Column) -> Column:
     """The last dotted part of a verse's identifier."""
     return F.element_at(F.split(identifier, r"\."), -1)
@@ -204,29 +199,12 @@ def registry(name: Column, info: Column) -> Column:
     return F.format_string("NAME \"%s\"\nID %s\nHOME %s\nINFO %s\nATTRIBUTE " + "\nATTRIBUTE ".join(TOKEN_COLUMNS) + "\n", name, F.lower(name), F.lower(name), info)
 
 
-def package_ids(files: DataFrame, order: str, shard: Column) -> DataFrame:
-    """Six-digit ids of packaged files, numbered within a shard so that no task numbers them all."""
-    return files.withColumn("package_id", F.lpad(F.row_number().over(Window.partitionBy(shard).orderBy(order)).cast("string"), 6, "0"))
+def package_ids(files: DataFrame, order: str) -> DataFrame:
+    """Adds package_id: the running number of a packaged file, of six digits at least."""
+    number = F.col("__k").cast("string")
+    return numbered(files, [order], column="__k").withColumn("package_id", F.lpad(number, F.greatest(F.lit(6), F.length(number)), F.lit("0"))).drop("__k")
 
 
 def sentence_links(units: DataFrame) -> DataFrame:
     """file, link_id and sentence ids of aligned sentences."""
     return units.select("file", F.format_string("l%d", F.col("tu_no")).alias("link_id"), F.format_string("l%ds%d", F.col("tu_no"), F.col("tu_no")).alias("sentence_id"), "src_text", "tgt_text")
-
-
-def chapter_texts(epubs: DataFrame, key: str, excluded: Column) -> DataFrame:
-    """key, chapter (from 1), html of e-books given as bytes (`content`); excluded: an array of chapter numbers."""
-    import io
-    import zipfile
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for k, content, out in zip(b[key], b["content"], b["_out"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    names = sorted(n for n in z.namelist() if re.search(r"\.x?html?$", n))
-                    rows += [(k, n, z.read(name).decode("utf-8", "replace")) for n, name in enumerate(names, 1) if n not in set(out)]
-            yield pd.DataFrame(rows, columns=[key, "chapter", "html"])
-
-    kind = epubs.schema[key].dataType.simpleString()
-    return epubs.select(key, "content", excluded.alias("_out")).mapInPandas(run, f"{key} {kind}, chapter int, html string")

@@ -19,20 +19,6 @@ _MARKUP_SEEN = [
     (7, "1", 1, "errorformat", "two words", "", "two  words", "", None),
 ]
 _MARKUP_TEXTS = [(1, "no error here", "no error here"), (2, "one wrong word", "one right word"), (3, "a and d end", "b and e end"), (4, "x y z w t", "x whole t"), (5, None, None), (6, None, None), (7, "two words", "two  words")]
-_COHORTS = [
-    (1, "sme", '"<Mun>"\n\t"mun" Pron Sem/Hum Pers Sg1 Nom @SUBJ> #1->2\n: \n"<boađán>"\n\t"boahtit" <mv> V IV Ind Prs Sg1 @FMV #2->0\n\t"boahtit" Err/Orth V TV Inf @FMV #2->0\n"<.>"\n\t"." CLB #3->2\n\n"<¶>"\n\t"¶" CLB\n'),
-    (2, "smj", '"<guolle>"\n\t"guolle" N Sem/Ani Sg Nom <W:0.0> @SUBJ> #1->2\n"<xyz>"\n\t"xyz" ? @X #2->0\n"<.>"\n\t"." CLB #3->2\n'),
-    (3, "sme", ""),
-]
-_COHORTS_SEEN = [
-    (1, 1, 1, "Mun", "mun", "Pron", "Pron.Sem_Hum.Pers.Sg1.Nom", "1", "SUBJ>", "2"), (1, 1, 2, "boađán", "boahtit", "V", "V.Ind.Prs.Sg1", "2", "FMV", "0"), (1, 1, 3, ".", ".", "CLB", "CLB", "3", "X", "2"),
-    (2, 1, 1, "guolle", "guolle", "N", "N.Sg.Nom", "1", "SUBJ>", "2"), (2, 1, 2, "xyz", "xyz", "___", "___", "2", "X", "0"), (2, 1, 3, ".", ".", "CLB", "CLB", "3", "X", "2"),
-]
-_SENTENCES_SEEN = [(1, 1, "Mun boađán."), (4, 1, "Girji: Stuoris"), (4, 2, "lea buorre!")]
-_SPACED = [
-    (4, "sme", '"<Girji>"\n\t"girji" N Sg Nom #1->0\n"<:>"\n\t":" CLB #2->1\n: \n"<Stuoris>"\n\t"stuoris" A Attr #3->1\n: \n"<¶>"\n\t"¶" CLB #4->1\n:\\n\n"<lea>"\n\t"leat" V Prs Sg3 #5->0\n: \n"<buorre>"\n\t"buorre" A Sg Nom #6->5\n"<!>"\n\t"!" CLB #7->5\n'),
-    (5, "sme", '"<12>"\n\t"12" Num #1->0\n"<.>"\n\t"." CLB #2->1\n: \n"<Dát>"\n\t"dát" Pron #1->0\n:odd text\n"<.>"\n\t"." CLB #2->1\n'),
-]
 _PATHS = [(1, "/c/corpus-sme/converted/admin/a/b.html.xml"), (2, "/c/corpus-sme-orig-x-closed/admin/f.pdf.xsl"), (3, "/c/corpus-nob-orig/ficti/g.txt"), (4, "/c/corpus-sme/tmx/nob/admin/h.html.tmx"), (5, "/tmp/x.txt"), (6, "/c/corpus-smj-x-y/korp_mono/k.txt.xml")]
 _NAMES = [(1, "Ođđa Fiila (1).txt"), (2, "__x+y.txt"), (3, "%C3%A1rran.PDF"), (4, "a b.txt"), (5, "a_b.txt"), (6, "A b.txt"), (7, "-_-z?.doc"), (8, "Кириллица.txt"), (9, "a–b “c”.txt"), (10, "Ŋuova Щи.txt")]
 _NAMES_SEEN = [(1, "odda_fiila_1_.txt"), (2, "x_y.txt"), (3, "arran.pdf"), (4, "a_b.txt"), (5, "a_b.txt"), (6, "a_b.txt"), (7, "z_.doc"), (8, "kirillitsa.txt"), (9, "a-b_c_.txt"), (10, "nguova_shchi.txt")]
@@ -51,12 +37,52 @@ def error_counts(spark, d):
     return e.where("problem is null").groupBy("kind").agg(F.count("*").alias("n"))
 
 
+#: Readings of analysed words, in turn ($ the word, % the place of its head), and what a token table shows: lemma, pos, msd in Northern Sámi and elsewhere, function.
+_READINGS = [
+    ("$\" N Sem/Hum Sg Nom @SUBJ> #&->%", "$", "N", "N.Sem_Hum.Sg.Nom", "N.Sg.Nom", "SUBJ>"),
+    ("$\" N Sem/Build_Org Sg Loc @<ADVL #&->%", "$", "N", "N.Sem_Plc.Sem_Org.Sg.Loc", "N.Sg.Loc", "<ADVL"),
+    ("$\" N Sem/Hum-prof Pl Acc <W:1.25> @<OBJ #&->%", "$", "N", "N.Sem_Hum.Pl.Acc", "N.Pl.Acc", "<OBJ"),
+    ("a$\" V TV Err/Orth Inf @IMV #&->%\n\t\"ÿÿ$\" A Attr @>N #&->%\n\t\"$\" A Attr @>N #&->%", "$", "A", "A.Attr", "A.Attr", ">N"),
+    ("$\" <mv> V TV Ind Prs Sg3 @FMV #&->%", "$", "V", "V.Ind.Prs.Sg3", "V.Ind.Prs.Sg3", "FMV"),
+    ("$\" <aux> V IV Ind Prt Pl1 @FAUX #&->%", "$", "V", "V.Ind.Prt.Pl1", "V.Ind.Prt.Pl1", "NAUX"),
+    ("$\" ? @X #&->%", "$", "___", "___", "___", "X"),
+    ("$\" Ex/V TV Der/NomAg N Sg Nom @<SPRED #&->%", "$", "N", "N.Sg.Nom", "N.Sg.Nom", "<SPRED"),
+    ("$\" N Sem/Veh Sg Gen @>N #&->%\n\t\t\"first\" N Cmp/SgNom Cmp", "$", "N", "N.Sem_Veh.Sg.Gen", "N.Sg.Gen", ">N"),
+    ("$\" Adv Use/NG Gram/TAbbr OLang/SME Sem/Time @ADVL #&->%", "$", "Adv", "Adv.Sem_Time", "Adv", "ADVL"),
+    ("$\" N Sem/Group_Hum <cs> Pl Nom @SUBJ #&->%", "$", "N", "N.Sem_Hum.Pl.Nom", "N.Pl.Nom", "SUBJ"),
+    ("$\" CC #&->%", "$", "CC", "CC", "CC", "X"),
+    ("$\" Pron Relc Sg Nom Err/Lex @SUBJ> #&->%", "$", "Pron", "Pron.Rel.Sg.Nom", "Pron.Rel.Sg.Nom", "SUBJ>"),
+    ("$\" Ex/N Sem/Obj Der/Dimin N Sem/Obj Sg Ill @ADVL> #&->%\n\t\t\"kant\" N Cmp/SgNom Cmp", "$", "N", "N.Sem_Obj.Sg.Ill", "N.Sg.Ill", "ADVL>"),
+]
+
+
+def _words(spark, d):
+    """doc_id, lang, sentence, ws: lines of documents as words of small letters."""
+    lines = load(spark, d, "documents").select("doc_id", F.when(F.col("lang").isin("en", "de"), "sme").otherwise("smj").alias("lang"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("k", "l"))
+    return lines.select("doc_id", "lang", "k", F.filter(F.split(F.regexp_replace(F.lower("l"), "[^a-zà-öø-ÿ]+", " "), " "), lambda w: w != "").alias("ws")).where("size(ws) > 0")
+
+
+def _analysed(spark, d):
+    """doc_id, lang, dependency: an analysis of every word by a fixed rule."""
+
+    def cohort(w, i):
+        reading = F.element_at(F.array(*(F.lit(r[0]) for r in _READINGS)), (i % len(_READINGS) + 1).cast("int"))
+        reading = F.replace(F.replace(F.replace(reading, F.lit("$"), w), F.lit("&"), (i + 1).cast("string")), F.lit("%"), i.cast("string"))
+        return F.concat(F.lit('"<'), w, F.lit('>"\n\t"'), reading, F.when(i % 3 == 1, "\n: ").otherwise(""))
+
+    stop = F.format_string('\n"<.>"\n\t"." CLB #%d->0\n', F.size("ws") + 1)
+    sents = _words(spark, d).select("doc_id", "lang", "k", F.concat(F.array_join(F.transform("ws", cohort), "\n"), stop).alias("s"))
+    joined = sents.groupBy("doc_id", "lang").agg(F.array_sort(F.collect_list(F.struct("k", "s"))).alias("ss"))
+    text = F.concat(F.lit(": \n"), F.array_join(F.transform("ss", lambda x: x["s"]), "\n"), F.lit('\n"<¶>"\n\t"¶" CLB\n'))
+    return joined.select("doc_id", "lang", text.alias("dependency"))
+
+
 def parse_analysis(spark, d):
-    return N.parse_analysis(frame(spark, "id int, lang string, dependency string", _COHORTS), "id")
+    return N.parse_analysis(_analysed(spark, d), "doc_id")
 
 
 def known_sentences(spark, d):
-    return N.known_sentences(frame(spark, "id int, lang string, dependency string", _COHORTS + _SPACED), "id")
+    return N.known_sentences(_analysed(spark, d), "doc_id")
 
 
 def _paras(spark, d):
@@ -180,14 +206,24 @@ _ENDS = "(" + "|".join(e.replace(".", r"\.") for e in G.REJECTED_ENDS) + ")$"
 _STREAM = "select event_type, count(*) as n, min(event_id) as first, max(event_id) as last from events group by event_type"
 _RX = "^(.*)/corpus-([^/]+)/(.*)$"
 _MOD = "^(converted|analysed|korp_mono|tmx/[^/]+|korp_tmx/[^/]+|goldstandard/converted|prestable/converted|stable/converted)/"
+_WORDS_SQL = """with ls as (select doc_id, case when lang in ('en', 'de') then 'sme' else 'smj' end as lang, generate_subscripts(x, 1) as k, unnest(x) as l from (select doc_id, lang, string_split(coalesce(text, ''), chr(10)) as x from documents)),
+ws as (select doc_id, lang, k, list_filter(string_split(regexp_replace(lower(l), '[^a-zà-öø-ÿ]+', ' ', 'g'), ' '), lambda w: w <> '') as ws from ls),
+num as (select *, row_number() over (partition by doc_id order by k) as sentence_no from ws where len(ws) > 0),
+tok as (select doc_id, lang, sentence_no, generate_subscripts(ws, 1) as position, unnest(ws) as word from num)"""
+
 ORACLE = {
     "error_markup_parse": f"select * from {values('id, path, depth, kind, error_text, info, suggestions, tail, problem', _MARKUP_SEEN)}",
     "error_markup_texts": f"select * from {values('id, uncorrected, corrected', _MARKUP_TEXTS)}",
     "error_counts": f"select kind, count(*) as n from {values('id, path, depth, kind, error_text, info, suggestions, tail, problem', _MARKUP_SEEN)} where problem is null group by kind",
-    "parse_analysis": f"select * from {values('id, sentence_no, position, word, lemma, pos, msd, ref, deprel, dephead', _COHORTS_SEEN)}",
-    "known_sentences": f"select * from {values('id, sentence_no, sentence', _SENTENCES_SEEN)}",
+    "parse_analysis": _WORDS_SQL
+    + f""", seen as (select * from {values('m, lemma, pos, msd, msd_other, deprel', [(k, *r[1:]) for k, r in enumerate(_READINGS)])})
+select doc_id, cast(sentence_no as int) as sentence_no, cast(position as int) as position, word, replace(lemma, '$', word) as lemma, pos, case when lang = 'sme' then msd else msd_other end as msd,
+  position::varchar as ref, deprel, (position - 1)::varchar as dephead from tok join seen on (position - 1) % {len(_READINGS)} = m
+union all select doc_id, cast(sentence_no as int), cast(max(position) + 1 as int), '.', '.', 'CLB', 'CLB', (max(position) + 1)::varchar, 'X', '0' from tok group by doc_id, sentence_no""",
     "filename_normalise": f"select * from {values('id, name', _NAMES_SEEN)}",
-    "known_sentences": f"select * from {values('id, sentence_no, sentence', [(1, 1, 'Mun boađán.'), (4, 1, 'Girji: Stuoris'), (4, 2, 'lea buorre!')])}",
+    "known_sentences": _WORDS_SQL
+    + f""", good as (select * from num where len(ws) <= {[r[0].startswith('$" ?') for r in _READINGS].index(True)})
+select doc_id, cast(row_number() over (partition by doc_id order by k) as bigint) as sentence_no, array_to_string([w || case when i % 3 = 2 then ' ' else '' end for w, i in ws], '') || '.' as sentence from good""",
     "ccat_project": _project("coalesce(type, 'text') = 'text'"),
     "ccat_titles": _project("type in ('title', 'tablecell')"),
     "ccat_lang_invert": _project("coalesce(lang, doc_lang) <> 'fr'"),

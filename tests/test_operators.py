@@ -63,10 +63,41 @@ def test_markup_nests_and_refuses():
             annotations.parse_markup(bad)
 
 
-def test_cohort_prefers_readings_without_error_tags():
-    block = '"<go>"\n\t"gå" V Err/Orth Inf @X #1->0\n\t"go" N Sg <W:1> @SUBJ> #1->2'
-    assert annotations.parse_cohort(block, "smj")[:3] == ("go", "go", "N")
-    assert annotations.parse_cohort('"<¶>"\n\t"¶" CLB', "sme") is None
+_COHORTS = [
+    (1, "sme", '"<Mun>"\n\t"mun" Pron Sem/Hum Pers Sg1 Nom @SUBJ> #1->2\n: \n"<boađán>"\n\t"boahtit" <mv> V IV Ind Prs Sg1 @FMV #2->0\n\t"boahtit" Err/Orth V TV Inf @FMV #2->0\n"<.>"\n\t"." CLB #3->2\n\n"<¶>"\n\t"¶" CLB\n'),
+    (2, "smj", '"<guolle>"\n\t"guolle" N Sem/Ani Sg Nom <W:0.0> @SUBJ> #1->2\n"<xyz>"\n\t"xyz" ? @X #2->0\n"<.>"\n\t"." CLB #3->2\n'),
+    (3, "sme", ""),
+]
+_COHORTS_SEEN = [
+    (1, 1, 1, "Mun", "mun", "Pron", "Pron.Sem_Hum.Pers.Sg1.Nom", "1", "SUBJ>", "2"), (1, 1, 2, "boađán", "boahtit", "V", "V.Ind.Prs.Sg1", "2", "FMV", "0"), (1, 1, 3, ".", ".", "CLB", "CLB", "3", "X", "2"),
+    (2, 1, 1, "guolle", "guolle", "N", "N.Sg.Nom", "1", "SUBJ>", "2"), (2, 1, 2, "xyz", "xyz", "___", "___", "2", "X", "0"), (2, 1, 3, ".", ".", "CLB", "CLB", "3", "X", "2"),
+]
+_SENTENCES_SEEN = [(1, 1, "Mun boađán."), (4, 1, "Girji: Stuoris"), (4, 2, "lea buorre!")]
+_SPACED = [
+    (4, "sme", '"<Girji>"\n\t"girji" N Sg Nom #1->0\n"<:>"\n\t":" CLB #2->1\n: \n"<Stuoris>"\n\t"stuoris" A Attr #3->1\n: \n"<¶>"\n\t"¶" CLB #4->1\n:\\n\n"<lea>"\n\t"leat" V Prs Sg3 #5->0\n: \n"<buorre>"\n\t"buorre" A Sg Nom #6->5\n"<!>"\n\t"!" CLB #7->5\n'),
+    (5, "sme", '"<12>"\n\t"12" Num #1->0\n"<.>"\n\t"." CLB #2->1\n: \n"<Dát>"\n\t"dát" Pron #1->0\n:odd text\n"<.>"\n\t"." CLB #2->1\n'),
+]
+
+
+def test_analyses_read_by_hand(spark):
+    """Rows written out from the rules."""
+    docs = spark.createDataFrame(_COHORTS + _SPACED, "id int, lang string, dependency string")
+    got = {tuple(r) for r in annotations.parse_analysis(docs.where("id < 4"), "id").collect()}
+    assert got == set(_COHORTS_SEEN)
+    assert {tuple(r) for r in annotations.known_sentences(docs, "id").collect()} == {(1, 1, "Mun boađán."), (4, 1, "Girji: Stuoris"), (4, 2, "lea buorre!")}
+
+
+def test_token_table_of_odd_analyses(spark):
+    texts = {
+        1: '"<go>"\n\t"a" N Err/Orth Sg\n\t"go" N Sg\n', 2: '"<¶>"\n\t"¶" CLB\n', 3: None, 4: '"<x>"\n', 5: ': \n"<a>"\n\t"<" PUNCT #1->0\n: \n\n"<b>"\n\t"b" #1->0\n', 6: '"<p>"\n\t"p" V Ex/N Der N Sg @X> #1->2\n\n"<¶>"\n\t"¶" CLB\n\n"<q>"\n\t"q" N Sem/Food-med Sg #1->0',
+    }
+    docs = spark.createDataFrame([(k, "sme", t) for k, t in texts.items()], "id int, lang string, dependency string")
+    got = {tuple(r) for r in annotations.parse_analysis(docs, "id").collect()}
+    assert got == {
+        (1, 1, 1, "go", "go", "N", "N", "", "X", ""), (4, 1, 1, "x", "", "___", "___", "", "X", ""), (5, 1, 1, "a", "<", "PUNCT", "PUNCT", "1", "X", "0"), (5, 2, 1, "b", "b", "#", "#", "1", "X", "0"),
+        (6, 1, 1, "p", "p", "N", "N.Sg", "1", "X>", "2"), (6, 2, 1, "q", "q", "N", "N.Sem_Obj.Sg", "1", "X", "0"),
+    }
+
 
 
 def test_alignment_finds_merges():

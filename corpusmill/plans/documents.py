@@ -6,34 +6,34 @@ from pyspark.sql import functions as F
 
 from corpusmill.operators import annotations as N
 from corpusmill.operators import pages as G
-from corpusmill.sources.literals import frame, values
+from corpusmill.sources.literals import dressed, dressed_sql, values
 from corpusmill.sources.tables import load
 from corpusmill.streaming import ingest
 
 _MARKUP = [
-    (1, "no error here"), (2, "one {wrong}${right} word"), (3, "{a}¢{noun|b///c} and {d}€{e} end"), (4, "x {y {z}${zz} w}£{whole} t"), (5, "bad {a}#{b}"), (6, "open {a"), (7, "{two words}‰{two  words}"),
+    (1, "no error here ◊"), (2, "one {wrong ◊}${right} word"), (3, "{a}¢{noun|b ◊///c} and {d}€{e} ◊ end"), (4, "x {y {z}${zz ◊} w}£{whole} t"), (5, "bad ◊ {a}#{b}"), (6, "open ◊ {a"), (7, "{two ◊ words}‰{two ◊  words}"),
 ]
 _MARKUP_SEEN = [
-    (2, "1", 1, "errorort", "wrong", "", "right", " word", None), (3, "1", 1, "errorortreal", "a", "noun", "b|c", " and ", None), (3, "2", 1, "errorlex", "d", "", "e", " end", None), (4, "1", 1, "errormorphsyn", "y z w", "", "whole", " t", None),
-    (4, "1.1", 2, "errorort", "z", "", "zz", " w", None), (5, None, 0, None, None, None, None, None, "unknown error symbol «#»"), (6, None, 0, None, None, None, None, None, "an error is open at the end of the line"),
-    (7, "1", 1, "errorformat", "two words", "", "two  words", "", None),
+    (2, "1", 1, "errorort", "wrong ◊", "", "right", " word", None), (3, "1", 1, "errorortreal", "a", "noun", "b ◊|c", " and ", None), (3, "2", 1, "errorlex", "d", "", "e", " ◊ end", None), (4, "1", 1, "errormorphsyn", "y z w", "", "whole", " t", None),
+    (4, "1.1", 2, "errorort", "z", "", "zz ◊", " w", None), (5, None, 0, None, None, None, None, None, "unknown error symbol «#»"), (6, None, 0, None, None, None, None, None, "an error is open at the end of the line"),
+    (7, "1", 1, "errorformat", "two ◊ words", "", "two ◊  words", "", None),
 ]
-_MARKUP_TEXTS = [(1, "no error here", "no error here"), (2, "one wrong word", "one right word"), (3, "a and d end", "b and e end"), (4, "x y z w t", "x whole t"), (5, None, None), (6, None, None), (7, "two words", "two  words")]
-_PATHS = [(1, "/c/corpus-sme/converted/admin/a/b.html.xml"), (2, "/c/corpus-sme-orig-x-closed/admin/f.pdf.xsl"), (3, "/c/corpus-nob-orig/ficti/g.txt"), (4, "/c/corpus-sme/tmx/nob/admin/h.html.tmx"), (5, "/tmp/x.txt"), (6, "/c/corpus-smj-x-y/korp_mono/k.txt.xml")]
-_NAMES = [(1, "Ođđa Fiila (1).txt"), (2, "__x+y.txt"), (3, "%C3%A1rran.PDF"), (4, "a b.txt"), (5, "a_b.txt"), (6, "A b.txt"), (7, "-_-z?.doc"), (8, "Кириллица.txt"), (9, "a–b “c”.txt"), (10, "Ŋuova Щи.txt")]
-_NAMES_SEEN = [(1, "odda_fiila_1_.txt"), (2, "x_y.txt"), (3, "arran.pdf"), (4, "a_b.txt"), (5, "a_b.txt"), (6, "a_b.txt"), (7, "z_.doc"), (8, "kirillitsa.txt"), (9, "a-b_c_.txt"), (10, "nguova_shchi.txt")]
+_MARKUP_TEXTS = [(1, "no error here ◊", "no error here ◊"), (2, "one wrong ◊ word", "one right word"), (3, "a and d ◊ end", "b ◊ and e ◊ end"), (4, "x y z w t", "x whole t"), (5, None, None), (6, None, None), (7, "two ◊ words", "two ◊  words")]
+_PATHS = [(1, "/c/corpus-sme/converted/admin/◊/a/b.html.xml"), (2, "/c/corpus-sme-orig-x-closed/admin/◊/f.pdf.xsl"), (3, "/c/corpus-nob-orig/ficti/◊ g.txt"), (4, "/c/corpus-sme/tmx/nob/admin/◊/h.html.tmx"), (5, "/tmp/◊/x.txt"), (6, "/c/corpus-smj-x-y/korp_mono/◊/k.txt.xml")]
+_NAMES = [(1, "Ođđa Fiila◆ (1).txt"), (2, "__x+◆y.txt"), (3, "%C3%A1rran◆.PDF"), (4, "a b◆.txt"), (5, "a_b◆.txt"), (6, "A b◆.txt"), (7, "-_-z◆?.doc"), (8, "Кириллица◆.txt"), (9, "a–b “c◆”.txt"), (10, "Ŋuova Щи◆.txt")]
+_NAMES_SEEN = [(1, "odda_fiila◆_1_.txt"), (2, "x_◆y.txt"), (3, "arran◆.pdf"), (4, "a_b◆.txt"), (5, "a_b◆.txt"), (6, "a_b◆.txt"), (7, "z◆_.doc"), (8, "kirillitsa◆.txt"), (9, "a-b_c◆_.txt"), (10, "nguova_shchi◆.txt")]
 
 
 def error_markup_parse(spark, d):
-    return N.markup_errors(frame(spark, "id int, line string", _MARKUP), "id", "line").select("id", "path", F.coalesce("depth", F.lit(0)).alias("depth"), "kind", "error_text", "info", F.array_join("suggestions", "|").alias("suggestions"), "tail", "problem")
+    return N.markup_errors(dressed(spark, d, "id int, line string", _MARKUP), "id", "line").select("id", "path", F.coalesce("depth", F.lit(0)).alias("depth"), "kind", "error_text", "info", F.array_join("suggestions", "|").alias("suggestions"), "tail", "problem")
 
 
 def error_markup_texts(spark, d):
-    return frame(spark, "id int, line string", _MARKUP).select("id", N.markup_texts(F.col("line")).alias("t")).select("id", "t.*")
+    return dressed(spark, d, "id int, line string", _MARKUP).select("id", N.markup_texts(F.col("line")).alias("t")).select("id", "t.*")
 
 
 def error_counts(spark, d):
-    e = N.markup_errors(frame(spark, "id int, line string", _MARKUP), "id", "line")
+    e = N.markup_errors(dressed(spark, d, "id int, line string", _MARKUP), "id", "line")
     return e.where("problem is null").groupBy("kind").agg(F.count("*").alias("n"))
 
 
@@ -143,11 +143,11 @@ def page_digest_dupes(spark, d):
 
 
 def path_parse(spark, d):
-    return frame(spark, "id int, path string", _PATHS).select("id", G.corpus_path(F.col("path")).alias("p")).select("id", "p.*")
+    return dressed(spark, d, "id int, path string", _PATHS).select("id", G.corpus_path(F.col("path")).alias("p")).select("id", "p.*")
 
 
 def filename_normalise(spark, d):
-    return frame(spark, "id int, name string", _NAMES).select("id", G.normalised_name("name").alias("name"))
+    return dressed(spark, d, "id int, name string", _NAMES).select("id", G.normalised_name("name").alias("name"))
 
 
 def unique_names(spark, d):
@@ -212,15 +212,15 @@ num as (select *, row_number() over (partition by doc_id order by k) as sentence
 tok as (select doc_id, lang, sentence_no, generate_subscripts(ws, 1) as position, unnest(ws) as word from num)"""
 
 ORACLE = {
-    "error_markup_parse": f"select * from {values('id, path, depth, kind, error_text, info, suggestions, tail, problem', _MARKUP_SEEN)}",
-    "error_markup_texts": f"select * from {values('id, uncorrected, corrected', _MARKUP_TEXTS)}",
-    "error_counts": f"select kind, count(*) as n from {values('id, path, depth, kind, error_text, info, suggestions, tail, problem', _MARKUP_SEEN)} where problem is null group by kind",
+    "error_markup_parse": f"select * from {dressed_sql('id, path, depth, kind, error_text, info, suggestions, tail, problem', _MARKUP_SEEN, _MARKUP)}",
+    "error_markup_texts": f"select * from {dressed_sql('id, uncorrected, corrected', _MARKUP_TEXTS, _MARKUP)}",
+    "error_counts": f"select kind, count(*) as n from {dressed_sql('id, path, depth, kind, error_text, info, suggestions, tail, problem', _MARKUP_SEEN, _MARKUP)} where problem is null group by kind",
     "parse_analysis": _WORDS_SQL
     + f""", seen as (select * from {values('m, lemma, pos, msd, msd_other, deprel', [(k, *r[1:]) for k, r in enumerate(_READINGS)])})
 select doc_id, cast(sentence_no as int) as sentence_no, cast(position as int) as position, word, replace(lemma, '$', word) as lemma, pos, case when lang = 'sme' then msd else msd_other end as msd,
   position::varchar as ref, deprel, (position - 1)::varchar as dephead from tok join seen on (position - 1) % {len(_READINGS)} = m
 union all select doc_id, cast(sentence_no as int), cast(max(position) + 1 as int), '.', '.', 'CLB', 'CLB', (max(position) + 1)::varchar, 'X', '0' from tok group by doc_id, sentence_no""",
-    "filename_normalise": f"select * from {values('id, name', _NAMES_SEEN)}",
+    "filename_normalise": f"select * from {dressed_sql('id, name', _NAMES_SEEN, _NAMES)}",
     "known_sentences": _WORDS_SQL
     + f""", good as (select * from num where len(ws) <= {[r[0].startswith('$" ?') for r in _READINGS].index(True)})
 select doc_id, cast(row_number() over (partition by doc_id order by k) as bigint) as sentence_no, array_to_string([w || case when i % 3 = 2 then ' ' else '' end for w, i in ws], '') || '.' as sentence from good""",
@@ -236,7 +236,7 @@ select doc_id, cast(row_number() over (partition by doc_id order by k) as bigint
     "page_digest_dupes": "select md5(html) as digest, arg_max(url, page_id) as url, count(*) as n from pages group by 1",
     "path_parse": f"""select id, case when ok then regexp_extract(path, '{_RX}', 1) end as root, case when ok then f[1] end as lang, case when ok then array_to_string(f[2:], '-') end as dirsuffix,
   case when ok then m end as module, case when not ok then null when m <> '' then regexp_replace(r[length(m) + 2:], '\\.[^./]+$', '') else regexp_replace(r, '\\.(xsl|log)$', '') end as filepath
-  from (select *, regexp_extract(r, '{_MOD}', 1) as m from (select id, path, regexp_matches(path, '{_RX}') as ok, string_split(replace(regexp_extract(path, '{_RX}', 2), '-orig', ''), '-') as f, regexp_extract(path, '{_RX}', 3) as r from {values("id, path", _PATHS)}))""",
+  from (select *, regexp_extract(r, '{_MOD}', 1) as m from (select id, path, regexp_matches(path, '{_RX}') as ok, string_split(replace(regexp_extract(path, '{_RX}', 2), '-orig', ''), '-') as f, regexp_extract(path, '{_RX}', 3) as r from {dressed_sql("id, path", _PATHS)}))""",
     "unique_names": "select page_id, case when k = 0 then name else regexp_replace(name, '\\.[^.]*$', '') || '_' || k || regexp_extract(name, '(\\.[^.]*)$', 1) end as unique from (select page_id, name, row_number() over (partition by name order by page_id) - 1 as k from (select page_id, regexp_extract(url, '([^/?]*)(\\?.*)?$', 1) as name from pages))",
     "stage_completeness": "select lang, count(*) as original, count(*) filter (doc_id % 4 <> 0) as converted, count(*) filter (doc_id % 4 > 1) as analysed, count(*) filter (doc_id % 4 = 0) as lack_converted, count(*) filter (doc_id % 4 = 1) as lack_analysed from documents group by lang",
     "gold_sample": "select doc_id, lang, size from (select doc_id, lang, length(text) as size, row_number() over (partition by lang order by length(text) desc, doc_id) as n from documents) where n >= 5 and (n - 5) % 4 = 0",

@@ -8,25 +8,25 @@ from corpusmill.functions import encodings
 from corpusmill.functions import text as X
 from corpusmill.operators import relations as R
 from corpusmill.sources import formats as S
-from corpusmill.sources.literals import frame, values
+from corpusmill.sources.literals import dressed, dressed_sql, values
 from corpusmill.sources.tables import load
 
 _SFM = [
-    (1, 1, "\\id MAT x"), (1, 2, "\\mt1 The Book"), (1, 3, "\\c 1"), (1, 4, "\\p"), (1, 5, "\\v 1 In the beginning\\f + \\ft note\\f* it was"), (1, 6, "and went on"), (1, 7, "\\v 2 Then"), (1, 8, "\\s1 A Title"), (1, 9, "\\p \\v"), (1, 10, "\\m More text"), (1, 11, "\\s2 Sum  up"), (1, 12, "tail c\u0304"), (1, 13, "\\c 2"), (1, 14, "\\cp 2"), (1, 15, "\\v 3-4 Word\\x - ref\\x* end"),
+    (1, 1, "\\id MAT x"), (1, 2, "\\mt1 The Book ◊"), (1, 3, "\\c 1"), (1, 4, "\\p"), (1, 5, "\\v 1 In the ◊ beginning\\f + \\ft note\\f* it was"), (1, 6, "and went on"), (1, 7, "\\v 2 Then"), (1, 8, "\\s1 A Title"), (1, 9, "\\p \\v"), (1, 10, "\\m More text"), (1, 11, "\\s2 Sum  up"), (1, 12, "tail ◊ c\u0304"), (1, 13, "\\c 2"), (1, 14, "\\cp 2"), (1, 15, "\\v 3-4 Word ◊\\x - ref\\x* end"),
 ]
 
 _SFM_SEEN = [
-    (1, 0, 1, "title", "The Book"), (1, 1, 2, "text", "In the beginning it was\nand went on\nThen"), (1, 1, 3, "title", "A Title"), (1, 1, 4, "text", "\\v\nMore text"), (1, 1, 5, "text", "Sum up"), (1, 1, 6, "text", "tail č"),
-    (1, 2, 7, "text", "Word end"),
+    (1, 0, 1, "title", "The Book ◊"), (1, 1, 2, "text", "In the ◊ beginning it was\nand went on\nThen"), (1, 1, 3, "title", "A Title"), (1, 1, 4, "text", "\\v\nMore text"), (1, 1, 5, "text", "Sum up"), (1, 1, 6, "text", "tail ◊ č"),
+    (1, 2, 7, "text", "Word ◊ end"),
 ]
 _USX = [
-    (1, '<usx><book code="MAT" style="id">x</book><para style="h">Head</para><para style="mt1">The  Book</para><chapter number="1"/><para style="s">Title</para><para style="p"><verse number="1"/>One <note>gone</note>two<verse number="2"/> three</para><para style="q1">four</para><para style="b"/><para style="li1">item</para><para style="q2">more</para></usx>'),
-    (2, '<usx><chapter number="1"/><para style="ms">T</para><para style="m">after a title</para><para style="zz">left out</para><para style="p"/></usx>'), (3, "<usx"),
+    (1, '<usx><book code="MAT" style="id">x</book><para style="h">Head</para><para style="mt1">The  Book ◊</para><chapter number="1"/><para style="s">Title</para><para style="p"><verse number="1"/>One ◊ <note>gone</note>two<verse number="2"/> three</para><para style="q1">four</para><para style="b"/><para style="li1">item ◊</para><para style="q2">more</para></usx>'),
+    (2, '<usx><chapter number="1"/><para style="ms">T</para><para style="m">after ◊ a title</para><para style="zz">left out</para><para style="p"/></usx>'), (3, "<usx"),
 ]
-_USX_SEEN = [(1, 0, 1, "title", "The Book"), (1, 1, 2, "title", "Title"), (1, 1, 3, "text", "One two three four"), (1, 1, 4, "listitem", "item more"), (2, 1, 1, "title", "T"), (2, 1, 2, "text", "after a title")]
-_BIBLE = [(1, '<bible><book title="Ruth"><chapter number="1" title="First"><section title="S"><verse number="1">a</verse><verse number="2">b</verse><p><verse number="3">c</verse><verse number="4"/></p><verse number="5">d</verse></section><verse>alone</verse></chapter><chapter number="2"><section title="Z"/></chapter></book></bible>')]
-_BIBLE_SEEN = [(1, 0, 1, "title", "Ruth"), (1, 1, 2, "title", "1 First"), (1, 1, 3, "title", "S"), (1, 1, 4, "text", "a\nb"), (1, 1, 5, "text", "c"), (1, 1, 6, "text", "d"), (1, 1, 7, "text", "alone"), (1, 2, 8, "title", "2"), (1, 2, 9, "title", "Z")]
-_VRT_LINES = [(1, '<text id="1">\na\tb\tc\td\te\tf\tg\nshort\tline\n</text>'), (2, "x\ty"), (3, "")]
+_USX_SEEN = [(1, 0, 1, "title", "The Book ◊"), (1, 1, 2, "title", "Title"), (1, 1, 3, "text", "One ◊ two three four"), (1, 1, 4, "listitem", "item ◊ more"), (2, 1, 1, "title", "T"), (2, 1, 2, "text", "after ◊ a title")]
+_BIBLE = [(1, '<bible><book title="Ruth"><chapter number="1" title="First ◊"><section title="S"><verse number="1">a</verse><verse number="2">b ◊</verse><p><verse number="3">c</verse><verse number="4"/></p><verse number="5">d</verse></section><verse>alone ◊</verse></chapter><chapter number="2"><section title="Z"/></chapter></book></bible>')]
+_BIBLE_SEEN = [(1, 0, 1, "title", "Ruth"), (1, 1, 2, "title", "1 First ◊"), (1, 1, 3, "title", "S"), (1, 1, 4, "text", "a\nb ◊"), (1, 1, 5, "text", "c"), (1, 1, 6, "text", "d"), (1, 1, 7, "text", "alone ◊"), (1, 2, 8, "title", "2"), (1, 2, 9, "title", "Z")]
+_VRT_LINES = [(1, '<text id="1">\na\tb\tc\td\te\tf\tg\nshort ◊\tline\n</text>'), (2, "x ◊\ty"), (3, "")]
 
 #: ASCII letters of a document as letters that Sámi code pages hold: a stand-in for Sámi text.
 _ASCII, _SAMI = "ascdznt", "ášČđžŋŧ".lower()
@@ -57,15 +57,15 @@ def vrt_round_trip(spark, d):
 
 
 def sfm_paragraphs(spark, d):
-    return S.sfm_paragraphs(frame(spark, "id int, line_no int, line string", _SFM), "id")
+    return S.sfm_paragraphs(dressed(spark, d, "id int, line_no int, line string", _SFM), "id")
 
 
 def usx_paragraphs(spark, d):
-    return S.scripture_paragraphs(frame(spark, "id int, xml string", _USX), "id", "xml", usx=True)
+    return S.scripture_paragraphs(dressed(spark, d, "id int, xml string", _USX), "id", "xml", usx=True)
 
 
 def bible_paragraphs(spark, d):
-    return S.scripture_paragraphs(frame(spark, "id int, xml string", _BIBLE), "id", "xml", usx=False)
+    return S.scripture_paragraphs(dressed(spark, d, "id int, xml string", _BIBLE), "id", "xml", usx=False)
 
 
 def verse_numbers(spark, d):
@@ -78,7 +78,7 @@ def first_stories(spark, d):
 
 
 def vrt_bad_lines(spark, d):
-    return S.bad_vrt_lines(frame(spark, "text_id int, vrt string", _VRT_LINES))
+    return S.bad_vrt_lines(dressed(spark, d, "text_id int, vrt string", _VRT_LINES))
 
 
 def registry_heads(spark, d):
@@ -165,13 +165,13 @@ t as (select text_id, string_agg(e, chr(10) order by sentence_id) as body, count
 v as (select text_id, '<text id="' || text_id || '" lang="' || lang || '" sentence_count="' || k || '" token_count="' || n || '">' || chr(10) || body || chr(10) || '</text>' as vrt from t join documents on text_id = doc_id)
 select text_id, length(vrt) as chars, md5(vrt) as digest from v""",
     "vrt_round_trip": _TOK + "select text_id, count(*) as tokens, max(sentence_id) as sentences from tok group by text_id",
-    "sfm_paragraphs": f"select * from {values('id, section, para_no, type, text', _SFM_SEEN)}",
-    "usx_paragraphs": f"select * from {values('id, section, para_no, type, text', _USX_SEEN)}",
-    "bible_paragraphs": f"select * from {values('id, section, para_no, type, text', _BIBLE_SEEN)}",
+    "sfm_paragraphs": f"select * from {dressed_sql('id, section, para_no, type, text', _SFM_SEEN, _SFM)}",
+    "usx_paragraphs": f"select * from {dressed_sql('id, section, para_no, type, text', _USX_SEEN, _USX)}",
+    "bible_paragraphs": f"select * from {dressed_sql('id, section, para_no, type, text', _BIBLE_SEEN, _BIBLE)}",
     "tmx_round_trip": "select 'a' as src_lang, 'b' as tgt_lang, count(*) as units from conversations",
     "verse_numbers": "select (doc_id % 40)::varchar as number, count(*) as n from documents group by 1",
     "first_stories": "select doc_id % 50 as id, min(doc_id) as doc_id, arg_min(md5(text), doc_id) as digest from documents group by 1",
-    "vrt_bad_lines": f"select * from {values('text_id, line', [(1, 'short' + chr(9) + 'line'), (2, 'x' + chr(9) + 'y')])}",
+    "vrt_bad_lines": f"select * from {dressed_sql('text_id, line', [(1, 'short ◊' + chr(9) + 'line'), (2, 'x ◊' + chr(9) + 'y')], _VRT_LINES)}",
     "registry_heads": "select md5('NAME \"' || n || '\"' || chr(10) || 'ID ' || lower(n) || chr(10) || 'HOME ' || lower(n) || chr(10) || 'INFO /i' || chr(10) || array_to_string(['ATTRIBUTE ' || a || chr(10) for a in ['word', 'lemma', 'pos', 'msd', 'ref', 'deprel', 'dephead']], '')) as digest from (select distinct 'CORPUS_' || upper(source) as n from documents)",
     "unit_links": "select conv_id as file, 'l' || turn as link_id, 'l' || turn || 's' || turn as sentence_id, md5(text) as src_text, role as tgt_text from conversations",
     "word_postings": _TOK + "select word, text_id, string_agg(sentence_id || ':' || position, ' ' order by sentence_id, position) as places from tok group by word, text_id",

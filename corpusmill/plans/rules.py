@@ -13,21 +13,21 @@ from corpusmill.operators import relations as R
 from corpusmill.plans.language_models import _MODELS
 from corpusmill.sources import formats as S
 from corpusmill.sources import tables
-from corpusmill.sources.literals import frame, values
+from corpusmill.sources.literals import dressed, dressed_sql
 from corpusmill.sources.tables import load
 
-_SEM = [(1, 1, 1, "guolli", "guolli", "N", "N.Sem_Ani.Sem_Food.Sg", 2, "SUBJ→"), (1, 1, 2, "boahtá", "boahtit", "V", "V.Sg3", 0, "X"), (1, 1, 3, "gili", "gilli", "N", "N.Sem_Plc.Gen", 2, "←OBJ"), (1, 1, 4, ".", ".", "CLB", "CLB", 2, "X")]
+_SEM = [(1, 1, 1, "guolli ◊", "guolli", "N", "N.Sem_Ani.Sem_Food.Sg", 2, "SUBJ→"), (1, 1, 2, "boahtá", "boahtit", "V", "V.Sg3", 0, "X"), (1, 1, 3, "gili", "gilli ◊", "N", "N.Sem_Plc.Gen", 2, "←OBJ"), (1, 1, 4, ".", ".", "CLB", "CLB", 2, "X")]
 _SEM_SEEN = [
-    (1, 1, 1, "guolli", "guolli", "N", 3, "SUBJ"), (1, 1, 2, "guolli", "Sem_Ani_Sem_Food", "N", 3, "SUBJ"), (1, 1, 3, "boahtá", "boahtit", "V", 0, "X"), (1, 1, 4, "gili", "gilli", "N", 3, "OBJ"), (1, 1, 5, "gili", "Sem_Plc", "N", 3, "OBJ"),
+    (1, 1, 1, "guolli ◊", "guolli", "N", 3, "SUBJ"), (1, 1, 2, "guolli ◊", "Sem_Ani_Sem_Food", "N", 3, "SUBJ"), (1, 1, 3, "boahtá", "boahtit", "V", 0, "X"), (1, 1, 4, "gili", "gilli ◊", "N", 3, "OBJ"), (1, 1, 5, "gili", "Sem_Plc", "N", 3, "OBJ"),
     (1, 1, 6, ".", ".", "CLB", 3, "X"),
 ]
-_FONTS = [(3, 12, "Times", "#000"), (1, 12, "Times", "#000"), (2, 14, "Times", "#000"), (4, 14, "Times", "#000")]
-_FETCHED = [(1, "http://a.no/b/c/", "text/html; charset=utf-8"), (2, "http://a.no/b/c", "application/pdf"), (3, "http://a.no/x.pdf/", "application/pdf"), (4, "http://a.no/d/?q=1", "image/png"), (5, "http://a.no/e.pdf", "application/pdf")]
-_SAVED = [(1, "c.html"), (2, "index.pdf"), (3, "x.pdf.pdf"), (4, "index"), (5, "index")]
-_COLONS = [(1, "govva:Someone", "govva: Someone"), (2, "Govven: ok", "Govven: ok"), (3, "none:x", "none:x")]
-_ANCHORS = [("# c / d",), ("dog / beana",), ("cat/",), ("a/b/c",), ("& x / y",), ("word / sátni ",)]
-_MODEL = [("ab\t12",), ("",), ("c\t3",)]
-_TYPOS = [(1, "tset\ttest"), (2, "tset\ttext"), (3, "same\tsame"), (4, "none"), (5, "x\ty")]
+_FONTS = [(3, 12, "Times ◊", "#000"), (1, 12, "Times ◊", "#000"), (2, 14, "Times ◊", "#000"), (4, 14, "Times ◊", "#000")]
+_FETCHED = [(1, "http://a.no/b/c◆/", "text/html; charset=utf-8"), (2, "http://a.no/b/c◆", "application/pdf"), (3, "http://a.no/x.pdf/", "application/pdf"), (4, "http://a.no/d◆/?q=1", "image/png"), (5, "http://a.no/e◆.pdf", "application/pdf")]
+_SAVED = [(1, "c◆.html"), (2, "index.pdf"), (3, "x.pdf.pdf"), (4, "index"), (5, "index")]
+_COLONS = [(1, "govva:Someone ◊", "govva: Someone ◊"), (2, "Govven: ok ◊", "Govven: ok ◊"), (3, "none:◊ x", "none:◊ x")]
+_ANCHORS = [(1, "# c ◊ / d"), (2, "dog ◊ / beana"), (3, "cat ◊/"), (4, "a/b ◊/c"), (5, "& x / y ◊"), (6, "word / ◊ sátni ")]
+_MODEL = [(1, "ab ◊\t12"), (2, ""), (3, "◊ c\t3")]
+_TYPOS = [(1, "tset\ttest ◊"), (2, "tset\ttext ◊"), (3, "same ◊\tsame ◊"), (4, "none ◊"), (5, "x ◊\ty ◊")]
 
 
 def paragraph_languages(spark, d):
@@ -40,7 +40,7 @@ def merged_lines(spark, d):
 
 
 def font_ids(spark, d):
-    return P.font_ids(frame(spark, "id int, size int, family string, color string", _FONTS))
+    return P.font_ids(dressed(spark, d, "id int, size int, family string, color string", _FONTS))
 
 
 def model_files(spark, d):
@@ -48,19 +48,19 @@ def model_files(spark, d):
 
 
 def model_reader(spark, d):
-    return tables.model_rows(frame(spark, "value string", _MODEL))
+    return tables.model_rows(dressed(spark, d, "id int, value string", _MODEL))
 
 
 def anchor_reader(spark, d):
-    return S.anchor_lines(tables.anchor_pairs(frame(spark, "value string", _ANCHORS), 2, 0, 1))
+    return S.anchor_lines(tables.anchor_pairs(dressed(spark, d, "id int, value string", _ANCHORS), 2, 0, 1))
 
 
 def typo_reader(spark, d):
-    return tables.typo_pairs(frame(spark, "at int, value string", _TYPOS), "at")
+    return tables.typo_pairs(dressed(spark, d, "at int, value string", _TYPOS), "at")
 
 
 def semantic_rows(spark, d):
-    t = frame(spark, "text_id int, sentence_id int, position int, word string, lemma string, pos string, msd string, dephead int, deprel string", _SEM)
+    t = dressed(spark, d, "text_id int, sentence_id int, position int, word string, lemma string, pos string, msd string, dephead int, deprel string", _SEM)
     return R.semantic_rows(t).withColumn("deprel", R.folded_labels(F.col("deprel")))
 
 
@@ -69,7 +69,7 @@ def categories(spark, d):
 
 
 def saved_names(spark, d):
-    return frame(spark, "id int, url string, kind string", _FETCHED).select("id", G.saved_name(F.col("url"), F.col("kind")).alias("name"))
+    return dressed(spark, d, "id int, url string, kind string", _FETCHED).select("id", G.saved_name(F.col("url"), F.col("kind")).alias("name"))
 
 
 def page_stems(spark, d):
@@ -82,7 +82,7 @@ def page_margins(spark, d):
 
 
 def colon_spaces(spark, d):
-    return frame(spark, "id int, text string", [(k, t) for k, t, _ in _COLONS]).select("id", X.colon_space(F.col("text"), ["govva", "govven", "govvejeaddji"]).alias("text"))
+    return dressed(spark, d, "id int, text string", [(k, t) for k, t, _ in _COLONS]).select("id", X.colon_space(F.col("text"), ["govva", "govven", "govvejeaddji"]).alias("text"))
 
 
 def package_ids(spark, d):
@@ -104,15 +104,15 @@ from corpusmill.plans.corpus import _TOK  # noqa: E402
 
 _LINES = "(select doc_id, generate_subscripts(l, 1) as line_no, unnest(l) as line from (select doc_id, string_split(text, chr(10)) as l from documents))"
 ORACLE = {
-    "saved_names": f"select * from {values('id, name', _SAVED)}",
-    "colon_spaces": f"select * from {values('id, text', [(k, e) for k, _, e in _COLONS])}",
-    "semantic_rows": f"select * from {values('text_id, sentence_id, position, word, lemma, pos, dephead, deprel', _SEM_SEEN)}",
+    "saved_names": f"select * from {dressed_sql('id, name', _SAVED, _FETCHED)}",
+    "colon_spaces": f"select * from {dressed_sql('id, text', [(k, e) for k, _, e in _COLONS])}",
+    "semantic_rows": f"select * from {dressed_sql('text_id, sentence_id, position, word, lemma, pos, dephead, deprel', _SEM_SEEN, _SEM)}",
     "merged_lines": f"select doc_id, para_no, md5(string_agg(line, ' ' order by line_no)) as digest from (select *, sum((not regexp_matches(line, '^\\p{{Ll}}'))::int) over (partition by doc_id order by line_no)::bigint as para_no from {_LINES}) group by doc_id, para_no",
-    "font_ids": f"select id, min(id) over (partition by size, family, color) as first from {values('id, size, family, color', _FONTS)}",
+    "font_ids": f"select id, min(id) over (partition by size, family, color) as first from {dressed_sql('id, size, family, color', _FONTS)}",
     "model_files": _MODELS + " z as (select 1) select lang, rank, gram || chr(9) || freq as value from lg_r",
-    "model_reader": f"select string_split(value, chr(9))[1] as gram, string_split(value, chr(9))[2]::bigint as freq from {values('value', _MODEL)} where trim(value) <> ''",
-    "anchor_reader": f"select trim(p[1]) || ' / ' || trim(p[2]) as value from (select value, string_split(value, '/') as p from {values('value', _ANCHORS)}) where value[1] not in ('#', '&') and len(p) = 2 and trim(p[1]) <> '' and trim(p[2]) <> ''",
-    "typo_reader": f"select p[1] as typo, arg_max(p[2], n) as correction from (select n, string_split(value, chr(9)) as p from {values('n, value', _TYPOS)}) where len(p) = 2 and p[1] <> p[2] group by 1",
+    "model_reader": f"select string_split(value, chr(9))[1] as gram, string_split(value, chr(9))[2]::bigint as freq from {dressed_sql('id, value', _MODEL)} where trim(value) <> ''",
+    "anchor_reader": f"select trim(p[1]) || ' / ' || trim(p[2]) as value from (select value, string_split(value, '/') as p from {dressed_sql('id, value', _ANCHORS)}) where value[1] not in ('#', '&') and len(p) = 2 and trim(p[1]) <> '' and trim(p[2]) <> ''",
+    "typo_reader": f"select p[1] as typo, arg_max(p[2], n) as correction from (select n, string_split(value, chr(9)) as p from {dressed_sql('n, value', _TYPOS)}) where len(p) = 2 and p[1] <> p[2] group by 1",
     "categories": "select source as genre, count(*) as files, bool_or(length(text) % 2 = 1) as in_open, bool_or(length(text) % 2 = 0) as in_closed from documents group by source",
     "page_stems": r"select page_id, regexp_replace(regexp_replace(regexp_replace(url, '\?.*$', ''), '^.*/', ''), '\.[^./]+$', '') as stem from pages",
     "page_margins": "select case when page_id = 3 then 9 when page_id % 2 = 0 then 4 else 7 end as margin, count(*) as pages from pages group by 1",

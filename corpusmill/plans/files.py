@@ -7,6 +7,7 @@ import zipfile
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusmill.plans.texts import _islands
 from corpusmill.plans.webpages import PAGE_BLOCKS, quoted
@@ -67,7 +68,7 @@ def mixed_files(spark, d):
 _CONTAINER = '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OPS/b.opf"/></rootfiles></container>'
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _packed(pages: pd.Series) -> pd.Series:
     """Pages as an e-book; a last part is outside of the reading order."""
 

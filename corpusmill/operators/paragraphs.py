@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill import storage
 from corpusmill.functions import text as X
 
 # Marks of old word processors in plain text.
@@ -170,9 +171,10 @@ def labelled(docs: DataFrame, model: DataFrame) -> DataFrame:
     from corpusmill.operators import ngram
 
     rows = lines(docs.select("doc_id", "lang", "text"), "doc_id", "lang").where(F.regexp_like("line", F.lit(r"\p{L}")))
-    keyed = rows.select((F.col("doc_id") * 1_000_000 + F.col("line_no")).alias("doc_id"), F.col("doc_id").alias("owner"), F.col("line_no").alias("para_no"), "lang", without_quotes(F.col("line")).alias("text"))
-    found = ngram.classify_char(ngram.distances(keyed.select("doc_id", "text"), model))
-    return keyed.join(found, "doc_id").where("predicted <> lang").select(F.col("owner").alias("doc_id"), "para_no", F.col("predicted").alias("label"))
+    own = rows.select("doc_id", F.col("line_no").alias("para_no"), "lang", without_quotes(F.col("line")).alias("text"), F.monotonically_increasing_id().alias("id"))
+    own = storage.written(own)  # a line's number stays what it is
+    found = ngram.classify_char(ngram.distances(own.select(F.col("id").alias("doc_id"), "text"), model)).select(F.col("doc_id").alias("id"), "predicted")
+    return own.join(found, "id").where("predicted <> lang").select("doc_id", "para_no", F.col("predicted").alias("label"))
 
 
 def font_ids(specs: DataFrame) -> DataFrame:

@@ -8,8 +8,10 @@ from corpusmill.functions import encodings
 from corpusmill.functions import text as X
 from corpusmill.operators import relations as R
 from corpusmill.sources import formats as S
+from corpusmill.sources import sinks
 from corpusmill.sources.literals import dressed, dressed_sql, values
 from corpusmill.sources.tables import load
+from corpusmill.streaming import ingest
 
 _SFM = [
     (1, 1, "\\id MAT x"), (1, 2, "\\mt1 The Book ◊"), (1, 3, "\\c 1"), (1, 4, "\\p"), (1, 5, "\\v 1 In the ◊ beginning\\f + \\ft note\\f* it was"), (1, 6, "and went on"), (1, 7, "\\v 2 Then"), (1, 8, "\\s1 A Title"), (1, 9, "\\p \\v"), (1, 10, "\\m More text"), (1, 11, "\\s2 Sum  up"), (1, 12, "tail ◊ c\u0304"), (1, 13, "\\c 2"), (1, 14, "\\cp 2"), (1, 15, "\\v 3-4 Word ◊\\x - ref\\x* end"),
@@ -95,11 +97,23 @@ def word_postings(spark, d):
     return p.select("word", "text_id", F.array_join(F.transform("places", lambda x: F.concat_ws(":", x["sentence_id"], x["position"])), " ").alias("places"))
 
 
+#: What a translation memory of the queries below keeps of a text.
+_XML_KEPT = "[^\\x09\\x0A\\x20-\\x{D7FF}]"
+
+
+def _turns(spark, d):
+    """Turns of conversations as units: the text, and its role and length as the other side."""
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), _XML_KEPT, "")
+    return load(spark, d, "conversations").select(F.col("role").alias("src_lang"), text.alias("src_text"), F.lit("x").alias("tgt_lang"), F.concat(F.lit("n & <"), F.length(text).cast("string")).alias("tgt_text"))
+
+
 def tmx_round_trip(spark, d):
-    c = load(spark, d, "conversations")
-    xml = F.concat(F.lit('<tmx><body><tu><tuv xml:lang="a"><seg>'), F.lit("x"), F.lit('</seg></tuv><tuv xml:lang="b"><seg>'), F.regexp_replace("text", "[&<>]", ""), F.lit("</seg></tuv></tu></body></tmx>"))
-    units = S.tmx_units(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("key"), xml.alias("xml")), "key", "xml")
-    return units.groupBy("src_lang", "tgt_lang").agg(F.count("*").alias("units"))
+    """Turns written as translation memories by the sink, one a task, and read back."""
+    sinks.register(spark)
+    folder = ingest.workspace(spark)
+    _turns(spark, d).write.format("corpusmill_tmx").mode("append").save(folder)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tmx").load(folder).select("path", F.col("content").cast("string").alias("xml"))
+    return S.tmx_units(files, "path", "xml").select("src_lang", F.md5("src_text").alias("src"), "tgt_lang", "tgt_text")
 
 
 def recode(spark, d):
@@ -168,7 +182,7 @@ select text_id, length(vrt) as chars, md5(vrt) as digest from v""",
     "sfm_paragraphs": f"select * from {dressed_sql('id, section, para_no, type, text', _SFM_SEEN, _SFM)}",
     "usx_paragraphs": f"select * from {dressed_sql('id, section, para_no, type, text', _USX_SEEN, _USX)}",
     "bible_paragraphs": f"select * from {dressed_sql('id, section, para_no, type, text', _BIBLE_SEEN, _BIBLE)}",
-    "tmx_round_trip": "select 'a' as src_lang, 'b' as tgt_lang, count(*) as units from conversations",
+    "tmx_round_trip": f"select role as src_lang, md5(t) as src, 'x' as tgt_lang, 'n & <' || length(t) as tgt_text from (select role, regexp_replace(coalesce(text, ''), '{_XML_KEPT}', '', 'g') as t from conversations) where regexp_matches(t, '[^{X.WS[1:]}')",
     "verse_numbers": "select (doc_id % 40)::varchar as number, count(*) as n from documents group by 1",
     "first_stories": "select doc_id % 50 as id, min(doc_id) as doc_id, arg_min(md5(text), doc_id) as digest from documents group by 1",
     "vrt_bad_lines": f"select * from {dressed_sql('text_id, line', [(1, 'short ◊' + chr(9) + 'line'), (2, 'x ◊' + chr(9) + 'y')], _VRT_LINES)}",

@@ -55,8 +55,8 @@ def sentence_split(spark, d):
 
 
 def conversation_sentences(spark, d):
-    rows = load(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("key"), "text")
-    return P.sentences(P.tokens(rows, "key"), "key").groupBy("key").agg(F.count("*").alias("sentences"), F.sum(F.length("sentence")).alias("chars"))
+    rows = load(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("key"), "text")
+    return P.sentences(P.tokens(rows, "key"), "key").groupBy("key.conv_id", "key.turn").agg(F.count("*").alias("sentences"), F.sum(F.length("sentence")).alias("chars"))
 
 
 def control_strip(spark, d):
@@ -183,7 +183,7 @@ ORACLE = {
     "plaintext_paragraphs": _islands(f"(select id, regexp_replace({_chain(_chain('text', [(chr(13) + chr(10), chr(10))]), P.PLAIN_TEXT_MARKS)}, '[\\x00-\\x08\\x0B-\\x0C\\x0E-\\x1F\\x7F]', '', 'g') as text from {dressed_sql('id, text', _PLAIN)})", "id"),
     "skip_lines": "select doc_id, count(*) as lines, sum(length(line))::bigint as chars from (select doc_id, generate_subscripts(l, 1) as n, unnest(l) as line from (select doc_id, string_split(text, chr(10)) as l from documents)) where n not in (1, 3, 4) or line like '#%' group by doc_id",
     "sentence_split": _sents("documents", "doc_id"),
-    "conversation_sentences": f"select key, count(*) as sentences, sum(length(sentence))::bigint as chars from ({_sents('(select conv_id * 1000 + turn as key, text from conversations)', 'key')}) group by key",
+    "conversation_sentences": f"select key.conv_id as conv_id, key.turn as turn, count(*) as sentences, sum(length(sentence))::bigint as chars from ({_sents('(select struct_pack(conv_id := conv_id, turn := turn) as key, text from conversations)', 'key')}) group by all",
     "control_strip": r"select doc_id, md5(regexp_replace(text, '[\x00-\x08\x0B-\x0C\x0E-\x1F\x7F\x{80}-\x{9f}]', '', 'g')) as digest from documents",
     "encoding_guess": f"select id, {_encoding()} as encoding from {dressed_sql('id, lang, text', _GARBLED)}",
     "encoding_guess_docs": f"select {_encoding()} as encoding, count(*) as n from documents group by 1",

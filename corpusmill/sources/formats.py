@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from xml.etree import ElementTree
-from xml.sax.saxutils import escape, quoteattr
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -41,12 +40,6 @@ def bad_vrt_lines(texts: DataFrame, key: str = "text_id", column: str = "vrt") -
     return lines.where(F.size(F.split("line", "\t")) != 7)
 
 
-def tmx_document(units: list[tuple[str, str]], src: str, tgt: str) -> str:
-    """A translation memory; units with an empty side are left out."""
-    body = "".join(f"<tu><tuv xml:lang={quoteattr(src)}><seg>{escape(a)}</seg></tuv><tuv xml:lang={quoteattr(tgt)}><seg>{escape(b)}</seg></tuv></tu>\n" for a, b in units if a.strip() and b.strip())
-    return f'<?xml version="1.0" encoding="utf-8"?>\n<tmx version="1.4"><header segtype="sentence" o-tmf="plain" adminlang="en" srclang={quoteattr(src)} datatype="PlainText"/>\n<body>\n{body}</body></tmx>\n'
-
-
 _LANG = "{http://www.w3.org/XML/1998/namespace}lang"
 
 

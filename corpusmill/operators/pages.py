@@ -96,12 +96,6 @@ def stage_counts(docs: DataFrame) -> DataFrame:
     return docs.groupBy("lang").agg(F.count("*").alias("original"), c("converted").alias("converted"), c("analysed").alias("analysed"), c(~F.col("converted")).alias("lack_converted"), c(F.col("converted") & ~F.col("analysed")).alias("lack_analysed"))
 
 
-def header(meta: DataFrame, own: DataFrame, key: str, fields: tuple[str, ...], defaults: dict[str, str]) -> DataFrame:
-    """Header fields: the sidecar's value, else the document's, else the default."""
-    both = own.alias("d").join(meta.alias("m"), key, "left")
-    return both.select(key, *(F.coalesce(F.expr(f"nullif(m.{f}, '')"), F.expr(f"nullif(d.{f}, '')"), F.lit(defaults.get(f, ""))).alias(f) for f in fields))
-
-
 def categories(files: DataFrame) -> DataFrame:
     """genre, files, in_open, in_closed over the files of open and closed corpora together."""
     return files.groupBy("genre").agg(F.count("*").alias("files"), F.bool_or(~F.col("closed")).alias("in_open"), F.bool_or("closed").alias("in_closed"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmill.operators import annotations as N
+from corpusmill.operators import header as H
 from corpusmill.operators import pages as G
 from corpusmill.sources.literals import dressed, dressed_sql, values
 from corpusmill.sources.tables import load
@@ -162,10 +163,29 @@ def gold_sample(spark, d):
     return G.gold_sample(load(spark, d, "documents").select("doc_id", "lang", F.length("text").alias("size")), "lang", "size", "doc_id")
 
 
+#: Fields of metadata files and of documents, and which documents have them: those whose id the number divides.
+_META = {
+    "mainlang": 3, "title": 2, "genre": 5, "author1_ln": 4, "author1_fn": 8, "author1_born": 3, "author2_ln": 6, "author3_ln": 9, "author3_gender": 2, "author4_ln": 10, "translator_ln": 7, "translator_nat": 2, "translated_from": 5,
+    "year": 3, "place": 4, "publisher": 4, "ISSN": 8, "ISBN": 6, "publChannel": 5, "collection": 6, "wordcount": 7, "conversion_status": 11, "license_type": 3, "sub_name": 2, "sub_email": 3, "monolingual": 4, "mlangs": 3, "filename": 2,
+    "metadata": 5, "template_version": 2, "common_version": 3, "xhtml2corpus_version": 5, "note": 9, "orthography": 10,
+}
+_OWN = {"lang": 2, "title": 3, "genre": 2, "author": 5, "translator": 6, "translated_from": 4, "year": 2, "place": 3, "publChannel": 2, "collection": 5, "wordcount": 2, "availability": 4, "metadata": 3, "ISSN": 3}
+
+
+def _says(fields, mark):
+    """A map of fields; every second value that is there is empty where the id ends in 1, and some values hold what the rules look for."""
+    k = F.col("doc_id")
+    special = F.when(k % 10 == 0, "unpublished free uncomplete ").otherwise("")
+    value = lambda f, n: F.when(k % n == 0, F.when(k % 10 == 2, "").otherwise(F.concat(special, F.lit(f"{mark}{f} "), "source")))
+    return F.map_from_entries(F.filter(F.array(*(F.struct(F.lit(f).alias("key"), value(f, n).alias("value")) for f, n in fields.items())), lambda e: e["value"].isNotNull()))
+
+
 def header_merge(spark, d):
-    docs = load(spark, d, "documents").select("doc_id", F.concat(F.lit("t"), "doc_id").alias("title"), F.col("source").alias("genre"), F.lit("").alias("status"))
-    meta = docs.where("doc_id % 2 = 0").select("doc_id", F.when(F.col("doc_id") % 4 == 0, "side").otherwise("").alias("title"), F.lit(None).cast("string").alias("genre"), F.when(F.col("doc_id") % 6 == 0, "ocr").alias("status"))
-    return G.header(meta, docs, "doc_id", ("title", "genre", "status"), {"status": "standard"})
+    docs = load(spark, d, "documents").select("doc_id", _says(_META, "").alias("meta"), _says(_OWN, "own ").alias("own"))
+    found = H.merged(docs, "doc_id")
+    persons = [c for c, kind in found.dtypes if kind.startswith("struct")]
+    shown = lambda c: F.when(F.col(c).isNotNull(), F.concat_ws("|", *(f"{c}.{n}" for n in H.PERSON.values()), f"{c}.said", F.when(F.col(f"{c}.unknown"), "unknown")))
+    return found.withColumns({c: shown(c) for c in persons})
 
 
 def nfc_digest(spark, d):
@@ -211,6 +231,34 @@ ws as (select doc_id, lang, k, list_filter(string_split(regexp_replace(lower(l),
 num as (select *, row_number() over (partition by doc_id order by k) as sentence_no from ws where len(ws) > 0),
 tok as (select doc_id, lang, sentence_no, generate_subscripts(ws, 1) as position, unnest(ws) as word from num)"""
 
+def _field(f, n, mark):
+    """SQL of a field, null where it says nothing."""
+    return f"case when doc_id % {n} = 0 and doc_id % 10 <> 2 then case when doc_id % 10 = 0 then 'unpublished free uncomplete ' else '' end || '{mark}{f} ' || source end"
+
+
+_M, _O = {f: _field(f, n, "") for f, n in _META.items()}, {f: _field(f, n, "own ") for f, n in _OWN.items()}
+
+
+def _person_sql(who):
+    parts = " || '|' || ".join(f"coalesce({_M[f'{who}_{p}']}, '')" if f"{who}_{p}" in _M else "''" for p in ("fn", "ln", "gender", "born", "nat"))
+    return f"case when ({_M[f'{who}_ln']}) is not null then {parts} end"
+
+
+_HEADER_SQL = "select doc_id, " + ", ".join(f"{sql} as {name}" for name, sql in {
+    "lang": f"coalesce({_M['mainlang']}, {_O['lang']}, '')",
+    **{f: f"coalesce({_M[f]}, {_O[f]}, '')" for f in ("title", "genre")}, **{f: f"coalesce({_M[f]}, {_O[f]})" for f in ("year", "place", "collection", "wordcount")}, "translated_from": f"coalesce({_M['translated_from']}, {_O['translated_from']})",
+    "author1": f"coalesce({_person_sql('author1')}, {_O['author']}, 'unknown')", **{f"author{k}": _person_sql(f"author{k}") for k in (2, 3, 4)},
+    "translator": f"coalesce({_person_sql('translator')}, case when ({_O['translator']}) is null and coalesce({_M['translated_from']}, {_O['translated_from']}) is not null then 'unknown' end)",
+    "publication": f"case when ({_M['publisher']}) is not null then ({_M['publisher']}) || coalesce(' ISSN ' || coalesce({_M['ISSN']}, {_O['ISSN']}), '') || coalesce(' ISBN ' || ({_M['ISBN']}), '') when ({_M['publChannel']}) like '%unpublished%' then 'unpublished' else {_O['publChannel']} end",
+    "conversion_status": f"coalesce({_M['conversion_status']}, 'standard')",
+    "availability": f"case when ({_M['license_type']}) like '%free%' then 'free' when ({_M['license_type']}) is not null then 'license ' || ({_M['license_type']}) when ({_O['availability']}) is null then 'license standard' end",
+    "submitter": f"case when ({_M['sub_email']}) is not null then coalesce({_M['sub_name']}, '') || ' ' || ({_M['sub_email']}) when ({_M['sub_name']}) is not null then '' end",
+    "multilingual": f"case when ({_M['monolingual']}) is null then coalesce({_M['mlangs']}, '') end", "file": _M["filename"],
+    "metadata": f"case when ({_M['metadata']}) like '%uncomplete%' then 'uncomplete' when ({_M['metadata']}) is not null then 'complete' else {_O['metadata']} end",
+    "version": f"coalesce('XSLtemplate ' || ({_M['template_version']}) || '; ', '') || coalesce('common.xsl  ' || ({_M['common_version']}) || '; ', '') || coalesce('xhtml2corpus  ' || ({_M['xhtml2corpus_version']}) || '; ', '')",
+    "note": _M["note"], "orthography": _M["orthography"],
+}.items()) + " from documents"
+
 ORACLE = {
     "error_markup_parse": f"select * from {dressed_sql('id, path, depth, kind, error_text, info, suggestions, tail, problem', _MARKUP_SEEN, _MARKUP)}",
     "error_markup_texts": f"select * from {dressed_sql('id, uncorrected, corrected', _MARKUP_TEXTS, _MARKUP)}",
@@ -240,7 +288,7 @@ select doc_id, cast(row_number() over (partition by doc_id order by k) as bigint
     "unique_names": "select page_id, case when k = 0 then name else regexp_replace(name, '\\.[^.]*$', '') || '_' || k || regexp_extract(name, '(\\.[^.]*)$', 1) end as unique from (select page_id, name, row_number() over (partition by name order by page_id) - 1 as k from (select page_id, regexp_extract(url, '([^/?]*)(\\?.*)?$', 1) as name from pages))",
     "stage_completeness": "select lang, count(*) as original, count(*) filter (doc_id % 4 <> 0) as converted, count(*) filter (doc_id % 4 > 1) as analysed, count(*) filter (doc_id % 4 = 0) as lack_converted, count(*) filter (doc_id % 4 = 1) as lack_analysed from documents group by lang",
     "gold_sample": "select doc_id, lang, size from (select doc_id, lang, length(text) as size, row_number() over (partition by lang order by length(text) desc, doc_id) as n from documents) where n >= 5 and (n - 5) % 4 = 0",
-    "header_merge": "select doc_id, case when doc_id % 4 = 0 then 'side' else 't' || doc_id end as title, source as genre, case when doc_id % 6 = 0 then 'ocr' else 'standard' end as status from documents",
+    "header_merge": _HEADER_SQL,
     "nfc_digest": "select doc_id, md5(nfc_normalize(text)) as digest from documents",
     "incremental_ingest": _STREAM,
     "window_counts": "select strftime(time_bucket(interval '1 hour', ts), '%Y-%m-%d %H:%M') as start, event_type, count(*) as n, round(sum(value), 2) as total from events group by all",

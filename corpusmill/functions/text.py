@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space as Unicode and Python see it, in a form that Java's and RE2's regular expressions both read.
 WS = r"[\t-\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -34,6 +36,33 @@ def replace_all(text: Column, pairs: list[tuple[str, str]]) -> Column:
     return reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), pairs, text)
 
 
+#: Pairs of a replacement table that travel to the tasks at most.
+REPLACEMENT_ROWS = 100_000
+
+
+def replaced_by_table(text: Column, pairs: DataFrame) -> Column:
+    """Literal replacements of a table (place, wrong, right), one after the other in the order of `place`: what one makes, a later one sees. Empty or null `wrong` changes nothing; more than REPLACEMENT_ROWS are an error.
+
+    Long chains are no expression that a plan could hold, so they run in an Arrow function, which looks only for what a text has.
+    """
+    rows = pairs.where("wrong <> ''").select("place", "wrong", F.coalesce("right", F.lit(""))).limit(REPLACEMENT_ROWS + 1).collect()
+    if len(rows) > REPLACEMENT_ROWS:
+        raise ValueError(f"more than {REPLACEMENT_ROWS} replacements")
+    chain = [(wrong, right) for _, wrong, right in sorted(rows)]
+
+    @F.pandas_udf(T.StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        def one(t: str) -> str:
+            for wrong, right in chain:
+                if wrong in t:
+                    t = t.replace(wrong, right)
+            return t
+
+        return texts.map(one, na_action="ignore")
+
+    return run(text)
+
+
 def strip_controls(text: str | Column, c1: bool = False) -> Column:
     """Without control characters but tab and line breaks; c1: without U+0080-U+009F too."""
     return F.regexp_replace(text, r"[\x00-\x08\x0B-\x0C\x0E-\x1F\x7F" + (r"\x{80}-\x{9f}" if c1 else "") + "]", "")

@@ -81,6 +81,14 @@ def ligature_fix_docs(spark, d):
     return load(spark, d, "documents").select("doc_id", F.md5(X.fix_bad_unicode(X.fix_ligatures(F.col("text")))).alias("digest"))
 
 
+def replacement_table(spark, d):
+    """Documents under a chain of replacements: every word of the documents of thirteen letters becomes another, in the order of the alphabet."""
+    docs = load(spark, d, "documents")
+    words = docs.select(F.explode(F.split(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+", " "), " ")).alias("w")).where("length(w) = 13").distinct()
+    pairs = words.select(F.col("w").alias("place"), F.col("w").alias("wrong"), F.concat(F.substring("w", 4, 3), F.substring("w", 1, 2)).alias("right"))
+    return docs.select("doc_id", F.md5(X.replaced_by_table(F.col("text"), pairs)).alias("digest"))
+
+
 def quote_spans(spark, d):
     docs = dressed(spark, d, "id bigint, text string", _QUOTED)
     return P.quotes(docs, "id").groupBy("id", "quote").agg(F.count("*").alias("n"))
@@ -121,7 +129,7 @@ def page_joins(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (paragraphs, plaintext_paragraphs, skip_lines, sentence_split, conversation_sentences, control_strip, encoding_guess, encoding_guess_docs, text_fixes, ligature_fix_docs, quote_spans, quote_spans_docs, newstag_lines, year_normalise, analyser_variant, skip_ranges, msd_clean, human_sizes, page_joins)
+    for f in (paragraphs, plaintext_paragraphs, skip_lines, sentence_split, conversation_sentences, control_strip, encoding_guess, encoding_guess_docs, text_fixes, replacement_table, ligature_fix_docs, quote_spans, quote_spans_docs, newstag_lines, year_normalise, analyser_variant, skip_ranges, msd_clean, human_sizes, page_joins)
 }
 
 
@@ -189,6 +197,9 @@ ORACLE = {
     "encoding_guess_docs": f"select {_encoding()} as encoding, count(*) as n from documents group by 1",
     "text_fixes": f"select id, {_chain('text', _LIG)} as ligatures, {_chain('text', X.BAD_UNICODE)} as unicode, case lang when 'sms' then {_SMS} when 'mns' then {_chain('text', X.LANGUAGE_FIXES['mns'])} else text end as language, replace(text, '­', '<hyph/>') as hyphens from {dressed_sql('id, lang, text', _FIXES)}",
     "ligature_fix_docs": f"select doc_id, md5({_chain(_chain('text', _LIG), X.BAD_UNICODE)}) as digest from documents",
+    "replacement_table": """with w as (select distinct unnest(string_split(regexp_replace(lower(coalesce(text, '')), '[^a-z]+', ' ', 'g'), ' ')) as w from documents),
+p as (select list(w order by w) as ws from w where length(w) = 13)
+select doc_id, md5(list_reduce(list_prepend(text, ws), lambda t, x: replace(t, x, x[4:6] || x[1:2]))) as digest from documents, p""",
     "quote_spans": f"select id, quote, count(*) as n from ({_quotes(dressed_sql('id, text', _QUOTED), 'id')}) group by all",
     "quote_spans_docs": f"select doc_id, count(*) as quotes, sum(length(quote))::bigint as chars from ({_quotes('documents', 'doc_id')}) group by doc_id",
     "newstag_lines": f"select * from {dressed_sql('id, kind, rest', _NEWS_SEEN, _NEWS)}",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,3 +103,20 @@ def merged_metadata(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     both = old.alias("o").join(new.alias("n"), key, "full")
     fields = [c for c in old.columns if c != key]
     return both.select(key, *(F.coalesce(F.expr(f"nullif(n.`{c}`, '')"), F.col(f"o.{c}")).alias(c) for c in fields))
+
+
+def stale(now: DataFrame, built: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key of documents that have to be built anew: those whose digest isn't the one that they were built from, and those that were never built. Inputs: key, digest."""
+    return now.join(built.select(key, F.col("digest").alias("__built")), key, "left").where("not (digest <=> __built)").select(key)
+
+
+def stale_pairs(pairs: DataFrame, changed: DataFrame, key: str = "doc_id") -> DataFrame:
+    """source, target of pairs of which a side has changed: what a document's change reaches along its parallels. A pair without a built result counts as changed through its documents."""
+    ids = changed.select(F.col(key).alias("__id"))
+    return pairs.join(ids, F.col("source") == F.col("__id"), "left_semi").union(pairs.join(ids, F.col("target") == F.col("__id"), "left_semi")).distinct()
+
+
+def refreshed(old: DataFrame, affected: DataFrame, keys: list[str], rebuild: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Results with the affected rows built anew, and a flag `rebuilt`; rows that nothing reaches are taken over as they are."""
+    kept = old.join(affected, keys, "left_anti").withColumn("rebuilt", F.lit(False))
+    return kept.unionByName(rebuild(affected).withColumn("rebuilt", F.lit(True)))

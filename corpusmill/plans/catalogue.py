@@ -93,9 +93,24 @@ def metadata_update(spark, d):
     return C.merged_metadata(old, new, "doc_id")
 
 
+def stale_parallels(spark, d):
+    """Results of pairs of parallel documents after some texts have changed: only the pairs that a change reaches are built anew."""
+    docs = load(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    new = docs.withColumn("text", F.when(F.col("doc_id") % 10 == 3, F.concat("text", F.lit(" new"))).otherwise(F.col("text")))
+    pairs = docs.select(F.col("doc_id").alias("source"), (F.col("doc_id") + 1).alias("target")).where("source % 4 < 2")
+
+    def build(texts):
+        one = lambda side: texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"{side}_text"))
+        return lambda rows: rows.join(one("source"), "source").join(one("target"), "target").select("source", "target", F.md5(F.concat_ws("|", "source_text", "target_text")).alias("digest"))
+
+    of = lambda texts: texts.select("doc_id", F.md5("text").alias("digest"))
+    changed = C.stale(of(new), of(docs).where("doc_id % 50 <> 7"))
+    return C.refreshed(build(docs)(pairs), C.stale_pairs(pairs, changed), ["source", "target"], build(new))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (convertable_files, written_documents, analysable_documents, saveable_pages, stage_gaps, parallel_totals, dupe_members, parallel_sides, language_versions, active_languages, run_statistics, reading_order, run_stamps, metadata_update)
+    for f in (convertable_files, written_documents, analysable_documents, saveable_pages, stage_gaps, parallel_totals, dupe_members, parallel_sides, language_versions, active_languages, run_statistics, reading_order, run_stamps, metadata_update, stale_parallels)
 }
 
 _STATUS = """with f as (select doc_id, lang, text, case when doc_id % 11 = 0 then 'ocr' when doc_id % 7 = 0 then 'correct' when doc_id % 5 = 0 then 'correct-no-gs' when doc_id % 13 = 0 then 'new' else 'standard' end as status,
@@ -110,6 +125,9 @@ ORACLE = {
     "stage_gaps": "select count(*) as original, count(*) filter (c) as converted, count(*) filter (c and a) as analysed, count(*) filter (not c) as not_converted, count(*) filter (c and not a) as not_analysed from (select doc_id % 3 > 0 as c, doc_id % 9 > 3 as a from documents)",
     "parallel_totals": """with c as (select doc_id + 7 as other from documents where doc_id % 3 = 0 union all select doc_id - 1 from documents where doc_id % 5 = 0), h as (select c.other, c.other in (select doc_id from documents) as there from c)
 select count(*) as total, count(*) filter (not there) as missing, count(*) filter (there and other % 4 = 0) as undescribed from h""",
+    "stale_parallels": """with n as (select doc_id, coalesce(text, '') || case when doc_id % 10 = 3 then ' new' else '' end as t from documents)
+select a.doc_id as source, b.doc_id as target, md5(a.t || '|' || b.t) as digest, a.doc_id % 10 = 3 or b.doc_id % 10 = 3 or a.doc_id % 50 = 7 or b.doc_id % 50 = 7 as rebuilt
+from n a join n b on b.doc_id = a.doc_id + 1 where a.doc_id % 4 < 2""",
     "dupe_members": "select md5(text) as digest, doc_id from documents where md5(text) in (select md5(text) from documents group by 1 having count(*) > 1)",
     "parallel_sides": "select doc_id, case when doc_id % 2 = 0 then doc_id + 1 else doc_id end as source, case when doc_id % 2 = 0 then doc_id else doc_id + 1 end as target from documents where doc_id % 5 <> 0",
     "language_versions": """with o as (select doc_id // 4 as page, lang, min(doc_id) as doc_id from documents where lang is not null group by all)

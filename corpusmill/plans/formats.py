@@ -119,7 +119,7 @@ def tmx_round_trip(spark, d):
 def recode(spark, d):
     docs = load(spark, d, "documents").select("doc_id", "text")
     garbled = docs.withColumn("garbled", encodings.recoded(F.col("text"), "utf-8", "latin-1"))
-    return garbled.select("doc_id", F.md5(encodings.recoded(F.col("garbled"), "latin-1", "utf-8")).alias("digest"))
+    return garbled.select("doc_id", F.length("garbled").alias("chars"), F.md5(encodings.recoded(F.col("garbled"), "latin-1", "utf-8")).alias("digest"))
 
 
 def _sami(spark, d):
@@ -196,5 +196,5 @@ select text_id, length(vrt) as chars, md5(vrt) as digest from v""",
 from sami, (values ('mac-sami'), ('winsami2'), ('iso-ir-197'), ('iso-ir-209')) as t(page)""",
     "mari_pages": f"""select doc_id, 'cp1251_cp1252' as guess,
 md5(translate(regexp_replace(coalesce(text, ''), '{_PLAIN}', '', 'g'), '{_LATIN}', '{_MARI}') || chr(10) || '{_MARI}') as digest from documents""",
-    "recode": "select doc_id, md5(text) as digest from documents",
+    "recode": "select doc_id, cast(strlen(text) as int) as chars, md5(text) as digest from documents",
 }

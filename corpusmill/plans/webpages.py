@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as X
 from corpusmill.operators import html as H
+from corpusmill.operators import printed as V
 from corpusmill.sources.tables import load
 
 
@@ -60,7 +61,27 @@ def html_dressed(spark, d):
     return _paragraphs(H.extract(pages.select("doc_id", html.alias("html")), "doc_id"), "doc_id").drop("title")
 
 
-QUERIES = {f.__name__: f for f in (html_extract, html_dressed)}
+#: Margins in percent: document's id modulo 4, then side, page or kind of pages, value.
+_MARGINS = [
+    (0, "left_margin", "all", 10.0), (0, "left_margin", "2", 37.5), (0, "top_margin", "odd", 12.5), (0, "top_margin", "even", 5.0), (1, "right_margin", "3", 50.0), (1, "right_margin", "all", 20.0), (1, "right_margin", "odd", 90.0),
+    (1, "bottom_margin", "even", 33.0), (2, "inner_left_margin", "all", 25.0), (2, "inner_right_margin", "all", 25.0), (2, "inner_top_margin", "1", 10.0), (2, "left_margin", "odd", 1.0),
+]
+
+
+def printed_lines(spark, d):
+    """Lines of documents as pieces of printed pages, five a page, where a rule puts them: those inside the margins."""
+    lines = load(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("k", "line"))
+    pieces = lines.select("doc_id", "k", (F.floor(F.col("k") / 5) + 1).cast("int").alias("page"), ((F.length("line") * 37 + F.col("k") * 11) % 600).alias("left"), ((F.length("line") * 53 + F.col("k") * 7) % 800).alias("top"), F.lit(600).alias("width"), F.lit(800).alias("height"))
+    sides = {}
+    for m, side, key, value in _MARGINS:
+        sides.setdefault(m, {}).setdefault(side, {})[key] = value
+    table = spark.createDataFrame([(m, own) for m, own in sides.items()], "m int, margins map<string,map<string,double>>")
+    placed = pieces.withColumn("m", (F.col("doc_id") % 4).cast("int")).join(F.broadcast(table), "m", "left")
+    empty = F.create_map().cast("map<string,map<string,double>>")
+    return V.inside(placed.withColumn("margins", F.coalesce("margins", empty))).select("doc_id", "k", "page", "left", "top")
+
+
+QUERIES = {f.__name__: f for f in (html_extract, html_dressed, printed_lines)}
 
 
 def quoted(text: str) -> str:
@@ -78,7 +99,22 @@ all_blocks as (select page_id, replace(replace(replace(replace(title, '&lt;', '<
           replace(replace(replace(replace(raw, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') as text, case when tag = '<h1>' then 'title' else 'text' end as type from said),
 plain_blocks as (select * from all_blocks where length(text) > 1)"""
 
+
+
+def _share(side: str) -> str:
+    """SQL of a margin in percent: page, all, even or odd, none."""
+    find = lambda test: f"(select max(value) from margins where m = doc_id % 4 and side = '{side}' and {test})"
+    return f"coalesce({find('name = page::varchar')}, {find(chr(110) + 'ame = ' + quoted('all'))}, {find('name = case when page % 2 = 0 then ' + quoted('even') + ' else ' + quoted('odd') + ' end')}, 0.0)"
+
+
+_IN = '"left" > trunc({p}left * 6.0) and "left" < trunc(600 - {p}right * 6.0) and top > trunc({p}top * 8.0) and top < trunc(800 - {p}bottom * 8.0)'
 ORACLE = {
+    "printed_lines": f"""
+with margins as (select * from (values {", ".join(f"({m}, {quoted(side)}, {quoted(key)}, {value}::double)" for m, side, key, value in _MARGINS)}) as t(m, side, name, value)),
+lines as (select doc_id, generate_subscripts(x, 1) - 1 as k, unnest(x) as line from (select doc_id, string_split(coalesce(text, ''), chr(10)) as x from documents)),
+pieces as (select doc_id, cast(k as int) as k, cast(k // 5 + 1 as int) as page, cast((length(line) * 37 + k * 11) % 600 as int) as "left", cast((length(line) * 53 + k * 7) % 800 as int) as top from lines),
+shares as (select *, {", ".join(f"{_share(prefix + side + '_margin')} as {short}{side}" for prefix, short in (("", "o"), ("inner_", "i")) for side in ("left", "right", "top", "bottom"))} from pieces)
+select doc_id, k, page, "left", top from shares where {_IN.format(p="o")} and not (ileft + iright + itop + ibottom > 0 and {_IN.format(p="i")})""",
     "html_extract": f"""
 with {PAGE_BLOCKS}
 select page_id, trim(regexp_replace(title, '{X.WS}+', ' ', 'g')) as title, cast(row_number() over (partition by page_id order by k) as int) as para_no,

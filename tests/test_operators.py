@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import dates, encodings
 from corpusmill.functions import text as X
-from corpusmill.operators import alignment, annotations, catalogue, duplicates, ngram, pages, readings, relations
+from corpusmill.operators import alignment, annotations, catalogue, duplicates, ngram, pages, printed, readings, relations
 from corpusmill.plans import corpus
 from corpusmill.sources import formats, reader, tables
 from corpusmill.streaming import ingest
@@ -222,3 +222,12 @@ def test_a_date_shorter_than_the_prefix(spark):
     spans = spark.createDataFrame([("2001", "2001", 3), ("20010101", "20010101", 4), ("", "", 5)], "datefrom string, dateto string, tokens int")
     got = {r.dateto: r.tokens for r in relations.tokens_per_year(spans).collect()}
     assert (got["2001"], got["20010101"], got[""]) == (7, 4, 12)
+
+
+def test_margins_of_printed_pages(spark):
+    """Own page before all pages before parity; edges are outside; inner margins leave out the middle."""
+    margins = {"left_margin": {"all": 10.0, "2": 50.0}, "top_margin": {"odd": 10.0}, "inner_left_margin": {"4": 40.0}, "inner_right_margin": {"4": 40.0}}
+    pieces = [(1, 10, 50), (1, 11, 50), (1, 11, 10), (2, 50, 1), (2, 51, 1), (2, 51, 0), (4, 50, 50), (4, 40, 50), (4, 60, 50), (4, 70, 50)]
+    rows = spark.createDataFrame([(*p, 100, 100, margins) for p in pieces], "page int, left int, top int, width int, height int, margins map<string,map<string,double>>")
+    assert [tuple(r)[:3] for r in printed.inside(rows).orderBy("page", "left", "top").collect()] == [(1, 11, 50), (2, 51, 1), (4, 40, 50), (4, 60, 50), (4, 70, 50)]
+    assert printed.inside(rows.withColumn("margins", F.create_map().cast("map<string,map<string,double>>"))).count() == 9

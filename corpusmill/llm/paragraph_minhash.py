@@ -49,12 +49,9 @@ BANDS, ROWS = 8, 2
 PASSAGE_WORDS, RADIUS = 24, 4
 BUCKET, LEADERS, SALTS, CELLS = 512, 3, 32, 1 << 20
 
-#: Bands for whole texts: similarity 0.8 meets in one of them with probability 1 - (1 - 0.8**3)**16 = 0.99999.
-TEXT_BANDS, TEXT_ROWS = 16, 3
-
 _rng = np.random.default_rng(99)
-_MULT = _rng.integers(1, 1 << 63, TEXT_BANDS * TEXT_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _rng.integers(0, 1 << 63, TEXT_BANDS * TEXT_ROWS, dtype=np.uint64)
+_MULT = _rng.integers(1, 1 << 63, 48, dtype=np.uint64) * np.uint64(2) + np.uint64(1)  # the first BANDS * ROWS are used
+_ADD = _rng.integers(0, 1 << 63, 48, dtype=np.uint64)
 
 
 # ---- paragraphs of texts
@@ -102,13 +99,13 @@ def digests(w: _words.Words, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.frombuffer(both, np.int64).reshape(-1, 2)
 
 
-def signatures(h: np.ndarray, start: np.ndarray, end: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """`bands` keys of each range of shingle hashes, none empty; a key hashes `rows` minima. Repeats change no minimum."""
-    out = np.zeros((len(start), bands), np.uint64)
+def signatures(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """BANDS keys of each range of shingle hashes, none empty; a key hashes ROWS minima. Repeats change no minimum."""
+    out = np.zeros((len(start), BANDS), np.uint64)
     if len(start):
         flat, at = np.append(h, np.uint64(0)), np.column_stack([start, end]).ravel()
-        for b in range(bands):
-            for r in range(b * rows, (b + 1) * rows):
+        for b in range(BANDS):
+            for r in range(b * ROWS, (b + 1) * ROWS):
                 low = np.minimum.reduceat(flat * _MULT[r] + _ADD[r], at)[::2]
                 out[:, b] = _words.mix(out[:, b] * np.uint64(0xD6E8FEB86659FD93) + low + np.uint64(b))
     return out
@@ -307,13 +304,18 @@ def _rare_keys(members: DataFrame) -> DataFrame:
     return members.mapInArrow(run, "pid bigint, bucket bigint")
 
 
-def _candidates(keyed: DataFrame, tmp: _shared.Scratch) -> DataFrame:
-    """(grp, pid, size, weight): components of paragraphs that share a bucket. keyed: (pid, bucket); weight: members of all its buckets."""
+def stars(keyed: DataFrame) -> DataFrame:
+    """(u, v, n): the smallest of each bucket, its members, and how many they are. keyed: (pid, bucket)."""
     shared = keyed.groupBy("bucket").agg(F.min("pid").alias("lead"), F.max("pid").alias("last"), F.count("*").alias("n")).where("lead < last").select("bucket", "lead", "n")
-    stars = tmp(keyed.join(shared, "bucket").groupBy(F.col("lead").alias("u"), F.col("pid").alias("v")).agg(F.sum("n").alias("n")))
-    found = _shared.components(stars.select("u", "v"), tmp)
-    weight = stars.groupBy(F.col("v").alias("node")).agg(F.sum("n").alias("weight"))
-    of = tmp(found.join(weight, "node").select(F.col("component").alias("grp"), F.col("node").alias("pid"), "weight"))
+    return keyed.join(shared, "bucket").select(F.col("lead").alias("u"), F.col("pid").alias("v"), "n")
+
+
+def candidates(found: DataFrame, tmp: _shared.Scratch) -> DataFrame:
+    """(grp, pid, size, weight): components of paragraphs that share a bucket. found: their stars(); weight: members of all its buckets."""
+    links = tmp(found.groupBy("u", "v").agg(F.sum("n").alias("n")))
+    component = _shared.components(links.select("u", "v"), tmp)
+    weight = links.groupBy(F.col("v").alias("node")).agg(F.sum("n").alias("weight"))
+    of = tmp(component.join(weight, "node").select(F.col("component").alias("grp"), F.col("node").alias("pid"), "weight"))
     return tmp(of.join(of.groupBy("grp").agg(F.count("*").alias("size")), "grp"))
 
 
@@ -361,63 +363,23 @@ def similar(banded: DataFrame, sets: Callable[[DataFrame], DataFrame], tmp: _sha
     banded: (pid, bands), one row a paragraph, from a written table; sets(pids): (pid, sets) of the paragraphs in a table of pids.
     """
     keyed = banded.select("pid", F.posexplode("bands").alias("band", "key")).select("pid", F.xxhash64("band", "key").alias("bucket"))
-    cand = _candidates(keyed, tmp)
+    return clusters(candidates(stars(keyed), tmp), sets, tmp)
+
+
+def clusters(cand: DataFrame, sets: Callable[[DataFrame], DataFrame], tmp: _shared.Scratch) -> DataFrame:
+    """What similar() returns, from candidates()."""
     members = tmp(sets(cand.select("pid")))
     in_one_task = lambda c: verified(c.where(F.col("size") <= BUCKET).select("grp", "pid").join(members, "pid"))
     pairs, large = in_one_task(cand), cand.where(F.col("size") > BUCKET)
     if large.limit(1).count():
-        again = _candidates(_rare_keys(large.select("grp", "pid").join(members, "pid")), tmp)
+        again = candidates(stars(_rare_keys(large.select("grp", "pid").join(members, "pid"))), tmp)
         pairs, large = pairs.union(in_one_task(again)), again.where(F.col("size") > BUCKET)
         if large.limit(1).count():
             pairs = pairs.union(_similar_in_large(large, members, tmp))
     return _shared.components(pairs.distinct(), tmp)
 
 
-# ---- whole texts
-
-
-def _text_words(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct five-word shingles of each text (words between white space; a text of five words or fewer is one), and a hash of each set."""
-    w = _words.split_words(texts, _words.NONBLANK)
-    grams, at = _words.windows(w, SHINGLE)
-    edge = np.searchsorted(at, w.first)
-    own = []
-    for k, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
-        few = w.hash[w.first[k] : w.first[k + 1]]
-        own.append(np.unique(grams[a:b]) if b > a else _words.mix(np.array([zlib.crc32(few.tobytes()) + (int(few.sum()) & (1 << 63) - 1)], np.uint64)))
-    pid = np.array([_words.mix(_words.mix(s).sum(keepdims=True) + np.uint64(len(s)))[0] for s in own], np.uint64)
-    return own, pid.view(np.int64)
-
-
-def _text_rows(documents: DataFrame) -> DataFrame:
-    """doc_id, pid (stands for a set of shingles) and band keys of every row with an id; a null text is an empty one."""
-    names = [f"b{k}" for k in range(TEXT_BANDS)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in _words.chunks(batches):
-            own, pid = _text_words(texts)
-            edge = np.cumsum([0, *map(len, own)])
-            keys = signatures(np.concatenate(own), edge[:-1], edge[1:], TEXT_BANDS, TEXT_ROWS).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(pid), *(pa.array(keys[:, k]) for k in range(TEXT_BANDS))], names=["doc_id", "pid", *names])
-
-    rows = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id bigint, pid bigint, " + ", ".join(f"{n} bigint" for n in names))
-
-
-def text_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(pid, sets) of wanted texts; wanted: (doc_id, pids) as in line_sets()."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in _words.chunks(batches):
-            own, pid = _text_words(texts)
-            pick = [k for k, (p, asked) in enumerate(zip(pid.tolist(), part.column("pids").to_pylist(), strict=True)) if p in asked]
-            yield pa.RecordBatch.from_arrays([pa.array(pid[pick]), pa.array([own[k].tobytes() for k in pick], pa.binary())], names=["pid", "sets"])
-
-    rows = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.join(wanted.hint("merge"), "doc_id").select("text", "pids").mapInArrow(run, "pid bigint, sets binary")
-
-
-def _sets_of(own: DataFrame, documents: DataFrame, read: Callable[[DataFrame, DataFrame], DataFrame], tmp: _shared.Scratch) -> Callable[[DataFrame], DataFrame]:
+def sets_of(own: DataFrame, documents: DataFrame, read: Callable[[DataFrame, DataFrame], DataFrame], tmp: _shared.Scratch) -> Callable[[DataFrame], DataFrame]:
     """How similar() gets at the sets: each paragraph is read again from its first document. own: (pid, rep, ...)."""
 
     def sets(pids: DataFrame) -> DataFrame:
@@ -427,19 +389,6 @@ def _sets_of(own: DataFrame, documents: DataFrame, read: Callable[[DataFrame, Da
     return sets
 
 
-def near_copies(documents: DataFrame) -> DataFrame:
-    """doc_id, component_id (the smallest doc_id reachable over texts of the similarity) of every row with an id."""
-    rows = _shared.written(_text_rows(documents))
-    names = [f"b{k}" for k in range(TEXT_BANDS)]
-    with _shared.Scratch() as tmp:
-        own = tmp(rows.groupBy("pid").agg(F.min("doc_id").alias("rep"), *(F.min(n).alias(n) for n in names)))
-        cluster = similar(own.select("pid", F.array(*names).alias("bands")), _sets_of(own, documents, text_sets, tmp), tmp)
-        named = own.join(cluster, own["pid"] == cluster["node"], "left").select("pid", "rep", F.coalesce("component", "pid").alias("component"))
-        least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-        of = _shared.written(named.join(least, "component").select("pid", "component_id"))
-    return rows.select("doc_id", "pid").join(of, "pid").select("doc_id", "component_id")
-
-
 # ---- what to cut
 
 
@@ -463,7 +412,7 @@ def line_spans(rows: DataFrame, documents: DataFrame, tmp: _shared.Scratch) -> D
     """(doc_id, place, n, rep): lines whose cluster has an earlier document, rep being its first. rows: those of lines."""
     own = rows.groupBy(F.col("h1").alias("pid")).agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), _salts(), *(F.min(b).alias(b) for b in _BAND_NAMES))
     own = tmp(own)
-    cluster = similar(own.select("pid", F.array(*_BAND_NAMES).alias("bands")), _sets_of(own, documents, line_sets, tmp), tmp)
+    cluster = similar(own.select("pid", F.array(*_BAND_NAMES).alias("bands")), sets_of(own, documents, line_sets, tmp), tmp)
     placed = own.join(cluster, own["pid"] == cluster["node"], "left").where("component is not null or rep < last").select("pid", "rep", "salts", F.coalesce("component", "pid").alias("component"))
     placed = tmp(placed)
     first = placed.groupBy("component").agg(F.min("rep").alias("rep"))

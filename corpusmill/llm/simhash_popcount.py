@@ -10,6 +10,15 @@ A cell with more than CELL_PAIRS members (a dense group of near copies) isn't pa
 under itself and its 64 one-bit variants. Two fingerprints within two bits share such a code, any two that share one are
 within two bits, and a code has at most 65 members, so pointing each at the code's smallest member is exact and linear.
 
+near_copies() is the same method at a wider radius, for edited copies: texts whose five-word shingles have a Jaccard similarity of
+SIMILARITY differ in about 15 % of their fingerprint's bits, too many for 64 bits and the grid. So a text has a fingerprint of more bits,
+each by the same majority over its shingles: CHECK_WORDS words whose Hamming distance decides which pairs are candidates, and
+bands of a few bits, independent of them, that choose which fingerprints are compared (the block-permuted tables of SimHash).
+Exact similarity then decides, by paragraph_minhash's verification: all pairs of a component of candidates, whatever its size. Two
+texts at similarity 0.8 share a band with probability 1 - MISS and are near enough with probability 0.99999; at 0.85 only
+about one pair in a million is lost. Of ten shingles or fewer a bit differs more often (4 of 5: 0.1875; found with probability 0.99). A cell of more than CROWD
+texts isn't compared in a task: all its members are candidates, and exact similarity sorts them out.
+
 Links are held between distinct fingerprints, represented by their smallest document; copies never become pairs.
 
 Defined cases: null and empty texts have fingerprint zero and are linked like any other; repeated ids are rows of their own with
@@ -18,6 +27,8 @@ the same component; an empty table gives an empty result; null ids keep their ro
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +37,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm import _shared, _words
+from corpusmill.llm import _shared, _words, paragraph_minhash
+from corpusmill.llm.paragraph_minhash import SIMILARITY
 
 SHINGLE, SEED, MAX_DISTANCE = 3, 42, 2
 CELL_PAIRS = 48
 
+#: Near copies: words a shingle, bits of a band (more from 16 million texts on), 64-bit words that are compared and the distance allowed in them.
+TEXT_SHINGLE, BAND_BITS, CHECK_WORDS, CHECK_DISTANCE = 5, 14, 2, 38
+#: Chance that two texts of the similarity share no band; largest cell whose fingerprints are compared; rows of cells compared at once.
+MISS, CROWD, ROWS_AT_ONCE = 1e-4, 4096, 1 << 17
+
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     """The unsigned fingerprint of one text."""
@@ -118,6 +135,183 @@ def near_duplicates(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -
     return rows.join(component, "fp", "left").select(*keep, "fp", "component_id")
 
 
+# ---- edited copies
+
+
+def bands_of(n: int) -> tuple[int, int]:
+    """(bits of a band, bands) for n texts: cells keep about a thousand texts at most, bands so many that MISS holds."""
+    bits = max(BAND_BITS, n.bit_length() - 10)
+    agree = (1 - math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi) ** bits
+    return bits, math.ceil(math.log(MISS) / math.log(1 - agree))
+
+
+def text_shingles(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct five-word shingles of each text (words between white space; a text of five words or fewer is one), and a hash of each set."""
+    w = _words.split_words(texts, _words.NONBLANK)
+    grams, at = _words.windows(w, TEXT_SHINGLE)
+    edge = np.searchsorted(at, w.first)
+    own = []
+    for k, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
+        few = w.hash[w.first[k] : w.first[k + 1]]
+        own.append(np.unique(grams[a:b]) if b > a else _words.mix(np.array([zlib.crc32(few.tobytes()) + (int(few.sum()) & (1 << 63) - 1)], np.uint64)))
+    pid = np.array([_words.mix(_words.mix(s).sum(keepdims=True) + np.uint64(len(s)))[0] for s in own], np.uint64)
+    return own, pid.view(np.int64)
+
+
+def wide_fingerprints(sets: list[np.ndarray], words: int) -> np.ndarray:
+    """Fingerprints of `words` times 64 bits: a bit is 1 if set in over half of a set's hashes; each word has hashes of its own. No set is empty."""
+    n = np.array([len(s) for s in sets])
+    # counts of up to 255 hashes fit into bytes, eight of which are added as one number
+    parts = -(-n // 255)
+    owner = np.repeat(np.arange(len(n)), parts)
+    first = np.cumsum(n) - n
+    start = np.append(first[owner] + 255 * (np.arange(len(owner)) - (np.cumsum(parts) - parts)[owner]), n.sum())
+    h = np.concatenate(sets)
+    ones = np.zeros((words, len(n), 64), np.int64)
+    for at in range(0, len(owner), 256):
+        edge = start[at : at + 257]
+        some = h[edge[0] : edge[-1]]
+        for k in range(words):
+            bits = np.unpackbits(_words.mix(some + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).view(np.uint8))
+            sums = np.add.reduceat(bits.view(np.uint64).reshape(-1, 8), edge[:-1] - edge[0], axis=0)
+            np.add.at(ones[k], owner[at : at + 256], sums.view(np.uint8))
+    return np.packbits(2 * ones > n[:, None], axis=2).view(np.uint64)[:, :, 0].T
+
+
+def cells(fp: np.ndarray, bits: int, bands: int) -> np.ndarray:
+    """The cell of each fingerprint in each band: the band's number, then its bits."""
+    unpacked = np.unpackbits(np.ascontiguousarray(fp[:, CHECK_WORDS:]).view(np.uint8), axis=1)[:, : bits * bands].reshape(len(fp), bands, bits)
+    return (np.arange(bands) << bits) + unpacked @ (1 << np.arange(bits))
+
+
+def cell_stars(cell: np.ndarray, pid: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(u, v, n): in whole cells, the groups that CHECK_DISTANCE connects: smallest member, member, number of members. check: a row of words each.
+
+    Every row is compared with all after it in its cell but those that are connected to it already, one offset at a time.
+    """
+    order = np.lexsort((pid, cell))
+    cell, pid, check = cell[order], pid[order], check[order].T.copy()
+    end = np.searchsorted(cell, cell, side="right")
+    root = np.arange(len(cell))
+    offset, left = 1, np.flatnonzero(end > root + 1)
+    while len(left):
+        a = left[root[left] != root[left + offset]]
+        b = a + offset
+        near = sum(np.bitwise_count(w[a] ^ w[b]).astype(np.int16) for w in check) <= CHECK_DISTANCE
+        a, b = a[near], b[near]
+        while len(a := a[root[a] != root[b]]):
+            b = a + offset
+            np.minimum.at(root, np.maximum(root[a], root[b]), np.minimum(root[a], root[b]))
+            while (root[root] != root).any():
+                root = root[root]
+        offset += 1
+        left = left[end[left] > left + offset]
+    n = np.bincount(root, minlength=len(root))[root]
+    many = n > 1
+    return pid[root[many]], pid[many], n[many]
+
+
+def _in_cells(fingerprinted: DataFrame, bits: int, bands: int) -> DataFrame:
+    """(bucket, pid, c0, ...): each text in the cell of each of its bands, with the words that are compared. fingerprinted: (pid, f0, ...)."""
+    words = [c for c in fingerprinted.columns if c != "pid"]
+    names = ["bucket", "pid", *(f"c{k}" for k in range(CHECK_WORDS))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(k, 1024) for k in range(0, batch.num_rows, 1024)):
+                fp = np.stack([part.column(c).to_numpy() for c in words], axis=1)
+                each = [part.column("pid").to_numpy(), *fp.T[:CHECK_WORDS]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cells(fp, bits, bands).ravel(), *(np.repeat(x, bands) for x in each))], names=names)
+
+    return fingerprinted.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
+
+
+def _compared(filed: DataFrame) -> DataFrame:
+    """(u, v, n): cell_stars() of all cells, dealt by cell; a task holds ROWS_AT_ONCE rows and one cell. filed: as _in_cells() makes it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(rows: np.ndarray) -> pa.RecordBatch:
+            u, v, n = cell_stars(rows[:, 0], rows[:, 1], rows[:, 2:].view(np.uint64))
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(n)], names=["u", "v", "n"])
+
+        held, size = [], 0
+        for batch in batches:
+            held.append(np.stack([c.to_numpy() for c in batch.columns], axis=1))
+            size += batch.num_rows
+            if size >= ROWS_AT_ONCE:
+                rows = np.concatenate(held)
+                whole = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+                yield found(rows[:whole])
+                held, size = [rows[whole:]], len(rows) - whole
+        if held:
+            yield found(np.concatenate(held))
+
+    return filed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "u bigint, v bigint, n bigint")
+
+
+def candidates(fingerprinted: DataFrame, bits: int, bands: int, tmp: _shared.Scratch) -> DataFrame:
+    """(u, v, n): stars that connect the texts whose fingerprints are near. fingerprinted: (pid, f0, ...), each pid once, from a written table."""
+    filed = _in_cells(fingerprinted, bits, bands)
+    crowds = tmp(filed.groupBy("bucket").count().where(F.col("count") > CROWD).select("bucket"))
+    if not crowds.limit(1).count():
+        return _lean(_compared(filed))
+    return _lean(_compared(filed.join(crowds, "bucket", "left_anti")).union(paragraph_minhash.stars(filed.select("pid", "bucket").join(crowds, "bucket", "left_semi"))))
+
+
+def _lean(found: DataFrame) -> DataFrame:
+    """The same components and sums of n by fewer links: a member of many stars stays in the one with the smallest centre, the other centres join that one."""
+    by = found.groupBy("v").agg(F.collect_set("u").alias("centres"), F.sum("n").alias("n")).withColumn("u", F.array_min("centres"))
+    members = F.expr("array(struct(v, n))")
+    others = F.expr("transform(filter(centres, c -> c <> u and c <> v), c -> struct(c as v, 0L as n))")
+    return by.select("u", F.explode(F.concat(members, others)).alias("m")).select("u", "m.v", "m.n")
+
+
+def _text_rows(documents: DataFrame, words: int) -> DataFrame:
+    """doc_id, pid (stands for a set of shingles) and fingerprint of every row with an id; a null text is an empty one."""
+    names = [f"f{k}" for k in range(words)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in _words.chunks(batches):
+            own, pid = text_shingles(texts)
+            fp = wide_fingerprints(own, words).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(pid), *(pa.array(fp[:, k]) for k in range(words))], names=["doc_id", "pid", *names])
+
+    rows = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(run, "doc_id bigint, pid bigint, " + ", ".join(f"{n} bigint" for n in names))
+
+
+def text_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(pid, sets) of wanted texts; wanted: (doc_id, pids) as in paragraph_minhash.line_sets()."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in _words.chunks(batches):
+            own, pid = text_shingles(texts)
+            pick = [k for k, (p, asked) in enumerate(zip(pid.tolist(), part.column("pids").to_pylist(), strict=True)) if p in asked]
+            yield pa.RecordBatch.from_arrays([pa.array(pid[pick]), pa.array([own[k].tobytes() for k in pick], pa.binary())], names=["pid", "sets"])
+
+    rows = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.join(wanted.hint("merge"), "doc_id").select("text", "pids").mapInArrow(run, "pid bigint, sets binary")
+
+
+def near_copies(documents: DataFrame) -> DataFrame:
+    """doc_id, component_id (the smallest doc_id reachable over texts of the similarity) of every row with an id."""
+    bits, bands = bands_of(documents.where("doc_id is not null").count())
+    words = CHECK_WORDS + -(-bits * bands // 64)
+    rows = _shared.written(_text_rows(documents, words))
+    names = [f"f{k}" for k in range(words)]
+    with _shared.Scratch() as tmp:
+        own = tmp(rows.groupBy("pid").agg(F.min("doc_id").alias("rep"), *(F.min(n).alias(n) for n in names)))
+        found = paragraph_minhash.candidates(candidates(own.select("pid", *names), bits, bands, tmp), tmp)
+        cluster = paragraph_minhash.clusters(found, paragraph_minhash.sets_of(own.select("pid", "rep"), documents, text_sets, tmp), tmp)
+        named = own.join(cluster, own["pid"] == cluster["node"], "left").select("pid", "rep", F.coalesce("component", "pid").alias("component"))
+        least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+        of = _shared.written(named.join(least, "component").select("pid", "component_id"))
+    return rows.select("doc_id", "pid").join(of, "pid").select("doc_id", "component_id")
+
+
+# ---- what stays
+
+
 def survivors(documents: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """One row of each component: that with the smallest doc_id. ids: (doc_id, component_id), those of near_duplicates() unless given. Repeated rows of an id and text are one; null ids stay.
 

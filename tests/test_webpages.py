@@ -53,6 +53,12 @@ def test_rules(name, html, want):
     assert said(html) == want  # a page without a body is one
 
 
+def test_references_without_a_semicolon_stay():
+    """A page's title cut inside of a reference; also in a heading, before a letter, and by a name that there isn't."""
+    assert H.page_paragraphs("<title>A &amp;&amp</title><h1>A &amp;&amp</h1>")[0] == "A &&amp"
+    assert said("<h1>A &amp;&amp</h1><p>B &lt &copy2 &notit; &am</p><p>&amp;amp &lt; &#65; R&D &") == [("title", "A &&amp", []), ("text", "B &lt &copy2 &notit; &am", []), ("text", "&amp < A R&D &", [])]
+
+
 def test_odd_pages():
     assert H.page_paragraphs(None) == ("", []) and H.page_paragraphs("") == ("", []) and said("</p></div>") == []
     assert H.page_paragraphs("<title> a\n b </title><p>no end") == ("a b", [("text", "no end", [])])

@@ -100,6 +100,10 @@ def test_chapters():
     assert len(list(R.chapters(epub(BOOK, lambda k: k == 1)))) == 1
 
 
+def test_a_chapter_that_ends_inside_of_a_reference():
+    assert [p[:2] for p in H.body_paragraphs(R.book(epub(["<article><h1>A &amp;&amp</h1><p>B &amp; C</p></article>"]), []))] == [("title", "A &&amp"), ("text", "B & C")]
+
+
 def test_folder_of_mixed_files(spark, tmp_path):
     """Every file is a row; what can't be read has an error."""
     files = {

@@ -40,7 +40,7 @@ def _files(spark, d):
     """Documents as files: plain text in three encodings, pictures with text, verses, scripture XML, articles, newspaper stories, files that can't be read; and pages."""
     docs = load(spark, d, "documents").select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), _KEPT, "").alias("t"))
     k, kind = F.col("doc_id"), F.col("doc_id") % 10
-    lines = F.filter(F.transform(F.split("t", "\n"), F.trim), lambda x: F.length(x) > 1)
+    lines = F.filter(F.transform(F.split("t", "\n"), lambda x: F.trim(x)), lambda x: F.length(x) > 1)
     joined = lambda before, after: F.array_join(F.transform("lines", lambda x: F.concat(F.lit(before), x, F.lit(after))), "")
     rows = docs.select(k, "t", F.transform(lines, _escaped).alias("lines"), lines.alias("bare"))
     text = (

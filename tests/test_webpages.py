@@ -122,3 +122,20 @@ def test_folder_of_mixed_files(spark, tmp_path):
     assert found["e/f.html"]["title"] == "T" and texts["e/f.html"] == [("text", "café")] and texts["g.html"] == [("text", "page")] and texts["h.epub"] == [("text", "book")] and texts["blank.txt"] == []
     assert texts["udhr_x.xml"] == [("title", "Rights"), ("title", "Article 1"), ("text", "All"), ("listitem", "item")] and texts["v.sfm"] == [("title", "Book"), ("text", "Text")]
     assert {k for k, r in found.items() if r["error"]} == {"bad.epub", "bad.usx", "x.docx", "y.zzz", "w.sfm"} and all(not texts[k] for k in ("bad.epub", "bad.usx", "x.docx", "y.zzz", "w.sfm"))
+
+
+def test_lines_of_made_files_lose_white_space_only(spark, tmp_path):
+    """Lines that begin or end with the digit of their own number, or with blanks, in each kind of file; against the query's SQL."""
+    import duckdb
+
+    from corpusmill.plans import files
+
+    text = "0 zero 0\n1 one 1\n  2 two 2  \n 3\n4 four & <4\nplain\n6"
+    spark.createDataFrame([(k, text) for k in range(20)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "<title>T</title><article><h1>Head &amp</h1><p>Text</p></article>")], "page_id bigint, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    columns = "path, reader, n, digest, failed"
+    got = [tuple(r) for r in files.mixed_files(spark, str(tmp_path)).selectExpr(*columns.split(", ")).collect()]
+    assert len(got) == 21 and sorted(got, key=str) == sorted(con.sql(f"select {columns} from ({files.ORACLE['mixed_files']})").fetchall(), key=str)

@@ -231,3 +231,23 @@ def test_margins_of_printed_pages(spark):
     rows = spark.createDataFrame([(*p, 100, 100, margins) for p in pieces], "page int, left int, top int, width int, height int, margins map<string,map<string,double>>")
     assert [tuple(r)[:3] for r in printed.inside(rows).orderBy("page", "left", "top").collect()] == [(1, 11, 50), (2, 51, 1), (4, 40, 50), (4, 60, 50), (4, 70, 50)]
     assert printed.inside(rows.withColumn("margins", F.create_map().cast("map<string,map<string,double>>"))).count() == 9
+
+
+def test_long_chains_of_replacements(spark):
+    """More pairs than any number that a chain was once bounded by; what one makes, a later one sees, and an earlier one doesn't."""
+    import random
+
+    made = spark.range(120_000).select(F.col("id").alias("place"), F.format_string("word%06d", "id").alias("wrong"), F.format_string("w%06d", F.col("id") + 1).alias("right"))
+    more = spark.createDataFrame([(120_000, "w000008", "č"), (120_001, "čč", "w000008"), (120_002, "w000008", None), (120_003, "", "x"), (5, None, "x")], "place bigint, wrong string, right string")
+    docs = spark.createDataFrame([(0, "word000007word000007 word119999"), (1, None), (2, "w000008 word00000"), (3, "")], "id int, text string")
+    got = {r["id"]: r["t"] for r in docs.select("id", X.replaced_by_table(F.col("text"), made.union(more)).alias("t")).collect()}
+    assert got == {0: " w120000", 1: None, 2: "č word00000", 3: ""}
+    r = random.Random(1)
+    for _ in range(300):
+        some = lambda least, most: "".join(r.choice("abč") for _ in range(r.randint(least, most)))
+        chain, text = [(some(1, 4), some(0, 3)) for _ in range(r.randint(0, 8))], some(0, 25)
+        want = text
+        for wrong, right in chain:
+            want = want.replace(wrong, right)
+        table = X.pa.table({"wrong": X.pa.array([w for w, _ in chain], "string"), "right": X.pa.array([x for _, x in chain], "string")})
+        assert X.Chain(table).applied(text) == want

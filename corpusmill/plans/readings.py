@@ -124,7 +124,7 @@ def error_lines_named(spark, d):
 
 
 def relation_sentences(spark, d):
-    return R.relation_sentences(R.with_heads(R.derived_tokens(load(spark, d, "documents"))))
+    return R.relation_sentences(R.heads_of(R.derived_sentences(load(spark, d, "documents"))))
 
 
 def semantic_counts(spark, d):

@@ -15,15 +15,30 @@ from corpusmill.operators.numbering import numbered
 TOKEN_COLUMNS = ("word", "lemma", "pos", "msd", "ref", "deprel", "dephead")
 
 
+def _vrt_sentence(number: Column, n: Column, body: Column) -> Column:
+    return F.format_string('<sentence id="%d" token_count="%d">\n%s\n</sentence>', number, n, body)
+
+
+def _vrt_text(about: list[str], sentences: Column, tokens: Column, body: Column) -> Column:
+    own = F.concat(*(F.format_string(f' {c}="%s"', F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in about)) if about else F.lit("")
+    return F.format_string('<text id="%s"%s sentence_count="%d" token_count="%d">\n%s\n</text>', F.col("text_id").cast("string"), own, sentences, tokens, body).alias("vrt")
+
+
 def vrt_texts(tokens: DataFrame, attributes: DataFrame) -> DataFrame:
     """text_id, vrt: one text element per document with its sentences and seven-column lines. Texts are built where their tokens are grouped."""
     line = F.concat_ws("\t", *TOKEN_COLUMNS)
     sents = tokens.groupBy("text_id", "sentence_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", line.alias("l")))), lambda x: x["l"]), "\n").alias("body"), F.count("*").alias("n"))
-    element = F.format_string('<sentence id="%d" token_count="%d">\n%s\n</sentence>', F.col("sentence_id"), F.col("n"), F.col("body"))
+    element = _vrt_sentence(F.col("sentence_id"), F.col("n"), F.col("body"))
     texts = sents.groupBy("text_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sentence_id", element.alias("e")))), lambda x: x["e"]), "\n").alias("body"), F.count("*").alias("sentences"), F.sum("n").alias("tokens"))
-    names = [c for c in attributes.columns if c != "text_id"]
-    own = F.concat(*(F.format_string(f' {c}="%s"', F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in names)) if names else F.lit("")
-    return texts.join(attributes, "text_id").select("text_id", F.format_string('<text id="%s"%s sentence_count="%d" token_count="%d">\n%s\n</text>', F.col("text_id").cast("string"), own, F.col("sentences"), F.col("tokens"), F.col("body")).alias("vrt"))
+    return texts.join(attributes, "text_id").select("text_id", _vrt_text([c for c in attributes.columns if c != "text_id"], F.col("sentences"), F.col("tokens"), F.col("body")))
+
+
+def vrt_of(texts: DataFrame, about: tuple[str, ...]) -> DataFrame:
+    """text_id, vrt as vrt_texts() gives them, of texts that hold their tokens: text_id, attributes, sentences (in order, each the TOKEN_COLUMNS of its tokens). Each row is one text, and nothing is grouped or joined."""
+    line = lambda t: F.concat_ws("\t", *(t[c] for c in TOKEN_COLUMNS))
+    body = F.transform("sentences", lambda s, k: _vrt_sentence(k + 1, F.size(s), F.array_join(F.transform(s, line), "\n")))
+    n = F.aggregate("sentences", F.lit(0), lambda a, s: a + F.size(s))
+    return texts.where("size(sentences) > 0").select("text_id", _vrt_text(list(about), F.size("sentences"), n, F.array_join(body, "\n")))
 
 
 def vrt_tokens(texts: DataFrame, key: str = "text_id", column: str = "vrt") -> DataFrame:

@@ -145,6 +145,57 @@ def test_relations_of_inflected_words(spark):
     assert got == {("dog", "ran", False, 1), ("Dogs", "run", True, 1)}
 
 
+def test_relations_equal_plain_counting(spark):
+    """Inflected and base forms at random, so that keys have both forms and flags that differ; head and dependent in any order of places."""
+    import random
+    from collections import defaultdict
+
+    r, forms = random.Random(7), [("Dogs", "dog"), ("dog", "dog"), ("Dog", "dog"), ("ran", "run"), ("run", "run"), ("Run", "run"), ("run", "ran")]
+    rows, seen, listed, mixed = [], {}, set(), 0
+    for text in range(40):
+        n = r.randint(1, 8)
+        words = [(*r.choice(forms), r.choice("ST"), r.randrange(0, n + 1)) for _ in range(n)]
+        rows += [(text, 1, k, w, lemma, "N", head, rel) for k, (w, lemma, rel, head) in enumerate(words, 1)]
+    insertions = defaultdict(list)
+    at = {(t, p): (w, lemma) for t, _, p, w, lemma, *_ in rows}
+    for t, _, p, w, lemma, _, head, rel in sorted(rows):
+        if not head or at[t, head] == (w, lemma):
+            continue
+        hw, hl = at[t, head]
+        hbase, dbase = hw.lower() == hl.lower(), w.lower() == lemma.lower()
+        if not hbase and not dbase:
+            made = [(hl, w, True, False, False, True), (hw, lemma, False, True, True, False)]
+        else:
+            made = [(hl if hbase and dbase else hw, lemma, hbase, True, True, dbase)]
+        for k, (h, d, bfh, bfd, wfh, wfd) in enumerate(made):
+            insertions[h, hl, d, lemma, rel].append(((t, p, k), wfh, (bfh, bfd, wfd)))
+    for key, found in insertions.items():
+        for wfh in {f for _, f, _ in found}:
+            own = sorted(x for x in found if x[1] == wfh)
+            seen[(*key, wfh)] = (len(own), *own[0][2])
+            listed |= {(*key, wfh, t, p - 1, p) for (t, p, k), _, _ in found if (t, p, k) >= own[0][0]}
+            mixed += len({f[2] for _, _, f in own}) > 1
+    tokens = spark.createDataFrame(rows, "text_id int, sentence_id int, position int, word string, lemma string, pos string, dephead int, deprel string")
+    heads = relations.with_heads(tokens)
+    key = ["head", "head_lemma", "dep", "dep_lemma", "rel", "wfhead"]
+    assert {tuple(x[c] for c in key): tuple(x[c] for c in ("freq", "bfhead", "bfdep", "wfdep")) for x in relations.relation_freq(heads).collect()} == seen
+    assert {tuple(x[c] for c in [*key, "text_id", "start", "end"]) for x in relations.relation_sentences(heads).collect()} == listed
+    assert mixed  # flags that the first insertion decides
+
+
+def test_derived_sentences_need_no_shuffle(spark, sf_dir):
+    """Heads and token texts of derived tokens come out of a document's own row, and are those of the token table."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40).localCheckpoint()
+    tokens = relations.derived_tokens(docs)
+    heads = relations.heads_of(relations.derived_sentences(docs))
+    assert sorted(map(tuple, heads.collect())) == sorted(map(tuple, relations.with_heads(tokens).collect()))
+    seven = tokens.select("text_id", "sentence_id", "position", "word", "lemma", "pos", F.col("pos").alias("msd"), F.col("ref").cast("string").alias("ref"), "deprel", F.col("dephead").cast("string").alias("dephead"))
+    texts = formats.vrt_of(relations.derived_texts(docs, "lang"), ("lang",))
+    assert sorted(map(tuple, texts.collect())) == sorted(map(tuple, formats.vrt_texts(seven, docs.select(F.col("doc_id").alias("text_id"), "lang")).collect()))
+    for made in (heads, texts, relations.relation_sentences(heads)):
+        assert "Exchange hash" not in made._jdf.queryExecution().executedPlan().toString()
+
+
 def test_names():
     assert pages.ascii_name("_-Čáhppes (guolli)+x.TXT") == "cahppes_guolli_x.txt"
 

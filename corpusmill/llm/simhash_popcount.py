@@ -16,7 +16,8 @@ each by the same majority over its shingles: CHECK_WORDS words whose Hamming dis
 bands of a few bits, independent of them, that choose which fingerprints are compared (the block-permuted tables of SimHash).
 Exact similarity then decides, by paragraph_minhash's verification: all pairs of a component of candidates, whatever its size. Two
 texts at similarity 0.8 share a band with probability 1 - MISS and are near enough with probability 0.99999; at 0.85 only
-about one pair in a million is lost. Of ten shingles or fewer a bit differs more often (4 of 5: 0.1875; found with probability 0.99). A cell of more than CROWD
+about one pair in a million is missed. Of ten shingles or fewer a bit differs more often (4 of 5: 0.1875; found with probability 0.99).
+What fingerprints miss is named by the exact set join of jaccard_trie, so no link of the similarity is left out. A cell of more than CROWD
 texts isn't compared in a task: all its members are candidates, and exact similarity sorts them out.
 
 Links are held between distinct fingerprints, represented by their smallest document; copies never become pairs.
@@ -37,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm import _shared, _words, paragraph_minhash
+from corpusmill.llm import _shared, _words, jaccard_trie, paragraph_minhash
 from corpusmill.llm.paragraph_minhash import SIMILARITY
 
 SHINGLE, SEED, MAX_DISTANCE = 3, 42, 2
@@ -249,13 +250,21 @@ def _compared(filed: DataFrame) -> DataFrame:
     return filed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "u bigint, v bigint, n bigint")
 
 
-def candidates(fingerprinted: DataFrame, bits: int, bands: int, tmp: _shared.Scratch) -> DataFrame:
-    """(u, v, n): stars that connect the texts whose fingerprints are near. fingerprinted: (pid, f0, ...), each pid once, from a written table."""
+def candidates(fingerprinted: DataFrame, bits: int, bands: int, tmp: _shared.Scratch, lost: DataFrame | None = None) -> DataFrame:
+    """(u, v, n): stars that connect the texts whose fingerprints are near, and those of `lost`. fingerprinted: (pid, f0, ...), each pid once, from a written table."""
     filed = _in_cells(fingerprinted, bits, bands)
     crowds = tmp(filed.groupBy("bucket").count().where(F.col("count") > CROWD).select("bucket"))
     if not crowds.limit(1).count():
-        return _lean(_compared(filed))
-    return _lean(_compared(filed.join(crowds, "bucket", "left_anti")).union(paragraph_minhash.stars(filed.select("pid", "bucket").join(crowds, "bucket", "left_semi"))))
+        found = _compared(filed)
+    else:
+        found = _compared(filed.join(crowds, "bucket", "left_anti")).union(paragraph_minhash.stars(filed.select("pid", "bucket").join(crowds, "bucket", "left_semi")))
+    return _lean(found if lost is None else found.union(lost))
+
+
+def whole(own: DataFrame, documents: DataFrame, tmp: _shared.Scratch) -> DataFrame:
+    """(u, v, n): stars of texts that links of the similarity connect, by the exact set join, so that none is lost that fingerprints or bands miss. own: (pid, rep)."""
+    exact = jaccard_trie.similar(documents.where("doc_id is not null").select("doc_id", "text")).select("doc_id", "component_id").distinct()
+    return paragraph_minhash.stars(tmp(own.join(exact, own["rep"] == exact["doc_id"]).select("pid", F.col("component_id").alias("bucket"))))
 
 
 def _lean(found: DataFrame) -> DataFrame:
@@ -301,7 +310,8 @@ def near_copies(documents: DataFrame) -> DataFrame:
     names = [f"f{k}" for k in range(words)]
     with _shared.Scratch() as tmp:
         own = tmp(rows.groupBy("pid").agg(F.min("doc_id").alias("rep"), *(F.min(n).alias(n) for n in names)))
-        found = paragraph_minhash.candidates(candidates(own.select("pid", *names), bits, bands, tmp), tmp)
+        lost = whole(own.select("pid", "rep"), documents, tmp)
+        found = paragraph_minhash.candidates(candidates(own.select("pid", *names), bits, bands, tmp, lost), tmp)
         cluster = paragraph_minhash.clusters(found, paragraph_minhash.sets_of(own.select("pid", "rep"), documents, text_sets, tmp), tmp)
         named = own.join(cluster, own["pid"] == cluster["node"], "left").select("pid", "rep", F.coalesce("component", "pid").alias("component"))
         least = named.groupBy("component").agg(F.min("rep").alias("component_id"))

@@ -101,6 +101,16 @@ def test_near_copies_equal_all_pairs(spark, monkeypatch, crowd):
     assert [got[k] for k in range(len(texts))] == first_of_each(texts)
 
 
+def test_no_link_is_lost_that_fingerprints_miss(spark, monkeypatch):
+    """With one band hardly a pair shares a cell; still all links of the similarity are found, also of the shortest texts that can have it."""
+    monkeypatch.setattr(simhash_popcount, "bands_of", lambda n: (14, 1))
+    texts = [None, "", "a b c d e f g h", "a b c d e f g h i", "z b c d e f g h i"]
+    for k in range(8):
+        texts += edited(60 + k, 40 + 40 * k, 8)
+    got = {r["doc_id"]: r["component_id"] for r in simhash_popcount.near_copies(docs_of(spark, texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == first_of_each(texts)
+
+
 def test_near_copies_of_odd_rows(spark):
     rows = [(None, "x y z"), (3, "x y z"), (3, "x y z"), (3, "other words"), (1, None), (2, ""), (4, " \n")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
